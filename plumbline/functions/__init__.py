@@ -1 +1 @@
-
+"""Scalar and geometry functions."""

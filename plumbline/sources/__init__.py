@@ -1 +1 @@
-
+"""Readers and writers of annotations, submissions and reports."""
