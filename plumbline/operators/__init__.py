@@ -1 +1 @@
-
+"""Operators: evaluation, aggregation, ranking, comparison, splitting, validation."""
