@@ -25,9 +25,9 @@ from .common import filter_text, map_text
 GRADES = 3
 THRESHOLD = 0.3
 #: Labelled rows used for training at most, of each label.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
-#: A feature is in so many sampled rows at least; the vocabulary holds the VOCABULARY most telling ones.
-MIN_ROWS, VOCABULARY = 6, 8192
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+#: A feature is in so many sampled rows and toxic sampled rows at least; the vocabulary holds the VOCABULARY most telling ones.
+MIN_ROWS, MIN_TOXIC_ROWS, VOCABULARY = 6, 3, 8192
 #: Standard errors that a feature's log odds are above zero, at least: features speak for toxicity only.
 MIN_Z = 3.5
 PREFIXES = (5, 6, 7, 8)
@@ -80,19 +80,26 @@ class Model:
         return [1 / (1 + math.exp(min(700.0, t - score))) for t in self.thresholds]
 
 
+def _row_features(text: str) -> set[str]:
+    return {f for w in text_words(text) for f in word_features(w)}
+
+
 def train(texts: list[str], toxic: list[int], min_rows: int = MIN_ROWS, vocabulary: int = VOCABULARY, steps: int = 500, l2: float = 2e-6, rate: float = 0.2) -> Model:
     """Fits weights and thresholds by Adam on the mean log-likelihood with an L2 penalty on weights."""
     y = np.array(toxic, int)
     if not len(y) or y.min() == y.max():
         return Model({}, tuple(10.0 + k for k in range(GRADES)))
-    rows = [{f for w in text_words(t) for f in word_features(w)} for t in texts]
+    # Only features of enough toxic rows can tell; the clean rows are counted for those alone.
     held = [Counter(), Counter()]
-    for r, v in zip(rows, y.tolist(), strict=True):
-        held[v].update(r)
+    for t in (t for t, v in zip(texts, toxic, strict=True) if v):
+        held[1].update(_row_features(t))
+    held[1] = Counter({f: n for f, n in held[1].items() if n >= MIN_TOXIC_ROWS})
+    for t in (t for t, v in zip(texts, toxic, strict=True) if not v):
+        held[0].update(_row_features(t) & held[1].keys())
     n = np.bincount(y, minlength=2)
     tells = {}
-    for f in held[1].keys() | held[0].keys():
-        a, b = held[1][f], held[0][f]
+    for f, a in held[1].items():
+        b = held[0][f]
         if a + b >= min_rows:
             odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
             z = odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
@@ -100,7 +107,7 @@ def train(texts: list[str], toxic: list[int], min_rows: int = MIN_ROWS, vocabula
                 tells[f] = z
     names = sorted(tells, key=lambda f: (-tells[f], f))[:vocabulary]
     number = {f: i for i, f in enumerate(names)}
-    which = [sorted(number[f] for f in r if f in number) for r in rows]
+    which = [sorted(number[f] for f in _row_features(t) & number.keys()) for t in texts]
     evidence = np.array([len(x) for x in which])
     grade = np.zeros(len(y), int)
     toxic_at = np.flatnonzero(y)
