@@ -560,3 +560,138 @@ def scalar_functions(spark, sf_dir):
         "o_orderkey", F.round(S.safe_divide(price, key % 3), 6).alias("safe"), F.round(S.harmonic_mean(price, cust), 6).alias("harmonic"), F.round(S.relative_difference(price, cust.cast("double")), 6).alias("relative"),
         S.half_even(cust / 2).alias("half_even"), S.padded_index(cust).alias("padded"), F.round(F.log1p(price), 6).alias("log1p"), F.upper("o_orderpriority").alias("folded"),
     )
+
+
+# Selection, integrity, images
+
+_TOTALS = (
+    f"WITH {B.sides(thresholds='0.0::DOUBLE, 0.05::DOUBLE')}, {B.related('threshold, image')}, {B.counted('threshold, image')}, t AS (SELECT threshold, {B.COUNTER_SUMS} FROM per GROUP BY threshold), "
+    "u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS counter, threshold, {c}::DOUBLE AS v FROM t" for c in cleval.COUNTERS) + ") "
+)
+
+
+@query(_TOTALS + "SELECT counter, max(v) FILTER (threshold = 0) AS control, max(v) FILTER (threshold > 0) AS candidate, max(v) FILTER (threshold > 0) - max(v) FILTER (threshold = 0) AS delta FROM u GROUP BY counter")
+def counter_diagnosis(spark, sf_dir):
+    from ..operators.selection import counter_diagnosis as diagnose
+
+    rows = B.lines(spark, sf_dir)
+    key = F.struct("threshold", F.col("image").alias("id"))
+    truth = B.ground_truth(rows).withColumn("threshold", F.explode(F.array(F.lit(0.0), F.lit(0.05)))).withColumn("image", key)
+    found = compare.threshold_sweep(B.detections(rows, "l_discount"), "l_discount", [0.0, 0.05]).withColumn("image", key)
+    totals = cleval.total(cleval.evaluate_boxes(truth, found.drop("l_discount")).withColumn("threshold", F.col("image.threshold")), "threshold")
+    return diagnose(totals, "threshold", 0.0, 0.05, list(cleval.COUNTERS))
+
+
+@query(
+    f"WITH {B.sides()}, k AS (SELECT DISTINCT image, x0, y0, x1, y1 FROM det JOIN (SELECT image, k AS d, l_discount FROM li) USING (image, d) WHERE l_discount >= 0.05 AND x1 - x0 >= 10), n AS (SELECT *, count(*) OVER (PARTITION BY image) AS c FROM k) "
+    "SELECT image, count(*) AS boxes, round(sum(x1 - x0), 4) AS width FROM n WHERE c <= 3 GROUP BY image"
+)
+def pseudo_label_filter(spark, sf_dir):
+    from ..operators.selection import pseudo_labels
+
+    kept = pseudo_labels(B.detections(B.lines(spark, sf_dir), "l_discount"), "l_discount", 0.05, 10.0, 3)
+    return kept.groupBy("image").agg(F.count("*").alias("boxes"), F.round(F.sum(F.col("x1") - F.col("x0")), 4).alias("width"))
+
+
+@query(
+    f"WITH RECURSIVE {B.sides()}, e AS (SELECT image, a.d AS p, b.d AS q FROM det a JOIN det b USING (image) WHERE a.d <> b.d AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * 10 >= 0.2::DOUBLE * ((a.x1 - a.x0) * 10 + (b.x1 - b.x0) * 10 - greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * 10) AND least(a.x1, b.x1) > greatest(a.x0, b.x0)), "
+    "c AS (SELECT image, d, d AS reach FROM det UNION SELECT c.image, c.d, e.q FROM c JOIN e ON c.image = e.image AND c.reach = e.p), h AS (SELECT image, d, min(reach) AS head FROM c GROUP BY ALL) "
+    "SELECT image, head, round(min(x0), 6) AS x0, min(y0) AS y0, round(max(x1), 6) AS x1, max(y1) AS y1, count(*) AS merged FROM det JOIN h USING (image, d) GROUP BY image, head"
+)
+def merge_boxes(spark, sf_dir):
+    from ..operators.selection import merge_boxes as merge
+
+    return _round(merge(B.detections(B.lines(spark, sf_dir)), 0.2), "x0", "x1")
+
+
+@query(
+    "WITH d AS (SELECT doc_id, source, lang, (doc_id % 5)::INT AS fold FROM documents), s AS (SELECT fold, count(*) AS n FROM d GROUP BY fold), c AS (SELECT fold, lang, count(*) AS n FROM d GROUP BY ALL), p AS (SELECT abs(n / sum(n) OVER (PARTITION BY fold) - sum(n) OVER (PARTITION BY lang) / sum(n) OVER ()) AS x FROM c), "
+    "l AS (SELECT count(*) FILTER (f > 1) AS k FROM (SELECT source, count(DISTINCT fold) AS f FROM d GROUP BY source)) SELECT (SELECT count(*) FROM s) AS folds, (SELECT max(n) - min(n) FROM s) AS size_difference, (SELECT round(max(x), 6) FROM p) AS share_delta, k AS leaking_groups, (SELECT max(n) - min(n) FROM s) <= 2 AS sizes_even, (SELECT max(x) FROM p) < 0.01 AS shares_even, k = 0 AS no_leakage FROM l"
+)
+def split_validation(spark, sf_dir):
+    from ..operators.selection import split_checks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", (F.col("doc_id") % 5).cast("int").alias("fold"))
+    return _round(split_checks(docs, "fold", "source", "lang"), "share_delta")
+
+
+@query("WITH m AS (SELECT doc_id, (doc_id % 5)::INT AS f FROM documents), r AS (SELECT doc_id, count(*) AS n, min(quality + toxic * 2) AS lo, max(quality + toxic * 2) AS hi FROM labels GROUP BY 1) SELECT count(*) FILTER (r.n IS NULL) AS missing, count(*) FILTER (m.f IS NULL) AS extra, count(*) FILTER (r.n > 1) AS repeated, count(*) FILTER (m.f IS NOT NULL AND r.n IS NOT NULL AND (lo <> f OR hi <> f)) AS wrong_fold FROM m FULL JOIN r USING (doc_id)")
+def oof_integrity(spark, sf_dir):
+    from ..operators.selection import integrity
+
+    manifest = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("fold"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + F.col("toxic") * 2).cast("int").alias("fold"))
+    return integrity(manifest, rows, "doc_id", "fold")
+
+
+@query("SELECT source, 'f' || (replace(source, 'src', '')::INT % 4) AS family, count(*) AS n FROM documents GROUP BY ALL")
+def source_families(spark, sf_dir):
+    from ..operators.selection import tag_family
+
+    families = {f"src{i}": f"f{i % 4}" for i in range(20)}
+    return tag_family(table(spark, sf_dir, "documents").select("source"), families).groupBy("source", "family").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, lang AS lang_x, n_chars, quality, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS lang_y FROM documents JOIN labels USING (doc_id)")
+def suffixed_join(spark, sf_dir):
+    from ..operators.selection import suffixed_join as joined
+
+    right = table(spark, sf_dir, "labels").select("doc_id", "quality", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("lang"))
+    return joined(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), right, "doc_id")
+
+
+@query("SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
+def left_join_once(spark, sf_dir):
+    from ..operators.selection import left_join_once as join
+
+    right = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), right, "o_custkey")
+
+
+@query("SELECT count(*) AS boxes, round(avg(l_discount), 6) AS score_mean, round(median(l_discount), 6) AS score_median, min(l_discount) AS score_min, round(quantile_cont(l_discount, 0.1), 6) AS score_q10, round(median(l_quantity * 10), 6) AS area_median, round(quantile_cont(l_quantity * 10, 0.1), 6) AS area_q10 FROM lineitem")
+def prediction_statistics(spark, sf_dir):
+    from ..operators import probability_maps
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("score"), (F.col("l_quantity") * 10).alias("area"))
+    out = probability_maps.prediction_statistics(rows)
+    return _round(out, *(c for c in out.columns if c != "boxes"))
+
+
+@query("SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (0.75::DOUBLE * z[1] + 0.25::DOUBLE * z[2])::FLOAT::DOUBLE)), 4) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def model_ensemble(spark, sf_dir):
+    from ..operators import probability_maps
+
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    mixed = v.join(other, "vec_id").select("vec_id", probability_maps.ensemble(F.col("embedding"), F.col("other"), 0.75).alias("m"))
+    return mixed.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query(
+    "WITH b AS (SELECT o_orderkey, 100 + o_custkey % 900 AS w, 100 + o_orderkey % 700 AS h FROM orders), c AS (SELECT *, trunc(w * 640 / greatest(w, h)) AS cw, trunc(h * 640 / greatest(w, h)) AS ch FROM b) SELECT o_orderkey, floor((640 - cw) / 2)::DOUBLE AS x, floor((640 - ch) / 2)::DOUBLE AS y, cw AS w, ch AS h, round(w / cw, 6) AS sx, round(-floor((640 - ch) / 2) * (h / ch), 6) + 0.0::DOUBLE AS ty FROM c"
+)
+def crop_and_inverse(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (100 + F.col("o_custkey") % 900).cast("double").alias("w"), (100 + F.col("o_orderkey") % 700).cast("double").alias("h"))
+    out = rows.select("o_orderkey", G.crop_box(F.col("w"), F.col("h"), 640).alias("c"), G.inverse_matrix(F.col("w"), F.col("h"), 640).alias("m"))
+    return out.select("o_orderkey", "c.x", "c.y", "c.w", "c.h", F.round(F.col("m")[0], 6).alias("sx"), (F.round(F.col("m")[5], 6) + 0.0).alias("ty"))
+
+
+@query()
+def image_features(spark, sf_dir):
+    """Vectors as 8 x 8 gray images."""
+    from ..operators import images
+
+    pixels = F.aggregate("embedding", F.lit(""), lambda s, x: F.concat(s, F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), (128 + 256 * x).cast("int")))), 2, "0")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(pixels).alias("pixels"))
+    return images.describe(rows, "vec_id")
+
+
+@query()
+def map_boxes(spark, sf_dir):
+    """Vectors as 8 x 8 probability maps, enlarged by repetition, to boxes."""
+    from ..operators import probability_maps
+
+    big = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda x: (0.5 + 2 * F.element_at("embedding", (F.floor(y / 4) * 8 + F.floor(x / 4)).cast("int") + 1)).cast("float"))))
+    rows = table(spark, sf_dir, "embeddings")
+    maps = rows.select(F.col("vec_id").alias("image"), F.lit(32).alias("height"), F.lit(32).alias("width"), big.alias("values"))
+    return probability_maps.detect(maps, probability_maps.Settings(threshold=0.6, box_threshold=0.6))

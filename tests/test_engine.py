@@ -301,3 +301,23 @@ def test_weighted_sample(spark):
     df = spark.createDataFrame([(i, "big" if i < 900 else "small") for i in range(1000)], "id long, family string")
     got = split.weighted_sample(df, "family", 2000, key="id").groupBy("family").count().toPandas()
     assert got["count"].sum() == 2000 and got["count"].min() > 850
+
+
+def test_images(spark):
+    from plumbline.operators import images, selection
+
+    flat = np.full((20, 20, 3), 230, np.uint8)
+    step = np.zeros((20, 20, 1), np.uint8)
+    step[:, 10:] = 255
+    rows = [("flat", 20, 20, flat.tobytes()), ("step", 20, 20, step.tobytes()), ("bad", 20, 20, b"xyz"), ("none", 20, 20, None)]
+    out = images.describe(spark.createDataFrame(rows, "filename string, height int, width int, pixels binary"))
+    good, bad = images.split_errors(out)
+    got = {r.filename: r for r in good.collect()}
+    assert sorted(r.filename for r in bad.collect()) == ["bad", "none"] and set(got) == {"flat", "step"}
+    assert (got["flat"].bright_fraction, got["flat"].entropy, got["flat"].edge_density, got["flat"].saturation) == (1, 0, 0, 0)
+    assert got["step"].entropy == 1 and got["step"].dark_fraction == 0.5 and 0 < got["step"].edge_density < 0.2
+    x = np.random.default_rng(0).uniform(0, 255, (64, 64))
+    assert S.hamming and images.perceptual_hash(x) == images.perceptual_hash(x * 0.5 + 10)
+    with pytest.raises(Exception, match="family"):
+        selection.tag_family(spark.createDataFrame([("a",)], "source string"), {"b": "c"}).collect()
+    assert selection.with_prefix(spark.createDataFrame([(1, 2, 3)], "k int, a_x int, b_x int"), "a_", "k").columns == ["k", "a_x"]
