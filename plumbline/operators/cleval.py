@@ -106,14 +106,13 @@ def per_image(gt: DataFrame, det: DataFrame, pairs: DataFrame, options: Options
     """
     p = with_relations(pairs, options)
     m = F.col("matched")
-    # The first matched row of a region or detection speaks for it.
+    # One row of each region or detection speaks for it; windows without an order share their sorts.
     in_g, in_d = W.partitionBy("image", "g"), W.partitionBy("image", "d")
-    first = lambda w, order: m & (F.row_number().over(w.orderBy(F.desc("matched"), order)) == 1)
     covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(m, F.col("hits"))).over(in_g))))
-    settled = F.max(m | F.col("det_dc")).over(in_d) & (F.row_number().over(in_d.orderBy(F.desc("matched"), "g")) == 1)
+    settled = F.max(m | F.col("det_dc")).over(in_d) & (F.col("g") == F.min("g").over(in_d))
     p = p.select(
-        "image", "matched", F.size("hits").alias("hits"), first(in_g, "d").alias("head_g"), first(in_d, "g").alias("head_d"), covered.alias("covered"),
-        F.sum(m.cast("int")).over(in_g).alias("pieces_g"), F.sum(m.cast("int")).over(in_d).alias("pieces_d"), settled.alias("settled"), "fp_length",
+        "image", "matched", F.size("hits").alias("hits"), (m & (F.col("d") == F.min(F.when(m, F.col("d"))).over(in_g))).alias("head_g"), (m & (F.col("g") == F.min(F.when(m, F.col("g"))).over(in_d))).alias("head_d"),
+        covered.alias("covered"), F.sum(m.cast("int")).over(in_g).alias("pieces_g"), F.sum(m.cast("int")).over(in_d).alias("pieces_d"), settled.alias("settled"), "fp_length",
     )
     zero = F.lit(0).cast("long")
     when = lambda cond, value: F.when(cond, value).otherwise(0).cast("long")
