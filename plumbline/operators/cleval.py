@@ -163,3 +163,27 @@ def report(per: DataFrame, *keys: str) -> DataFrame:
     grouped = per.groupBy(*keys).agg(F.count("*").alias("images"), *(F.avg(c).alias(f"macro_{c}") for c in names), *(F.sum(c).alias(c) for c in COUNTERS))
     scored = with_scores(grouped)
     return scored.select(*keys, "images", *(f"macro_{c}" for c in names), *(F.col(c).alias(f"global_{c}") for c in names), *COUNTERS)
+
+
+def match_results(related: DataFrame) -> DataFrame:
+    """(image, relation, gt_ids, det_ids) of every match in the pairs of with_relations(), ids ascending."""
+    one = related.where("one_to_one").select("image", F.lit("one-to-one").alias("relation"), F.array("g").alias("gt_ids"), F.array("d").alias("det_ids"))
+    split = related.where("one_to_many").groupBy("image", "g").agg(F.sort_array(F.collect_list("d")).alias("det_ids"))
+    merged = related.where("many_to_one").groupBy("image", "d").agg(F.sort_array(F.collect_list("g")).alias("gt_ids"))
+    many = split.select("image", F.lit("one-to-many").alias("relation"), F.array("g").alias("gt_ids"), "det_ids")
+    return one.unionByName(many).unionByName(merged.select("image", F.lit("many-to-one").alias("relation"), "gt_ids", F.array("d").alias("det_ids")))
+
+
+def scale_wise(gt: DataFrame, det: DataFrame, sizes: DataFrame, bins: list[tuple[float, float]], options: Options = Options()) -> DataFrame:
+    """Global scores by size of the ground truth: other regions are don't-care in each bin.
+
+    A region is in a bin if its height over the image's longer side (sizes: image, longest) is in
+    [low, high). All bins are evaluated in one pass, the bin being a part of the image key.
+    """
+    scaled = gt.join(sizes, "image").withColumn("scale", (F.col("y1") - F.col("y0")) / F.col("longest"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("bin"), F.lit(low).alias("low"), F.lit(high).alias("high")) for i, (low, high) in enumerate(bins))))
+    key = F.struct(F.col("b.bin").alias("bin"), F.col("image").alias("id"))
+    outside = ~((F.col("scale") >= F.col("b.low")) & (F.col("scale") < F.col("b.high")))
+    g = scaled.withColumn("b", each).select(key.alias("image"), "g", "x0", "y0", "x1", "y1", (F.col("dc") | outside).alias("dc"))
+    d = det.withColumn("b", each).select(key.alias("image"), "d", "x0", "y0", "x1", "y1")
+    return total(evaluate_boxes(g, d, options).withColumn("bin", F.col("image.bin")), "bin")

@@ -695,3 +695,19 @@ def map_boxes(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     maps = rows.select(F.col("vec_id").alias("image"), F.lit(32).alias("height"), F.lit(32).alias("width"), big.alias("values"))
     return probability_maps.detect(maps, probability_maps.Settings(threshold=0.6, box_threshold=0.6))
+
+
+@query(
+    f"WITH {B.sides()}, {B.related()} SELECT image, 'one-to-one' AS relation, g::VARCHAR AS gt_ids, d::VARCHAR AS det_ids FROM r WHERE o2o UNION ALL SELECT image, 'one-to-many', g::VARCHAR, string_agg(d::VARCHAR, ',' ORDER BY d) FROM r WHERE o2m GROUP BY image, g "
+    "UNION ALL SELECT image, 'many-to-one', string_agg(g::VARCHAR, ',' ORDER BY g), d::VARCHAR FROM r WHERE m2o GROUP BY image, d"
+)
+def match_results(spark, sf_dir):
+    related = cleval.with_relations(cleval.box_pairs(*_sides(spark, sf_dir)))
+    names = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return cleval.match_results(related).select("image", "relation", names("gt_ids"), names("det_ids"))
+
+
+@query("SELECT '{\"rows\":' || count(*) || ',\"customers\":' || count(DISTINCT o_custkey) || ',\"passed\":' || CASE WHEN count(*) > 1000 THEN 'true' ELSE 'false' END || '}' AS json FROM orders")
+def report_json(spark, sf_dir):
+    row = table(spark, sf_dir, "orders").agg(F.count("*").alias("rows"), F.count_distinct("o_custkey").alias("customers"))
+    return sinks.report_json(row.withColumn("passed", F.col("rows") > 1000))

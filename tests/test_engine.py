@@ -321,3 +321,10 @@ def test_images(spark):
     with pytest.raises(Exception, match="family"):
         selection.tag_family(spark.createDataFrame([("a",)], "source string"), {"b": "c"}).collect()
     assert selection.with_prefix(spark.createDataFrame([(1, 2, 3)], "k int, a_x int, b_x int"), "a_", "k").columns == ["k", "a_x"]
+
+
+def test_scale_wise(spark):
+    gt = spark.createDataFrame([("a", 0, *box(0, 40), False), ("a", 1, *box(50, 130, 0, 60), False)], GT)
+    det = spark.createDataFrame([("a", 0, *box(0, 40)), ("a", 1, *box(200, 240))], DET)
+    out = {r.bin: r for r in cleval.scale_wise(gt, det, spark.createDataFrame([("a", 200.0)], "image string, longest double"), [(0.0, 0.1), (0.1, 1.0)]).collect()}
+    assert (out[0].recall, out[0].tp, out[1].recall) == (1, 4, 0) and out[0].fp == out[1].fp > 0
