@@ -21,15 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filter_text, map_text
+from .simhash import fingerprint
 
 GRADES = 3
-THRESHOLD = 0.3
+THRESHOLD = 0.5
 #: Labelled rows used for training at most, of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 #: A feature is in so many sampled rows and toxic sampled rows at least; the vocabulary holds the VOCABULARY most telling ones.
 MIN_ROWS, MIN_TOXIC_ROWS, VOCABULARY = 6, 3, 8192
 #: Standard errors that a feature's log odds are above zero, at least: features speak for toxicity only.
 MIN_Z = 3.5
+#: Share of the clean sampled rows that a feature is in, at most: a common word is no sign, however it leans.
+MAX_CLEAN_SHARE = 0.005
+#: Sampled texts whose SimHashes differ in no more bits count once.
+COPY_BITS = 8
 PREFIXES = (5, 6, 7, 8)
 _EDGE = ".,;:!?\"'()[]{}<>|#*$%&-_=+/\\~`"
 _CACHE_WORDS = 200_000
@@ -84,8 +89,20 @@ def _row_features(text: str) -> set[str]:
     return {f for w in text_words(text) for f in word_features(w)}
 
 
+def distinct_rows(texts: list[str], most_bits: int = COPY_BITS) -> list[int]:
+    """Numbers of the texts that are no near copy of an earlier one: copies would vouch for all of their words."""
+    fps = np.array([fingerprint(t) for t in texts], np.uint64)
+    kept: list[int] = []
+    for i, f in enumerate(fps):
+        if not kept or int(np.bitwise_count(fps[kept] ^ f).min()) > most_bits:
+            kept.append(i)
+    return kept
+
+
 def train(texts: list[str], toxic: list[int], min_rows: int = MIN_ROWS, vocabulary: int = VOCABULARY, steps: int = 500, l2: float = 2e-6, rate: float = 0.2) -> Model:
     """Fits weights and thresholds by Adam on the mean log-likelihood with an L2 penalty on weights."""
+    kept = distinct_rows(texts)
+    texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
     y = np.array(toxic, int)
     if not len(y) or y.min() == y.max():
         return Model({}, tuple(10.0 + k for k in range(GRADES)))
@@ -103,7 +120,7 @@ def train(texts: list[str], toxic: list[int], min_rows: int = MIN_ROWS, vocabula
         if a + b >= min_rows:
             odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
             z = odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if z >= MIN_Z:
+            if z >= MIN_Z and b <= MAX_CLEAN_SHARE * n[0]:
                 tells[f] = z
     names = sorted(tells, key=lambda f: (-tells[f], f))[:vocabulary]
     number = {f: i for i, f in enumerate(names)}
@@ -135,7 +152,9 @@ def train(texts: list[str], toxic: list[int], min_rows: int = MIN_ROWS, vocabula
         dt = dt.mean(axis=0)
         g = np.concatenate((np.bincount(col, dz[row], len(names)) / len(y) - l2 * w, [dt.sum()], [dt[k > j].sum() * np.exp(gaps[j]) for j in range(GRADES - 1)]))
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+        # A feature speaks for toxicity or not at all.
         params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+        params[: len(names)] = np.maximum(params[: len(names)], 0)
     w = params[: len(names)]
     t = params[len(names)] + np.concatenate(([0], np.cumsum(np.exp(params[len(names) + 1 :]))))
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, tuple(t.tolist()))
