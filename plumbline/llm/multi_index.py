@@ -10,7 +10,7 @@ query must scan for a recall of TARGET against brute force is measured, and appl
 Centroids are fitted on the same sample; every vector is indexed.
 
 Queries are compared in blocks: a block of cells (a part of a hot cell) with a block of queries.
-Equal vectors are held once, with the PER_VECTOR smallest ids of theirs, which is exact for the
+Equal vectors are held once, with as many of their smallest ids as can be neighbours, which is exact for the
 nearest neighbours asked for: a large group of copies costs one vector.
 """
 
@@ -20,7 +20,7 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ CENTROIDS = 32
 SAMPLE, SAMPLE_QUERIES = 12_000, 300
 TARGET = 0.95
 #: Vectors of a block, and queries of a block, at most on average.
-BLOCK_VECTORS, BLOCK_QUERIES, QUERIES_AT_ONCE = 8192, 8192, 512
+BLOCK_VECTORS, BLOCK_QUERIES, QUERIES_AT_ONCE = 8192, 8192, 128
 
 
 @dataclass(frozen=True)
@@ -135,8 +135,8 @@ def nearest(
     """query_id, rank, vec_id and score of the nearest rows found for every query_every-th id.
 
     Vectors that are null or zero, or hold null, NaN or infinite components, take no part, nor do rows
-    with a null id or a dimension other than the commonest. Rows that share an id are rows of their own but never
-    neighbours of a query of that id. Ties go to the smaller id; an empty table gives no rows; other
+    with a null id or a dimension other than the commonest. Rows of equal id and vector count once; a row that shares
+    a query's id is never its neighbour. Ties go to the smaller id; an empty table gives no rows; other
     columns of df are ignored.
     """
     rows = df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
@@ -145,26 +145,33 @@ def nearest(
     out = "query_id long, rank int, vec_id long, score double"
     if not size:
         return df.sparkSession.createDataFrame([], out)
-    rows = rows.where(F.size("v") == size[0]["n"])
-    total = size[0]["count"]
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * sample / total))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
-    index = build(np.array(drawn["v"].tolist(), float).reshape(len(drawn), -1), neighbours, centroids, target)
+    total, width = size[0]["count"], size[0]["n"]
+    rows = rows.where(F.size("v") == width)
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * sample / total))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
+    index = build(drawn.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width), neighbours, centroids, target)
+
+    def packed(batches):
+        """Vectors as bytes: short keys to group and shuffle by. Zeros get one sign."""
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) + 0.0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "v"])
+
+    rows = rows.mapInArrow(packed, "vec_id long, v binary")
+    # Equal vectors once, with the ids that can be neighbours: a query may itself be one of the smallest.
+    # The limit on the rank is applied before the shuffle too.
+    held = neighbours + 1
+    ranked = rows.withColumn("k", F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("k") <= held)
+    once = ranked.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
-    @F.pandas_udf("int")
-    def cell_of(v: pd.Series) -> pd.Series:
-        return pd.Series(index.assign(np.stack(v.to_numpy())).astype(np.int32))
+    def placed_in_cells(batches):
+        for b in batches:
+            cells = index.assign(_unpacked(b.column(0), width)) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells.astype(np.int32))], ["v", "ids", "cell"])
 
-    # Equal vectors once; the ids that can be neighbours: a query may itself be one of the smallest.
-    held = neighbours + 1
-    keyed = rows.groupBy("v", "vec_id").agg(F.count("*").alias("copies"))
-    ranked = keyed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
-    part = ranked.withColumn("k", F.row_number().over(W.partitionBy("v", "salt").orderBy("vec_id"))).where(F.col("k") <= held)
-    once = part.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("vec_id", "copies"))), 1, held).alias("ids"))
-    vectors = checkpointed(once.withColumn("cell", cell_of("v")))
+    vectors = checkpointed(once.mapInArrow(placed_in_cells, "v binary, ids array<long>, cell int"))
     # A table of k x k rows: the number of cells bounds it.
-    counted = vectors.groupBy("cell").count().collect()
     sizes = np.zeros(index.cells, np.int64)
-    for r in counted:
+    for r in vectors.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
     n_vectors = int(sizes.sum())
     wanted = max(min(n_vectors, 50 * neighbours), index.share * n_vectors)
@@ -180,64 +187,58 @@ def nearest(
             block, load = block + int(parts[c]), 0
         else:
             load += int(sizes[c])
-    n_queries = -(-total // query_every)
-    q_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-
+    q_blocks = max(1, -(-(-(-total // query_every)) // BLOCK_QUERIES))
     # One row a cell.
     places = df.sparkSession.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(index.cells) if sizes[c]], "cell int, first int, parts int")
     placed = vectors.join(F.broadcast(places), "cell").select((F.col("first") + F.pmod(F.xxhash64("v"), "parts")).cast("int").alias("block"), "cell", "v", "ids")
     dealt = placed.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def probes(batches):
-        for pdf in batches:
-            ids, qb, bl, cs, vs = [], [], [], [], []
-            for q, v in zip(pdf["vec_id"], pdf["v"], strict=True):
+        for b in batches:
+            vs, rows_out = b.column(1).to_pylist(), []
+            for q, raw in zip(b.column(0).to_pylist(), vs, strict=True):
                 by_block: dict[int, list[int]] = {}
-                for c in index.probe(np.asarray(v), sizes, wanted):
-                    for b in range(int(first[c]), int(first[c] + parts[c])):
-                        by_block.setdefault(b, []).append(c)
-                for b, cells in by_block.items():
-                    ids.append(q)
-                    qb.append((int(q) // query_every) % q_blocks)
-                    bl.append(b)
-                    cs.append(cells)
-                    vs.append(v)
-            yield pd.DataFrame({"query_id": pd.Series(ids, dtype="int64"), "q_block": pd.Series(qb, dtype="int32"), "block": pd.Series(bl, dtype="int32"), "cells": cs, "v": vs})
+                for c in index.probe(np.frombuffer(raw), sizes, wanted):
+                    for k in range(int(first[c]), int(first[c] + parts[c])):
+                        by_block.setdefault(k, []).append(c)
+                rows_out += [(q, (q // query_every) % q_blocks, k, cells, raw) for k, cells in by_block.items()]
+            cols = [list(c) for c in zip(*rows_out, strict=True)] if rows_out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()), strict=True)], ["query_id", "q_block", "block", "cells", "v"])
 
     queries = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"])
-    asked = queries.mapInPandas(probes, "query_id long, q_block int, block int, cells array<int>, v array<double>")
-
-    def rerank(_, base: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(base) and len(qs):
-            base = base.sort_values("cell", kind="stable")
-            x, ids = np.stack(base["v"].to_numpy()), base["ids"].tolist()
-            names, starts = np.unique(base["cell"].to_numpy(), return_index=True)
+    asked = queries.repartition(max(1, n_vectors // BLOCK_VECTORS), "vec_id").mapInArrow(probes, "query_id long, q_block int, block int, cells array<int>, v binary")
+
+    def rerank(base: pa.Table, qs: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, float]] = []
+        if base.num_rows and qs.num_rows:
+            cells = base.column("cell").to_numpy()
+            order = np.argsort(cells, kind="stable")
+            x, ids = _unpacked(base.column("v"), width)[order], base.column("ids").take(pa.array(order)).to_pylist()
+            names, starts = np.unique(cells[order], return_index=True)
             ends = np.append(starts[1:], len(x))
-            for at in range(0, len(qs), QUERIES_AT_ONCE):
-                part = qs.iloc[at : at + QUERIES_AT_ONCE]
-                q, who = np.stack(part["v"].to_numpy()), part["query_id"].tolist()
-                asks = np.zeros((len(part), len(names)), bool)
-                for i, cells in enumerate(part["cells"]):
-                    asks[i, np.searchsorted(names, np.intersect1d(cells, names))] = True
-                scores = np.full((len(part), len(x)), -np.inf)
+            for at in range(0, qs.num_rows, QUERIES_AT_ONCE):
+                part = qs.slice(at, QUERIES_AT_ONCE)
+                q, who = _unpacked(part.column("v"), width), part.column("query_id").to_pylist()
+                asks = np.zeros((len(who), len(names)), bool)
+                for i, mine in enumerate(part.column("cells").to_pylist()):
+                    asks[i, np.searchsorted(names, np.intersect1d(mine, names))] = True
+                scores = np.full((len(who), len(x)), -np.inf)
                 for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                    rows = np.flatnonzero(asks[:, k])
-                    scores[rows, a:b] = q[rows] @ x[a:b].T
-                if len(x) > held:
-                    cuts = np.partition(scores, len(x) - held, axis=1)[:, len(x) - held]
-                else:
-                    cuts = np.full(len(part), -np.inf)
+                    mine = np.flatnonzero(asks[:, k])
+                    scores[mine, a:b] = q[mine] @ x[a:b].T
+                cuts = np.partition(scores, len(x) - held, axis=1)[:, len(x) - held] if len(x) > held else np.full(len(who), -np.inf)
                 for i, cut in enumerate(cuts.tolist()):
                     # Rounding of the matrix product may swap neighbours: those within it are all kept.
                     near = np.flatnonzero((scores[i] >= cut - 1e-9 * max(1.0, abs(cut))) & (scores[i] > -np.inf))
-                    for k in near.tolist():
-                        exact = float(np.dot(x[k], q[i]))
-                        found += [(who[i], r["vec_id"], exact) for r in ids[k] if r["vec_id"] != who[i] for _ in range(min(neighbours, r["copies"]))]
-        got = pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        return got.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(neighbours)
+                    own = [(-float(np.dot(x[k], q[i])), v) for k in near.tolist() for v in ids[k] if v != who[i]]
+                    found += [(who[i], v, -s) for s, v in sorted(own)[:neighbours]]
+        cols = [list(c) for c in zip(*found, strict=True)] if found else [[]] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    pairs = dealt.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    pairs = dealt.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, width)
