@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes that one call of a batch function sees; a longer text comes alone.
 SLICE_BYTES = 4 << 20
+#: A small table is spread in parts of this many bytes; one of more bytes a core is not small.
+SPREAD_BYTES, MOST_SPREAD_BYTES = 1 << 20, 16 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -37,6 +39,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in more partitions if it is small and comes in fewer files than there are cores.
+
+    A small table is often one file of one row group, which one task would read and work on alone. It
+    is dealt out in parts of SPREAD_BYTES, to no more tasks than cores, so only tables of up to
+    MOST_SPREAD_BYTES a core are ever moved; anything larger stays as the scan splits it.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    wanted = min(cores, -(-size // SPREAD_BYTES))
+    if size <= MOST_SPREAD_BYTES * cores and 0 < len(df.inputFiles()) < wanted:
+        return df.repartition(wanted)
+    return df
+
+
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE_BYTES of text each."""
     lengths = pc.binary_length(texts).to_pylist()
@@ -70,7 +88,7 @@ def map_text(
     fields = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
     names = set(fields.names)
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    src = df.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(text).alias("__text"))
+    src = spread(df.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(text).alias("__text")))
     schema = T.StructType([*(src.schema[c] for c in kept), *fields])
     arrow = to_arrow_schema(fields)
 
@@ -90,7 +108,7 @@ def map_text(
 
 def filter_text(df: DataFrame, factory: Callable[[], Callable[[list[str]], Sequence[bool]]], text: str = "text") -> DataFrame:
     """The rows of df, all columns as they are, whose text the batch function says True to."""
-    src = df.withColumn("__text", text_or_empty(text))
+    src = spread(df.withColumn("__text", text_or_empty(text)))
 
     def run(batches):
         fn = factory()

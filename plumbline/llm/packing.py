@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import text_or_empty
+from .common import spread, text_or_empty
 
 CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -155,7 +155,7 @@ def pack_documents(
     other columns of df are ignored. sequence_id is unique over the result.
     """
     fields = T.StructType.fromDDL(PIECES + (", ids array<int>" if with_ids else ""))
-    src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text"))
+    src = spread(df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text")))
     schema = T.StructType([src.schema["doc_id"], *fields])
 
     def packed(docs: list[tuple[object, np.ndarray]], base: int) -> Iterator[pa.RecordBatch]:
