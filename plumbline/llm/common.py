@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes that one call of a batch function sees; a longer text comes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A small table is spread in parts of this many bytes; one of more bytes a core is not small.
 SPREAD_BYTES, MOST_SPREAD_BYTES = 1 << 20, 16 << 20
 
