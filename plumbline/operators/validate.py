@@ -102,7 +102,7 @@ def self_crossing(polygon: Column) -> Column:
     def crosses(i: Column, j: Column) -> Column:
         a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
         apart = (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
-        return apart & (j > i + 1) & ~((i == 0) & (j == n - 1))
+        return (j > i + 1) & ~((i == 0) & (j == n - 1)) & apart  # cheap tests first: the rest is skipped
 
     edges = F.sequence(F.lit(0), n - 1)
     return F.when(n < 4, F.lit(False)).otherwise(F.exists(edges, lambda i: F.exists(edges, lambda j: crosses(i, j))))
