@@ -228,18 +228,26 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return docs.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row of df for each component: that of its smallest doc_id.
+def row_key(doc_id: str, text: str):
+    """What a row is told from others by: its id, unless null, and a hash of its text."""
+    return F.concat_ws(":", F.col(f"`{doc_id}`").cast("string"), F.xxhash64(F.col(f"`{text}`")).cast("string"))
+
 
-    Of rows with that id and different texts the one with the smallest text hash stays, of equal rows
-    one. Rows with a null id take no part and all stay. The texts are shuffled once, by the key of
-    the rows that stay.
+def heads_only(df: DataFrame, docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of df for each label: that of the smallest id, then of the smallest key; null ids come last.
+
+    docs has doc_id, __key (row_key()) and fp of every row, labels what components() gives. Of equal
+    rows one stays. The texts are shuffled once, by the key of the rows that stay.
     """
-    key = F.concat_ws(":", F.col(f"`{doc_id}`").cast("string"), F.xxhash64(F.col(f"`{text}`")))
-    named = df.where(F.col(f"`{doc_id}`").isNotNull())
-    src = named.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), key.alias("__key"))
+    labelled = docs.join(labels, F.col("fp") == F.col("node"), "left").select("doc_id", "__key", F.coalesce("label", "fp").alias("label"))
+    heads = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key")).alias("head"))
+    keys = heads.select(F.col("head.__key").alias("__key"))
+    return df.withColumn("__key", row_key(doc_id, text)).join(keys, "__key", "left_semi").dropDuplicates(["__key"]).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of df for each component, as heads_only() says; rows with a null id link like any other."""
+    src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), row_key(doc_id, text).alias("__key"))
     docs = checkpointed(fingerprints(src, shingle_words, "text", ["doc_id", "__key"]))
-    by_fp = _named_components(docs, max_bits)
-    heads = docs.join(by_fp, "fp").where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("__key").alias("__key"))
-    kept = named.withColumn("__key", key).join(heads.select("__key"), "__key", "left_semi").dropDuplicates(["__key"]).select(*(F.col(f"`{c}`") for c in df.columns))
-    return kept.unionAll(df.where(F.col(f"`{doc_id}`").isNull()))
+    labels = components(spanning_links(docs.select("fp").distinct(), max_bits))
+    return heads_only(df, docs, labels, doc_id, text)
