@@ -32,14 +32,17 @@ def exact_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
 def near_pairs(df: DataFrame, key: str, bits: str = "phash", most: int = 8, width: int = 64) -> DataFrame:
     """Pairs of keys (left < right) whose hashes differ in at most most bits, by banding.
 
-    most + 1 bands: two hashes within most bits share one whole band at least, so no pair is lost.
+    most + 1 bands of sizes that differ by one at most and fill the width: two hashes within most bits
+    share one whole band at least, so no pair is lost.
     Equal hashes are grouped first and compared once; their members are paired with the group's
     smallest key, so a large group of copies gives a star and not all its pairs.
     """
     groups = df.where(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(key).alias("head"))
-    bands, size = most + 1, -(-width // (most + 1))
-    mask = (1 << size) - 1
-    band = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(bits, i * size).bitwiseAND(F.lit(mask).cast("long")).alias("value")) for i in range(bands))))
+    if most >= width:
+        raise ValueError("every pair is within most bits")
+    borders = [i * width // (most + 1) for i in range(most + 2)]
+    cut = lambda a, b: F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << b - a) - 1 if b - a < 64 else -1).cast("long"))
+    band = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), cut(a, b).alias("value")) for i, (a, b) in enumerate(zip(borders[:-1], borders[1:], strict=True)))))
     banded = groups.select("head", bits, band.alias("b")).select("head", bits, "b.band", "b.value")
     a = banded.select(F.col("head").alias("left"), F.col(bits).alias("lb"), "band", "value")
     b = banded.select(F.col("head").alias("right"), F.col(bits).alias("rb"), "band", "value")
