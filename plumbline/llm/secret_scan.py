@@ -121,7 +121,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         end = text.find("\n", m.end())
         config = bool(_LINE_HEAD.match(head[: n.start()])) and not re.search(r"\S[ \t]+\S", text[m.end() : len(text) if end < 0 else end].strip()[:4096])
         pieces, done = _operands(text, m.end(), constants, config)
-        pieces = pieces[:64]
+        pieces = list(dict.fromkeys(pieces))  # s = s + s holds each literal once
         if pieces:
             constants[re.split(r"[.\-]", name)[-1]] = pieces
             sensitive = name_score(name)
