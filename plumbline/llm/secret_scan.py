@@ -36,7 +36,7 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "pass": 0.7, "passphrase": 1.0, "passcode": 0.9, "secret": 1.0, "secrets": 0.9,
     "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "authorization": 0.8, "bearer": 0.9,
     "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "connectionstring": 0.8,
-    "salt": 0.5, "cookie": 0.5, "session": 0.4, "webhook": 0.5, "jwt": 0.8, "pin": 0.5, "key": 0.45,
+    "salt": 0.5, "cookie": 0.5, "session": 0.53, "webhook": 0.5, "jwt": 0.8, "pin": 0.5, "key": 0.53,
 }
 KEY_WORDS = {"api", "private", "access", "secret", "signing", "encryption", "auth", "client", "master", "service", "account", "storage", "ssh"}
 MILD = {"public", "hint", "length", "len", "count", "min", "max", "url", "uri", "path", "file", "field", "label", "regex", "pattern", "type", "policy", "expiry", "ttl", "message", "error", "prompt", "placeholder"}
