@@ -2,10 +2,10 @@
 
 Encoding merges neighbouring pieces, best merge first, from an agenda. With dropout, a candidate
 merge that comes up is skipped for good if a keyed hash of it falls below the rate. The hash is of
-the seed, a variant, the word, and the candidate's three borders in it, so the result depends on
-neither machine nor order of work. Each occurrence of a word in a document gets one of VARIANTS
-variants by a hash of the seed, the document's key and the occurrence, so a word is cut differently
-within and across documents while each of its cuts is made once and remembered.
+the seed, the document's key, the occurrence of the word in it, and the candidate's three borders, so
+the result depends on neither machine nor order of work, and every occurrence is cut on its own. The
+plain encoding of a word is made once and remembered with the borders of its merges; an occurrence
+that skips none of them has that encoding, any other is encoded anew.
 
 No merge crosses the start of a word (a mark after a character that is none), so words are encoded
 on their own: long ones from an agenda, short ones many at a time, each by its best candidate in
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import map_text
 from .token_transducer import SPACE, Vocabulary
 
-RATE, SEED, VARIANTS = 0.1, 42, 2
+RATE, SEED = 0.1, 42
 #: Words whose encodings a task remembers at most; longer words than SHORT are encoded one by one.
 CACHE_WORDS, SHORT = 700_000, 64
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -83,10 +83,10 @@ class _Numbers(dict):
 
 
 class Codec:
-    def __init__(self, vocabulary: Vocabulary, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, vocabulary: Vocabulary, rate: float = RATE, seed: int = SEED):
         if any(SPACE in p.lstrip(SPACE) for p in vocabulary.rank):
             raise ValueError("a piece of this vocabulary crosses the start of a word")
-        self.v, self.seed, self.variants = vocabulary, seed, variants
+        self.v, self.seed = vocabulary, seed
         self.limit = int(rate * (1 << 64))
         lib = vocabulary.library
         n = lib.get_piece_size()
@@ -106,31 +106,47 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[tuple[str, int], int] = _Numbers()
+        self.known: dict[tuple[str, None], int] = _Numbers()
         self.starts, self.ends, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def _key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(f"{variant}:{word}".encode("utf-8", "surrogatepass"), self.seed & _MASK)
-
-    def pieces(self, word: str, variant: int) -> list[str]:
-        """The pieces of a word; the agenda holds (rank, start, middle, end) of candidates."""
+        self.merges, self.merge_ends = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+
+    def occurrence_keys(self, key: str, n: int) -> np.ndarray:
+        """The keys of the n words of a document."""
+        h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), self.seed & _MASK)
+        x = (np.arange(n, dtype=np.uint64) + np.uint64(h)) * np.uint64(_A)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(_X)
+        return x ^ x >> np.uint64(27)
+
+    def _skipped(self, x: np.ndarray) -> np.ndarray:
+        """Which candidates are skipped; x is the key of the occurrence ^ the hash of the borders."""
+        x = (x ^ x >> np.uint64(31)) * np.uint64(_X)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(_Y)
+        return (x ^ x >> np.uint64(32)) < np.uint64(min(self.limit, _MASK))
+
+    def pieces(self, word: str, key: int | None, merges: list[int] | None = None) -> list[str]:
+        """The pieces of a word; the agenda holds (rank, start, middle, end) of candidates.
+
+        No key stands for no dropout. The borders' hashes of what is merged are added to merges.
+        """
         n = len(word)
         rank, limit = self.v.rank, self.limit
         end = list(range(1, n + 1))  # of the piece that starts here, 0 if none does
         start = list(range(-1, n))  # of the piece before the one that starts here
         agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
         heapq.heapify(agenda)
-        key = self._key(word, variant)
         while agenda:
             _, a, m, b = heapq.heappop(agenda)
             if end[a] != m or end[m] != b:
                 continue  # one of the two has been merged meanwhile
-            if limit:
-                x = (key ^ (a * _A + m * _M + b * _B)) & _MASK
+            borders = (a * _A + m * _M + b * _B) & _MASK
+            if limit and key is not None:
+                x = key ^ borders
                 x = ((x ^ x >> 31) * _X) & _MASK
                 x = ((x ^ x >> 29) * _Y) & _MASK
                 if x ^ x >> 32 < limit:
                     continue
+            if merges is not None:
+                merges.append(borders)
             end[a], end[m] = b, 0
             if b < n:
                 start[b] = a
@@ -153,29 +169,25 @@ class Codec:
             ids += [self.byte_id[b] for b in p.encode("utf-8", "surrogatepass")] if i is None else [i]
         return ids
 
-    def _rounds(self, words: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, start, id) of the pieces of short words; an unknown character has the id -1."""
-        codes = np.frombuffer("".join(w for w, _ in words).encode("utf-32-le", "surrogatepass"), "<u4")
-        size = np.fromiter((len(w) for w, _ in words), np.int64, len(words))
+    def _rounds(self, words: list[str], key: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """(word, start, id) of the pieces of short words, (word, borders' hash) of their merges; an unknown character has the id -1."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), size)
         start = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
         end, ids = start + 1, self.char_id[codes]
-        key = np.fromiter((self._key(*w) for w in words), np.uint64, len(words))
         none = np.int64(1 << 62)
-        done = []
+        done, merges = [], [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         while len(word):
             best = np.full(len(word), none)
             pair = np.flatnonzero(word[:-1] == word[1:])
             merged = self.pairs(ids[pair], ids[pair + 1])
             some = merged >= 0
             pair, merged = pair[some], merged[some]
-            if self.limit and len(pair):
-                a, m, b = start[pair].astype(np.uint64), end[pair].astype(np.uint64), end[pair + 1].astype(np.uint64)
-                x = key[word[pair]] ^ (a * np.uint64(_A) + m * np.uint64(_M) + b * np.uint64(_B))
-                x = (x ^ x >> np.uint64(31)) * np.uint64(_X)
-                x = (x ^ x >> np.uint64(29)) * np.uint64(_Y)
-                kept = (x ^ x >> np.uint64(32)) >= np.uint64(min(self.limit, _MASK))
-                pair, merged = pair[kept], merged[kept]
+            borders = start[pair].astype(np.uint64) * np.uint64(_A) + end[pair].astype(np.uint64) * np.uint64(_M) + end[pair + 1].astype(np.uint64) * np.uint64(_B)
+            if self.limit and key is not None and len(pair):
+                kept = ~self._skipped(key[word[pair]] ^ borders)
+                pair, merged, borders = pair[kept], merged[kept], borders[kept]
             best[pair] = self.rank_of[merged] << 8 | start[pair]
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             least = np.repeat(np.minimum.reduceat(best, first), np.diff(np.append(first, len(word))))
@@ -185,56 +197,84 @@ class Codec:
             at = np.flatnonzero((best == least) & ~over)
             new = np.full(len(word), -1, np.int32)
             new[pair] = merged
+            if key is None:
+                chosen = np.isin(pair, at, assume_unique=True)
+                merges.append((word[pair[chosen]], borders[chosen]))
             ids[at], end[at] = new[at], end[at + 1]
             over[at + 1] = True
             word, start, end, ids = word[~over], start[~over], end[~over], ids[~over]
         word, start, ids = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.lexsort((start, word))
-        return word[order], start[order], ids[order]
+        of, borders = (np.concatenate(x) for x in zip(*merges, strict=True))
+        by_word = np.argsort(of, kind="stable")
+        return word[order], start[order], ids[order], of[by_word], borders[by_word]
 
-    def _learn(self, words: list[tuple[str, int]]) -> None:
-        """Appends the ids of new words to the store, in order."""
+    def _made(self, words: list[str], keys: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Starts, ends and ids of words, and how many merges each has and the hashes of their borders, if plain."""
         starts, ends = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        size = np.fromiter((len(w) for w, _ in words), np.int64, len(words))
+        size = np.fromiter(map(len, words), np.int64, len(words))
         short, singly, made = np.flatnonzero(size <= SHORT), (size > SHORT).nonzero()[0].tolist(), np.zeros(0, np.int32)
+        of, borders = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if len(short):
-            word, _, made = self._rounds([words[i] for i in short.tolist()])
+            word, _, made, of, borders = self._rounds([words[i] for i in short.tolist()], None if keys is None else keys[short])
+            of = short[of]
             cuts = np.searchsorted(word, np.arange(len(short) + 1))
             starts[short], ends[short] = cuts[:-1], cuts[1:]
-            singly += short[np.unique(word[made < 0])].tolist()  # they have unknown characters
-        more, at = [], len(made)
+            unknown = short[np.unique(word[made < 0])]  # they have unknown characters
+            singly += unknown.tolist()
+            known = ~np.isin(of, unknown)
+            of, borders = of[known], borders[known]
+        more, at, more_of, more_borders = [], len(made), [], []
         for i in singly:
-            more += (ids := self._piece_ids(self.pieces(*words[i])))
+            merges: list[int] = []
+            more += (ids := self._piece_ids(self.pieces(words[i], None if keys is None else int(keys[i]), merges)))
             starts[i], ends[i] = at, at + len(ids)
             at += len(ids)
+            if keys is None:
+                more_of += [i] * len(merges)
+                more_borders += merges
+        of, borders = np.concatenate((of, np.array(more_of, np.int64))), np.concatenate((borders, np.array(more_borders, np.uint64)))
+        return starts, ends, np.concatenate((made, np.array(more, np.int32))), np.bincount(of, minlength=len(words)), borders[np.argsort(of, kind="stable")]
+
+    def _learn(self, words: list[str]) -> None:
+        """Appends the plain ids and the merges of new words to the store, in order."""
+        starts, ends, ids, n, borders = self._made(words, None)
         base = len(self.ids)
-        self.ids = np.concatenate((self.ids, made, np.array(more, np.int32)))
+        self.ids = np.concatenate((self.ids, ids))
         self.starts, self.ends = np.concatenate((self.starts, starts + base)), np.concatenate((self.ends, ends + base))
+        self.merges = np.concatenate((self.merges, borders))
+        self.merge_ends = np.concatenate((self.merge_ends, self.merge_ends[-1] + np.cumsum(n)))
 
     def encode_batch(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
-        """The ids of each text; its key names the document in the hash of the variants."""
+        """The ids of each text; its key names the document in the hashes."""
         if len(self.known) > CACHE_WORDS:
             self.forget()
-        known, had, numbers = self.known, len(self.known), []
+        known, had = self.known, len(self.known)
+        every, at, cut = [], [np.zeros(0, np.uint64)], [0]
         for text, key in zip(texts, keys, strict=True):
-            if SPACE in text:
-                numbers.append(None)
-                continue
-            words = _WORD.findall(self.v.normalized(text))
-            h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), self.seed & _MASK)
-            x = (np.arange(len(words), dtype=np.uint64) + np.uint64(h)) * np.uint64(_A)
-            variants = ((x >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-            numbers.append(np.array([known[k] for k in zip(words, variants, strict=True)], np.int64))
+            words = [] if SPACE in text else _WORD.findall(self.v.normalized(text))
+            every += words
+            at.append(self.occurrence_keys(key, len(words)))
+            cut.append(len(every))
+        numbers = np.array([known[w, None] for w in every], np.int64)
         if len(known) > had:
-            self._learn(list(islice(known, had, None)))
+            self._learn([w for w, _ in islice(known, had, None)])
+        starts, ends, ids, occurrence = self.starts[numbers], self.ends[numbers], self.ids, np.concatenate(at)
+        if self.limit and len(every):
+            first, n = self.merge_ends[numbers], self.merge_ends[numbers + 1] - self.merge_ends[numbers]
+            of = np.repeat(np.arange(len(every)), n)
+            borders = self.merges[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
+            anew = np.unique(of[self._skipped(occurrence[of] ^ borders)])
+            if len(anew):
+                a, b, made, *_ = self._made([every[i] for i in anew.tolist()], occurrence[anew])
+                starts[anew], ends[anew], ids = a + len(ids), b + len(ids), np.concatenate((ids, made))
         out = []
-        for text, key, n in zip(texts, keys, numbers, strict=True):
-            if n is None:
+        for text, key, a, b in zip(texts, keys, cut[:-1], cut[1:], strict=True):
+            if SPACE in text:
                 out.append(self._marked(text, key))
                 continue
-            a, size = self.starts[n], self.ends[n] - self.starts[n]
-            at = np.arange(size.sum()) + np.repeat(a - np.cumsum(size) + size, size)
-            out.append(self.ids[at])
+            size = ends[a:b] - starts[a:b]
+            out.append(ids[np.arange(size.sum()) + np.repeat(starts[a:b] - np.cumsum(size) + size, size)])
         return out
 
     def _marked(self, text: str, key: str) -> np.ndarray:
@@ -246,8 +286,8 @@ class Codec:
             if k:
                 out.append(own)
             for j, w in enumerate(_WORD.findall(self.v.normalized(part) if not k else part.replace(" ", SPACE))):
-                variant = xxhash.xxh64_intdigest(f"{key}:{k}:{j}".encode("utf-8", "surrogatepass"), self.seed & _MASK) % self.variants
-                out.append(np.array(self._piece_ids(self.pieces(w, variant)), np.int32))
+                occurrence = xxhash.xxh64_intdigest(f"{key}:{k}:{j}".encode("utf-8", "surrogatepass"), self.seed & _MASK)
+                out.append(np.array(self._piece_ids(self.pieces(w, occurrence)), np.int32))
         if not parts[0]:
             out.insert(0, np.array([self.v.id[SPACE]], np.int32))
         return np.concatenate(out)
@@ -262,8 +302,8 @@ class Codec:
 
 
 @cache
-def _codec(model_path: str, rate: float, seed: int, variants: int) -> Codec:
-    return Codec(Vocabulary(model_path), rate, seed, variants)
+def _codec(model_path: str, rate: float, seed: int) -> Codec:
+    return Codec(Vocabulary(model_path), rate, seed)
 
 
 def encode_documents(
@@ -271,7 +311,6 @@ def encode_documents(
     model_path: str,
     rate: float = RATE,
     seed: int = SEED,
-    variants: int = VARIANTS,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -280,7 +319,7 @@ def encode_documents(
     A null or empty text has no ids. Rows with equal ids and texts are encoded alike, a null id like
     the empty key; an empty table gives no rows; other columns of df are ignored.
     """
-    return _encoded(df, model_path, rate, seed, variants, doc_id, text, "ids array<int>", lambda codec, text, ids: (ids,))
+    return _encoded(df, model_path, rate, seed, doc_id, text, "ids array<int>", lambda codec, text, ids: (ids,))
 
 
 def decode_documents(df: DataFrame, model_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -288,7 +327,7 @@ def decode_documents(df: DataFrame, model_path: str, doc_id: str = "doc_id", ids
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{ids}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches):
-        codec = _codec(model_path, 0.0, SEED, 1)
+        codec = _codec(model_path, 0.0, SEED)
         for b in batches:
             texts = [codec.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -296,7 +335,7 @@ def decode_documents(df: DataFrame, model_path: str, doc_id: str = "doc_id", ids
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def encoding_digests(df: DataFrame, model_path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encoding_digests(df: DataFrame, model_path: str, rate: float = RATE, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids) and lossless of each row.
 
     lossless says that decoding the ids gives the whole text back. Rows are treated as by
@@ -306,16 +345,16 @@ def encoding_digests(df: DataFrame, model_path: str, rate: float = RATE, seed: i
     def digest(codec, text, ids):
         return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), codec.decode(ids.tolist()) == text
 
-    return _encoded(df, model_path, rate, seed, variants, doc_id, text, "n_tokens long, ids_crc32 long, lossless boolean", digest)
+    return _encoded(df, model_path, rate, seed, doc_id, text, "n_tokens long, ids_crc32 long, lossless boolean", digest)
 
 
-def _encoded(df, model_path, rate, seed, variants, doc_id, text, fields, columns) -> DataFrame:
+def _encoded(df, model_path, rate, seed, doc_id, text, fields, columns) -> DataFrame:
     # The key goes through the text column: a key of its own row, a line break, the text.
     key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.concat(key, F.lit("\n"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("text"))
 
     def make():
-        codec = _codec(model_path, rate, seed, variants)
+        codec = _codec(model_path, rate, seed)
 
         def run(texts):
             split = [t.partition("\n") for t in texts]
