@@ -402,7 +402,7 @@ def oracle_choice(spark, sf_dir):
 
 @query()
 def paired_bootstrap(spark, sf_dir):
-    return _round(compare.bootstrap_means(_paired(spark, sf_dir), "image", ["delta_score", "candidate_score"], resamples=2000), "delta_mean", "ci95_low", "ci95_high", "probability_gt_0")
+    return _round(compare.bootstrap_means(_paired(spark, sf_dir), "image", ["delta_score", "candidate_score"]), "delta_mean", "ci95_low", "ci95_high", "probability_gt_0")
 
 
 @query(
