@@ -491,7 +491,7 @@ def outer_contract_join(spark, sf_dir):
 @query()
 def weighted_family_sample(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return split.weighted_sample(docs, "source", 1000, key="doc_id")
+    return split.weighted_sample(docs, "source", docs.count(), key="doc_id")
 
 
 @query("WITH o AS (SELECT avg(o_totalprice) AS m, count(*) AS n, count(DISTINCT o_custkey) AS c FROM orders) SELECT n > 1000 AS enough_rows, m > 0 AS positive_mean, c < n AS customers_repeat, (n > 1000 AND m > 0 AND c < n) AS passed FROM o")

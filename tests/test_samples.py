@@ -14,3 +14,8 @@ def test_bootstrap_keeps_the_operator_s_resamples(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(compare, "bootstrap_means", spy)
     catalog.queries()["paired_bootstrap"](spark, sf_dir)
     assert seen.get("resamples", 10_000) == 10_000
+
+
+def test_family_sample_has_as_many_draws_as_documents(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert catalog.queries()["weighted_family_sample"](spark, sf_dir).count() == n
