@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,13 +22,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder, so that later reads survive lost executors.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where neither that
-    setting nor a folder of the context exists (local tests) a temporary one is made.
+    setting nor a folder of the context exists and the master is local (tests) a temporary one is made.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set if it is not yet."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
+    return sc.getCheckpointDir()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +47,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def unused(names: Iterable[str], base: str) -> str:
+    """A column name that clashes with none of names, in any case."""
+    taken, name = {n.lower() for n in names}, f"__{base}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in more partitions if it is small and comes in fewer files than there are cores.
 
@@ -77,28 +93,30 @@ def map_text(
     fields: T.StructType | str,
     text: str = "text",
     keep: Sequence[str] | None = None,
+    given: Sequence[str] = (),
 ) -> DataFrame:
     """The kept columns of df and what the batch function returns for each text.
 
     factory() is called once for each task and gives a function from a list of texts to a list of
     columns, in the order of fields. A null text is passed as empty. A kept column whose name a
-    field has is dropped. Rows are streamed in slices, so memory follows SLICE_BYTES and the longest
-    text.
+    field has is dropped. The batch function gets the values of the kept columns that given names
+    after the texts. Rows are streamed in slices, so memory follows SLICE_BYTES and the longest text.
     """
     fields = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
     names = set(fields.names)
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    src = spread(df.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(text).alias("__text")))
+    name = unused(kept, "text")
+    src = spread(df.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(text).alias(name)))
     schema = T.StructType([*(src.schema[c] for c in kept), *fields])
     arrow = to_arrow_schema(fields)
 
     def run(batches):
         fn = factory()
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.num_columns - 1
             for a, b in _slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                made = fn(part.column(at).to_pylist())
+                made = fn(part.column(at).to_pylist(), *(part.column(kept.index(c)).to_pylist() for c in given))
                 cols = [part.column(i) for i in range(part.num_columns) if i != at]
                 new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, *new], [*kept, *arrow.names])
@@ -107,13 +125,13 @@ def map_text(
 
 
 def filter_text(df: DataFrame, factory: Callable[[], Callable[[list[str]], Sequence[bool]]], text: str = "text") -> DataFrame:
-    """The rows of df, all columns as they are, whose text the batch function says True to."""
-    src = spread(df.withColumn("__text", text_or_empty(text)))
+    """The rows of df, all columns as they are, whose text the batch function says True to; a null text is passed as empty."""
+    src = spread(df.select(*(F.col(f"`{c}`") for c in df.columns), text_or_empty(text).alias(unused(df.columns, "text"))))
 
     def run(batches):
         fn = factory()
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.num_columns - 1
             for a, b in _slices(batch.column(at)):
                 part = batch.slice(a, b - a)
                 yes = pa.array(fn(part.column(at).to_pylist()), pa.bool_())

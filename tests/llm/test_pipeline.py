@@ -10,7 +10,8 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from plumbline.llm import quality, secret_scan, toxicity  # noqa: E402
 from plumbline.llm.common import read_table  # noqa: E402
 
-from .test_llm_operators import brute_components, brute_counts, brute_fingerprint  # noqa: E402
+from .test_llm_operators import brute_counts  # noqa: E402
+from .test_overlap import brute_heads  # noqa: E402
 
 
 def test_pipeline(spark):
@@ -23,7 +24,7 @@ def test_pipeline(spark):
     model = toxicity.fit(docs, labels)
     score = model.scorer()
     rows = [r for r in rows if model.at_least(score(r.text))[0] < toxicity.THRESHOLD]
-    heads = set(brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in rows]))
+    heads = set(brute_heads([(r.doc_id, r.text) for r in rows]))  # 5-word shingles, overlap of 0.8
     want = {r.doc_id: secret_scan.redacted(r.text) for r in rows if r.doc_id in heads}
     got = defaultdict(int)
     tokens = {}
