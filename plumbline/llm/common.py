@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -19,17 +20,23 @@ SPREAD_BYTES, MOST_SPREAD_BYTES = 1 << 20, 16 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder, so that later reads survive lost executors.
+    """df as a table written to the shared checkpoint folder, so that later reads survive lost executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where neither that
-    setting nor a folder of the context exists and the master is local (tests) a temporary one is made.
+    A written table cuts the lineage as checkpoint() does, but is compressed and known by its true
+    size; what a checkpoint keeps of a plan's estimates multiplies with every join of a loop.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, set if it is not yet."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only where neither that setting nor a folder of the context exists and the master is local (tests)
+    a temporary one is made.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -63,10 +70,12 @@ def spread(df: DataFrame) -> DataFrame:
     MOST_SPREAD_BYTES a core are ever moved; anything larger stays as the scan splits it.
     """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = len(df.inputFiles())
     cores = spark.sparkContext.defaultParallelism
-    wanted = min(cores, -(-size // SPREAD_BYTES))
-    if size <= MOST_SPREAD_BYTES * cores and 0 < len(df.inputFiles()) < wanted:
+    if not 0 < files < cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= MOST_SPREAD_BYTES * cores and files < (wanted := min(cores, -(-size // SPREAD_BYTES))):
         return df.repartition(wanted)
     return df
 
@@ -124,17 +133,19 @@ def map_text(
     return src.mapInArrow(run, schema)
 
 
-def filter_text(df: DataFrame, factory: Callable[[], Callable[[list[str]], Sequence[bool]]], text: str = "text") -> DataFrame:
-    """The rows of df, all columns as they are, whose text the batch function says True to; a null text is passed as empty."""
+def filter_text(df: DataFrame, factory: Callable[[], Callable[..., Sequence[bool]]], text: str = "text", given: Sequence[str] = ()) -> DataFrame:
+    """The rows of df, all columns as they are, whose text the batch function says True to; given and nulls as for map_text()."""
     src = spread(df.select(*(F.col(f"`{c}`") for c in df.columns), text_or_empty(text).alias(unused(df.columns, "text"))))
 
+    columns = [df.columns.index(c) for c in given]
+
     def run(batches):
         fn = factory()
         for batch in batches:
             at = batch.num_columns - 1
             for a, b in _slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                yes = pa.array(fn(part.column(at).to_pylist()), pa.bool_())
+                yes = pa.array(fn(part.column(at).to_pylist(), *(part.column(i).to_pylist() for i in columns)), pa.bool_())
                 out = part.filter(yes)
                 if out.num_rows:
                     yield pa.RecordBatch.from_arrays(
