@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import map_text, text_or_empty
 from .token_transducer import SPACE, Vocabulary
 
 RATE, SEED = 0.1, 42
@@ -349,19 +349,15 @@ def encoding_digests(df: DataFrame, model_path: str, rate: float = RATE, seed: i
 
 
 def _encoded(df, model_path, rate, seed, doc_id, text, fields, columns) -> DataFrame:
-    # The key goes through the text column: a key of its own row, a line break, the text.
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
-    src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.concat(key, F.lit("\n"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("text"))
+    src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text"))
 
     def make():
         codec = _codec(model_path, rate, seed)
 
-        def run(texts):
-            split = [t.partition("\n") for t in texts]
-            bodies = [x[2] for x in split]
-            ids = codec.encode_batch(bodies, [x[0] for x in split])
-            return [list(c) for c in zip(*(columns(codec, t, i) for t, i in zip(bodies, ids, strict=True)), strict=True)]
+        def run(texts, names):
+            ids = codec.encode_batch(texts, ["" if x is None else str(x) for x in names])
+            return [list(c) for c in zip(*(columns(codec, t, i) for t, i in zip(texts, ids, strict=True)), strict=True)]
 
         return run
 
-    return map_text(src, make, fields, "text", ["doc_id"])
+    return map_text(src, make, fields, "text", ["doc_id"], ["doc_id"])

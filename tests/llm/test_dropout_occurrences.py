@@ -15,3 +15,12 @@ def test_each_occurrence_is_cut_on_its_own():
     assert codec.encode(text, "7") == [i for c in cuts for i in codec._piece_ids(c)]
     assert len({tuple(c) for w, c in zip(words, cuts, strict=True) if w.endswith("information")}) > 10
     assert codec.encode(text, "7") != codec.encode(text, "8")
+
+
+def test_ids_with_line_breaks(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [("x\ny", "hello world"), ("x", "y\nhello world"), (None, "a\nb"), ("", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert all(r.lossless for r in merge_dropout.encoding_digests(df, path).collect())
+    back = merge_dropout.decode_documents(merge_dropout.encode_documents(df, path), path).collect()
+    assert {r.doc_id: r.text for r in back} == {k: t or "" for k, t in rows}
