@@ -5,7 +5,7 @@ merge that comes up is skipped for good if a keyed hash of it falls below the ra
 the seed, the document's key, the occurrence of the word in it, and the candidate's three borders, so
 the result depends on neither machine nor order of work, and every occurrence is cut on its own. The
 plain encoding of a word is made once and remembered with the borders of its merges; an occurrence
-that skips none of them has that encoding, any other is encoded anew.
+that skips none of them has that encoding, any other is encoded anew, and so is a word met once.
 
 No merge crosses the start of a word (a mark after a character that is none), so words are encoded
 on their own: long ones from an agenda, short ones many at a time, each by its best candidate in
@@ -19,7 +19,6 @@ import heapq
 import re
 import zlib
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from .token_transducer import SPACE, Vocabulary
 
 RATE, SEED = 0.1, 42
 #: Words whose encodings a task remembers at most; longer words than SHORT are encoded one by one.
-CACHE_WORDS, SHORT = 700_000, 64
+CACHE_WORDS, SHORT = 400_000, 64
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MASK = (1 << 64) - 1
 #: Fixed odd numbers of a 64-bit mixing function.
@@ -46,7 +45,7 @@ class _Pairs:
         ids = vocabulary.id
         found = [(ids[p[:i]], ids[p[i:]], ids[p]) for p in vocabulary.rank for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids]
         left, right, merged = np.array(found or [(0, 0, 0)], np.int64).T
-        self.bits = max(4, len(found).bit_length() + 2)
+        self.bits = max(4, len(found).bit_length() + 1)
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
         keys, at = left << 32 | right, self._slot(left << 32 | right)
         while len(keys):
@@ -96,7 +95,7 @@ class Codec:
             self.bytes[i] = bytes([b])
         self.pairs = _Pairs(vocabulary)
         self.char_id = np.full(0x110000, -1, np.int32)
-        self.rank_of = np.zeros(n, np.int64)
+        self.rank_of = np.zeros(n, np.int32)
         places = {r: k for k, r in enumerate(sorted(set(vocabulary.rank.values())))}
         for p, i in vocabulary.id.items():
             if len(p) == 1:
@@ -106,7 +105,8 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[tuple[str, None], int] = _Numbers()
+        self.known: dict[str, int] = {}
+        self.seen: set[str] = set()
         self.starts, self.ends, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.merges, self.merge_ends = np.zeros(0, np.uint64), np.zeros(1, np.int64)
 
@@ -170,44 +170,64 @@ class Codec:
         return ids
 
     def _rounds(self, words: list[str], key: np.ndarray | None) -> tuple[np.ndarray, ...]:
-        """(word, start, id) of the pieces of short words, (word, borders' hash) of their merges; an unknown character has the id -1."""
+        """(word, id) of the pieces of short words, (word, borders' hash) of their merges if plain; a character that is no piece gives its bytes."""
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        word = np.repeat(np.arange(len(words)), size)
-        start = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-        end, ids = start + 1, self.char_id[codes]
-        none = np.int64(1 << 62)
-        done, merges = [], [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        size = np.fromiter(map(len, words), np.int32, len(words))
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        start = np.arange(len(codes), dtype=np.int32) - np.repeat(np.cumsum(size, dtype=np.int32) - size, size)
+        ids = self.char_id[codes]
+        ids[ids < 0] = -2 - codes[ids < 0].astype(np.int32)
+        end = start + np.int32(1)
+        none = np.int32((1 << 31) - 1)
+        done, merges = [], [(np.zeros(0, np.int32), np.zeros(0, np.uint64))]
+        # What a piece and the next one merge to, and its rank << 6 | start; only neighbours of a merge change.
+        best, merged = np.full(len(word), none), np.full(len(word), -1, np.int32)
+
+        def borders_of(i):
+            return start[i].astype(np.uint64) * np.uint64(_A) + end[i].astype(np.uint64) * np.uint64(_M) + end[i + 1].astype(np.uint64) * np.uint64(_B)
+
+        fresh = np.arange(len(word))
         while len(word):
-            best = np.full(len(word), none)
-            pair = np.flatnonzero(word[:-1] == word[1:])
-            merged = self.pairs(ids[pair], ids[pair + 1])
-            some = merged >= 0
-            pair, merged = pair[some], merged[some]
-            borders = start[pair].astype(np.uint64) * np.uint64(_A) + end[pair].astype(np.uint64) * np.uint64(_M) + end[pair + 1].astype(np.uint64) * np.uint64(_B)
-            if self.limit and key is not None and len(pair):
-                kept = ~self._skipped(key[word[pair]] ^ borders)
-                pair, merged, borders = pair[kept], merged[kept], borders[kept]
-            best[pair] = self.rank_of[merged] << 8 | start[pair]
+            fresh = fresh[fresh < len(word) - 1]
+            best[fresh] = none
+            fresh = fresh[word[fresh] == word[fresh + 1]]
+            to = self.pairs(ids[fresh], ids[fresh + 1])
+            some = to >= 0
+            fresh, to = fresh[some], to[some]
+            if self.limit and key is not None and len(fresh):
+                kept = ~self._skipped(key[word[fresh]] ^ borders_of(fresh))
+                fresh, to = fresh[kept], to[kept]
+            best[fresh], merged[fresh] = self.rank_of[to] << 6 | start[fresh], to
+            best[-1] = none
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.repeat(np.minimum.reduceat(best, first), np.diff(np.append(first, len(word))))
-            over = least == none
+            least = np.minimum.reduceat(best, first)
+            count = np.diff(np.append(first, len(word)))
+            over = np.repeat(least == none, count)
             if over.any():
                 done.append((word[over], start[over], ids[over]))
-            at = np.flatnonzero((best == least) & ~over)
-            new = np.full(len(word), -1, np.int32)
-            new[pair] = merged
+            at = np.flatnonzero((best == np.repeat(least, count)) & ~over)
             if key is None:
-                chosen = np.isin(pair, at, assume_unique=True)
-                merges.append((word[pair[chosen]], borders[chosen]))
-            ids[at], end[at] = new[at], end[at + 1]
+                merges.append((word[at], borders_of(at)))
+            ids[at], end[at] = merged[at], end[at + 1]
+            changed = np.zeros(len(word), bool)
+            changed[at] = changed[at[at > 0] - 1] = True
             over[at + 1] = True
-            word, start, end, ids = word[~over], start[~over], end[~over], ids[~over]
+            left = ~over
+            word, start, end, ids, best, merged, changed = (x[left] for x in (word, start, end, ids, best, merged, changed))
+            fresh = np.flatnonzero(changed)
         word, start, ids = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.lexsort((start, word))
+        order = np.argsort(word.astype(np.int64) << 6 | start, kind="stable")
         of, borders = (np.concatenate(x) for x in zip(*merges, strict=True))
         by_word = np.argsort(of, kind="stable")
-        return word[order], start[order], ids[order], of[by_word], borders[by_word]
+        word, ids = word[order], ids[order]
+        if (none_ids := np.flatnonzero(ids < -1)).size:
+            spelt = [[self.byte_id[b] for b in chr(-2 - c).encode("utf-8", "surrogatepass")] for c in ids[none_ids].tolist()]
+            n = np.ones(len(ids), np.int64)
+            n[none_ids] = list(map(len, spelt))
+            starts = np.cumsum(n) - n
+            word, ids = np.repeat(word, n), np.repeat(ids, n)
+            ids[np.repeat(starts[none_ids] - np.cumsum(n[none_ids]) + n[none_ids], n[none_ids]) + np.arange(n[none_ids].sum())] = np.concatenate(spelt)
+        return word, ids, of[by_word], borders[by_word]
 
     def _made(self, words: list[str], keys: np.ndarray | None) -> tuple[np.ndarray, ...]:
         """Starts, ends and ids of words, and how many merges each has and the hashes of their borders, if plain."""
@@ -216,14 +236,10 @@ class Codec:
         short, singly, made = np.flatnonzero(size <= SHORT), (size > SHORT).nonzero()[0].tolist(), np.zeros(0, np.int32)
         of, borders = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if len(short):
-            word, _, made, of, borders = self._rounds([words[i] for i in short.tolist()], None if keys is None else keys[short])
+            word, made, of, borders = self._rounds([words[i] for i in short.tolist()], None if keys is None else keys[short])
             of = short[of]
             cuts = np.searchsorted(word, np.arange(len(short) + 1))
             starts[short], ends[short] = cuts[:-1], cuts[1:]
-            unknown = short[np.unique(word[made < 0])]  # they have unknown characters
-            singly += unknown.tolist()
-            known = ~np.isin(of, unknown)
-            of, borders = of[known], borders[known]
         more, at, more_of, more_borders = [], len(made), [], []
         for i in singly:
             merges: list[int] = []
@@ -249,22 +265,39 @@ class Codec:
         """The ids of each text; its key names the document in the hashes."""
         if len(self.known) > CACHE_WORDS:
             self.forget()
-        known, had = self.known, len(self.known)
+        if len(self.seen) > CACHE_WORDS:
+            self.seen.clear()
         every, at, cut = [], [np.zeros(0, np.uint64)], [0]
         for text, key in zip(texts, keys, strict=True):
             words = [] if SPACE in text else _WORD.findall(self.v.normalized(text))
             every += words
             at.append(self.occurrence_keys(key, len(words)))
             cut.append(len(every))
-        numbers = np.array([known[w, None] for w in every], np.int64)
-        if len(known) > had:
-            self._learn([w for w, _ in islice(known, had, None)])
-        starts, ends, ids, occurrence = self.starts[numbers], self.ends[numbers], self.ids, np.concatenate(at)
+        occurrence = np.concatenate(at)
+        number: dict[str, int] = _Numbers()
+        of_word = np.array([number[w] for w in every], np.int64)
+        places, new = [], []
+        for w, n in zip(number, np.bincount(of_word, minlength=len(number)).tolist(), strict=True):
+            place = self.known.get(w, -1)
+            if place < 0 and (n > 1 or not self.limit or w in self.seen):
+                place = self.known[w] = len(self.known)
+                new.append(w)
+            elif place < 0:  # a word met once is cut for that occurrence only
+                self.seen.add(w)
+            places.append(place)
+        if new:
+            self._learn(new)
+        numbers = np.array(places, np.int64)[of_word] if every else of_word
+        once, had = np.flatnonzero(numbers < 0), np.flatnonzero(numbers >= 0)
+        starts, ends, ids = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64), self.ids
+        starts[had], ends[had] = self.starts[numbers[had]], self.ends[numbers[had]]
         if self.limit and len(every):
-            first, n = self.merge_ends[numbers], self.merge_ends[numbers + 1] - self.merge_ends[numbers]
-            of = np.repeat(np.arange(len(every)), n)
+            first = self.merge_ends[numbers[had]]
+            n = self.merge_ends[numbers[had] + 1] - first
+            of = np.repeat(had, n)
             borders = self.merges[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
-            anew = np.unique(of[self._skipped(occurrence[of] ^ borders)])
+            hit = of[self._skipped(occurrence[of] ^ borders)]
+            anew = np.concatenate((once, hit[np.append(True, hit[1:] != hit[:-1])[: len(hit)]]))
             if len(anew):
                 a, b, made, *_ = self._made([every[i] for i in anew.tolist()], occurrence[anew])
                 starts[anew], ends[anew], ids = a + len(ids), b + len(ids), np.concatenate((ids, made))
