@@ -2,9 +2,16 @@
 
 Two layers look at every whole text. The base layer finds three fixed kinds of span. The lexing
 layer reads the text as source or configuration: at every assignment sign it takes the target's
-name on the left and an expression of literals and names on the right, remembers the literals each
-name holds (so ``part = "..."; key = part + "..."`` leads back to both literals), and scores a
-literal by how sensitive its target's name is and how much it looks like a credential.
+name on the left and the value on the right, token by token with a stack of open brackets: joined
+literals and names, arguments of calls, lists, pairs in braces or by indentation, triple quotes, bare
+words of a configuration line. It remembers what each dotted name holds (so ``part = "..."; key =
+part + "..."`` leads back to both literals) and scores a value by how sensitive its target's name is,
+that of the pair around it included, and how much it looks like a credential. What is joined is
+scored as one, elements and arguments each on their own.
+
+Nothing is cut: a name is as long as it is, a value has as many literals as it has. Joined values are
+trees that share their parts, and every step looks at a character a bounded number of times, so time
+is linear in the text.
 
 Spans are in code points, end exclusive. A lexed span that overlaps a base span is left out.
 """
@@ -19,11 +26,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from .common import map_text
+from .common import map_text, unused
 
 KINDS = ("assign", "access", "hex", "literal")
-#: Score from which a literal counts as a secret, and the longest name looked at.
-THRESHOLD, NAME_CHARS = 0.5, 128
+#: Score from which a value counts as a secret; a value of more characters is no placeholder.
+THRESHOLD, PLACEHOLDER_CHARS = 0.5, 256
 
 # The base patterns: fixed values of the contract. Only ASCII letters fold their case.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -42,15 +49,23 @@ KEY_WORDS = {"api", "private", "access", "secret", "signing", "encryption", "aut
 MILD = {"public", "hint", "length", "len", "count", "min", "max", "url", "uri", "path", "file", "field", "label", "regex", "pattern", "type", "policy", "expiry", "ttl", "message", "error", "prompt", "placeholder"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|changeme|change_me|example\w*|your[_-]?\w*|todo|test|dummy|redacted|<.*>|\$\{?.*|%\(.*|\{\{.*)$")
 
-_OP = re.compile(r"[!<>=]=|:=|=>|[=:]")
-_NAME = re.compile(r"""(?:(["'`])([^"'`\n]{1,128})\1|([A-Za-z_$][A-Za-z0-9_.$-]*))(?:\[[^\]\n]{0,32}\])?[ \t]*$""")
-_TYPED = re.compile(r"""([A-Za-z_$][A-Za-z0-9_.$-]*)[ \t]*:[ \t]*[A-Za-z_][A-Za-z0-9_.\[\]|, ]{0,40}$""")
-_STRING = re.compile(r"""[rbfuRBFU]{0,2}(?:"((?:\\.|[^"\\\n])*)"|'((?:\\.|[^'\\\n])*)'|`((?:\\.|[^`\\\n])*)`)""")
-_REFERENCE = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*(?![A-Za-z0-9_$(])")
-_BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>]+""")
-_JOIN = re.compile(r"[ \t]*(?:\+|\.\.|~)[ \t]*|[ \t]+(?=[\"'])")
-_SPACE = re.compile(r"[ \t]*")
-_LINE_HEAD = re.compile(r"^[ \t\-]*(?:(?:export|set|ENV|const|let|var|val|final|static|public|private)[ \t]+)*$")
+_OP = re.compile(r"[!=]==?|[<>]=|->|::|\+=|:=|=>|[=:]")
+_NO_ASSIGNMENT = {"==", "===", "!=", "!==", "<=", ">=", "->", "::"}
+_NAME_END = re.compile(r"[ \t]*([A-Za-z0-9_.$-]+)")  # of the reversed text before a sign
+_KEY_END = re.compile(r"""[ \t]*(?:\][ \t]*)?(["'`])""")
+_TOKEN = re.compile(
+    r"""(?P<space>[ \t\r]+|\\\n)|(?P<line>\n)|(?P<string>(?:[rbfuRBFU]{1,2}(?=["']))?(?:\"{3}(?P<a>.*?)\"{3}|'{3}(?P<b>.*?)'{3}|"(?P<c>(?:\\.|[^"\\\n])*+)"|'(?P<d>(?:\\.|[^'\\\n])*+)'|`(?P<e>(?:\\.|[^`\\])*+)`))"""
+    r"""|(?P<ref>[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*)|(?P<comment>\#[^\n]*|//[^\n]*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<other>[!=]==?|[<>]=|->|::|[0-9][A-Za-z0-9_.]*)|(?P<sign>\+=|:=|=>|[=:])|(?P<join>\+|\.\.|~|\.|<<)|(?P<comma>[,;])|(?P<any>.)""",
+    re.S,
+)
+_BARE = re.compile(r"""[ \t]*([^\s"'`,;#(){}\[\]<>]+)[ \t]*(?:[,;]|\#[^\n]*)?[ \t\r]*(?=\n|\Z)""")
+_ITEM = re.compile(r"""[ \t\r]*\n[ \t]*-[ \t]+(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"'`,;#(){}\[\]<>:]+))[ \t]*(?:\#[^\n]*)?(?=\r?\n|\Z)""")
+_NOTHING = re.compile(r"[ \t\r]*(?:#[^\n]*)?(?:\n|\Z)")
+_CONTINUES = re.compile(r"\s*(?:\+|\.\.|~)")
+_LINE_HEAD = re.compile(r"[ \t\-]*(?:(?:export|set|ENV|const|let|var|val|final|static|public|private)[ \t]+)*\Z")
+_WORD_OPERATORS = {"or", "and", "if", "else", "not", "await", "new", "return", "str", "String", "bytes"}
+_IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_.-][A-Za-z]+)*")
+_OWNER = re.compile(r"^(?:self|this)\.")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -74,61 +89,256 @@ def name_score(name: str) -> float:
     return score * (0.4 if MILD & set(words) else 1.0)
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a credential, from 0 to 1."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or re.search(r"\s", value):
-        return 0.0
-    counts = Counter(value)
-    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, 0.35 + 0.12 * bits + 0.08 * kinds)
-
-
-def _operands(text: str, at: int, constants: dict[str, list[tuple[int, int]]], bare: bool) -> tuple[list[tuple[int, int]], int]:
-    """The literals of the expression at a place, as spans, and where it ends."""
-    pieces: list[tuple[int, int]] = []
-    while True:
-        at = _SPACE.match(text, at).end()
-        if m := _STRING.match(text, at):
-            k = m.lastindex or 0
-            pieces.append(m.span(k) if k else (at + 1, at + 1))
-        elif (m := _REFERENCE.match(text, at)) and m[0].rpartition(".")[2] in constants:
-            pieces += constants[m[0].rpartition(".")[2]]
-        elif bare and (m := _BARE.match(text, at)):
-            pieces.append(m.span())
+class Value:
+    """A literal or two joined values: its spans as a tree, and what its score needs."""
+
+    __slots__ = ("left", "right", "span", "n", "counts", "text", "spaced", "key_block")
+
+    def __init__(self, text: str, span: tuple[int, int] | None, left: Value | None = None, right: Value | None = None):
+        self.left, self.right, self.span = left, right, span
+        if left is None or right is None:
+            value = text[span[0] : span[1]] if span else ""
+            self.n, self.counts = len(value), Counter(value)
+            self.text = value if self.n <= PLACEHOLDER_CHARS else None
+            self.spaced, self.key_block = any(c.isspace() for c in self.counts), "PRIVATE KEY-----" in value
+        else:
+            self.n, self.counts = left.n + right.n, left.counts + right.counts
+            self.text = left.text + right.text if left.text is not None and right.text is not None and self.n <= PLACEHOLDER_CHARS else None
+            self.spaced, self.key_block = left.spaced or right.spaced, left.key_block or right.key_block
+
+    def score(self) -> float:
+        """How much it looks like a credential, from 0 to 1."""
+        if self.key_block:
+            return 1.0
+        if self.n < 6 or self.spaced or self.text is not None and PLACEHOLDER.match(self.text):
+            return 0.0
+        bits = -sum(c / self.n * math.log2(c / self.n) for c in self.counts.values())
+        chars = "".join(self.counts)
+        kinds = sum(bool(re.search(p, chars)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
+        return min(1.0, 0.35 + 0.12 * bits + 0.08 * kinds)
+
+
+class _Open:
+    """An open bracket, or the statement itself: the names that values go to, and the values so far."""
+
+    __slots__ = ("bracket", "path", "targets", "values", "joining", "call", "index_of")
+
+    def __init__(self, bracket: str, path: str, targets: list[str], call: bool = False, index_of: str | None = None):
+        self.bracket, self.path, self.targets, self.call, self.index_of = bracket, path, targets, call, index_of
+        self.values: list[Value] = []
+        self.joining = False
+
+    def add(self, value: Value, follows_string: bool) -> None:
+        if self.values and (self.joining or follows_string):
+            self.values[-1] = Value("", None, self.values[-1], value)
         else:
-            return pieces, at
-        at = m.end()
-        if not (j := _JOIN.match(text, at)):
-            return pieces, at
-        at, bare = j.end(), False
+            self.values.append(value)
+        self.joining = False
+
+
+class _Lexer:
+    def __init__(self, text: str):
+        self.text = text
+        self.holds: dict[str, Value] = {}
+        self.found: dict[tuple[int, int], None] = {}
+        self.seen: dict[int, Value] = {}  # parts whose spans are in found
+        self.parents: list[tuple[int, str]] = []  # (indent, name) of the open keys of a configuration
+
+    def literal(self, a: int, b: int) -> Value:
+        """A literal; one of several lines is what stands between white space."""
+        inner = self.text[a:b]
+        if "\n" not in inner:
+            return Value(self.text, (a, b))
+        a += len(inner) - len(inner.lstrip())
+        return Value(self.text, (a, a + len(inner.strip())))
+
+    def report(self, value: Value) -> None:
+        stack = [value]
+        while stack:
+            v = stack.pop()
+            if id(v) in self.seen:
+                continue
+            self.seen[id(v)] = v
+            if v.span and v.span[1] > v.span[0]:
+                self.found[v.span] = None
+            stack += [x for x in (v.left, v.right) if x is not None]
+
+    def settle(self, targets: list[str], values: list[Value], adds: bool = False) -> None:
+        if not values:
+            return
+        whole = values[0]
+        for v in values[1:]:
+            whole = Value("", None, whole, v)
+        for name in targets:
+            key = _OWNER.sub("", name)
+            self.holds[key] = Value("", None, self.holds[key], whole) if adds and key in self.holds else whole
+            sensitive = name_score(name)
+            for v in [self.holds[key]] if adds else values:
+                if sensitive and sensitive * v.score() >= THRESHOLD:
+                    self.report(v)
+
+    def statement(self, at: int, name: str, adds: bool) -> int:
+        """Reads the value that is assigned to a name and the pairs in it; where it ends."""
+        text, size = self.text, len(self.text)
+        top = _Open("", name, [name])
+        stack = [top]
+        before, word = "sign", ""  # the kind of the token before, and its name if it is one
+        while at < size:
+            f = stack[-1]
+            m = _TOKEN.match(text, at)
+            kind = m.lastgroup if m.lastgroup not in "abcde" else "string"
+            if kind == "line" and len(stack) == 1 and not f.joining and not _CONTINUES.match(text, at):
+                break
+            start, at = at, m.end()
+            if kind in ("space", "line", "comment"):
+                continue
+            if kind == "string":
+                if before in ("ref", "close", "other") and not f.joining and len(stack) == 1:
+                    at = start
+                    break
+                k = next(g for g in "abcde" if m[g] is not None)
+                f.add(self.literal(*m.span(k)), before == "string")
+                word = m[k]
+            elif kind == "ref":
+                if m[0] in _WORD_OPERATORS:
+                    before = "any"
+                    continue
+                if before in ("string", "ref", "close", "other") and not f.joining and len(stack) == 1:
+                    at = start
+                    break
+                word = m[0]
+                held = self.holds.get(_OWNER.sub("", word))
+                if held is not None and text[at : at + 1] not in ("(", "["):
+                    f.add(held, False)
+                else:
+                    f.joining = False
+            elif kind == "open":
+                touching = before in ("ref", "close") and text[start - 1 : start] not in (" ", "\t", "\n")
+                index_of = word if m[0] == "[" and touching else None
+                path = f.targets[-1].rpartition(".")[2] if f.targets else f.path
+                stack.append(_Open(m[0], path, [], m[0] == "(" and touching, index_of))
+                before, word = "sign", ""
+                continue
+            elif kind == "close":
+                if len(stack) == 1:
+                    at = start
+                    break
+                self.shut(stack)
+                word = f"{f.index_of}.{f.values[0].text}" if f.index_of and f.values and f.values[0].text else f.index_of or ""
+            elif kind == "sign":
+                if before in ("string", "ref", "close") and word:
+                    if before == "string" or f.values and _OWNER.sub("", word) in self.holds:
+                        f.values = f.values[:-1]
+                    if len(stack) == 1 and not f.values:
+                        f.targets.append(word)
+                    else:
+                        self.settle(f.targets, f.values, adds)
+                        f.targets, f.values, adds = [f"{f.path}.{word}" if f.bracket in ("{", "[") else word], [], False
+                f.joining = False
+            elif kind == "join":
+                f.joining = bool(f.values) and before in ("string", "ref", "close")
+            elif kind == "comma":
+                if m[0] == ";" and len(stack) == 1:
+                    break
+                if len(stack) > 1 and f.targets:
+                    self.settle(f.targets, f.values)
+                    f.targets, f.values = [], []
+                f.joining = False
+            else:
+                f.joining = False
+            before = kind
+        while len(stack) > 1:
+            self.shut(stack)
+        self.settle(top.targets, top.values, adds)
+        return at
+
+    def shut(self, stack: list[_Open]) -> None:
+        """Closes a bracket: a pair in it is settled, other values go to what is around it."""
+        f = stack.pop()
+        around = stack[-1]
+        if f.index_of is not None:
+            around.joining = False
+            return
+        if f.targets:
+            self.settle(f.targets, f.values)
+            around.joining = False
+            return
+        values = f.values
+        if f.call:  # a plain word among arguments names what is looked up
+            values = [v for v in values if v.text is None or not _IDENTIFIER.fullmatch(v.text)]
+        if len(values) == 1:
+            around.add(values[0], False)
+        else:
+            around.values += values
+            around.joining = False
+
+    def run(self) -> list[tuple[int, int]]:
+        text = self.text
+        floor = line = scanned = 0
+        for m in _OP.finditer(text):
+            if m.start() < floor or m[0] in _NO_ASSIGNMENT:
+                continue
+            at = m.start()
+            newline = text.rfind("\n", scanned, at)
+            line, scanned = (newline + 1 if newline >= 0 else line), at
+            name, begin = self.name_before(max(line, floor), at)
+            if not name:
+                floor = m.end()
+                continue
+            head = text[max(line, floor) : begin]
+            at_head = line >= floor and bool(_LINE_HEAD.match(head))
+            path = name
+            if at_head and m[0] in (":", "="):
+                indent = len(head) - len(head.lstrip(" \t-"))
+                while self.parents and self.parents[-1][0] >= indent:
+                    self.parents.pop()
+                if self.parents and self.parents[-1][0] < indent:
+                    path = f"{self.parents[-1][1]}.{name}"
+                if m[0] == ":" and _NOTHING.match(text, m.end()):
+                    self.parents.append((indent, name))
+                    floor = self.items(m.end(), path)
+                    continue
+                bare = _BARE.match(text, m.end())
+                if bare:
+                    held = self.holds.get(_OWNER.sub("", bare[1]))
+                    self.settle([path], [held if held is not None else Value(text, bare.span(1))], m[0] == "+=")
+                    floor = bare.end()
+                    continue
+            floor = max(m.end(), self.statement(m.end(), path, m[0] == "+="))
+        return sorted(self.found)
+
+    def name_before(self, low: int, at: int) -> tuple[str, int]:
+        """The name that ends before a sign, not before low, and where it begins."""
+        back = self.text[low:at][::-1]
+        if k := _KEY_END.match(back):
+            end = at - k.end()
+            begin = self.text.rfind(k[1], low, end)
+            if begin >= 0:
+                inner = self.text[begin + 1 : end]
+                if "]" in k[0] and (o := _NAME_END.match(self.text[low:begin][::-1], 1)) and self.text[begin - 1 : begin] == "[":
+                    return f"{o[1][::-1]}.{inner}", begin - len(o[0])
+                return inner, begin
+            return "", at
+        n = _NAME_END.match(back)
+        if not n:
+            return "", at
+        name = n[1][::-1].lstrip("-.0123456789")
+        return name, at - n.end(1) + len(n[1]) - len(name)
+
+    def items(self, at: int, path: str) -> int:
+        """Reads the items of a list below a key of a configuration; where it ends."""
+        at = max(0, at)
+        values = []
+        while m := _ITEM.match(self.text, at):
+            values.append(self.literal(*m.span(m.lastindex)))
+            at = m.end()
+        self.settle([path], values)
+        return at
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name."""
-    constants: dict[str, list[tuple[int, int]]] = {}
-    found: dict[tuple[int, int], None] = {}
-    done = 0
-    for m in _OP.finditer(text):
-        if m[0] in ("==", "!=", "<=", ">=") or m.start() < done:
-            continue
-        line = max(text.rfind("\n", max(0, m.start() - NAME_CHARS - 40), m.start()) + 1, m.start() - NAME_CHARS - 40, 0)
-        head = text[line : m.start()]
-        n = _TYPED.search(head) if m[0] == "=" and ":" in head else None
-        name = n[1] if n else (n := _NAME.search(head)) and (n[2] or n[3])
-        if not name:
-            continue
-        end = text.find("\n", m.end())
-        config = bool(_LINE_HEAD.match(head[: n.start()])) and not re.search(r"\S[ \t]+\S", text[m.end() : len(text) if end < 0 else end].strip()[:4096])
-        pieces, done = _operands(text, m.end(), constants, config)
-        pieces = list(dict.fromkeys(pieces))  # s = s + s holds each literal once
-        if pieces:
-            constants[re.split(r"[.\-]", name)[-1]] = pieces
-            sensitive = name_score(name)
-            if sensitive and sensitive * literal_score("".join(text[a:b] for a, b in pieces)) >= THRESHOLD:
-                found.update(dict.fromkeys(p for p in pieces if p[1] > p[0]))
-        done = min(done, m.end() + 1) if not pieces else done
-    return sorted(found)
+    return _Lexer(text).run()
 
 
 def all_spans(text: str) -> list[tuple[str, int, int]]:
@@ -184,16 +394,18 @@ def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def redact_secrets(df: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """df with every secret in the text replaced by a mark, and n_chars, if there, counted anew.
 
-    Null texts stay null; all rows and all other columns stay.
+    Null texts stay null, empty ones empty; all rows, repeated ones too, and all other columns stay,
+    whatever their names; an empty table stays empty.
     """
     from pyspark.sql import functions as F
 
     def clean(texts: list[str]):
         return [[redacted(t) for t in texts]]
 
-    made = map_text(df, lambda: clean, "__clean string", text)
-    cleaned = F.when(F.col(f"`{text}`").isNotNull(), F.col("__clean")).alias(text)
+    name = unused(df.columns, "clean")
+    made = map_text(df, lambda: clean, f"`{name}` string", text)
+    cleaned = F.when(F.col(f"`{text}`").isNotNull(), F.col(name)).alias(text)
     cols = {text: cleaned}
     if n_chars in df.columns:
-        cols[n_chars] = F.when(F.col(f"`{text}`").isNotNull(), F.char_length("__clean")).otherwise(F.col(f"`{n_chars}`")).cast(df.schema[n_chars].dataType).alias(n_chars)
+        cols[n_chars] = F.when(F.col(f"`{text}`").isNotNull(), F.char_length(name)).otherwise(F.col(f"`{n_chars}`")).cast(df.schema[n_chars].dataType).alias(n_chars)
     return made.select(*(cols.get(c, F.col(f"`{c}`")) for c in df.columns))
