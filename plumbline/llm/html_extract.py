@@ -1,18 +1,21 @@
 """Main text of web pages by tree scoring.
 
-A page is parsed into a tree that forgives missing and misplaced end tags. Parts that are never
-article text (menus, headers, footers, forms, scripts, adverts, comments and the like, by tag, role
-and the words of class and id) are cut off. Every paragraph-like block then passes points to its
-ancestors: one for itself, one for each comma, one for each 100 characters up to 3; the parent gets
-all of them, its parent half, those above a third and less by distance. A container's points are discounted by its
-share of text in links. The best container is kept with those of its siblings that score a fifth of
-it or read like text; in what is kept only lists and boxes made of links are dropped.
+A page is parsed in one pass into a tree that forgives missing and misplaced end tags. Parts that hold
+no text (scripts, styles and the like) go first; menus, headers, footers, forms, adverts, comments and
+the like, told by tag, role or the names in class and id, go too, unless most of the page's text or
+an article is in them: names are hints, the score decides. Every paragraph-like block then passes
+points to its ancestors: one for itself, one for each comma, one for each 100 characters up to 3; the
+parent gets all of them, its parent half, those above a third and less by distance. A container's
+points are discounted by its share of text in links, and cut to a fifth if its names speak against it.
+The best container is kept with those of its siblings that score a fifth of it or read like text; in
+what is kept only menus, lists of short links, are dropped.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
@@ -26,14 +29,18 @@ BLOCKS = {
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main",
     "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 }
-#: A start tag of the key closes an open element of the value, unless a scope's border comes first.
+#: A start tag of the key closes an open element of these names: the nearest one, or for parts of tables the outermost one,
+#: unless a border is in between.
 CLOSES = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"},
+    "li": ("item", {"li"}, {"ul", "ol", "menu"}), "dt": ("term", {"dt", "dd"}, {"dl"}), "dd": ("term", {"dt", "dd"}, {"dl"}), "option": ("option", {"option"}, {"select"}),
+    "td": ("cell", {"td", "th"}, {"table"}), "th": ("cell", {"td", "th"}, {"table"}), "tr": ("row", {"tr", "td", "th"}, {"table"}),
+    "tbody": ("rows", {"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ("rows", {"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-BORDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
+P_BORDERS = {"td", "th", "li", "table", "button"}
+OUTERMOST = {"cell", "row", "rows"}
 # What marks a part as no article text.
-CUT_TAGS = {"head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "iframe", "svg", "canvas", "object", "embed", "dialog", "menu", "title"}
+NO_TEXT_TAGS = {"head", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "embed", "title", "select", "option", "textarea", "button"}
+CUT_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu"}
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note", "status"}
 CUT_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
@@ -42,108 +49,184 @@ CUT_WORDS = {
     "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar", "topbar", "widget", "login", "paywall", "tags", "disclaimer", "alert", "hidden",
 }
 CUT_STARTS = ("advert", "sidebar", "comment", "cookie", "navbar", "newsletter", "sponsor", "breadcrumb")
+#: Words that make a name speak of a layout, not of the part itself, and words that follow the name of a part.
+LAYOUT_WORDS = {"has", "with", "no", "without", "not", "layout", "page", "is", "js"}
+PART_WORDS = {"area", "bar", "block", "body", "box", "container", "content", "count", "form", "group", "holder", "inner", "item", "items", "left", "links", "list", "meta", "middle", "outer", "panel", "right", "row", "section", "slot", "text", "thread", "top", "unit", "wrap", "wrapper", "zone"}
+#: Elements of running text: only names of adverts and the like speak against them.
+TEXT_TAGS = {"p", "li", "td", "th", "tr", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "span", "a", "b", "i", "em", "strong", "code"}
+TEXT_CUT_STARTS = ("advert", "sponsor", "comment", "cookie", "newsletter")
 GOOD_WORDS = {"article", "content", "entry", "main", "post", "story", "text", "body", "blog"}
 PARAGRAPHS = {"p", "td", "pre", "blockquote", "li", "dd"}
 HEADINGS = {"h1", "h2", "h3"}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*+)>""", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"""[^>"']*(?:"[^"]*"|'[^']*'|(>))""")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME_WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "links")
+    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "links", "holds_article", "against", "open_p", "open_parts")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
         self.kids: list[Node | str] = []
         self.score, self.size, self.linked, self.links = 0.0, 0, 0, 0
+        self.holds_article, self.against = tag in ("article", "main"), False
+        # The open elements that a start tag within this one would close.
+        above = up.open_p if up else None
+        self.open_p: Node | None = self if tag == "p" else None if tag in P_BORDERS else above
+        parts = up.open_parts if up else {}
+        if tag in _PART_TAGS:
+            parts = dict(parts)
+            for family, names, borders in _FAMILIES:
+                if tag in borders:
+                    parts.pop(family, None)
+                elif tag in names and not (family in OUTERMOST and family in parts):
+                    parts[family] = self
+        self.open_parts: dict[str, Node] = parts
+
+
+_FAMILIES = list({family: (family, names, borders) for family, names, borders in CLOSES.values()}.values())
+_PART_TAGS = {t for _, names, borders in _FAMILIES for t in names | borders}
+
+
+class _Scanner:
+    """Where the tags of a page end: at the first > outside of quotes, or at the first one if quotes don't close."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends here; -1 if none does."""
+        first = self.page.find(">", at)
+        if first < 0 or not self.quotes:
+            return first
+        k = at
+        while m := _QUOTED.match(self.page, k):
+            k = m.end()
+            if m[1]:
+                return k - 1
+        self.quotes = False  # a quote is never closed: from here on quotes are not looked at, which keeps time linear
+        return first
 
 
 def parse(page: str) -> Node:
-    """The tree of a page, end tags mended as browsers do in the common cases."""
+    """The tree of a page, end tags mended as browsers do in the common cases, in linear time.
+
+    A tag that the page's end cuts off is dropped.
+    """
     root = at = Node("#root", {}, None)
+    scanner, open_tags = _Scanner(page), Counter()
     done = 0
-    find = _TOKEN.search
-    while m := find(page, done):
-        if m.start() > done:
-            at.kids.append(html.unescape(page[done : m.start()]))
-        done = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                at.kids.append(m[0][9:].removesuffix("]]>"))
+
+    def close(node: Node) -> None:
+        nonlocal at
+        while at is not node:
+            open_tags[at.tag] -= 1
+            at = at.up
+        open_tags[node.tag] -= 1
+        at = node.up
+
+    def text(end: int) -> None:
+        if end > done:
+            at.kids.append(html.unescape(page[done:end]))
+
+    look = 0
+    while (start := page.find("<", look)) >= 0:
+        if page.startswith("<!--", start):
+            text(start)
+            end = page.find("-->", start + 4)
+            done = look = len(page) if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", start):
+            text(start)
+            end = page.find("]]>", start + 9)
+            at.kids.append(page[start + 9 : len(page) if end < 0 else end])
+            done = look = len(page) if end < 0 else end + 3
+            continue
+        if page[start + 1 : start + 2] in ("!", "?"):
+            text(start)
+            end = page.find(">", start)
+            done = look = len(page) if end < 0 else end + 1
             continue
-        tag = tag.lower()
+        m = _TAG.match(page, start)
+        if not m:
+            look = start + 1
+            continue
+        text(start)
+        end = scanner.end(m.end())
+        if end < 0:
+            done = look = len(page)
+            break
+        done = look = end + 1
+        tag, inside = m[2].lower(), page[m.end() : end]
         if m[1]:
-            node = at
-            while node.up and node.tag != tag:
-                node = node.up
-            if node.up:
-                at = node.up
+            if open_tags[tag] > 0:
+                node = at
+                while node.tag != tag:
+                    node = node.up
+                close(node)
             elif tag == "p":
                 at.kids.append(Node("p", {}, at))
             continue
-        if tag in BLOCKS:  # closes an open paragraph
-            node = at
-            while node.up and node.tag != "p" and node.tag not in ("td", "th", "li", "table", "button"):
-                node = node.up
-            if node.tag == "p":
-                at = node.up
-        if tag in CLOSES:
-            node, border = at, BORDERS.get(tag, {"table"})
-            while node.up and node.tag not in border:
-                if node.tag in CLOSES[tag]:
-                    at = node.up
-                    if tag in ("li", "dt", "dd", "option"):
-                        break
-                node = node.up
-        attrs = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(m[3])} if m[3] else {}
+        if tag in BLOCKS and at.open_p is not None:
+            close(at.open_p)
+        if tag in CLOSES and (node := at.open_parts.get(CLOSES[tag][0])) is not None:
+            close(node)
+        attrs = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(inside)} if inside else {}
         node = Node(tag, attrs, at)
         at.kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, done)
-            node.kids.append(page[done : end.start() if end else len(page)])
-            done = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3] or "").endswith("/") or tag in BLOCKS and tag not in VOID:
+            ends = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, done)
+            node.kids.append(page[done : ends.start() if ends else len(page)])
+            done = look = ends.end() if ends else len(page)
+        elif tag not in VOID and not inside.endswith("/") or tag in BLOCKS and tag not in VOID:
             at = node
-    if done < len(page):
-        at.kids.append(html.unescape(page[done:].partition("<")[0] if re.match(r"</?[a-zA-Z!]", page[done:]) else page[done:]))
+            open_tags[tag] += 1
+    text(len(page))
     return root
 
 
-def _cut(node: Node) -> bool:
-    """Whether a part is never article text."""
+def _named_against(node: Node) -> bool:
+    """Whether a name in class or id says that this part is no article text."""
+    for token in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split():
+        words = _NAME_WORD.findall(token)
+        if not words or LAYOUT_WORDS & set(words):
+            continue
+        first, last = words[0], words[-1]
+        if node.tag in TEXT_TAGS:
+            if first in ("ad", "ads") or first.startswith(TEXT_CUT_STARTS):
+                return True
+            continue
+        bad = lambda w: w in CUT_WORDS or w.startswith(CUT_STARTS)
+        if bad(last) or first in ("ad", "ads") or bad(first) and last in PART_WORDS:
+            return True
+    return False
+
+
+def _against(node: Node, in_article: bool) -> bool:
+    """Whether tag, role, style or names speak against a part."""
     tag, attrs = node.tag, node.attrs
-    if tag in CUT_TAGS:
+    if tag in CUT_TAGS or tag == "header" and not in_article:  # a page's header goes, an article's holds its headline
         return True
-    if tag == "header":  # a page's header goes, an article's holds its headline
-        up = node.up
-        while up and up.tag not in ("article", "main"):
-            up = up.up
-        if not up:
-            return True
     if not attrs or tag in ("html", "body", "#root"):
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in CUT_ROLES or _HIDDEN.search(attrs.get("style", "")):
+    if attrs.get("role", "").lower() in CUT_ROLES:
         return True
-    if tag in ("article", "main") or tag == "header":
-        return False
-    words = _NAME_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    return any(w in CUT_WORDS or w.startswith(CUT_STARTS) for w in words) and not ({"article", "content", "body"} & {words[-1]} if words else False)
+    return tag not in ("article", "main", "header") and _named_against(node)
 
 
-def _prune_and_measure(root: Node) -> list[Node]:
-    """Drops what is never article text; sets size, linked and links; all elements, children first."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _cut(k)]
-        stack += [k for k in node.kids if not isinstance(k, str)]
-    order.reverse()
+def _hidden(node: Node) -> bool:
+    attrs = node.attrs
+    return bool(attrs) and node.tag not in ("html", "body") and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", ""))))
+
+
+def _measure(order: list[Node]) -> None:
+    """Sets size, linked, links and holds_article; children come first."""
     for node in order:
+        node.size = node.linked = node.links = 0
         for k in node.kids:
             if isinstance(k, str):
                 node.size += len(" ".join(k.split()))
@@ -151,8 +234,35 @@ def _prune_and_measure(root: Node) -> list[Node]:
                 node.size += k.size
                 node.linked += k.linked
                 node.links += k.links
+                node.holds_article |= k.holds_article
         if node.tag == "a":
             node.linked, node.links = node.size, 1
+
+
+def _prune_and_measure(root: Node) -> list[Node]:
+    """Drops what is no article text and measures the rest; all elements, children first."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, in_article = stack.pop()
+        order.append(node)
+        in_article = in_article or node.tag in ("article", "main")
+        node.kids = [k for k in node.kids if isinstance(k, str) or k.tag not in NO_TEXT_TAGS and not _hidden(k)]
+        for k in node.kids:
+            if not isinstance(k, str):
+                k.against = _against(k, in_article)
+                stack.append((k, in_article))
+    order.reverse()
+    _measure(order)
+    text = root.size - root.linked
+    dropped = {id(n) for n in order if n.against and not n.holds_article and 2 * (n.size - n.linked) <= text}
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        node.kids = [k for k in node.kids if isinstance(k, str) or id(k) not in dropped]
+        stack += [k for k in node.kids if not isinstance(k, str)]
+    order.reverse()
+    _measure(order)
     return order
 
 
@@ -198,7 +308,7 @@ def best_containers(root: Node) -> list[Node]:
     for node in scored.values():
         words = set(_NAME_WORD.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()))
         bonus = 1.25 if node.tag in ("article", "main") or words & GOOD_WORDS else 1.0
-        node.score *= (1 - _density(node)) * bonus
+        node.score *= (1 - _density(node)) * bonus * (0.2 if node.against else 1.0)
         if node.score > top:
             best, top = node, node.score
     if best is None:
@@ -217,6 +327,13 @@ def best_containers(root: Node) -> list[Node]:
     return kept
 
 
+def _is_menu(node: Node) -> bool:
+    """Whether a part is a list of short links; references in an article have titles, or text beside their links."""
+    if node.tag not in ("ul", "ol", "div", "section", "table", "dl", "p") or node.links < 3:
+        return False
+    return _density(node) > 0.8 and node.linked < 20 * node.links
+
+
 def _blocks(nodes: list[Node]) -> list[str]:
     """The texts of the blocks under the nodes, in page order."""
     out: list[str] = []
@@ -237,7 +354,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
         elif k.tag in ("br", "td", "th", "img") and not k.kids:
             run.append(" ")
         elif k.tag in BLOCKS:
-            if k.tag in ("ul", "ol", "div", "section", "table", "dl", "p") and k.links >= 3 and _density(k) > 0.6:
+            if _is_menu(k):
                 continue
             close()
             stack.append(None)
