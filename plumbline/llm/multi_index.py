@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inverted multi-index.
 
-Vectors are cut in two halves; each half has its own k centroids, so k x k cells share 2k centroids.
-A query ranks the cells by the sum of its inner products with the two centroids, best first, by
+Vectors are cut in two halves; each half has its own k centroids, so k x k cells share 2k centroids; k
+follows the square root of the number of vectors, between bounds. A query ranks the cells by the sum of its inner products with the two centroids, best first, by
 walking the grid of sorted centroids with a heap, and stops when the cells it has taken hold enough
 candidates. All candidates are reranked by the exact inner product in double precision.
 
@@ -9,9 +9,11 @@ How many candidates are enough is calibrated: on a bounded sample the share of a
 query must scan for a recall of TARGET against brute force is measured, and applies to the table.
 Centroids are fitted on the same sample; every vector is indexed.
 
-Queries are compared in blocks: a block of cells (a part of a hot cell) with a block of queries.
-Equal vectors are held once, with as many of their smallest ids as can be neighbours, which is exact for the
-nearest neighbours asked for: a large group of copies costs one vector.
+Queries are compared in blocks: a block of cells, or a part of a hot cell, with the queries that have
+cells in it. What a query tells a block is the score of the last cell that it takes, so a row is small
+whatever it scans. A block with many queries is copied for each BLOCK_QUERIES of them, others are not.
+Equal vectors are held once, with as many of their smallest ids as can be neighbours, which is exact for
+the nearest neighbours asked for: a large group of copies costs one vector.
 """
 
 from __future__ import annotations
@@ -27,12 +29,17 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-CENTROIDS = 32
+#: Centroids of a half: the square root of the number of vectors over 8, at least and at most.
+CENTROIDS = (32, 256)
 #: Vectors that centroids are fitted and calibrated on at most, and queries of the calibration.
 SAMPLE, SAMPLE_QUERIES = 12_000, 300
 TARGET = 0.95
-#: Vectors of a block, and queries of a block, at most on average.
-BLOCK_VECTORS, BLOCK_QUERIES, QUERIES_AT_ONCE = 8192, 8192, 128
+#: Vectors of a block, and queries that a copy of a block meets, at most on average.
+BLOCK_VECTORS, BLOCK_QUERIES, QUERIES_AT_ONCE = 8192, 32768, 128
+
+
+def centroids_for(n: int) -> int:
+    return max(CENTROIDS[0], min(CENTROIDS[1], int(n**0.5 / 8)))
 
 
 @dataclass(frozen=True)
@@ -51,23 +58,30 @@ class Index:
         near = [np.argmin((c * c).sum(axis=1)[None, :] - 2 * (h @ c.T), axis=1) for h, c in ((x[:, :cut], self.left), (x[:, cut:], self.right))]
         return near[0] * len(self.right) + near[1]
 
+    def scores(self, queries: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Summed inner products of queries with the centroids of cells."""
+        cut = self.left.shape[1]
+        i, j = np.divmod(cells, len(self.right))
+        return (queries[:, :cut] @ self.left.T)[:, i] + (queries[:, cut:] @ self.right.T)[:, j]
+
     def probe(self, query: np.ndarray, sizes: np.ndarray, wanted: float) -> list[int]:
         """Cells in order of summed inner products, until they hold as many vectors as wanted."""
         cut = self.left.shape[1]
         a, b = self.left @ query[:cut], self.right @ query[cut:]
         i_of, j_of = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-        a, b = a[i_of], b[j_of]
-        heap, seen, taken, held = [(-(a[0] + b[0]), 0, 0)], {(0, 0)}, [], 0
+        a, b, rows, columns = a[i_of].tolist(), b[j_of].tolist(), (i_of * len(self.right)).tolist(), j_of.tolist()
+        # A row's next cell is offered when the one before it is taken, a new row when the one above begins.
+        heap, taken, held = [(-(a[0] + b[0]), 0, 0)], [], 0
         while heap and held < wanted:
             _, i, j = heapq.heappop(heap)
-            cell = int(i_of[i]) * len(self.right) + int(j_of[j])
+            cell = rows[i] + columns[j]
             if sizes[cell]:
                 taken.append(cell)
                 held += int(sizes[cell])
-            for n in ((i + 1, j), (i, j + 1)):
-                if n[0] < len(a) and n[1] < len(b) and n not in seen:
-                    seen.add(n)
-                    heapq.heappush(heap, (-(a[n[0]] + b[n[1]]), *n))
+            if j + 1 < len(b):
+                heapq.heappush(heap, (-(a[i] + b[j + 1]), i, j + 1))
+            if not j and i + 1 < len(a):
+                heapq.heappush(heap, (-(a[i + 1] + b[0]), i + 1, 0))
         return taken
 
 
@@ -91,7 +105,7 @@ def _means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def build(sample: np.ndarray, neighbours: int, centroids: int = CENTROIDS, target: float = TARGET, queries: int = SAMPLE_QUERIES, seed: int = 0) -> Index:
+def build(sample: np.ndarray, neighbours: int, centroids: int = CENTROIDS[0], target: float = TARGET, queries: int = SAMPLE_QUERIES, seed: int = 0) -> Index:
     """Fits the centroids and calibrates the share to scan on a sample of vectors."""
     if not len(sample):
         return Index(np.zeros((1, 1)), np.zeros((1, 0)), 1.0)
@@ -108,7 +122,7 @@ def build(sample: np.ndarray, neighbours: int, centroids: int = CENTROIDS, targe
     for row, q in zip(scores, asked, strict=True):
         row[q] = -np.inf
         best = np.argpartition(-row, neighbours)[:neighbours]
-        order = index.probe(sample[q], sizes, n)
+        order = np.argsort(-index.scores(sample[q][None], np.arange(index.cells))[0], kind="stable")  # as the heap gives them
         before = np.zeros(index.cells)
         before[order] = np.cumsum(sizes[order])
         needed.append(before[cells[best]])
@@ -128,7 +142,7 @@ def nearest(
     query_every: int = 20,
     vec_id: str = "vec_id",
     vector: str = "embedding",
-    centroids: int = CENTROIDS,
+    centroids: int | None = None,
     target: float = TARGET,
     sample: int = SAMPLE,
 ) -> DataFrame:
@@ -148,7 +162,7 @@ def nearest(
     total, width = size[0]["count"], size[0]["n"]
     rows = rows.where(F.size("v") == width)
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * sample / total))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-    index = build(drawn.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width), neighbours, centroids, target)
+    index = build(drawn.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width), neighbours, centroids or centroids_for(total), target)
 
     def packed(batches):
         """Vectors as bytes: short keys to group and shuffle by. Zeros get one sign."""
@@ -169,12 +183,12 @@ def nearest(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells.astype(np.int32))], ["v", "ids", "cell"])
 
     vectors = checkpointed(once.mapInArrow(placed_in_cells, "v binary, ids array<long>, cell int"))
-    # A table of k x k rows: the number of cells bounds it.
+    # A table of k x k rows, 65,536 at most.
     sizes = np.zeros(index.cells, np.int64)
     for r in vectors.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
     n_vectors = int(sizes.sum())
-    wanted = max(min(n_vectors, 50 * neighbours), index.share * n_vectors)
+    wanted = max(held, index.share * n_vectors)
     # Cells are dealt to blocks in runs of about equal size; a cell over the size has parts of its own.
     parts = np.maximum(1, -(-sizes // BLOCK_VECTORS))
     first = np.zeros(index.cells, np.int64)
@@ -187,26 +201,32 @@ def nearest(
             block, load = block + int(parts[c]), 0
         else:
             load += int(sizes[c])
-    q_blocks = max(1, -(-(-(-total // query_every)) // BLOCK_QUERIES))
     # One row a cell.
     places = df.sparkSession.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(index.cells) if sizes[c]], "cell int, first int, parts int")
     placed = vectors.join(F.broadcast(places), "cell").select((F.col("first") + F.pmod(F.xxhash64("v"), "parts")).cast("int").alias("block"), "cell", "v", "ids")
-    dealt = placed.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def probes(batches):
+        """Of each query, the blocks that hold its cells, and the score of its last cell."""
         for b in batches:
-            vs, rows_out = b.column(1).to_pylist(), []
-            for q, raw in zip(b.column(0).to_pylist(), vs, strict=True):
-                by_block: dict[int, list[int]] = {}
-                for c in index.probe(np.frombuffer(raw), sizes, wanted):
-                    for k in range(int(first[c]), int(first[c] + parts[c])):
-                        by_block.setdefault(k, []).append(c)
-                rows_out += [(q, (q // query_every) % q_blocks, k, cells, raw) for k, cells in by_block.items()]
-            cols = [list(c) for c in zip(*rows_out, strict=True)] if rows_out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()), strict=True)], ["query_id", "q_block", "block", "cells", "v"])
+            asks, blocks, lasts = [], [], []
+            for q, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(raw)
+                cells = np.array(index.probe(v, sizes, wanted))
+                runs = np.unique(np.repeat(first[cells], parts[cells]) + np.arange(parts[cells].sum()) - np.repeat(np.cumsum(parts[cells]) - parts[cells], parts[cells]))
+                asks.append(np.full(len(runs), q))
+                blocks.append(runs)
+                lasts.append(np.full(len(runs), index.scores(v[None], cells)[0].min()))
+            if asks:
+                cols = (pa.array(np.concatenate(c), t) for c, t in zip((asks, blocks, lasts), (pa.int64(), pa.int32(), pa.float64()), strict=True))
+                yield pa.RecordBatch.from_arrays(list(cols), ["query_id", "block", "last"])
 
     queries = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"])
-    asked = queries.repartition(max(1, n_vectors // BLOCK_VECTORS), "vec_id").mapInArrow(probes, "query_id long, q_block int, block int, cells array<int>, v binary")
+    asked = checkpointed(queries.repartition(max(1, n_vectors // BLOCK_VECTORS), "vec_id").mapInArrow(probes, "query_id long, block int, last double"))
+    # One row for each BLOCK_VECTORS vectors, about.
+    copies = asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("copies"))
+    dealt = placed.join(copies, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    asked = asked.join(copies, "block").withColumn("copy", F.pmod(F.xxhash64("query_id"), "copies").cast("int"))
+    asked = asked.join(queries.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "block", "copy", "last", "v")
 
     def rerank(base: pa.Table, qs: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
@@ -219,9 +239,8 @@ def nearest(
             for at in range(0, qs.num_rows, QUERIES_AT_ONCE):
                 part = qs.slice(at, QUERIES_AT_ONCE)
                 q, who = _unpacked(part.column("v"), width), part.column("query_id").to_pylist()
-                asks = np.zeros((len(who), len(names)), bool)
-                for i, mine in enumerate(part.column("cells").to_pylist()):
-                    asks[i, np.searchsorted(names, np.intersect1d(mine, names))] = True
+                last = part.column("last").to_numpy()
+                asks = index.scores(q, names.astype(np.int64)) >= (last - 1e-9 * np.maximum(1.0, np.abs(last)))[:, None]
                 scores = np.full((len(who), len(x)), -np.inf)
                 for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                     mine = np.flatnonzero(asks[:, k])
@@ -235,7 +254,7 @@ def nearest(
         cols = [list(c) for c in zip(*found, strict=True)] if found else [[]] * 3
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    pairs = dealt.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    pairs = dealt.groupBy("block", "copy").cogroup(asked.groupBy("block", "copy")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
