@@ -6,8 +6,10 @@ is the sum of these probabilities over k, from 0 to 3; a text is toxic if P(grad
 THRESHOLD.
 
 The model is trained here on a bounded sample of labelled rows. The labels say toxic or not, so the
-grades of toxic rows are set from the labels' own evidence: rows with more words that the sample ties
-to toxicity have a higher grade, in three parts of equal size.
+grades of toxic rows come from a first fit, of the toxic threshold alone: the sample is cut in FOLDS
+parts, each is scored by a fit of the others, and the toxic rows are graded by how sure that is, in
+three parts of equal size. Weights have either sign; a feature is in the model if it is in enough
+sampled rows and leans to either side by more than chance.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ from .common import filter_text, map_text
 from .simhash import fingerprint
 
 GRADES = 3
-THRESHOLD = 0.5
+#: Below a half: held out, clean rows hardly reach it, and a miss is worse than a false alarm of one in a thousand.
+THRESHOLD = 0.25
 #: Labelled rows used for training at most, of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
-#: A feature is in so many sampled rows and toxic sampled rows at least; the vocabulary holds the VOCABULARY most telling ones.
-MIN_ROWS, MIN_TOXIC_ROWS, VOCABULARY = 6, 3, 8192
-#: Standard errors that a feature's log odds are above zero, at least: features speak for toxicity only.
-MIN_Z = 3.5
-#: Share of the clean sampled rows that a feature is in, at most: a common word is no sign, however it leans.
-MAX_CLEAN_SHARE = 0.005
+#: A feature is in so many sampled rows at least, of SAMPLE rows; in fewer rows of a smaller sample, but in MIN_ROWS.
+SAMPLE_ROWS_OF_FEATURE, MIN_ROWS = 6, 2
+#: Standard errors that a feature's log odds are off zero, at least, and features at most: those furthest off.
+MIN_Z, VOCABULARY = 2.5, 8192
+FOLDS, L2 = 3, 1e-4
 #: Sampled texts whose SimHashes differ in no more bits count once.
 COPY_BITS = 8
 PREFIXES = (5, 6, 7, 8)
@@ -99,65 +101,89 @@ def distinct_rows(texts: list[str], most_bits: int = COPY_BITS) -> list[int]:
     return kept
 
 
-def train(texts: list[str], toxic: list[int], min_rows: int = MIN_ROWS, vocabulary: int = VOCABULARY, steps: int = 500, l2: float = 2e-6, rate: float = 0.2) -> Model:
-    """Fits weights and thresholds by Adam on the mean log-likelihood with an L2 penalty on weights."""
-    kept = distinct_rows(texts)
-    texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
-    y = np.array(toxic, int)
-    if not len(y) or y.min() == y.max():
-        return Model({}, tuple(10.0 + k for k in range(GRADES)))
-    # Only features of enough toxic rows can tell; the clean rows are counted for those alone.
-    held = [Counter(), Counter()]
-    for t in (t for t, v in zip(texts, toxic, strict=True) if v):
-        held[1].update(_row_features(t))
-    held[1] = Counter({f: n for f, n in held[1].items() if n >= MIN_TOXIC_ROWS})
-    for t in (t for t, v in zip(texts, toxic, strict=True) if not v):
-        held[0].update(_row_features(t) & held[1].keys())
-    n = np.bincount(y, minlength=2)
-    tells = {}
-    for f, a in held[1].items():
-        b = held[0][f]
-        if a + b >= min_rows:
-            odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
-            z = odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if z >= MIN_Z and b <= MAX_CLEAN_SHARE * n[0]:
-                tells[f] = z
-    names = sorted(tells, key=lambda f: (-tells[f], f))[:vocabulary]
-    number = {f: i for i, f in enumerate(names)}
-    which = [sorted(number[f] for f in _row_features(t) & number.keys()) for t in texts]
-    evidence = np.array([len(x) for x in which])
-    grade = np.zeros(len(y), int)
-    toxic_at = np.flatnonzero(y)
-    grade[toxic_at[np.lexsort((toxic_at, evidence[toxic_at]))]] = 1 + np.arange(len(toxic_at)) * GRADES // len(toxic_at)
-    size = np.array([len(x) for x in which])
-    row, col = np.repeat(np.arange(len(y)), size), np.array([i for x in which for i in x], int)
-    w, first, gaps = np.zeros(len(names)), 2.0, np.zeros(GRADES - 1)  # gaps are logs of the steps between thresholds
-    params = np.concatenate((w, [first], gaps))
+def likelihood(params: np.ndarray, row: np.ndarray, col: np.ndarray, grade: np.ndarray, grades: int, l2: float) -> tuple[float, np.ndarray]:
+    """The penalised mean log-likelihood of the cumulative-link model, and its gradient.
+
+    params are the weights of the features, the first threshold and the logs of the steps between
+    thresholds; row and col say which rows have which features.
+    """
+    n, size = len(grade), len(params) - grades
+    w, first, gaps = params[:size], params[size], params[size + 1 :]
+    t = first + np.concatenate(([0], np.cumsum(np.exp(gaps))))
+    z = np.bincount(row, w[col], n)
+    over = 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -500, 500)))
+    upper = np.concatenate((np.ones((n, 1)), over, np.zeros((n, 1))), axis=1)
+    i = np.arange(n)
+    p = np.maximum(upper[i, grade] - upper[i, grade + 1], 1e-12)
+    slope = upper * (1 - upper)
+    dz = (slope[i, grade] - slope[i, grade + 1]) / p
+    dt = np.zeros((n, grades))
+    low, high = grade > 0, grade < grades
+    dt[i[low], grade[low] - 1] -= slope[i, grade][low] / p[low]
+    dt[i[high], grade[high]] += slope[i, grade + 1][high] / p[high]
+    dt = dt.mean(axis=0)
+    k = np.arange(grades)
+    gradient = np.concatenate((np.bincount(col, dz[row], size) / n - l2 * w, [dt.sum()], [dt[k > j].sum() * np.exp(gaps[j]) for j in range(grades - 1)]))
+    return float(np.log(p).mean() - l2 / 2 * (w @ w)), gradient
+
+
+def _maximise(row, col, grade, size: int, grades: int, l2: float, steps: int = 400, rate: float = 0.1) -> np.ndarray:
+    """The parameters of the highest likelihood, by Adam."""
+    params = np.concatenate((np.zeros(size), [2.0], np.zeros(grades - 1)))
     m, s = np.zeros_like(params), np.zeros_like(params)
-    k = np.arange(GRADES)
     for step in range(1, steps + 1):
-        w, first, gaps = params[: len(names)], params[len(names)], params[len(names) + 1 :]
-        t = first + np.concatenate(([0], np.cumsum(np.exp(gaps))))
-        z = np.bincount(row, w[col], len(y))
-        over = 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -500, 500)))
-        upper = np.concatenate((np.ones((len(y), 1)), over, np.zeros((len(y), 1))), axis=1)
-        i = np.arange(len(y))
-        p = np.maximum(upper[i, grade] - upper[i, grade + 1], 1e-12)
-        slope = upper * (1 - upper)
-        dz = (slope[i, grade] - slope[i, grade + 1]) / p
-        dt = np.zeros((len(y), GRADES))
-        has_low, has_high = grade > 0, grade < GRADES
-        dt[i[has_low], grade[has_low] - 1] -= slope[i, grade][has_low] / p[has_low]
-        dt[i[has_high], grade[has_high]] += slope[i, grade + 1][has_high] / p[has_high]
-        dt = dt.mean(axis=0)
-        g = np.concatenate((np.bincount(col, dz[row], len(names)) / len(y) - l2 * w, [dt.sum()], [dt[k > j].sum() * np.exp(gaps[j]) for j in range(GRADES - 1)]))
+        _, g = likelihood(params, row, col, grade, grades, l2)
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        # A feature speaks for toxicity or not at all.
         params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-        params[: len(names)] = np.maximum(params[: len(names)], 0)
-    w = params[: len(names)]
+    return params
+
+
+def _telling(rows: list[set[str]], toxic: np.ndarray, vocabulary: int) -> list[str]:
+    """The features that lean to either side by more than chance, the furthest first."""
+    sides = [Counter(), Counter()]
+    for features, v in zip(rows, toxic.tolist(), strict=True):
+        sides[v].update(features)
+    n = np.bincount(toxic, minlength=2)
+    least = max(MIN_ROWS, min(SAMPLE_ROWS_OF_FEATURE, len(rows) * SAMPLE_ROWS_OF_FEATURE // (SAMPLE_TOXIC + SAMPLE_CLEAN)))
+    names = [f for f in sides[0].keys() | sides[1].keys() if sides[0][f] + sides[1][f] >= least]
+    a, b = (np.array([side[f] for f in names], float) for side in (sides[1], sides[0]))
+    odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
+    z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    # A small sample may have nothing beyond chance: its furthest features are all there is to go by.
+    order = sorted(range(len(names)), key=lambda i: (-z[i], names[i]))
+    return [names[i] for i in order[:vocabulary] if z[i] >= MIN_Z] or [names[i] for i in order[:32]]
+
+
+def _indexed(rows: list[set[str]], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    number = {f: i for i, f in enumerate(names)}
+    which = [sorted(number[f] for f in r & number.keys()) for r in rows]
+    return np.repeat(np.arange(len(rows)), [len(x) for x in which]), np.array([i for x in which for i in x], int)
+
+
+def train(texts: list[str], toxic: list[int], vocabulary: int = VOCABULARY, l2: float = L2) -> Model:
+    """Fits weights and thresholds; without rows of both labels the model says toxic to nothing."""
+    kept = distinct_rows(texts)
+    texts, y = [texts[i] for i in kept], np.array([toxic[i] for i in kept], int)
+    if not len(y) or y.min() == y.max():
+        return Model({}, tuple(10.0 + k for k in range(GRADES)))
+    rows = [_row_features(t) for t in texts]
+    fold = np.arange(len(y)) % FOLDS
+    sure = np.zeros(len(y))
+    for k in range(FOLDS):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if y[rest].min() == y[rest].max():
+            continue
+        names = _telling([rows[i] for i in rest], y[rest], vocabulary)
+        params = _maximise(*_indexed([rows[i] for i in rest], names), y[rest], len(names), 1, l2, steps=150)
+        row, col = _indexed([rows[i] for i in own], names)
+        sure[own] = np.bincount(row, params[:-1][col], len(own)) - params[-1]
+    at = np.flatnonzero(y)
+    grade = np.zeros(len(y), int)
+    grade[at[np.lexsort((at, sure[at]))]] = 1 + np.arange(len(at)) * GRADES // len(at)
+    names = _telling(rows, y, vocabulary)
+    params = _maximise(*_indexed(rows, names), grade, len(names), GRADES, l2)
     t = params[len(names)] + np.concatenate(([0], np.cumsum(np.exp(params[len(names) + 1 :]))))
-    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, tuple(t.tolist()))
+    return Model({f: float(x) for f, x in zip(names, params, strict=False) if abs(x) > 1e-3}, tuple(t.tolist()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
@@ -194,7 +220,12 @@ def toxicity(df: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id:
 
 
 def keep_civil(df: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of df, with all columns, whose text is not toxic."""
+    """The rows of df, with all columns, whose text is not toxic.
+
+    Null and empty texts have no features and stay, unless the thresholds alone speak against them; long
+    texts are read whole; repeated rows stay or go together; an empty table stays empty; other columns
+    stay as they are, whatever their names.
+    """
 
     def make():
         score = model.scorer()
