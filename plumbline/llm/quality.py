@@ -6,7 +6,8 @@ weights and transition weights; Viterbi decoding gives the best one. The share o
 lines decides whether a document stays.
 
 The field is trained here, on a bounded sample of labelled documents: lines of a document labelled
-good count as content, lines of one labelled bad as boilerplate.
+good count as content, lines of one labelled bad as boilerplate. To learn where labels change it is
+also shown documents spliced from both: the lines of a bad one in the midst of those of a good one.
 """
 
 from __future__ import annotations
@@ -188,46 +189,69 @@ class Field:
         return labels[::-1]
 
 
-def train(sequences: list[np.ndarray], labels: list[int], l2: float = 1e-3, steps: int = 80, rate: float = 0.1) -> Field:
-    """Maximum conditional likelihood by Adam; each sequence has one label for all of its lines."""
+def objective(emit: np.ndarray, move: np.ndarray, batch: Batch, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The penalised mean conditional log-likelihood of the labels, and its gradients by emit and move.
+
+    The likelihood of a sequence is divided by its length: a document weighs one, whatever its length.
+    """
+    n, longest = batch.inside.shape
+    lengths, alive = batch.lengths, batch.alive
+    weight = 1.0 / lengths
+    u = (batch.flat @ emit.astype(batch.flat.dtype)).astype(np.float64).reshape(n, longest, 2)
+    f, b = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    f[:, 0] = u[:, 0]
+    for t in range(1, longest):
+        k = alive[t]
+        f[:k, t] = np.logaddexp(f[:k, t - 1, :1] + move[0], f[:k, t - 1, 1:] + move[1]) + u[:k, t]
+    edge = np.zeros((2, 2))
+    z = np.logaddexp(*f[np.arange(n), lengths - 1].T)
+    for t in range(longest - 2, -1, -1):
+        k = alive[t + 1]
+        ahead = u[:k, t + 1] + b[:k, t + 1]
+        b[:k, t] = np.logaddexp(move[None, :, 0] + ahead[:, :1], move[None, :, 1] + ahead[:, 1:])
+        joint = np.exp(f[:k, t, :, None] + move[None] + ahead[:, None, :] - z[:k, None, None])
+        edge += (joint * weight[:k, None, None]).sum(axis=0)
+    p = np.exp(f + b - z[:, None, None]) * (batch.inside * weight[:, None])[:, :, None]
+    gold = (np.take_along_axis(u, batch.labels[:, :, None], axis=2)[:, :, 0] * batch.inside).sum(axis=1)
+    gold += (move[batch.labels[:, :-1], batch.labels[:, 1:]] * batch.inside[:, 1:]).sum(axis=1)
+    value = float(((gold - z) * weight).mean()) - l2 / 2 * (float((emit**2).sum()) + float((move**2).sum()))
+    by_emit = (batch.gold_emit - batch.flat.T @ p.reshape(-1, 2).astype(batch.flat.dtype)) / n - l2 * emit
+    return value, by_emit, (batch.gold_move - edge) / n - l2 * move
+
+
+class Batch:
+    """Sequences side by side, the longest first, padded, with a label for each line."""
+
+    def __init__(self, sequences: list[np.ndarray], labels: list[np.ndarray], dtype=np.float32):
+        pairs = sorted(((x, y) for x, y in zip(sequences, labels, strict=True) if len(x)), key=lambda p: -len(p[0]))
+        self.lengths = np.array([len(x) for x, _ in pairs])
+        n, longest = len(pairs), int(self.lengths[0])
+        x = np.zeros((n, longest, pairs[0][0].shape[1]), dtype)
+        self.labels = np.zeros((n, longest), int)
+        for i, (s, y) in enumerate(pairs):
+            x[i, : len(s)], self.labels[i, : len(s)] = s, y
+        self.flat = x.reshape(n * longest, -1)
+        self.inside = np.arange(longest)[None, :] < self.lengths[:, None]
+        self.alive = [int((self.lengths > t).sum()) for t in range(longest)]
+        each = self.inside / self.lengths[:, None]
+        self.gold_emit = np.stack([np.einsum("ntf,nt->f", x, each * (self.labels == v)) for v in (0, 1)], axis=1).astype(float)
+        steps = each[:, 1:]
+        self.gold_move = np.array([[(steps * ((self.labels[:, :-1] == v) & (self.labels[:, 1:] == w))).sum() for w in (0, 1)] for v in (0, 1)])
+
+
+def train(sequences: list[np.ndarray], labels: list[np.ndarray], l2: float = 1e-3, steps: int = 80, rate: float = 0.1) -> Field:
+    """Maximum conditional likelihood by Adam; labels has an array for each sequence, a label for each line.
+
+    Without lines of both labels all weights are 0, and every line is content.
+    """
     emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    pairs = [(x, y) for x, y in zip(sequences, labels, strict=True) if len(x)]
-    if not pairs or len({y for _, y in pairs}) < 2:
+    if len({v for y in labels for v in np.unique(y).tolist()}) < 2:
         return Field(emit, move)
-    pairs.sort(key=lambda p: -len(p[0]))
-    lengths = np.array([len(x) for x, _ in pairs])
-    y = np.array([v for _, v in pairs])
-    n, longest = len(pairs), int(lengths[0])
-    x = np.zeros((n, longest, N_FEATURES), np.float32)
-    for i, (s, _) in enumerate(pairs):
-        x[i, : len(s)] = s
-    flat = x.reshape(-1, N_FEATURES)
-    inside = np.arange(longest)[None, :] < lengths[:, None]
-    counts = 1.0 / lengths[:, None]  # a document weighs one, whatever its length
-    gold_emit = np.zeros_like(emit)
-    for v in (0, 1):
-        gold_emit[:, v] = np.einsum("ntf,nt->f", x[y == v], inside[y == v] * counts[y == v])
-    gold_move = np.diag([float(((lengths - 1) * counts[:, 0])[y == v].sum()) for v in (0, 1)])
-    alive = [int((lengths > t).sum()) for t in range(longest)]
+    batch = Batch(sequences, labels)
     m = [np.zeros_like(emit), np.zeros_like(move)]
     s = [np.zeros_like(emit), np.zeros_like(move)]
     for step in range(1, steps + 1):
-        u = (flat @ emit.astype(np.float32)).astype(np.float64).reshape(n, longest, 2)
-        f, b = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        f[:, 0] = u[:, 0]
-        for t in range(1, longest):
-            k = alive[t]
-            f[:k, t] = np.logaddexp(f[:k, t - 1, :1] + move[0], f[:k, t - 1, 1:] + move[1]) + u[:k, t]
-        edge = np.zeros((2, 2))
-        z = np.logaddexp(*f[np.arange(n), lengths - 1].T)
-        for t in range(longest - 2, -1, -1):
-            k = alive[t + 1]
-            ahead = u[:k, t + 1] + b[:k, t + 1]
-            b[:k, t] = np.logaddexp(move[None, :, 0] + ahead[:, :1], move[None, :, 1] + ahead[:, 1:])
-            joint = np.exp(f[:k, t, :, None] + move[None] + ahead[:, None, :] - z[:k, None, None])
-            edge += (joint * counts[:k, :, None]).sum(axis=0)
-        p = np.exp(f + b - z[:, None, None]) * (inside * counts)[:, :, None]
-        grads = [(gold_emit - flat.T @ p.reshape(-1, 2).astype(np.float32)) / n - l2 * emit, (gold_move - edge) / n - l2 * move]
+        _, *grads = objective(emit, move, batch, l2)
         for w, g, i in ((emit, grads[0], 0), (move, grads[1], 1)):
             m[i] = 0.9 * m[i] + 0.1 * g
             s[i] = 0.999 * s[i] + 0.001 * g * g
@@ -235,6 +259,19 @@ def train(sequences: list[np.ndarray], labels: list[int], l2: float = 1e-3, step
     return Field(emit, move)
 
 
+def train_on(texts: list[str], labels: list[int]) -> Field:
+    """A field trained on documents labelled good (1) or bad (0), and on splices of both."""
+    lines = [[x for x in t.split("\n") if x.encode("utf-8", "surrogatepass").split()] for t in texts]
+    rows = [("\n".join(x), np.full(len(x), y)) for x, y in zip(lines, labels, strict=True)]
+    good, bad = ([x for x, y in zip(lines, labels, strict=True) if y == v and x] for v in (1, 0))
+    for a, b in zip(good[::2], bad[::2], strict=False):
+        cut = (len(a) + 1) // 2
+        rows.append(("\n".join([*a[:cut], *b, *a[cut:]]), np.repeat([1, 0, 1], [cut, len(b), len(a) - cut])))
+    c = count([t for t, _ in rows])
+    x = features(c)
+    return train([x[i:j] for i, j in zip(c.first_line[:-1], c.first_line[1:], strict=True)], [y for _, y in rows])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Field:
     """Trains on at most sample_docs labelled rows: half of each label, those of the smallest id hash."""
     marked = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
@@ -245,9 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     texts = docs.where("text is not null").select("doc_id", "text")
     rows = texts.join(F.broadcast(picked), "doc_id").where(F.size(F.split("text", "\n")) <= sample_lines)
     got = rows.select("doc_id", "quality", "text").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
-    c = count(got["text"].tolist())
-    x = features(c)
-    return train([x[a:b] for a, b in zip(c.first_line[:-1], c.first_line[1:], strict=True)], got["quality"].tolist())
+    return train_on(got["text"].tolist(), got["quality"].tolist())
 
 
 def content_shares(model: Field, c: Counts) -> np.ndarray:
@@ -280,7 +315,11 @@ def quality_rules(df: DataFrame, model: Field, min_content_share: float = MIN_CO
 
 
 def keep_quality(df: DataFrame, model: Field, min_content_share: float = MIN_CONTENT_SHARE, text: str = "text") -> DataFrame:
-    """The rows of df, with all columns, that quality_rules() keeps."""
+    """The rows of df, with all columns, that quality_rules() keeps.
+
+    Null, empty and wordless texts fail the base rules and go; long texts are read whole; repeated rows
+    stay or go together; an empty table stays empty; other columns stay as they are, whatever their names.
+    """
 
     def make():
         def run(texts):
