@@ -153,6 +153,9 @@ def pack_documents(
     with_ids adds the ids themselves. A document's tokens are its ids and END_ID, so a null or empty
     text has one. Null ids and repeated rows are packed row by row; an empty table gives no rows;
     other columns of df are ignored. sequence_id is unique over the result.
+
+    Which documents share a group, and so where they are cut and what the sequences are called, follows
+    the partitions of df: another number of files or cores gives another packing, as good.
     """
     fields = T.StructType.fromDDL(PIECES + (", ids array<int>" if with_ids else ""))
     src = spread(df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text")))

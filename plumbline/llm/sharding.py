@@ -22,11 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Even, so that the halves end where they began.
 ROUNDS = 6
 WALKS = 32
 #: Equal rows are spread out again in arrays of this many numbers at most.
 COPY_BLOCK = 4096
+#: Distinct rows of a bucket, at most on average, once there are more than 4096 times as many.
+BUCKET_ROWS = 250_000
 _MULTIPLIER = 2654435761
 _MODULUS = 2147483647
 
@@ -124,16 +128,18 @@ def permuted(row: Column, n: Column, seed: int) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a walk is longer than WALKS")).cast("long"))
 
 
-def number_rows(df: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
     """df's distinct key rows, with their copies numbered one after another over the whole table.
 
     Adds row_number (long, from 0) and n_rows. Rows are ordered by a hash bucket of all keys, then
     by the keys; equal rows are interchangeable and get successive numbers. No task sees more than a
-    bucket of distinct rows; copies are counted before the shuffle, so a hot key costs one row. The
-    table of bucket offsets has ``buckets`` rows and is broadcast: its size does not follow the data.
+    bucket of distinct rows; copies are counted before the shuffle, so a hot key costs one row. df is
+    read once, its distinct key rows are written to the shared folder. The table of bucket offsets is
+    broadcast: it has 4096 rows, or one for each BUCKET_ROWS distinct rows where these are more.
     """
     cols = [F.col(c) for c in keys]
-    runs = df.groupBy(*cols).agg(F.count("*").alias("__copies"))
+    runs = checkpointed(df.groupBy(*cols).agg(F.count("*").alias("__copies")))
+    buckets = buckets or max(4096, runs.count() // BUCKET_ROWS)
     runs = runs.withColumn("__bucket", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
     sizes = runs.groupBy("__bucket").agg(F.sum("__copies").alias("__size"))
     before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -154,7 +160,7 @@ def number_rows(df: DataFrame, keys: list[str], buckets: int = 4096) -> DataFram
     )
 
 
-def shard_rows(df: DataFrame, shards: int, seed: int = 0, doc_id: str = "doc_id", text: str = "text", buckets: int = 4096) -> DataFrame:
+def shard_rows(df: DataFrame, shards: int, seed: int = 0, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """Places every row of df in a shard and slot, under the law ``rows``.
 
     Returns doc_id, size (UTF-8 bytes + 8; a null text has none), text_crc32 (0 for null), law,
