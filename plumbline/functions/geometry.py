@@ -79,6 +79,21 @@ def box_area(a: Column) -> Column:
     return F.greatest(a["x1"] - a["x0"], F.lit(0.0)) * F.greatest(a["y1"] - a["y0"], F.lit(0.0))
 
 
+def covered_area(boxes: Column) -> Column:
+    """Area of the union of an array of boxes: strips between neighbouring x borders, intervals of y merged in each."""
+    xs = F.array_sort(F.array_distinct(F.flatten(F.transform(boxes, lambda b: F.array(b["x0"], b["x1"])))))
+
+    def strip(i: Column) -> Column:
+        left, right = F.element_at(xs, i), F.element_at(xs, i + 1)
+        spans = F.array_sort(F.transform(F.filter(boxes, lambda b: (b["x0"] <= left) & (b["x1"] >= right)), lambda b: F.struct(b["y0"].alias("a"), b["y1"].alias("b"))))
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("end"))
+        merge = lambda s, y: F.struct((s["sum"] + F.greatest(F.lit(0.0), y["b"] - F.greatest(y["a"], s["end"]))).alias("sum"), F.greatest(s["end"], y["b"]).alias("end"))
+        return (right - left) * F.aggregate(spans, start, merge, lambda s: s["sum"])
+
+    strips = F.transform(F.sequence(F.lit(1), F.size(xs) - 1), strip)
+    return F.when(F.size(boxes) == 0, F.lit(0.0)).otherwise(F.aggregate(strips, F.lit(0.0), lambda s, x: s + x))
+
+
 def union_area(a: Column, b: Column, both: Column) -> Column:
     return a + b - both
 

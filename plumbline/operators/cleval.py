@@ -42,7 +42,8 @@ def box_pairs(gt: DataFrame, det: DataFrame) -> DataFrame:
     """(image, g, d, dc, gt_length, fp_length, ap, hits) of axis-aligned boxes, all as expressions.
 
     gt: image, g, x0, y0, x1, y1, dc; det: image, d, x0, y0, x1, y1. Areas and containment use
-    truncated coordinates, lengths and centres the raw ones; hits are the covered characters.
+    truncated coordinates, lengths and centres the raw ones; hits are the covered characters. A
+    don't-care region's area is without that of the ground truth in it.
     """
     t = lambda c: truncate(F.col(c))
     polygon = G.box_polygon(F.col("gx0"), F.col("gy0"), F.col("gx1"), F.col("gy1"))
@@ -53,10 +54,39 @@ def box_pairs(gt: DataFrame, det: DataFrame) -> DataFrame:
     near = (F.col("gx0") < F.col("dx1") + 1) & (F.col("dx0") < F.col("gx1") + 1) & (F.col("gy0") < F.col("dy1") + 1) & (F.col("dy0") < F.col("gy1") + 1)
     box = lambda p, f: F.struct(*(f(F.col(p + c)).alias(c) for c in ("x0", "y0", "x1", "y1")))
     gb, db = box("g", truncate), box("d", lambda c: c)
-    pairs = g.join(d, "image").where(near)
+    pairs = g.join(_without_truth(g), ["image", "g"], "left").join(d, "image").where(near)
+    # What ground truth leaves of the don't-care region in the detection.
+    clip = lambda b: F.struct(*(f(b[k], db[k]).alias(k) for k, f in (("x0", F.greatest), ("y0", F.greatest), ("x1", F.least), ("y1", F.least))))
+    lost = F.filter(F.transform(F.coalesce("truth", F.array()), clip), lambda b: (b["x0"] < b["x1"]) & (b["y0"] < b["y1"]))
+    both = F.when(F.col("dc"), G.box_intersection(gb, db) - G.covered_area(lost)).otherwise(G.box_intersection(gb, db))
     inside = lambda p: (p["x"] >= db["x0"]) & (p["x"] < db["x1"]) & (p["y"] >= db["y0"]) & (p["y"] < db["y1"])
     hits = F.filter(F.transform("centres", lambda p, i: F.when(inside(p), i)), lambda i: i.isNotNull())
-    return pairs.select("image", "g", "d", "dc", "gt_length", "fp_length", safe_divide(G.box_intersection(gb, db), G.box_area(db)).alias("ap"), hits.alias("hits"))
+    return pairs.select("image", "g", "d", "dc", "gt_length", "fp_length", safe_divide(both, G.box_area(db)).alias("ap"), hits.alias("hits"))
+
+
+def _without_truth(g: DataFrame) -> DataFrame:
+    """(image, g, truth) of don't-care regions: the parts of them that other regions cover, in truncated coordinates."""
+    t = lambda p, c: truncate(F.col(f"{p}.g{c}"))
+    part = F.struct(*(f(t("a", c), t("b", c)).alias(c) for c, f in (("x0", F.greatest), ("y0", F.greatest), ("x1", F.least), ("y1", F.least))))
+    keep = ["image", "g", "gx0", "gy0", "gx1", "gy1"]
+    a, b = g.where("dc").select(keep).alias("a"), g.where("not dc").select(keep).alias("b")
+    met = a.join(b, F.col("a.image") == F.col("b.image")).select("a.image", "a.g", part.alias("part")).where("part.x0 < part.x1 and part.y0 < part.y1")
+    return met.groupBy("image", "g").agg(F.collect_list("part").alias("truth"))
+
+
+def prepared(regions: DataFrame, flag: str = "dc", text: str = "transcription") -> DataFrame:
+    """regions with dc as evaluation takes it: the flag, or where there is none whether the text is ###; a missing text is none."""
+    return regions.withColumn(flag, F.coalesce(F.col(flag), F.col(text) == "###", F.lit(False)))
+
+
+def transcription_or_marks(text, length):
+    """A region's text, or where it is missing a # for each of its pseudo-characters."""
+    return F.coalesce(text, F.repeat(F.lit("#"), length))
+
+
+def admitted(flat):
+    """Whether flat coordinates make a polygon: 4 points or more, and no odd value."""
+    return (F.size(flat) >= 8) & (F.size(flat) % 2 == 0)
 
 
 def gt_length(w, h):

@@ -44,26 +44,49 @@ def edges_of(gray: np.ndarray, low: float = 100.0, high: float = 200.0) -> np.nd
     return weak & np.isin(labels, strong)
 
 
+def shrink(values: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Means over the area that each pixel of the smaller image covers; pixels on a border count by share."""
+
+    def weights(n: int, to: int) -> np.ndarray:
+        edges = np.arange(to + 1) * n / to
+        over = np.minimum(edges[1:, None], np.arange(1, n + 1)[None, :]) - np.maximum(edges[:-1, None], np.arange(n)[None, :])
+        return np.maximum(over, 0) * to / n
+
+    return weights(values.shape[0], h) @ values @ weights(values.shape[1], w).T
+
+
+def gray_vector(gray: np.ndarray, side: int = 128) -> np.ndarray:
+    """A square gray image as a vector, to correlate images of any size."""
+    return resized(gray, side, side).ravel().astype(np.float32)
+
+
+def resized(values: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Shrunk by area; a side that grows is interpolated."""
+    small = shrink(values, min(h, values.shape[0]), min(w, values.shape[1]))
+    return small if small.shape == (h, w) else resize(small, h, w)
+
+
 def features_of(pixels: np.ndarray, longest: int = 512) -> dict[str, float]:
+    """Features of an image, its longer side shrunk to longest; brightness, contrast and saturation from 0 to 1."""
     h, w = pixels.shape[:2]
     if max(h, w) > longest:
         scale = longest / max(h, w)
-        pixels = np.stack([resize(pixels[..., c].astype(float), max(1, round(h * scale)), max(1, round(w * scale))) for c in range(pixels.shape[-1])], axis=-1)
+        pixels = np.rint(np.stack([shrink(pixels[..., c].astype(float), max(1, round(h * scale)), max(1, round(w * scale))) for c in range(pixels.shape[-1])], axis=-1))
     gray = gray_of(pixels)
     laplacian = sum(_shifted(gray, *d) for d in ((0, 1), (0, -1), (1, 0), (-1, 0))) - 4 * gray
     p = np.bincount(np.clip(np.rint(gray), 0, 255).astype(int).ravel(), minlength=256) / gray.size
     p = p[p > 0]
     top = pixels.max(axis=-1).astype(float)
     return {
-        "brightness": float(gray.mean()), "contrast": float(gray.std()), "blur_laplacian": float(laplacian.var()), "edge_density": float(edges_of(gray).mean()), "entropy": float(-(p * np.log2(p)).sum()),
-        "saturation": float(np.where(top > 0, 255 * (top - pixels.min(axis=-1)) / np.maximum(top, 1), 0).mean()), "dark_fraction": float((gray < 64).mean()), "bright_fraction": float((gray > 224).mean()),
+        "brightness": float(gray.mean() / 255), "contrast": float(gray.std() / 255), "blur_laplacian": float(laplacian.var()), "edge_density": float(edges_of(gray).mean()), "entropy": float(-(p * np.log2(p)).sum()),
+        "saturation": float(np.where(top > 0, (top - pixels.min(axis=-1)) / np.maximum(top, 1), 0).mean()), "dark_fraction": float((gray < 64).mean()), "bright_fraction": float((gray > 224).mean()),
     }
 
 
 def perceptual_hash(gray: np.ndarray) -> int:
     """64 bits as a signed long: which low frequencies of the 32 x 32 image are above their median."""
     n = 32
-    small = resize(gray, n, n)
+    small = resized(gray, n, n)
     k = np.arange(n)
     basis = np.sqrt(2 / n) * np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
     basis[0] /= np.sqrt(2)

@@ -15,10 +15,13 @@ from .ranking import quantile_bin, rank_first
 
 
 def _cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """A checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where none is set and the master is local."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint()
 
 
@@ -136,6 +139,16 @@ def fold_views(df: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
 
 
+def fold_checks(df: DataFrame, key: str, fold: str = "fold") -> DataFrame:
+    """Per fold: rows to train on and to validate on, and whether both are disjoint and all rows together."""
+    sizes = df.groupBy(fold).agg(F.count("*").alias("validation"))
+    total = df.agg(F.count("*").alias("rows"))
+    shared = df.groupBy(key).agg(F.array_distinct(F.collect_list(fold)).alias("folds")).where(F.size("folds") > 1).select(F.explode("folds").alias(fold)).groupBy(fold).agg(F.count("*").alias("shared"))
+    out = sizes.join(F.broadcast(total)).join(shared, fold, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    training = F.col("rows") - F.col("validation")
+    return out.select(fold, training.alias("training"), "validation", "shared", (F.col("shared") == 0).alias("disjoint"), (training + F.col("validation") == F.col("rows")).alias("exhaustive"))
+
+
 def weighted_sample(df: DataFrame, family: str, n: int, seed: int = 42, key: str | None = None) -> DataFrame:
     """n draws with replacement, every family equally likely and its rows equally likely within.
 

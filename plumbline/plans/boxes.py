@@ -49,8 +49,21 @@ det AS (SELECT {t}image, k AS d, 25.0::DOUBLE * k + 100.0::DOUBLE * l_discount A
 EPS = "1.1920928955078125e-07::DOUBLE"
 
 
-def related(key: str = "image") -> str:
-    """CTEs from gt and det to the related pairs r and the hits h."""
+#: CTE lost: what ground truth covers of a don't-care region in a detection (boxes of one height: lengths of unions of intervals).
+LOST = """li0 AS (SELECT a.image, a.g, b.d, greatest(trunc(a.x0), trunc(c.x0), trunc(b.x0)) AS lo, least(trunc(a.x1), trunc(c.x1), trunc(b.x1)) AS hi
+  FROM gt a JOIN gt c ON a.image = c.image AND a.dc AND NOT c.dc JOIN det b ON b.image = a.image),
+li1 AS (SELECT *, max(hi) OVER (PARTITION BY image, g, d ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM li0 WHERE lo < hi),
+lost AS (SELECT image, g, d, 10 * sum(greatest(0, hi - greatest(lo, coalesce(seen, lo)))) AS lost FROM li1 GROUP BY ALL),
+"""
+
+
+def related(key: str = "image", lost: bool = False) -> str:
+    """CTEs from gt and det to the related pairs r and the hits h; with lost, don't-care areas are without ground truth."""
+    minus, without = (LOST, "p0l AS (SELECT * REPLACE (both_area - coalesce(lost, 0) AS both_area) FROM p0 LEFT JOIN lost USING (image, g, d)),") if lost else ("", "")
+    return minus + _related(key, without, "p0l" if lost else "p0")
+
+
+def _related(key: str, without: str, pairs: str) -> str:
     return f"""gl AS (SELECT *, least(round_even(0.5::DOUBLE + greatest(ar, 1.0::DOUBLE / (ar + {EPS})), 0), 100)::INT AS len
   FROM (SELECT *, least(100.0::DOUBLE, (y1 - y0) / ((x1 - x0) + {EPS})) AS ar FROM gt)),
 dl AS (SELECT *, least(round_even(0.5::DOUBLE + 1.0::DOUBLE / ({EPS} + ar), 0), 100)::INT AS fp_len
@@ -63,9 +76,10 @@ p0 AS (SELECT {key}, g, d, gl.dc,
   greatest(least(trunc(gl.x1), trunc(dl.x1)) - greatest(trunc(gl.x0), trunc(dl.x0)), 0) * greatest(least(trunc(gl.y1), trunc(dl.y1)) - greatest(trunc(gl.y0), trunc(dl.y0)), 0) AS both_area,
   (trunc(dl.x1) - trunc(dl.x0)) * (trunc(dl.y1) - trunc(dl.y0)) AS det_area, trunc(dl.x0) AS dx0, trunc(dl.x1) AS dx1
   FROM gl JOIN dl USING ({key})),
+{without}
 h AS (SELECT {key}, g, d, c FROM p0 JOIN pcc USING ({key}, g) WHERE cx >= dx0 AND cx < dx1 AND cy >= 0 AND cy < 10),
 hn AS (SELECT {key}, g, d, count(*) AS n FROM h GROUP BY ALL),
-p1 AS (SELECT {key}, g, d, dc, CASE WHEN det_area > 0 THEN both_area / det_area ELSE 0 END AS ap, coalesce(n, 0) AS n FROM p0 LEFT JOIN hn USING ({key}, g, d)),
+p1 AS (SELECT {key}, g, d, dc, CASE WHEN det_area > 0 THEN both_area / det_area ELSE 0 END AS ap, coalesce(n, 0) AS n FROM {pairs} LEFT JOIN hn USING ({key}, g, d)),
 p2 AS (SELECT *, (ap::FLOAT >= 0.3::FLOAT AND n > 0) AS s,
   (max((dc AND ap::FLOAT >= 0.3::FLOAT)::INT) OVER (PARTITION BY {key}, d) > 0
     OR sum(CASE WHEN dc AND n > 0 THEN ap ELSE 0 END) OVER (PARTITION BY {key}, d) >= 0.3::DOUBLE) AS det_dc FROM p1),

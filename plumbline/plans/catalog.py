@@ -65,7 +65,7 @@ def cleval_per_image(spark, sf_dir):
     return _round(cleval.evaluate_boxes(*_sides(spark, sf_dir)), *SCORES)
 
 
-_DC = f"WITH {B.sides('l_linenumber = 3')}, {B.related()}, {B.counted()}"
+_DC = f"WITH {B.sides('l_linenumber = 3')}, {B.related(lost=True)}, {B.counted()}"
 
 
 @query(f"{_DC} SELECT image, {_COUNTERS}, {_rounded(SCORES)} FROM per")
@@ -135,32 +135,33 @@ def box_pair_iou(spark, sf_dir):
     return _round(compare.iou_candidates(*_iou_sides(spark, sf_dir)), "iou")
 
 
-@query(
+_GREEDY = (
     f"WITH RECURSIVE {B.sides()}, {_IOU}, o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY iou DESC, i, j) AS n FROM ious), "
     "st AS (SELECT DISTINCT image, 0::BIGINT AS n, []::BIGINT[] AS li, []::BIGINT[] AS ri, NULL::BIGINT AS i, NULL::BIGINT AS j, NULL::DOUBLE AS iou FROM o "
     "UNION ALL SELECT o.image, o.n, CASE WHEN ok THEN list_append(s.li, o.i) ELSE s.li END, CASE WHEN ok THEN list_append(s.ri, o.j) ELSE s.ri END, CASE WHEN ok THEN o.i END, CASE WHEN ok THEN o.j END, CASE WHEN ok THEN o.iou END "
     "FROM (SELECT st.*, 1 AS one FROM st) s JOIN o ON o.image = s.image AND o.n = s.n + 1 CROSS JOIN LATERAL (SELECT NOT list_contains(s.li, o.i) AND NOT list_contains(s.ri, o.j) AS ok) z) "
-    "SELECT image, i, j, round(iou, 6) AS iou FROM st WHERE i IS NOT NULL"
 )
+
+
+@query(_GREEDY + "SELECT image, i, j, round(iou, 6) AS iou FROM st WHERE i IS NOT NULL")
 def greedy_match(spark, sf_dir):
     return _round(compare.greedy_match(compare.iou_candidates(*_iou_sides(spark, sf_dir))), "iou")
 
 
-@query()
+@query(
+    _GREEDY + ", m AS (SELECT image, count(i) AS matched, avg(iou) AS iou FROM st GROUP BY image), n AS (SELECT image, count(*) AS n FROM gt GROUP BY image) "
+    "SELECT image, n AS n_a, n AS n_b, coalesce(matched, 0) AS matched, n - coalesce(matched, 0) AS only_a, n - coalesce(matched, 0) AS only_b, round(coalesce(iou, 0), 6) AS mean_iou, round(coalesce(matched, 0) / greatest(2 * n - coalesce(matched, 0), 1), 6) AS jaccard FROM n LEFT JOIN m USING (image)"
+)
 def match_report(spark, sf_dir):
     a, b = _iou_sides(spark, sf_dir)
     return _round(compare.match_report(a, b, compare.greedy_match(compare.iou_candidates(a, b))), "mean_iou", "jaccard")
 
 
-@query(
-    f"WITH {B.sides()}, {_IOU}, m AS (SELECT image, count(DISTINCT i) AS matched FROM ious GROUP BY ALL), n AS (SELECT image, count(*) AS boxes FROM gt GROUP BY ALL) "
-    "SELECT image, boxes, coalesce(matched, 0) AS matched, round(coalesce(matched, 0) / greatest(2 * boxes - coalesce(matched, 0), 1), 6) AS jaccard FROM n LEFT JOIN m USING (image)"
-)
+@query(_GREEDY + ", m AS (SELECT image, count(i) AS matched FROM st GROUP BY image), n AS (SELECT image, count(*) AS boxes FROM gt GROUP BY image) SELECT image, boxes, coalesce(matched, 0) AS matched, round(coalesce(matched, 0) / greatest(2 * boxes - coalesce(matched, 0), 1), 6) AS jaccard FROM n LEFT JOIN m USING (image)")
 def box_jaccard(spark, sf_dir):
     a, b = _iou_sides(spark, sf_dir)
-    m = compare.iou_candidates(a, b).groupBy("image").agg(F.count_distinct("i").alias("matched"))
-    n = a.groupBy("image").agg(F.count("*").alias("boxes")).join(m, "image", "left").select("image", "boxes", F.coalesce("matched", F.lit(0)).alias("matched"))
-    return n.withColumn("jaccard", F.round(F.col("matched") / F.greatest(2 * F.col("boxes") - F.col("matched"), F.lit(1)), 6))
+    out = compare.match_report(a, b, compare.greedy_match(compare.iou_candidates(a, b)))
+    return _round(out.select("image", F.col("n_a").alias("boxes"), "matched", "jaccard"), "jaccard")
 
 
 def _pentagon(df: DataFrame) -> DataFrame:
@@ -406,14 +407,14 @@ def paired_bootstrap(spark, sf_dir):
 
 
 @query(
-    "WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, n_chars::DOUBLE AS x, count(*) OVER () AS n FROM documents), i AS (SELECT r AS resample, k, ((r * 7919 + k * 104729 + r * k * 31) % (SELECT max(n) FROM d)) AS row FROM range(200) a(r), range(50) b(k)), "
+    "WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, n_chars::DOUBLE AS x, count(*) OVER () AS n FROM documents), i AS (SELECT r AS resample, k, ((r * 7919 + k * 104729 + r * k * 31) % (SELECT max(n) FROM d)) AS row FROM range(200) a(r), (SELECT unnest(range(max(n))) AS k FROM d) b), "
     "m AS (SELECT resample, avg(x) AS v FROM i JOIN d USING (row) GROUP BY resample) SELECT 'n_chars' AS metric, round(avg(v), 4) AS delta_mean, round(quantile_cont(v, 0.025), 4) AS ci95_low, round(quantile_cont(v, 0.975), 4) AS ci95_high, round(avg(CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS probability_gt_0 FROM m"
 )
 def paired_bootstrap_fixed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
     n = docs.count()
     rows = ranking.global_rank(docs, ["doc_id"], "row").withColumn("row", F.col("row") - 1)
-    draws = spark.range(200).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k"))
+    draws = spark.range(200).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     r, k = F.col("resample"), F.col("k").cast("long")
     indices = draws.select("resample", F.pmod(r * 7919 + k * 104729 + r * k * 31, F.lit(n)).alias("row"))
     out = compare.bootstrap_indexed(rows, indices, "n_chars")
@@ -668,12 +669,12 @@ def model_ensemble(spark, sf_dir):
 
 
 @query(
-    "WITH b AS (SELECT o_orderkey, 100 + o_custkey % 900 AS w, 100 + o_orderkey % 700 AS h FROM orders), c AS (SELECT *, trunc(w * 640 / greatest(w, h)) AS cw, trunc(h * 640 / greatest(w, h)) AS ch FROM b) SELECT o_orderkey, floor((640 - cw) / 2)::DOUBLE AS x, floor((640 - ch) / 2)::DOUBLE AS y, cw AS w, ch AS h, round(w / cw, 6) AS sx, round(-floor((640 - ch) / 2) * (h / ch), 6) + 0.0::DOUBLE AS ty FROM c"
+    "WITH b AS (SELECT o_orderkey, 100 + o_custkey % 900 AS w, 100 + o_orderkey % 700 AS h FROM orders), c AS (SELECT *, trunc(w * 640 / greatest(w, h)) AS cw, trunc(h * 640 / greatest(w, h)) AS ch FROM b) SELECT o_orderkey, floor((640 - cw) / 2)::DOUBLE AS x, floor((640 - ch) / 2)::DOUBLE AS y, cw AS w, ch AS h, w / cw AS sx, -floor((640 - ch) / 2) * (h / ch) + 0.0::DOUBLE AS ty FROM c"
 )
 def crop_and_inverse(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (100 + F.col("o_custkey") % 900).cast("double").alias("w"), (100 + F.col("o_orderkey") % 700).cast("double").alias("h"))
     out = rows.select("o_orderkey", G.crop_box(F.col("w"), F.col("h"), 640).alias("c"), G.inverse_matrix(F.col("w"), F.col("h"), 640).alias("m"))
-    return out.select("o_orderkey", "c.x", "c.y", "c.w", "c.h", F.round(F.col("m")[0], 6).alias("sx"), (F.round(F.col("m")[5], 6) + 0.0).alias("ty"))
+    return out.select("o_orderkey", "c.x", "c.y", "c.w", "c.h", F.col("m")[0].alias("sx"), (F.col("m")[5] + 0.0).alias("ty"))
 
 
 @query()
