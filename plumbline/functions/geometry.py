@@ -69,6 +69,12 @@ def bounds(polygon: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def is_box(polygon: Column) -> Column:
+    """Whether a polygon is an axis-aligned box with area, from its top left corner on clockwise."""
+    p = lambda i, a: polygon[i][a]
+    return (F.size(polygon) == 4) & (p(0, "x") == p(3, "x")) & (p(1, "x") == p(2, "x")) & (p(0, "y") == p(1, "y")) & (p(2, "y") == p(3, "y")) & (p(0, "x") < p(1, "x")) & (p(0, "y") < p(2, "y"))
+
+
 def box_intersection(a: Column, b: Column) -> Column:
     w = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
     h = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])

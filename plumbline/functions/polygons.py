@@ -100,6 +100,41 @@ def intersection_area(p: np.ndarray, q: np.ndarray) -> float:
     return abs(total) if abs(total) > 1e-9 else 0.0
 
 
+def remainder_area(p: np.ndarray, q: np.ndarray, without: list[np.ndarray]) -> float:
+    """Area that two polygons share outside of others (even-odd insides).
+
+    Between neighbouring heights at which an edge ends or two cross, insides are strips of straight
+    sides, so the length on the middle line times the height is exact.
+    """
+    shapes = [x for x in (p, q, *without) if len(x) > 2]
+    if len(p) < 3 or len(q) < 3:
+        return 0.0
+    a = np.concatenate(shapes)
+    b = np.concatenate([np.roll(x, -1, axis=0) for x in shapes])
+    of = np.repeat(np.arange(len(shapes)), [len(x) for x in shapes])
+    d = b - a
+    cross = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
+    gap = a[None, :, :] - a[:, None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gap[..., 0] * d[None, :, 1] - gap[..., 1] * d[None, :, 0]) / cross
+        u = (gap[..., 0] * d[:, None, 1] - gap[..., 1] * d[:, None, 0]) / cross
+        y = a[:, None, 1] + t * d[:, None, 1]
+    heights = np.unique(np.concatenate((a[:, 1], y[(cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)])))
+    total = 0.0
+    for low, high in zip(heights[:-1].tolist(), heights[1:].tolist(), strict=True):
+        mid = (low + high) / 2
+        over = (a[:, 1] > mid) != (b[:, 1] > mid)
+        x = a[over, 0] + d[over, 0] * (mid - a[over, 1]) / d[over, 1]
+        order = np.argsort(x, kind="stable")
+        x, who = x[order], of[over][order]
+        inside = np.zeros(len(shapes), bool)
+        for k in range(len(x) - 1):
+            inside[who[k]] ^= True
+            if inside[0] and inside[1] and not inside[2:].any():
+                total += (x[k + 1] - x[k]) * (high - low)
+    return total
+
+
 def unclip(p: np.ndarray, ratio: float) -> np.ndarray:
     """A polygon moved out by area * ratio / perimeter (in, for a negative ratio), mitred corners."""
     a = signed_area(p)
@@ -132,7 +167,42 @@ def polygon_rectangle(polygon: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def polygon_intersection(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([intersection_area(np.trunc(as_array(p)), np.trunc(as_array(q))) for p, q in zip(a, b, strict=True)])
+    return pd.Series([intersection_area(np.trunc(as_array(p)), np.trunc(as_array(q))) if p is not None and q is not None else None for p, q in zip(a, b, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def polygon_remainder(a: pd.Series, b: pd.Series, without: pd.Series) -> pd.Series:
+    cut = lambda p: np.trunc(as_array(p))
+    return pd.Series([remainder_area(cut(p), cut(q), [cut(x) for x in w]) if w is not None else None for p, q, w in zip(a, b, without, strict=True)], dtype=float)
+
+
+def aspect_ratio_of(polygon):
+    """Aspect ratio of a polygon column; boxes never leave the JVM."""
+    from . import geometry as G
+
+    box, b = G.is_box(polygon), G.bounds(polygon)
+    other = polygon_aspect_ratio(F.when(~box, polygon))
+    return F.when(box, G.aspect_ratio_of_box(b["x1"] - b["x0"], b["y1"] - b["y0"])).otherwise(other)
+
+
+def intersection_of(a, b):
+    """Area that two polygon columns share in truncated coordinates; pairs of boxes never leave the JVM."""
+    from . import geometry as G
+
+    boxes = G.is_box(a) & G.is_box(b)
+    whole = lambda p: F.transform(p, lambda q: F.struct(F.when(q["x"] < 0, F.ceil(q["x"])).otherwise(F.floor(q["x"])).cast("double").alias("x"), F.when(q["y"] < 0, F.ceil(q["y"])).otherwise(F.floor(q["y"])).cast("double").alias("y")))
+    other = polygon_intersection(F.when(~boxes, a), F.when(~boxes, b))
+    return F.when(boxes, G.box_intersection(G.bounds(whole(a)), G.bounds(whole(b)))).otherwise(other)
+
+
+def polygon_offset(polygon, ratio: float):
+    """unclip() of a polygon column."""
+
+    @F.pandas_udf(POLYGON)
+    def moved(polygons: pd.Series) -> pd.Series:
+        return polygons.map(lambda p: [{"x": float(x), "y": float(y)} for x, y in unclip(as_array(p), ratio)] if p is not None and len(p) > 2 else p)
+
+    return moved(polygon)
 
 
 def polygon_features(words: DataFrame) -> DataFrame:
@@ -157,17 +227,22 @@ def polygon_pairs(gt: DataFrame, det: DataFrame) -> DataFrame:
     """The pairs of cleval.per_image() for general polygons.
 
     gt: image, g, polygon, dc; det: image, d, polygon. Bounding boxes prune pairs before the Arrow UDF
-    clips; centres and containment are expressions.
+    clips; centres and containment are expressions. A don't-care region's area is without that of the
+    ground truth in it.
     """
     from . import geometry as G
 
-    g = gt.select("image", "g", "dc", F.col("polygon").alias("gp"), G.text_length(polygon_aspect_ratio("polygon")).alias("gt_length"), G.bounds(G.truncate_polygon(F.col("polygon"))).alias("gb"))
+    g = gt.select("image", "g", "dc", F.col("polygon").alias("gp"), G.text_length(aspect_ratio_of(F.col("polygon"))).alias("gt_length"), G.bounds(G.truncate_polygon(F.col("polygon"))).alias("gb"))
     g = g.withColumn("centres", G.character_centres(F.col("gp"), F.col("gt_length")))
-    d = det.select("image", "d", G.false_positive_length(polygon_aspect_ratio("polygon")).alias("fp_length"), G.truncate_polygon(F.col("polygon")).alias("dp")).withColumn("db", G.bounds(F.col("dp")))
+    d = det.select("image", "d", G.false_positive_length(aspect_ratio_of(F.col("polygon"))).alias("fp_length"), G.truncate_polygon(F.col("polygon")).alias("dp")).withColumn("db", G.bounds(F.col("dp")))
     near = (F.col("gb.x0") <= F.col("db.x1") + 1) & (F.col("db.x0") <= F.col("gb.x1") + 1) & (F.col("gb.y0") <= F.col("db.y1") + 1) & (F.col("db.y0") <= F.col("gb.y1") + 1)
-    pairs = g.join(d, "image").where(near)
+    meets = lambda x, y: (F.col(f"{x}.x0") < F.col(f"{y}.x1")) & (F.col(f"{y}.x0") < F.col(f"{x}.x1")) & (F.col(f"{x}.y0") < F.col(f"{y}.y1")) & (F.col(f"{y}.y0") < F.col(f"{x}.y1"))
+    truth = gt.where("not dc").select("image", F.col("polygon").alias("tp"), G.bounds(G.truncate_polygon(F.col("polygon"))).alias("tb"))
+    truth = g.where("dc").select("image", "g", "gb").join(truth, "image").where(meets("gb", "tb")).groupBy("image", "g").agg(F.collect_list("tp").alias("truth"))
+    pairs = g.join(truth, ["image", "g"], "left").join(d, "image").where(near)
     size = G.area(F.col("dp"))
-    ap = F.when(size > 0, polygon_intersection("gp", "dp") / size).otherwise(0.0)
+    shared = F.coalesce(polygon_remainder("dp", "gp", "truth"), intersection_of(F.col("gp"), F.col("dp")))
+    ap = F.when(size > 0, shared / size).otherwise(0.0)
     hits = F.filter(F.transform("centres", lambda p, i: F.when(G.contains(F.col("dp"), p["x"], p["y"]), i)), lambda i: i.isNotNull())
     return pairs.select("image", "g", "d", "dc", "gt_length", "fp_length", ap.alias("ap"), hits.alias("hits"))
 
@@ -176,6 +251,6 @@ def evaluate_polygons(gt: DataFrame, det: DataFrame, options=None) -> DataFrame:
     from ..operators import cleval
     from . import geometry as G
 
-    sized = gt.withColumn("gt_length", G.text_length(polygon_aspect_ratio("polygon")))
-    found = det.withColumn("fp_length", G.false_positive_length(polygon_aspect_ratio("polygon")))
+    sized = gt.withColumn("gt_length", G.text_length(aspect_ratio_of(F.col("polygon"))))
+    found = det.withColumn("fp_length", G.false_positive_length(aspect_ratio_of(F.col("polygon"))))
     return cleval.per_image(sized, found, polygon_pairs(gt, det), options or cleval.Options())

@@ -38,8 +38,8 @@ def cap_boxes(boxes: DataFrame, order, most: int = 500) -> DataFrame:
     return boxes.withColumn("__k", F.row_number().over(W.partitionBy("image").orderBy(*order))).where(F.col("__k") <= most).drop("__k")
 
 
-def box_pairs(gt: DataFrame, det: DataFrame) -> DataFrame:
-    """(image, g, d, dc, gt_length, fp_length, ap, hits) of axis-aligned boxes, all as expressions.
+def box_pairs(gt: DataFrame, det: DataFrame, *more: str) -> DataFrame:
+    """(image, g, d, dc, gt_length, fp_length, ap, hits) of axis-aligned boxes, all as expressions, and more columns of det.
 
     gt: image, g, x0, y0, x1, y1, dc; det: image, d, x0, y0, x1, y1. Areas and containment use
     truncated coordinates, lengths and centres the raw ones; hits are the covered characters. A
@@ -50,7 +50,7 @@ def box_pairs(gt: DataFrame, det: DataFrame) -> DataFrame:
     g = gt.select("image", "g", "dc", *(F.col(c).alias(f"g{c}") for c in ("x0", "y0", "x1", "y1")))
     g = g.withColumn("gt_length", gt_length(F.col("gx1") - F.col("gx0"), F.col("gy1") - F.col("gy0")))
     g = g.withColumn("centres", G.character_centres(polygon, F.col("gt_length")))  # once a region, not once a pair
-    d = det.select("image", "d", fp_length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("fp_length"), *(t(c).alias(f"d{c}") for c in ("x0", "y0", "x1", "y1")))
+    d = det.select("image", "d", fp_length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("fp_length"), *(t(c).alias(f"d{c}") for c in ("x0", "y0", "x1", "y1")), *more)
     near = (F.col("gx0") < F.col("dx1") + 1) & (F.col("dx0") < F.col("gx1") + 1) & (F.col("gy0") < F.col("dy1") + 1) & (F.col("dy0") < F.col("gy1") + 1)
     box = lambda p, f: F.struct(*(f(F.col(p + c)).alias(c) for c in ("x0", "y0", "x1", "y1")))
     gb, db = box("g", truncate), box("d", lambda c: c)
@@ -61,7 +61,7 @@ def box_pairs(gt: DataFrame, det: DataFrame) -> DataFrame:
     both = F.when(F.col("dc"), G.box_intersection(gb, db) - G.covered_area(lost)).otherwise(G.box_intersection(gb, db))
     inside = lambda p: (p["x"] >= db["x0"]) & (p["x"] < db["x1"]) & (p["y"] >= db["y0"]) & (p["y"] < db["y1"])
     hits = F.filter(F.transform("centres", lambda p, i: F.when(inside(p), i)), lambda i: i.isNotNull())
-    return pairs.select("image", "g", "d", "dc", "gt_length", "fp_length", safe_divide(both, G.box_area(db)).alias("ap"), hits.alias("hits"))
+    return pairs.select("image", "g", "d", "dc", "gt_length", "fp_length", safe_divide(both, G.box_area(db)).alias("ap"), hits.alias("hits"), *more)
 
 
 def _without_truth(g: DataFrame) -> DataFrame:
@@ -176,6 +176,17 @@ def evaluate_boxes(gt: DataFrame, det: DataFrame, options: Options = Options())
     return per_image(gt.withColumn("gt_length", gt_length(w, h)), det.withColumn("fp_length", fp_length(w, h)), box_pairs(gt, det), options)
 
 
+def sweep_boxes(gt: DataFrame, det: DataFrame, score: str, thresholds: list[float], options: Options = Options()) -> DataFrame:
+    """per_image() at each threshold of the score: (threshold, image, ...). Boxes meet once, thresholds are dealt to their pairs."""
+    every, reached = F.array(*map(F.lit, thresholds)), F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col(score) >= t)
+    key = F.struct("threshold", F.col("image").alias("id"))
+    at = lambda df, which: df.withColumn("threshold", F.explode(which)).withColumn("image", key).drop("threshold")
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    pairs = at(box_pairs(gt, det, score), reached).drop(score)
+    per = per_image(at(gt.withColumn("gt_length", gt_length(w, h)), every), at(det.withColumn("fp_length", fp_length(w, h)), reached), pairs, options)
+    return per.select(F.col("image.threshold").alias("threshold"), F.col("image.id").alias("image"), *(c for c in per.columns if c != "image"))
+
+
 def macro(per: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Means of the per-image scores; an image of images without a row counts as 0, 0, 0."""
     rows = per if images is None else images.join(per, "image", "left")

@@ -75,6 +75,35 @@ def bootstrap_exact(table: pd.DataFrame, values: list[str], resamples: int = 10_
     return pd.DataFrame({"metric": values, "delta_mean": m.mean(axis=0), "ci95_low": low, "ci95_high": high, "probability_gt_0": (m > 0).mean(axis=0)})
 
 
+def bootstrap_global(df: DataFrame, indices: DataFrame, methods: tuple[str, str], counters: list[str], scored) -> DataFrame:
+    """Intervals of the differences of global scores over given resamples.
+
+    df has row and, for both methods, the counters as method_counter; indices has resample and row. The
+    counters of a resample's rows are summed, then scored once (scored: a table with the counters to one
+    with recall, precision and hmean), as global scores are; the second method's less the first's.
+    """
+    sums = indices.join(df, "row").groupBy("resample").agg(*(F.sum(f"{m}_{c}").alias(f"{m}_{c}") for m in methods for c in counters))
+    first, second = (scored(sums.select("resample", *(F.col(f"{m}_{c}").alias(c) for c in counters))) for m in methods)
+    names = ["recall", "precision", "hmean"]
+    both = first.select("resample", *(F.col(n).alias(f"a_{n}") for n in names)).join(second.select("resample", *names), "resample")
+    return _intervals(both.select(*((F.col(n) - F.col(f"a_{n}")).alias(f"global_{n}") for n in names)), [f"global_{n}" for n in names])
+
+
+def three_way(comparison: DataFrame, first: DataFrame, second: DataFrame, key: str, metric: str) -> DataFrame:
+    """A comparison of two models with the metric of each and their difference; only keys that all three have."""
+    a, b = (df.select(key, F.col(metric).alias(f"{n}_{metric}")) for n, df in (("first", first), ("second", second)))
+    return comparison.join(a, key).join(b, key).withColumn(f"{metric}_delta", F.col(f"second_{metric}") - F.col(f"first_{metric}"))
+
+
+def paired_strata(pairs: DataFrame, strata: dict, metrics: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """Of each stratum (a name and a condition, which may overlap): images, means of both sides and of the difference, and how many improved or got worse by the first metric."""
+    member = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in strata.items())))).alias("stratum")
+    d = F.col(f"delta_{metrics[0]}")
+    return pairs.select("*", member).groupBy("stratum").agg(
+        F.count("*").alias("images"), *(F.avg(f"{p}_{m}").alias(f"{p}_{m}") for m in metrics for p in ("control", "candidate", "delta")), F.count_if(d > tolerance).alias("improved"), F.count_if(d < -tolerance).alias("worse")
+    )
+
+
 def _intervals(means: DataFrame, values: list[str]) -> DataFrame:
     long = means.select(*values).unpivot([], values, "metric", "value")
     q = F.percentile("value", [0.025, 0.975])

@@ -128,6 +128,25 @@ def fuse_scales(maps: list[np.ndarray], masks: list[np.ndarray]) -> np.ndarray:
     return np.where(weight > 0, total / np.maximum(weight, 1e-12), 0.0)
 
 
+def fuse(maps: DataFrame) -> DataFrame:
+    """(image, height, width, values): the maps of each image, in scales k, fused at the size of the least k.
+
+    maps: image, k, height, width, values and mask (0 to 1: where the scale holds content). An image's
+    maps meet in one task, which holds no more than them.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        shape = [(int(h), int(w)) for h, w in zip(pdf["height"], pdf["width"], strict=True)]
+        values, masks = ([np.asarray(v, float).reshape(s) for v, s in zip(pdf[c], shape, strict=True)] for c in ("cells", "mask"))
+        out = fuse_scales(values, masks)
+        return pd.DataFrame({"image": [pdf["image"].iloc[0]], "height": [out.shape[0]], "width": [out.shape[1]], "values": [out.ravel().tolist()]})
+
+    kind = maps.schema["image"].dataType.simpleString()
+    rows = maps.select("image", "k", "height", "width", F.col("values").alias("cells"), "mask")
+    return rows.groupBy("image").applyInPandas(run, f"image {kind}, height int, width int, values array<double>")
+
+
 def prediction_statistics(boxes: DataFrame) -> DataFrame:
     """Count and spread of scores and areas; boxes has score and area."""
     s, a = F.percentile("score", [0.5, 0.1]), F.percentile("area", [0.5, 0.1])

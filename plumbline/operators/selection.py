@@ -71,6 +71,30 @@ def split_checks(df: DataFrame, fold: str, group: str, stratum: str, size_slack:
     return row.select("folds", (F.col("most") - F.col("least")).alias("size_difference"), "share_delta", "leaking_groups", (F.col("most") - F.col("least") <= size_slack).alias("sizes_even"), (F.col("share_delta") < share_slack).alias("shares_even"), (F.col("leaking_groups") == 0).alias("no_leakage"))
 
 
+def split_report(df: DataFrame, key: str, fold: str, group: str, stratum: str, source: Column, features: list[str], pairs: DataFrame, rows: int, folds: int) -> DataFrame:
+    """The nine checks of a fold assignment as booleans, and passed: all of them.
+
+    source says which rows come from the split whose counts have to be even; pairs (left, right) are keys
+    that have to share a fold.
+    """
+    size = df.groupBy(fold).agg(F.count("*").alias("n"), F.count_if(source).alias("s")).agg(F.count("*").alias("folds"), (F.max("n") - F.min("n")).alias("d"), F.when(F.count("*") < folds, F.max("s")).otherwise(F.max("s") - F.min("s")).alias("ds"))
+    keys = df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"))
+    leaks = df.groupBy(group).agg(F.count_distinct(fold).alias("f")).agg(F.count_if(F.col("f") > 1).alias("leaks"))
+    at = df.select(F.col(key).alias("left"), F.col(fold).alias("__l"))
+    torn = pairs.join(at, "left").join(at.select(F.col("left").alias("right"), F.col("__l").alias("__r")), "right").agg(F.count_if(F.col("__l") != F.col("__r")).alias("torn"))
+    means = df.groupBy(fold).agg(*(F.avg(c).alias(c) for c in features))
+    whole = df.agg(*(F.avg(c).alias(f"m_{c}") for c in features), *(F.stddev_pop(c).alias(f"s_{c}") for c in features))
+    z = means.join(F.broadcast(whole)).agg(F.max(F.greatest(*(F.when(F.col(f"s_{c}") > 0, F.abs(F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0) for c in features), F.lit(0.0))).alias("z"))
+    share = split_checks(df, fold, group, stratum).select("share_delta")
+    row = size.join(keys).join(leaks).join(torn).join(z).join(share)
+    checks = {
+        "expected_rows": F.col("rows") == rows, "unique_keys": F.col("keys") == F.col("rows"), "all_folds": F.col("folds") == folds, "sizes_even": F.col("d") <= 2, "no_group_leakage": F.col("leaks") == 0,
+        "no_pair_leakage": F.col("torn") == 0, "source_even": F.col("ds") <= 2, "means_close": F.col("z") < 0.15, "shares_close": F.col("share_delta") < 0.01,
+    }
+    out = row.select(*(c.alias(n) for n, c in checks.items()))
+    return out.withColumn("passed", F.expr(" and ".join(checks)))
+
+
 def integrity(manifest: DataFrame, rows: DataFrame, key: str, fold: str) -> DataFrame:
     """Of predictions against a fold manifest: missing, extra and repeated keys, and wrong folds."""
     m = manifest.select(key, F.col(fold).alias("__f"), F.lit(True).alias("__m"))

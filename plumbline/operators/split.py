@@ -60,8 +60,8 @@ def accept_rule(exact: Column, distance: Column, correlation: Column, left_words
     close = relative_difference(left_words, right_words) <= 0.10
     return (
         F.when(exact, "exact_sha256")
-        .when((distance <= 2) & close, "phash_le_2")
-        .when((distance <= 6) & (correlation >= 0.90) & close, "phash_le_6_correlated")
+        .when((distance <= 2) & close, "phash_le2_words_le10pct")
+        .when((distance <= 6) & (correlation >= 0.90) & close, "phash_le6_corr_ge090_words_le10pct")
         .otherwise("")
     )
 

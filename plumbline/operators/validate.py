@@ -89,6 +89,28 @@ def polygon_checks(boxes: DataFrame, width: Column, height: Column, tolerance: f
     )
 
 
+def submission_report(boxes: DataFrame, expected: DataFrame, width: Column, height: Column, tolerance: float = 8.0, most: int = 500) -> DataFrame:
+    """polygon_checks() and the counters that need the expected images: missing, extra and empty ones, and polygons per image.
+
+    boxes: image and polygon, a row with a null polygon for an image without any; expected: image. An
+    expected image without a row is missing, one with only a null polygon empty.
+    """
+    per = boxes.groupBy("image").agg(F.count("polygon").alias("n"))
+    met = per.join(expected.select("image").distinct().withColumn("__e", F.lit(True)), "image", "full")
+    counts = met.agg(
+        F.count("n").alias("rows"), F.count_if(F.col("n").isNull()).alias("missing_images"), F.count_if(F.col("__e").isNull()).alias("extra_images"), F.count_if(F.col("n") == 0).alias("empty_images"),
+        F.coalesce(F.min("n"), F.lit(0)).alias("least_polygons"), F.coalesce(F.max("n"), F.lit(0)).alias("most_polygons"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean_polygons"),
+    )
+    checks = polygon_checks(boxes.where(F.col("polygon").isNotNull()), width, height, tolerance, most).drop("images")
+    return passed(counts.join(checks), (*FATAL, "missing_images", "extra_images"))
+
+
+def same_settings(left: dict[str, float], right: dict[str, float]) -> None:
+    """Two models whose maps are mixed have to be binarised alike."""
+    if bad := sorted(k for k in left.keys() | right.keys() if left.get(k) != right.get(k)):
+        raise ContractError(f"settings differ: {', '.join(bad)}")
+
+
 def passed(checks: DataFrame, fatal=FATAL) -> DataFrame:
     return checks.withColumn("passed", F.greatest(*(F.coalesce(F.col(c), F.lit(0)) for c in fatal), F.lit(0)) == 0)
 

@@ -31,10 +31,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import coverage  # noqa: F401 (registers more)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import coverage  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -99,10 +103,7 @@ THRESHOLDS = (0.0, 0.02, 0.04, 0.06, 0.08)
 )
 def threshold_sweep(spark, sf_dir):
     rows = B.lines(spark, sf_dir)
-    key = F.struct("threshold", F.col("image").alias("id"))
-    truth = B.ground_truth(rows).withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS)))).withColumn("image", key)
-    found = compare.threshold_sweep(B.detections(rows, "l_discount"), "l_discount", list(THRESHOLDS)).withColumn("image", key)
-    per = cleval.evaluate_boxes(truth, found.drop("l_discount")).withColumn("threshold", F.col("image.threshold"))
+    per = cleval.sweep_boxes(B.ground_truth(rows), B.detections(rows, "l_discount"), "l_discount", list(THRESHOLDS))
     out = cleval.report(per, "threshold").select("threshold", "images", "macro_hmean", "global_hmean", *cleval.COUNTERS)
     return _round(out, "macro_hmean", "global_hmean")
 
@@ -576,10 +577,8 @@ def counter_diagnosis(spark, sf_dir):
     from ..operators.selection import counter_diagnosis as diagnose
 
     rows = B.lines(spark, sf_dir)
-    key = F.struct("threshold", F.col("image").alias("id"))
-    truth = B.ground_truth(rows).withColumn("threshold", F.explode(F.array(F.lit(0.0), F.lit(0.05)))).withColumn("image", key)
-    found = compare.threshold_sweep(B.detections(rows, "l_discount"), "l_discount", [0.0, 0.05]).withColumn("image", key)
-    totals = cleval.total(cleval.evaluate_boxes(truth, found.drop("l_discount")).withColumn("threshold", F.col("image.threshold")), "threshold")
+    per = cleval.sweep_boxes(B.ground_truth(rows), B.detections(rows, "l_discount"), "l_discount", [0.0, 0.05])
+    totals = cleval.total(per, "threshold")
     return diagnose(totals, "threshold", 0.0, 0.05, list(cleval.COUNTERS))
 
 
