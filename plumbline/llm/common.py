@@ -135,6 +135,7 @@ def map_text(
                 cols = [part.column(i) for i in range(part.num_columns) if i != at]
                 new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, *new], [*kept, *arrow.names])
+        pa.default_memory_pool().release_unused()  # workers live on: what the pool holds back adds up
 
     return src.mapInArrow(run, schema)
 
@@ -158,5 +159,6 @@ def filter_text(df: DataFrame, factory: Callable[[], Callable[..., Sequence[bool
                         [out.column(i) for i in range(out.num_columns) if i != at],
                         [n for i, n in enumerate(out.schema.names) if i != at],
                     )
+        pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, df.schema)

@@ -15,7 +15,6 @@ sampled rows and leans to either side by more than chance.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +26,7 @@ from .simhash import fingerprint
 
 GRADES = 3
 #: Below a half: held out, clean rows hardly reach it, and a miss is worse than a false alarm of one in a thousand.
-THRESHOLD = 0.25
+THRESHOLD = 0.2
 #: Labelled rows used for training at most, of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 #: A feature is in so many sampled rows at least, of SAMPLE rows; in fewer rows of a smaller sample, but in MIN_ROWS.
@@ -87,10 +86,6 @@ class Model:
         return [1 / (1 + math.exp(min(700.0, t - score))) for t in self.thresholds]
 
 
-def _row_features(text: str) -> set[str]:
-    return {f for w in text_words(text) for f in word_features(w)}
-
-
 def distinct_rows(texts: list[str], most_bits: int = COPY_BITS) -> list[int]:
     """Numbers of the texts that are no near copy of an earlier one: copies would vouch for all of their words."""
     fps = np.array([fingerprint(t) for t in texts], np.uint64)
@@ -138,26 +133,36 @@ def _maximise(row, col, grade, size: int, grades: int, l2: float, steps: int = 4
     return params
 
 
-def _telling(rows: list[set[str]], toxic: np.ndarray, vocabulary: int) -> list[str]:
-    """The features that lean to either side by more than chance, the furthest first."""
-    sides = [Counter(), Counter()]
-    for features, v in zip(rows, toxic.tolist(), strict=True):
-        sides[v].update(features)
-    n = np.bincount(toxic, minlength=2)
-    least = max(MIN_ROWS, min(SAMPLE_ROWS_OF_FEATURE, len(rows) * SAMPLE_ROWS_OF_FEATURE // (SAMPLE_TOXIC + SAMPLE_CLEAN)))
-    names = [f for f in sides[0].keys() | sides[1].keys() if sides[0][f] + sides[1][f] >= least]
-    a, b = (np.array([side[f] for f in names], float) for side in (sides[1], sides[0]))
-    odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    # A small sample may have nothing beyond chance: its furthest features are all there is to go by.
-    order = sorted(range(len(names)), key=lambda i: (-z[i], names[i]))
-    return [names[i] for i in order[:vocabulary] if z[i] >= MIN_Z] or [names[i] for i in order[:32]]
-
-
-def _indexed(rows: list[set[str]], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    number = {f: i for i, f in enumerate(names)}
-    which = [sorted(number[f] for f in r & number.keys()) for r in rows]
-    return np.repeat(np.arange(len(rows)), [len(x) for x in which]), np.array([i for x in which for i in x], int)
+class Features:
+    """The features of texts as numbers: each name is held once, a text is an array."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        self.rows = [np.fromiter({number.setdefault(f, len(number)) for w in text_words(t) for f in word_features(w)}, np.int32) for t in texts]
+        self.names = list(number)
+
+    def telling(self, which: np.ndarray, toxic: np.ndarray, vocabulary: int) -> np.ndarray:
+        """The features that lean to either side by more than chance in some of the texts, the furthest first."""
+        sides = [np.zeros(len(self.names), np.int64) for _ in range(2)]
+        for i, v in zip(which.tolist(), toxic.tolist(), strict=True):
+            sides[v][self.rows[i]] += 1
+        n = np.bincount(toxic, minlength=2)
+        least = max(MIN_ROWS, min(SAMPLE_ROWS_OF_FEATURE, len(which) * SAMPLE_ROWS_OF_FEATURE // (SAMPLE_TOXIC + SAMPLE_CLEAN)))
+        some = np.flatnonzero(sides[0] + sides[1] >= least)
+        a, b = sides[1][some].astype(float), sides[0][some].astype(float)
+        odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
+        z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        order = np.array(sorted(range(len(some)), key=lambda i: (-z[i], self.names[some[i]])), int)
+        # A small sample may have nothing beyond chance: its furthest features are all there is to go by.
+        found = order[:vocabulary][z[order[:vocabulary]] >= MIN_Z]
+        return some[found if len(found) else order[:32]]
+
+    def indexed(self, which: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the features that the texts have."""
+        place = np.full(len(self.names), -1)
+        place[features] = np.arange(len(features))
+        columns = [np.sort(c[c >= 0]) for c in (place[self.rows[i]] for i in which.tolist())]
+        return np.repeat(np.arange(len(which)), [len(c) for c in columns]), np.concatenate(columns) if columns else np.zeros(0, int)
 
 
 def train(texts: list[str], toxic: list[int], vocabulary: int = VOCABULARY, l2: float = L2) -> Model:
@@ -166,22 +171,24 @@ def train(texts: list[str], toxic: list[int], vocabulary: int = VOCABULARY, l2:
     texts, y = [texts[i] for i in kept], np.array([toxic[i] for i in kept], int)
     if not len(y) or y.min() == y.max():
         return Model({}, tuple(10.0 + k for k in range(GRADES)))
-    rows = [_row_features(t) for t in texts]
-    fold = np.arange(len(y)) % FOLDS
+    features = Features(texts)
+    every = np.arange(len(y))
+    fold = every % FOLDS
     sure = np.zeros(len(y))
     for k in range(FOLDS):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if y[rest].min() == y[rest].max():
             continue
-        names = _telling([rows[i] for i in rest], y[rest], vocabulary)
-        params = _maximise(*_indexed([rows[i] for i in rest], names), y[rest], len(names), 1, l2, steps=150)
-        row, col = _indexed([rows[i] for i in own], names)
+        chosen = features.telling(rest, y[rest], vocabulary)
+        params = _maximise(*features.indexed(rest, chosen), y[rest], len(chosen), 1, l2, steps=150)
+        row, col = features.indexed(own, chosen)
         sure[own] = np.bincount(row, params[:-1][col], len(own)) - params[-1]
     at = np.flatnonzero(y)
     grade = np.zeros(len(y), int)
     grade[at[np.lexsort((at, sure[at]))]] = 1 + np.arange(len(at)) * GRADES // len(at)
-    names = _telling(rows, y, vocabulary)
-    params = _maximise(*_indexed(rows, names), grade, len(names), GRADES, l2)
+    chosen = features.telling(every, y, vocabulary)
+    names = [features.names[i] for i in chosen.tolist()]
+    params = _maximise(*features.indexed(every, chosen), grade, len(names), GRADES, l2)
     t = params[len(names)] + np.concatenate(([0], np.cumsum(np.exp(params[len(names) + 1 :]))))
     return Model({f: float(x) for f, x in zip(names, params, strict=False) if abs(x) > 1e-3}, tuple(t.tolist()))
 
