@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes that one call of a batch function sees; a longer text comes alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: A small table is spread in parts of this many bytes; one of more bytes a core is not small.
 SPREAD_BYTES, MOST_SPREAD_BYTES = 1 << 20, 16 << 20
 
@@ -86,6 +88,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and what they hold back adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE_BYTES of text each."""
     lengths = pc.binary_length(texts).to_pylist()
@@ -135,7 +145,7 @@ def map_text(
                 cols = [part.column(i) for i in range(part.num_columns) if i != at]
                 new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, *new], [*kept, *arrow.names])
-        pa.default_memory_pool().release_unused()  # workers live on: what the pool holds back adds up
+        release_memory()
 
     return src.mapInArrow(run, schema)
 
@@ -159,6 +169,6 @@ def filter_text(df: DataFrame, factory: Callable[[], Callable[..., Sequence[bool
                         [out.column(i) for i in range(out.num_columns) if i != at],
                         [n for i, n in enumerate(out.schema.names) if i != at],
                     )
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return src.mapInArrow(run, df.schema)

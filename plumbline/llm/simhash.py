@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_text, text_or_empty, unused
+from .common import checkpointed, map_text, release_memory, text_or_empty, unused
 
 MAX_BITS, SHINGLE_WORDS = 4, 4
 #: (shift, bits) of the slices.
 SLICES = ((0, 22), (22, 21), (43, 21))
 #: Homes that one part of an anchor holds and visitors that are compared at a time.
-HOMES, VISITORS = 2048, 4096
+HOMES, VISITORS = 2048, 2048
 _GENERATOR = 0b101011100011  # of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
@@ -107,11 +107,12 @@ def anchors(slices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _visits(batches):
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False)
-        for a in range(0, len(fps), 1 << 16):
-            fp = fps[a : a + (1 << 16)]
+        for a in range(0, len(fps), 1 << 12):
+            fp = fps[a : a + (1 << 12)]
             for k, (shift, bits) in enumerate(SLICES):
                 which, anchor, home = anchors((fp >> shift) & ((1 << bits) - 1))
                 yield pa.RecordBatch.from_arrays([pa.array((k << 23 | anchor).astype(np.int32)), pa.array(home), pa.array(fp[which])], ["anchor", "home", "fp"])
+    release_memory()
 
 
 def _forest(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +130,8 @@ def _forest(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(homes: np.ndarray, visitors: np.ndarray, k: int, max_bits: int):
     """Links of homes with visitors at an anchor of slice k, as pairs that span the same components."""
-    for a in range(0, len(homes), 512):
-        h = homes[a : a + 512]
+    for a in range(0, len(homes), 256):
+        h = homes[a : a + 256]
         hits = h[:, None].view(np.int64) < visitors[None, :].view(np.int64)
         x = h[:, None] ^ visitors[None, :]
         hits &= np.bitwise_count(x) <= max_bits
@@ -169,6 +170,7 @@ def _compare(max_bits: int):
                 u, v = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        release_memory()
 
     return run
 

@@ -38,7 +38,7 @@ FOLDS, L2 = 3, 1e-4
 COPY_BITS = 8
 PREFIXES = (5, 6, 7, 8)
 _EDGE = ".,;:!?\"'()[]{}<>|#*$%&-_=+/\\~`"
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 50_000
 
 
 def word_features(word: str) -> list[str]:
