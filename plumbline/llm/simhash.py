@@ -7,8 +7,14 @@ within 3 of its slice and visits every anchor within 3 + 1, about five. If slice
 one bit at most, y visits x's home anchor, so comparing homes with visitors at each anchor over the
 full 64 bits finds every pair, and nothing is capped.
 
+That compares 0.4 % of all pairs, so from FINE_FROM fingerprints on anchors are pairs of codewords of
+two slices. The slice that differs most holds at least a third of the bits, so the other two differ in
+two bits at most: a fingerprint is at home at one of 4096^2 anchors for each two slices and visits
+those that are within 3 and 3 of theirs but for two bits in all, about 61. That is some 180 short rows
+a fingerprint whatever their number, and 0.001 % of all pairs.
+
 Only distinct fingerprints are compared. A pair counts where the smaller fingerprint is at home, in
-the first slice that qualifies, hence once. What a task emits is a spanning forest of the links it
+the first slice (or two slices) that qualifies, hence once. What a task emits is a spanning forest of the links it
 found, not the pairs: a group of n near copies costs about n rows. An anchor with many homes is
 split by salt, homes once and visitors to each part, and visitors stream past the homes, so memory
 is bounded by HOMES x VISITORS. Components come from min-label contraction in DataFrames, one
@@ -17,6 +23,7 @@ checkpoint a round.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -32,6 +39,8 @@ MAX_BITS, SHINGLE_WORDS = 4, 4
 SLICES = ((0, 22), (22, 21), (43, 21))
 #: Homes that one part of an anchor holds and visitors that are compared at a time.
 HOMES, VISITORS = 2048, 2048
+#: Distinct fingerprints from which two slices make an anchor: both coverings cost about the same there.
+FINE_FROM = 1 << 25
 _GENERATOR = 0b101011100011  # of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
@@ -80,12 +89,38 @@ def _syndrome(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@dataclass(frozen=True)
+class Cover:
+    """Which slices make an anchor, and by how many bits in all a visitor may be beyond their radius."""
+
+    groups: tuple[tuple[int, ...], ...]
+    slack: int
+
+    @property
+    def most_bits(self) -> int:
+        """The most differing bits of which no pair is lost."""
+        return 5 if self is COARSE else 4
+
+    def key(self, k: int, anchors: list[np.ndarray]) -> np.ndarray:
+        key = np.full(len(anchors[0]), k, np.int64)
+        for a in anchors:
+            key = key << 23 | a
+        return key
+
+    def masks(self, k: int) -> list[np.uint64]:
+        """The bits of the groups up to and with group k."""
+        return [np.uint64(sum(((1 << SLICES[i][1]) - 1) << SLICES[i][0] for i in g)) for g in self.groups[: k + 1]]
+
+
+COARSE, FINE = Cover(((0,), (1,), (2,)), 1), Cover(((0, 1), (0, 2), (1, 2)), 2)
+
+
 @cache
-def _covering() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words of weight 4 or less by syndrome, lightest first: starts, patterns, weights."""
+def _covering(radius: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of weight radius or less by syndrome, lightest first: starts, patterns, weights."""
     bits = np.int64(1) << np.arange(23)
     layers = [np.zeros(1, np.int64)]
-    for _ in range(4):
+    for _ in range(radius):
         layers.append(np.unique((layers[-1][:, None] ^ bits[None, :])[(layers[-1][:, None] & bits[None, :]) == 0]))
     words = np.concatenate(layers)
     weights = np.bitwise_count(words)
@@ -94,25 +129,50 @@ def _covering() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, words[order], weights[order]
 
 
-def anchors(slices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For 23-bit words: which word, the anchor, and whether the word is at home there."""
-    starts, words, weights = _covering()
+def _every(starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which run and what place, for runs of n places from starts."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
+
+
+def anchors(slices: np.ndarray, slack: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For 23-bit words: which word, the anchor, and by how many bits it is beyond the radius (0 at home)."""
+    starts, words, weights = _covering(3 + slack)
     s = _syndrome(slices.astype(np.int64))
-    n = starts[s + 1] - starts[s]
-    which = np.repeat(np.arange(len(slices)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[s], n)
-    return which, slices[which] ^ words[at], weights[at] <= 3
+    which, at = _every(starts[s], starts[s + 1] - starts[s])
+    return which, slices[which] ^ words[at], np.maximum(weights[at].astype(np.int64) - 3, 0)
+
+
+def _anchors_of(fp: np.ndarray, cover: Cover, k: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For fingerprints: which one, the anchor of group k, and whether it is at home there."""
+    which, found, beyond = np.arange(len(fp)), [], np.zeros(len(fp), np.int64)
+    for i in cover.groups[k]:
+        shift, bits = SLICES[i]
+        own, anchor, more = anchors((fp >> shift) & ((1 << bits) - 1), slack)
+        n = np.bincount(own, minlength=len(fp))
+        row, at = _every((np.cumsum(n) - n)[which], n[which])
+        total = beyond[row] + more[at]
+        keep = total <= slack
+        row, at, beyond = row[keep], at[keep], total[keep]
+        which, found = which[row], [*(f[row] for f in found), anchor[at]]
+    return which, cover.key(k, found), beyond == 0
+
+
+def _visits(cover: Cover, slack: int):
+    """Rows (anchor, home, fp) of the anchors of fingerprints; with no slack, their homes."""
 
+    def run(batches):
+        kind = np.int32 if cover is COARSE else np.int64
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            for a in range(0, len(fps), 1 << 12):
+                fp = fps[a : a + (1 << 12)]
+                for k in range(len(cover.groups)):
+                    which, anchor, home = _anchors_of(fp, cover, k, slack)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(kind)), pa.array(home), pa.array(fp[which])], ["anchor", "home", "fp"])
+        release_memory()
 
-def _visits(batches):
-    for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
-        for a in range(0, len(fps), 1 << 12):
-            fp = fps[a : a + (1 << 12)]
-            for k, (shift, bits) in enumerate(SLICES):
-                which, anchor, home = anchors((fp >> shift) & ((1 << bits) - 1))
-                yield pa.RecordBatch.from_arrays([pa.array((k << 23 | anchor).astype(np.int32)), pa.array(home), pa.array(fp[which])], ["anchor", "home", "fp"])
-    release_memory()
+    return run
 
 
 def _forest(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +188,8 @@ def _forest(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         homes = least
 
 
-def _links(homes: np.ndarray, visitors: np.ndarray, k: int, max_bits: int):
-    """Links of homes with visitors at an anchor of slice k, as pairs that span the same components."""
+def _links(homes: np.ndarray, visitors: np.ndarray, masks: list[np.uint64], slack: int, max_bits: int):
+    """Links of homes with visitors at an anchor, as pairs that span the same components; masks are the bits of its group, last, and those before."""
     for a in range(0, len(homes), 256):
         h = homes[a : a + 256]
         hits = h[:, None].view(np.int64) < visitors[None, :].view(np.int64)
@@ -139,8 +199,9 @@ def _links(homes: np.ndarray, visitors: np.ndarray, k: int, max_bits: int):
         if not len(rows):
             continue
         x, hits = x[np.ix_(rows, cols)], hits[np.ix_(rows, cols)]
-        for shift, bits in SLICES[:k]:  # an earlier slice has this pair
-            hits &= np.bitwise_count(x >> np.uint64(shift) & np.uint64((1 << bits) - 1)) > 1
+        for mask in masks[:-1]:  # an earlier group has this pair
+            hits &= np.bitwise_count(x & mask) > slack
+        hits &= np.bitwise_count(x & masks[-1]) <= slack  # beyond that a pair meets by chance, and a later group has it
         near, far = _forest(hits)
         linked = far < len(rows)
         yield h[rows[far[linked]]], visitors[cols[linked]]
@@ -148,24 +209,28 @@ def _links(homes: np.ndarray, visitors: np.ndarray, k: int, max_bits: int):
         yield h[rows[near[moved]]], h[rows[moved]]
 
 
-def _compare(max_bits: int):
+def _compare(cover: Cover, max_bits: int):
+    masks = [cover.masks(k) for k in range(len(cover.groups))]
+    group_bits = 23 * len(cover.groups[0])
+
     def run(batches):
-        key, homes, held = None, [], np.zeros(0, np.uint64)
+        key, held = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keys = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+            anchor, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             home, fp = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy().view(np.uint64)
-            cuts = np.concatenate(([0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)])) if len(keys) else [0]
+            new = np.nonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))[0] + 1
+            cuts = np.concatenate(([0], new, [len(anchor)])) if len(anchor) else [0]
             out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if keys[a] != key:
-                    key, homes, held = keys[a], [], np.zeros(0, np.uint64)
+                if (now := (int(anchor[a]), int(part[a]))) != key:
+                    key, held = now, np.zeros(0, np.uint64)
                 mine = home[a:b]
                 if mine.any():  # homes of a key sort before its visitors
                     held = np.concatenate((held, fp[a:b][mine]))
                 for c in range(a, b, VISITORS):
                     seen = fp[c : min(b, c + VISITORS)][~home[c : min(b, c + VISITORS)]]
                     if len(seen) and len(held):
-                        out += _links(held, seen, int(key >> 32) >> 23, max_bits)
+                        out += _links(held, seen, masks[key[0] >> group_bits], cover.slack, max_bits)
             if out:
                 u, v = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
                 if len(u):
@@ -175,23 +240,29 @@ def _compare(max_bits: int):
     return run
 
 
-def spanning_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def spanning_links(fps: DataFrame, max_bits: int = MAX_BITS, fine_from: int = FINE_FROM) -> DataFrame:
     """Pairs (u, v) of fingerprints whose components are those of all links of max_bits or fewer.
 
-    fps has distinct longs in its column fp.
+    fps has distinct longs in its column fp, and is read more than once. Both coverings give the same
+    components; from fine_from fingerprints on, the finer one is used.
     """
-    if max_bits >= 2 * len(SLICES):
-        raise ValueError("this covering finds up to 5 differing bits")
-    visits = fps.select("fp").mapInArrow(_visits, "anchor int, home boolean, fp long")
-    # A table of 3 x 4096 rows at most: the code bounds it, not the data.
-    parts = visits.where("home").groupBy("anchor").agg(F.ceil(F.count("*") / HOMES).cast("int").alias("parts"))
+    if max_bits > COARSE.most_bits:
+        raise ValueError(f"this covering finds up to {COARSE.most_bits} differing bits")
+    cover = FINE if max_bits <= FINE.most_bits and fps.count() >= fine_from else COARSE
+    kind = "int" if cover is COARSE else "long"
+    visits = fps.select("fp").mapInArrow(_visits(cover, cover.slack), f"anchor {kind}, home boolean, fp long")
+    homes = fps.select("fp").mapInArrow(_visits(cover, 0), f"anchor {kind}, home boolean, fp long")
+    parts = homes.groupBy("anchor").agg(F.ceil(F.count("*") / HOMES).cast("int").alias("parts"))
+    # A table of 3 x 4096 rows at most: the code bounds it, not the data. Of the finer anchors few have parts, but no bound says so.
+    parts = F.broadcast(parts) if cover is COARSE else checkpointed(parts.where("parts > 1"))
     part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = visits.join(F.broadcast(parts), "anchor").select("anchor", part.alias("part"), "home", "fp", "parts")
+    dealt = visits.join(parts, "anchor", "inner" if cover is COARSE else "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.select("anchor", part.alias("part"), "home", "fp", "parts")
     # A home is also a visitor of its anchor; it is held in one part and passes all.
     roles = F.array(F.lit(True), F.lit(False))
     dealt = dealt.select("anchor", "part", F.explode(F.when(F.col("home") & (F.pmod(F.xxhash64("fp"), "parts") == F.col("part")), roles).otherwise(F.array(F.lit(False)))).alias("held"), "fp")
     sorted_parts = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("held"))
-    return sorted_parts.mapInArrow(_compare(max_bits), "u long, v long")
+    return sorted_parts.mapInArrow(_compare(cover, max_bits), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,7 +291,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _named_components(docs: DataFrame, max_bits: int) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of docs (doc_id, fp)."""
-    first = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = components(spanning_links(first.select("fp"), max_bits))
     labelled = first.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     named = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -282,5 +353,5 @@ def drop_near_duplicates(
         docs, links = linked_sets(src, max_bits, shingle_words)
     else:
         docs = checkpointed(fingerprints(src, shingle_words, "text", ["doc_id", "__key"]))
-        links = spanning_links(docs.select("fp").distinct(), max_bits)
+        links = spanning_links(checkpointed(docs.select("fp").distinct()), max_bits)
     return heads_only(df, docs, components(links), doc_id, text)

@@ -285,7 +285,8 @@ def test_anchors_cover():
     assert len(words) == sum(np.diff(starts)) == 1 + 23 + 253 + 1771 + 8855
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 23, 2000)
-    which, at, home = simhash.anchors(x)
+    which, at, beyond = simhash.anchors(x)
+    home = beyond == 0
     assert (np.bincount(which[home], minlength=2000) == 1).all()
     homes = dict(zip(which[home], at[home], strict=True))
     visits = defaultdict(set)
@@ -294,8 +295,29 @@ def test_anchors_cover():
     assert all(homes[i] in visits[i] for i in range(2000))
 
 
-def test_links_lose_no_pair(spark):
-    """Chains and clouds of fingerprints a few bits apart, against all pairs."""
+@pytest.mark.parametrize("cover", [simhash.COARSE, simhash.FINE])
+def test_covers_count_each_pair_once(cover):
+    """Every pair of 4 bits or fewer meets at an anchor, and in one group only."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-(1 << 63), 1 << 63, 400)
+    y = x.copy()
+    for i in range(len(x)):
+        for b in rng.choice(64, i % 5, replace=False):
+            y[i] ^= np.int64(np.uint64(1 << int(b)).view(np.int64))
+    met = np.zeros(len(x), int)
+    for k in range(3):
+        homes = dict(zip(*simhash._anchors_of(x, cover, k, 0)[:2], strict=True))
+        assert len(homes) == len(x)
+        visits = set(zip(*simhash._anchors_of(y, cover, k, cover.slack)[:2], strict=True))
+        for i, d in enumerate(x ^ y):
+            *earlier, own = [int(np.uint64(int(d) % (1 << 64)) & m).bit_count() for m in cover.masks(k)]
+            met[i] += (i, homes[i]) in visits and own <= cover.slack and all(e > cover.slack for e in earlier)
+    assert (met == 1).all()
+
+
+@pytest.mark.parametrize("fine_from", [1 << 25, 0])
+def test_links_lose_no_pair(spark, fine_from):
+    """Chains and clouds of fingerprints a few bits apart, against all pairs, by both coverings."""
     rng = np.random.default_rng(1)
     fps = set()
     for _ in range(30):
@@ -306,7 +328,7 @@ def test_links_lose_no_pair(spark):
                 x ^= 1 << int(b)
     fps = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    labels = dict(map(tuple, simhash.components(simhash.spanning_links(df)).collect()))
+    labels = dict(map(tuple, simhash.components(simhash.spanning_links(df, fine_from=fine_from)).collect()))
     want = brute_components([(f, f % (1 << 64)) for f in fps])
     groups = defaultdict(set)
     for f, w in zip(fps, want, strict=True):
