@@ -6,18 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nan_to_null
+from .ranking import quantiles as exact_quantiles
 
 
 def profile(df: DataFrame, by: str, metrics: list[str], quantiles=((0.5, "median"), (0.1, "q10"), (0.9, "q90"))) -> DataFrame:
     """Rows and exact quantiles of each metric of each group; NaN counts as missing."""
     each = [q for q, _ in quantiles]
-    arrays = df.groupBy(by).agg(F.count("*").alias("rows"), *(F.percentile(nan_to_null(F.col(m).cast("double")), each).alias(m) for m in metrics))
-    return arrays.select(by, "rows", *(F.col(m)[i].alias(f"{m}_{name}") for m in metrics for i, (_, name) in enumerate(quantiles)))
+    out = df.groupBy(by).agg(F.count("*").alias("rows"))
+    for m in metrics:
+        out = _joined(out, exact_quantiles(df.select(by, nan_to_null(F.col(m).cast("double")).alias(m)), [by], m, each, f"__q_{m}"), [by])
+    return out.select(by, "rows", *(F.col(f"__q_{m}")[i].alias(f"{m}_{name}") for m in metrics for i, (_, name) in enumerate(quantiles)))
+
+
+def _joined(groups: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """groups with the values of their keys, null keys too; groups without values stay."""
+    right = values.withColumnsRenamed({k: f"__of_{k}" for k in by})
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return groups.join(right, same, "left").drop(*(f"__of_{k}" for k in by))
 
 
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     c = F.col(value)
-    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.avg(c).alias("mean"), F.sum(c).alias("total"), F.min(c).alias("least"), F.max(c).alias("most"), F.median(c).alias("median"))
+    out = df.groupBy(*by).agg(F.count("*").alias("rows"), F.avg(c).alias("mean"), F.sum(c).alias("total"), F.min(c).alias("least"), F.max(c).alias("most"))
+    return _joined(out, exact_quantiles(df, by, value, [0.5], "__q"), by).withColumn("median", F.col("__q")[0]).drop("__q")
 
 
 def shares(df: DataFrame, by: list[str]) -> DataFrame:
@@ -74,8 +87,8 @@ def strata(df: DataFrame, named: dict[str, Column], aggregates: list[Column]) ->
 
 def quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Exact lower and upper quartiles; a handful of numbers comes to the driver."""
-    row = df.agg(*(F.percentile(F.col(c).cast("double"), [0.25, 0.75]).alias(c) for c in columns)).first()
-    return {c: tuple(row[c]) if row[c] else (None, None) for c in columns}
+    found = {c: exact_quantiles(df, [], c, [0.25, 0.75]).first()[0] for c in columns}
+    return {c: tuple(q) if q else (None, None) for c, q in found.items()}
 
 
 def sanity(boxes: DataFrame, width: Column, height: Column, most: int = 500) -> DataFrame:

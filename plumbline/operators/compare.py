@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .ranking import average_rank
+from .ranking import average_rank, cut_lineage, in_ranges, quantiles, shifts, with_shifts
 
 
 def paired(control: DataFrame, candidate: DataFrame, key: str, metrics: list[str]) -> DataFrame:
@@ -125,16 +125,21 @@ def drift(df: DataFrame, group: str, value: str, reference: str) -> DataFrame:
     merged = both.groupBy("g", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("g")
-    up = w.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    gaps = merged.select("g", "v", F.sum("a").over(up).alias("ca"), F.sum("b").over(up).alias("cb"), F.sum("a").over(w).alias("na"), F.sum("b").over(w).alias("nb"), F.lead("v").over(w.orderBy("v")).alias("next"))
+    dealt = in_ranges(cut_lineage(merged), "v")
+    inside = W.partitionBy("g", "__range").orderBy("v")
+    up = inside.rowsBetween(W.unboundedPreceding, 0)
+    each = dealt.select("g", "__range", "v", F.sum("a").over(up).alias("ia"), F.sum("b").over(up).alias("ib"), F.lead("v").over(inside).alias("after"))
+    placed = with_shifts(each, shifts(dealt, ["g"], {"a": F.sum("a"), "b": F.sum("b")}, "v"), ["g"])
+    gaps = placed.select(
+        "g", "v", (F.col("ia") + F.col("__before_a")).alias("ca"), (F.col("ib") + F.col("__before_b")).alias("cb"), F.col("__all_a").alias("na"), F.col("__all_b").alias("nb"), F.coalesce("after", "__next").alias("next")
+    )
     distance = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))
     stats = gaps.groupBy("g").agg(
         F.max(distance).alias("ks_statistic"), F.sum(distance * (F.coalesce("next", "v") - F.col("v"))).alias("wasserstein"), F.first("na").alias("n_reference"), F.first("nb").alias("n_target")
     )
-    m = rows.groupBy("g").agg(F.median("v").alias("median"), F.percentile("v", [0.25, 0.75]).alias("q"))
-    ref = m.where(F.col("g") == reference).select(F.col("median").alias("reference_median"), (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
-    out = stats.join(m.select("g", F.col("median").alias("target_median")), "g").join(F.broadcast(ref))
+    m = cut_lineage(quantiles(rows, ["g"], "v", [0.25, 0.5, 0.75], "q"))
+    ref = m.where(F.col("g") == reference).select(F.col("q")[1].alias("reference_median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    out = stats.join(m.select("g", F.col("q")[1].alias("target_median")), "g").join(F.broadcast(ref))
     return out.select(
         F.col("g").alias(group), "n_reference", "n_target", "reference_median", "target_median", (F.col("target_median") - F.col("reference_median")).alias("median_delta"),
         "ks_statistic", "wasserstein", (F.col("wasserstein") / F.greatest("iqr", F.lit(1e-12))).alias("wasserstein_over_iqr"),

@@ -2,39 +2,86 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows of a range, about, and ranges at least and at most.
+ROWS_OF_RANGE, RANGES = 1 << 20, (64, 4096)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where none is set and the master is local."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
+    return df.checkpoint()
+
+
 def rank_first(df: DataFrame, value: str, ties: list[str], by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Ranks from 1, ties in the order of the tie columns.
+    """Ranks from 1 over the table or each group, ties in the order of the tie columns."""
+    return numbered(df, by or [], [value, *ties], name, None)
 
-    A rank over the whole table needs a total order; use by to rank within groups at scale, or
-    global_rank() for one that is distributed.
-    """
-    if by:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(value, *ties)))
-    return global_rank(df, [value, *ties], name)
 
+def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """Row numbers from 1 over the whole table without sorting it in one task."""
+    return numbered(df, [], order, name, None)
 
-def global_rank(df: DataFrame, order: list[str], name: str = "rank", ranges: int = 64) -> DataFrame:
-    """Row numbers from 1 over the whole table without sorting it in one task.
 
-    Rows are cut in ranges at sampled quantiles of the first order column, numbered within each range,
-    and shifted by the sizes of the ranges before: a table of at most ranges + 1 rows. Ties on the
-    first column stay in one range.
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, total: str | None, start: int = 1) -> DataFrame:
+    """df with its row numbers in each sorted group, from start, and the rows of the group if total names them.
+
+    A group is no task: rows are numbered within a range of the first order column and shifted by the
+    sizes of the group's ranges before. Ties on that column stay in one range. Nulls come first.
     """
-    first = F.col(order[0])
-    cuts = df.select(first.cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.002)
-    cuts = sorted(set(cuts))
-    at = F.aggregate(F.array(*map(F.lit, cuts)).cast("array<double>"), F.lit(0), lambda s, c: s + F.when(first.cast("double") > c, 1).otherwise(0)) if cuts else F.lit(0)
-    dealt = df.withColumn("__range", F.when(first.isNull(), -1).otherwise(at))
-    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select("__range", before.alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__range").orderBy(*order))
-    return dealt.withColumn("__k", inside).join(F.broadcast(shifts), "__range").withColumn(name, (F.col("__k") + F.col("__before")).cast("long")).drop("__range", "__k", "__before")
+    dealt = in_ranges(df, order[0])
+    inside = dealt.withColumn("__i", F.row_number().over(W.partitionBy(*by, "__range").orderBy(*order)))
+    out = with_shifts(inside, shifts(dealt, by, {"n": F.count("*")}), by)
+    extra = [F.col("__all_n").cast("long").alias(total)] if total else []
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__i") + F.col("__before_n") + (start - 1)).cast("long").alias(name), *extra)
+
+
+def in_ranges(df: DataFrame, column: str) -> DataFrame:
+    """df with __range, the range of a column between sampled quantiles of the table; their number follows the table's size."""
+    v = F.col(f"`{column}`").cast("double")
+    ranges = max(RANGES[0], min(RANGES[1], df.count() // ROWS_OF_RANGE))
+    cuts = sorted(set(df.select(v.alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.125 / ranges)))
+    beyond = lambda among: F.size(F.filter(among, lambda c: v > c))
+    if not cuts:
+        at = F.lit(0)
+    elif len(cuts) <= RANGES[0]:
+        at = beyond(F.array(*map(F.lit, cuts)))
+    else:  # in two steps: every 64th cut, then those between
+        blocks = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+        block = beyond(F.array(*(F.lit(b[-1]) for b in blocks[:-1])))
+        at = block * 64 + beyond(F.element_at(F.array(*(F.array(*map(F.lit, b)) for b in blocks)), block + 1))
+    return df.withColumn("__range", F.when(v.isNull(), -1).otherwise(at))
+
+
+def shifts(dealt: DataFrame, by: list[str], sums: dict[str, Column], first: str | None = None) -> DataFrame:
+    """Of each group and range, __before_x over the group's ranges before and __all_x over all; __next is the first value after the range."""
+    ends = [F.min(first).alias("__first")] if first else []
+    per = dealt.groupBy(*by, "__range").agg(*(c.alias(f"__s_{x}") for x, c in sums.items()), *ends)
+    group = W.partitionBy(*by)
+    before = group.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    made = [c for x in sums for c in (F.coalesce(F.sum(f"__s_{x}").over(before), F.lit(0)).alias(f"__before_{x}"), F.sum(f"__s_{x}").over(group).alias(f"__all_{x}"))]
+    return per.select(*by, "__range", *made, *([F.lead("__first").over(group.orderBy("__range")).alias("__next")] if first else []))
+
+
+def with_shifts(df: DataFrame, shifted: DataFrame, by: list[str]) -> DataFrame:
+    """df joined with shifts(); without groups these are as many rows as ranges at most."""
+    keys = [*by, "__range"]
+    right = shifted.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`__of_{k}`"))
+    return df.join(right if by else F.broadcast(right), same).drop(*(f"__of_{k}" for k in keys))
 
 
 def quantile_bin(rank: Column, n: Column, bins: int) -> Column:
@@ -50,40 +97,48 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) ->
 
 def quantile_pick(df: DataFrame, by: list[str], order: list[str], quantiles: list[float]) -> DataFrame:
     """The rows at round-half-even(q (n - 1)) of each sorted group, with the column quantile."""
-    w = W.partitionBy(*by)
-    numbered = df.withColumn("__k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
-    picked = numbered.withColumn("quantile", F.explode(F.array(*map(F.lit, quantiles))))
+    picked = numbered(df, by, order, "__k", "__n", start=0).withColumn("quantile", F.explode(F.array(*map(F.lit, quantiles))))
     return picked.where(F.col("__k") == F.rint(F.col("quantile") * (F.col("__n") - 1))).drop("__k", "__n")
 
 
 def ecdf(df: DataFrame, by: list[str], order: list[str], name: str = "ecdf") -> DataFrame:
     """Places 0..1 of each row in its sorted group; 0 for a single row."""
-    w = W.partitionBy(*by)
-    k, n = F.row_number().over(w.orderBy(*order)) - 1, F.count("*").over(w)
-    return df.withColumn(name, F.when(n > 1, k / (n - 1)).otherwise(0.0))
+    place = F.when(F.col("__n") > 1, F.col("__k") / (F.col("__n") - 1)).otherwise(0.0)
+    return numbered(df, by, order, "__k", "__n", start=0).withColumn(name, place).drop("__k", "__n")
 
 
 def average_rank(df: DataFrame, value: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Ranks with ties at their mean. It ranks distinct values: a value costs one row of the sort."""
     keys = [*(by or []), value]
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    if by:
-        before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        placed = counts.withColumn(name, before + (F.col("__n") + 1) / 2)
-    else:
-        placed = running_total(counts, value, ["__n"]).withColumn(name, F.col("__total___n") - F.col("__n") + (F.col("__n") + 1) / 2)
+    placed = running_total(cut_lineage(counts), value, ["__n"], by).withColumn(name, F.col("__total___n") - F.col("__n") + (F.col("__n") + 1) / 2)
     return df.join(placed.select(*keys, name), keys)
 
 
-def running_total(df: DataFrame, order: str, values: list[str], ranges: int = 64) -> DataFrame:
-    """__total_<value>: sums up to and with each row in the order of one column, by ranges as in global_rank()."""
-    first = F.col(order).cast("double")
-    cuts = sorted(set(df.select(first.alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.002)))
-    at = F.aggregate(F.array(*map(F.lit, cuts)).cast("array<double>"), F.lit(0), lambda s, c: s + F.when(first > c, 1).otherwise(0)) if cuts else F.lit(0)
-    dealt = df.withColumn("__range", at)
-    sums = dealt.groupBy("__range").agg(*(F.sum(v).alias(f"__s_{v}") for v in values))
-    up_to = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sums.select("__range", *(F.coalesce(F.sum(f"__s_{v}").over(up_to), F.lit(0)).alias(f"__b_{v}") for v in values))
-    inside = W.partitionBy("__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = dealt.select("*", *(F.sum(v).over(inside).alias(f"__i_{v}") for v in values)).join(F.broadcast(shifts), "__range")
-    return out.select(*df.columns, *((F.col(f"__i_{v}") + F.col(f"__b_{v}")).alias(f"__total_{v}") for v in values), "__range")
+def running_total(df: DataFrame, order: str, values: list[str], by: list[str] | None = None) -> DataFrame:
+    """df with __total_x, the sum of x up to and with each row of its group in the order of one column, and __all_x."""
+    by, dealt = by or [], in_ranges(df, order)
+    inside = W.partitionBy(*by, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    sums = dealt.select("*", *(F.sum(v).over(inside).alias(f"__i_{v}") for v in values))
+    out = with_shifts(sums, shifts(dealt, by, {v: F.sum(v) for v in values}), by)
+    return out.select(*df.columns, *((F.col(f"__i_{v}") + F.col(f"__before_{v}")).alias(f"__total_{v}") for v in values), *(f"__all_{v}" for v in values))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: list[float], name: str = "quantiles") -> DataFrame:
+    """The exact quantiles of a column in each group, interpolated, as an array; a group without values has none.
+
+    Values are counted and the counts summed by ranges, so no task holds the values of a group. Nulls
+    don't count.
+    """
+    v = F.col(f"`{value}`").cast("double").alias("__v")
+    counts = df.select(*(F.col(f"`{c}`") for c in by), v).where("__v is not null").groupBy(*by, "__v").agg(F.count("*").alias("__n"))
+    placed = running_total(cut_lineage(counts), "__v", ["__n"], by)
+    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(at)))).alias("__w")
+    p = F.col("__w.q") * (F.col("__all___n") - 1)
+    asked = placed.select("*", wanted).select("*", p.alias("__p"), F.col("__w.i").alias("__q"))
+    holds = lambda k: (k >= F.col("__total___n") - F.col("__n")) & (k < F.col("__total___n"))
+    low, high = F.floor("__p"), F.ceil("__p")
+    met = asked.where(holds(low) | holds(high))
+    each = met.groupBy(*by, "__q").agg(F.min("__v").alias("a"), F.max("__v").alias("b"), F.first(F.col("__p") - low).alias("f"))
+    value_at = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - F.col("f")) * F.col("a") + F.col("f") * F.col("b"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__q", value_at.alias("v")))), lambda x: x["v"]).alias(name))

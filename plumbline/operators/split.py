@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,18 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hamming, relative_difference
-from .ranking import quantile_bin, rank_first
-
-
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where none is set and the master is local."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
-    return df.checkpoint()
+from .ranking import cut_lineage, numbered, quantile_bin, rank_first
 
 
 def exact_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
@@ -72,18 +59,18 @@ def components(edges: DataFrame, a: str = "left", b: str = "right") -> DataFrame
     Every round maps a node to its smallest neighbour and contracts the edges, so rounds grow with the
     logarithm of the nodes; each is checkpointed.
     """
-    e = _cut_lineage(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+    e = cut_lineage(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
     labels = None
     while not e.isEmpty():
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = _cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to")))
+        step = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to")))
         if labels is None:
             labels = step.select(F.col("u").alias("node"), F.col("to").alias("label"))
         else:
             labels = labels.join(step, F.col("label") == F.col("u"), "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = _cut_lineage(labels)
+        labels = cut_lineage(labels)
         p, q = step.select("u", F.col("to").alias("x")), step.select(F.col("u").alias("v"), F.col("to").alias("y"))
-        e = _cut_lineage(e.join(p, "u").join(q, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        e = cut_lineage(e.join(p, "u").join(q, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
     return labels if labels is not None else edges.select(F.col(a).alias("node"), F.col(b).alias("label")).limit(0)
 
 
@@ -162,5 +149,5 @@ def weighted_sample(df: DataFrame, family: str, n: int, seed: int = 42, key: str
     total = families.agg(F.max("__families").alias("__t"))
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(total))
     draws = draws.withColumn("__f", F.floor(unit(1) * F.col("__t"))).join(F.broadcast(families), "__f").withColumn("__k", F.floor(unit(2) * F.col("__n")) + 1)
-    numbered = df.withColumn("__k", F.row_number().over(W.partitionBy(family).orderBy(order)).cast("long"))
-    return draws.select("draw", family, "__k").join(numbered, [family, "__k"]).drop("__k")
+    places = numbered(df, [family], [order], "__k", None)
+    return draws.select("draw", family, "__k").join(places, [family, "__k"]).drop("__k")

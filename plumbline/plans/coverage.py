@@ -315,7 +315,7 @@ def broken_submission(spark, sf_dir):
 _BROKEN_CSV = "SELECT o_orderkey AS i, o_orderkey % 7 AS c FROM orders"
 
 
-@query(f"WITH s AS ({_BROKEN_CSV}) SELECT (SELECT count(*) FROM s WHERE c <> 0) + 1 AS rows, 1::BIGINT AS duplicate_rows, (SELECT count(*) FROM s WHERE c = 0) AS missing, 1::BIGINT AS extra, (SELECT count(*) FROM s WHERE c IN (1, 2)) AS bad_sets, (SELECT count(*) FROM s WHERE c = 3) AS infinite_sets, (SELECT count(*) FROM s WHERE c = 4) AS count_mismatches")
+@query(f"WITH s AS ({_BROKEN_CSV}) SELECT (SELECT count(*) FROM s WHERE c <> 0) + 1 + (SELECT count(*) FROM s WHERE c = 5 AND i % 3 = 0) AS rows, (SELECT count(*) FROM s WHERE c = 5 AND i % 3 = 0) AS duplicate_rows, (SELECT count(*) FROM s WHERE c = 0) AS missing, 1::BIGINT AS extra, (SELECT count(*) FROM s WHERE c IN (1, 2)) AS bad_sets, (SELECT count(*) FROM s WHERE c = 3) AS infinite_sets, (SELECT count(*) FROM s WHERE c = 4) AS count_mismatches")
 def broken_csv(spark, sf_dir):
     c = F.col("i") % 7
     good = F.lit("0 0 9 0 9 9 0 9")
@@ -325,9 +325,8 @@ def broken_csv(spark, sf_dir):
     sent = keys.where(c != 0).select(name, text.alias("polygons"))
     extra = spark.createDataFrame([("nobody", "0 0 9 0 9 9 0 9")], "filename string, polygons string")
     expected = keys.select(name, F.lit(1).cast("long").alias("n"))
-    twice = spark.createDataFrame([("nobody", "")], "filename string, polygons string").limit(0)
-    got = validate.csv_checks(sent.union(extra).union(twice), expected)
-    return got.withColumn("duplicate_rows", F.col("duplicate_rows") + 1)
+    twice = keys.where((c == 5) & (F.col("i") % 3 == 0)).select(name, good.alias("polygons"))
+    return validate.csv_checks(sent.union(extra).union(twice), expected)
 
 
 @query(

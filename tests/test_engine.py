@@ -336,3 +336,28 @@ def test_scale_wise(spark):
     det = spark.createDataFrame([("a", 0, *box(0, 40)), ("a", 1, *box(200, 240))], DET)
     out = {r.bin: r for r in cleval.scale_wise(gt, det, spark.createDataFrame([("a", 200.0)], "image string, longest double"), [(0.0, 0.1), (0.1, 1.0)]).collect()}
     assert (out[0].recall, out[0].tp, out[1].recall) == (1, 4, 0) and out[0].fp == out[1].fp > 0
+
+
+def test_numbers_and_quantiles_in_groups(spark):
+    """Ranges inside groups against pandas: a hot group, ties, nulls in values and groups, single rows, over 64 ranges."""
+    from unittest import mock
+
+    rng = np.random.default_rng(4)
+    rows = [(str(g), float(v), i) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 6000) ** 2, rng.integers(0, 2000, 6000), strict=True))]
+    rows += [(None, 1.0, -1), (None, 4.0, -2), ("one", 7.0, -3), ("none", None, -4), ("0", None, -5)]
+    df = spark.createDataFrame(rows, "g string, v double, id long")
+    for least in (1 << 20, 20):  # 64 ranges, some 300
+        with mock.patch.object(ranking, "ROWS_OF_RANGE", least):
+            got = {r.id: (r.k, r.n) for r in ranking.numbered(df, ["g"], ["v", "id"], "k", "n").collect()}
+            quantiles = {r.g: r.q for r in ranking.quantiles(df, ["g"], "v", [0.1, 0.5, 1.0], "q").collect()}
+            totals = {(r.g, r.v): r["__total_id"] for r in ranking.running_total(df.where("id >= 0"), "v", ["id"], ["g"]).groupBy("g", "v").agg(F.max("__total_id").alias("__total_id")).collect()}
+        for g in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+            assert [got[r[2]] for r in own] == [(k, len(own)) for k in range(1, len(own) + 1)]
+            values = [r[1] for r in own if r[1] is not None]
+            if values:
+                assert np.allclose(quantiles[g], np.quantile(values, [0.1, 0.5, 1.0]))
+            else:
+                assert g not in quantiles
+            for v in {r[1] for r in own if r[2] >= 0 and r[1] is not None}:
+                assert totals[g, v] == sum(r[2] for r in own if r[2] >= 0 and r[1] <= v)
