@@ -30,7 +30,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more; what is not a table of checkpointed() is left alone."""
+    for df in tables:
+        if path := df is not None and getattr(df, "_written_to", None):
+            delete_folder(df.sparkSession, path)
 
 
 def shared_folder(spark: SparkSession) -> str:

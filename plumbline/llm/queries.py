@@ -83,10 +83,23 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), NEIGHBOURS, QUERY_EVERY)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_feistel_shards, op2_main_text, op3_secret_spans, op4_toxicity, op5_simhash_components,
         op6_packed_sequences, op7_quality_rules, op8_token_counts, op9_merge_dropout, op10_nearest_vectors,
+        op11_vector_codes, op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
