@@ -89,6 +89,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import manifest
 
@@ -99,11 +105,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_feistel_shards, op2_main_text, op3_secret_spans, op4_toxicity, op5_simhash_components,
         op6_packed_sequences, op7_quality_rules, op8_token_counts, op9_merge_dropout, op10_nearest_vectors,
-        op11_vector_codes, op13_merkle_manifest,
+        op11_vector_codes, op12_repeated_bytes, op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None yet: these results are held against brute force in tests/llm."""
-    return {}
+    """SQL for the operators that it can express; the others are held against brute force in tests/llm."""
+    from .oracles import all_sql
+
+    return all_sql()
