@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hamming, relative_difference
-from .ranking import cut_lineage, numbered, quantile_bin, rank_first
+from ..tables import discard, written
+from .ranking import numbered, quantile_bin, rank_first
 
 
 def exact_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
@@ -53,25 +54,49 @@ def accept_rule(exact: Column, distance: Column, correlation: Column, left_words
     )
 
 
-def components(edges: DataFrame, a: str = "left", b: str = "right") -> DataFrame:
-    """(node, label): label is the smallest node of the component, for every node of an edge.
+def contracted(edges: DataFrame, a: str = "left", b: str = "right") -> list[DataFrame]:
+    """Tables (u, to), one a round: where each node of the graph that the rounds before left goes; the first has all nodes of the edges.
 
-    Every round maps a node to its smallest neighbour and contracts the edges, so rounds grow with the
-    logarithm of the nodes; each is checkpointed.
+    A node goes to the neighbour, or stays, that has the smallest hash, and on to where that one goes.
+    Hashes are drawn anew every second round, so the order of names means nothing: a third of a chain's
+    nodes or less are left after a round, whatever their names, a star is gone after two.
     """
-    e = cut_lineage(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
-    labels = None
+    e = written(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+    steps: list[DataFrame] = []
     while not e.isEmpty():
+        draw = F.lit(len(steps) // 2)
+        ranked = lambda node: F.struct(F.xxhash64(node, draw).alias("h"), F.col(node).alias("n"))
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to")))
-        if labels is None:
-            labels = step.select(F.col("u").alias("node"), F.col("to").alias("label"))
-        else:
-            labels = labels.join(step, F.col("label") == F.col("u"), "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = cut_lineage(labels)
+        near = both.groupBy("u").agg(F.min(ranked("v")).alias("m")).select("u", F.least("m", ranked("u"))["n"].alias("to"))
+        near = written(near)
+        step = written(near.join(near.select(F.col("u").alias("to"), F.col("to").alias("next")), "to").select("u", F.col("next").alias("to")))
         p, q = step.select("u", F.col("to").alias("x")), step.select(F.col("u").alias("v"), F.col("to").alias("y"))
-        e = cut_lineage(e.join(p, "u").join(q, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
-    return labels if labels is not None else edges.select(F.col(a).alias("node"), F.col(b).alias("label")).limit(0)
+        left = written(e.join(p, "u").join(q, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        discard(near, e)
+        steps.append(step)
+        e = left
+    discard(e)
+    return steps
+
+
+def components(edges: DataFrame, a: str = "left", b: str = "right") -> DataFrame:
+    """(node, label): label is the smallest node of the component, for every node of an edge.
+
+    Nodes are contracted in rounds whose number grows with the logarithm of the nodes and whose tables
+    shrink; where each node ended is then looked up from the last round back to the first.
+    """
+    steps = contracted(edges, a, b)
+    if not steps:
+        return edges.select(F.col(a).alias("node"), F.col(b).alias("label")).limit(0)
+    ends = steps.pop()
+    while steps:
+        step = steps.pop()
+        further = ends.select(F.col("u").alias("to"), F.col("to").alias("end"))
+        known = written(step.join(further, "to", "left").select("u", F.coalesce("end", "to").alias("to")))
+        discard(step, ends)
+        ends = known
+    least = ends.groupBy("to").agg(F.min("u").alias("label"))
+    return ends.join(least, "to").select(F.col("u").alias("node"), "label")
 
 
 def stratum_bins(df: DataFrame, first: str, second: str, ties: list[str], bins: tuple[int, int] = (5, 2)) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every registered query of the evaluation engine against its SQL in DuckDB."""
 
+import datetime
 import math
 from pathlib import Path
 
@@ -21,8 +22,10 @@ def values(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
 
     def plain(v):
-        if isinstance(v, bool) or v is None or isinstance(v, str):
+        if isinstance(v, bool) or v is None or isinstance(v, str | bytes | list | dict):
             return str(v)
+        if isinstance(v, datetime.date):
+            return v.isoformat()[:10] if not isinstance(v, datetime.datetime) or v.time() == datetime.time() else v.isoformat()
         v = float(v)
         return "nan" if math.isnan(v) else f"{v:.5g}"
 
