@@ -52,6 +52,6 @@ def test_labels_are_the_smallest_nodes(spark):
 def test_names_of_any_type(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "left string, right string")
     assert {tuple(r) for r in split.components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
-    pairs = edges.select(F.struct("left", F.lit(1).alias("k")).alias("left"), F.struct("right", F.lit(1).alias("k")).alias("right"))
-    assert {(r[0][0], r[1][0]) for r in split.components(pairs.select("left", "right").toDF("left", "right")).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+    pairs = edges.select(F.struct(F.col("left").alias("n"), F.lit(1).alias("k")).alias("left"), F.struct(F.col("right").alias("n"), F.lit(1).alias("k")).alias("right"))
+    assert {(r[0][0], r[1][0]) for r in split.components(pairs).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
     assert split.components(edges.limit(0)).collect() == []
