@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a range, about, and ranges at least and at most.
 ROWS_OF_RANGE, RANGES = 1 << 20, (64, 4096)
+#: Sampled rows for each range, and characters or bytes of a key that cuts are made of.
+SAMPLE, KEY_LENGTH = 16, 64
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -37,31 +39,55 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str, total: str | None, start: int = 1) -> DataFrame:
     """df with its row numbers in each sorted group, from start, and the rows of the group if total names them.
 
-    A group is no task: rows are numbered within a range of the first order column and shifted by the
-    sizes of the group's ranges before. Ties on that column stay in one range. Nulls come first.
+    A group is no task: rows are numbered within a range of the order columns and shifted by the sizes of
+    the group's ranges before. Order columns are of any type that sorts; rows that tie on all of them
+    are told apart by a hash of the row, so a column of one value is spread over ranges too. Nulls come first.
     """
-    dealt = in_ranges(df, order[0])
-    inside = dealt.withColumn("__i", F.row_number().over(W.partitionBy(*by, "__range").orderBy(*order)))
+    dealt = in_ranges(df, order)
+    inside = dealt.withColumn("__i", F.row_number().over(W.partitionBy(*by, "__range").orderBy(*order, "__tie")))
     out = with_shifts(inside, shifts(dealt, by, {"n": F.count("*")}), by)
     extra = [F.col("__all_n").cast("long").alias(total)] if total else []
     return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__i") + F.col("__before_n") + (start - 1)).cast("long").alias(name), *extra)
 
 
-def in_ranges(df: DataFrame, column: str) -> DataFrame:
-    """df with __range, the range of a column between sampled quantiles of the table; their number follows the table's size."""
-    v = F.col(f"`{column}`").cast("double")
-    ranges = max(RANGES[0], min(RANGES[1], df.count() // ROWS_OF_RANGE))
-    cuts = sorted(set(df.select(v.alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.125 / ranges)))
-    beyond = lambda among: F.size(F.filter(among, lambda c: v > c))
+def _short(df: DataFrame, column: str) -> Column:
+    """What a cut is made of: the first KEY_LENGTH of a text or bytes, which sorts before all that begin with it."""
+    c = F.col(f"`{column}`")
+    return F.substring(c, 1, KEY_LENGTH) if df.schema[column].dataType.typeName() in ("string", "binary", "char", "varchar") else c
+
+
+def in_ranges(df: DataFrame, order: list[str] | str) -> DataFrame:
+    """df with __range, the range of its order columns between the cuts of a sample, and __tie, a hash of the row that goes on after them.
+
+    The number of ranges follows the table's size; what reaches the driver is one row for each cut.
+    """
+    columns = [order] if isinstance(order, str) else order
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    dealt = df.withColumn("__tie", F.xxhash64(*hashed))
+    names = [f"k{i}" for i in range(len(columns) + 1)]
+    keys = [x.alias(k) for x, k in zip((*(F.col(f"`{c}`") for c in columns), F.col("__tie")), names, strict=True)]
+    short = [x.alias(k) for x, k in zip((*(_short(df, c) for c in columns), F.col("__tie")), names, strict=True)]
+    n = df.count()
+    ranges = max(RANGES[0], min(RANGES[1], n // ROWS_OF_RANGE))
+    wanted = SAMPLE * ranges
+    sample = dealt.select(*short).sample(min(1.0, wanted / max(n, 1)), seed=7)
+    step = max(1, min(n, wanted) // ranges)
+    # The sample has SAMPLE * RANGES rows, about, at most.
+    picked = sample.withColumn("i", F.row_number().over(W.orderBy(*names))).where(F.col("i") % step == 0).orderBy("i").drop("i")
+    cuts = picked.collect()
+    kinds = [f.dataType for f in picked.schema]
+    literal = lambda row: F.struct(*(F.lit(v).cast(t).alias(k) for k, v, t in zip(names, row, kinds, strict=True)))
+    key = F.struct(*keys)
+    beyond = lambda among: F.size(F.filter(among, lambda c: key > c))
     if not cuts:
         at = F.lit(0)
-    elif len(cuts) <= RANGES[0]:
-        at = beyond(F.array(*map(F.lit, cuts)))
+    elif len(cuts) <= 2 * RANGES[0]:
+        at = beyond(F.array(*map(literal, cuts)))
     else:  # in two steps: every 64th cut, then those between
         blocks = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
-        block = beyond(F.array(*(F.lit(b[-1]) for b in blocks[:-1])))
-        at = block * 64 + beyond(F.element_at(F.array(*(F.array(*map(F.lit, b)) for b in blocks)), block + 1))
-    return df.withColumn("__range", F.when(v.isNull(), -1).otherwise(at))
+        block = beyond(F.array(*(literal(b[-1]) for b in blocks[:-1])))
+        at = block * 64 + beyond(F.element_at(F.array(*(F.array(*map(literal, b)) for b in blocks)), block + 1))
+    return dealt.withColumn("__range", at)
 
 
 def shifts(dealt: DataFrame, by: list[str], sums: dict[str, Column], first: str | None = None) -> DataFrame:
@@ -117,11 +143,11 @@ def average_rank(df: DataFrame, value: str, by: list[str] | None = None, name: s
 
 def running_total(df: DataFrame, order: str, values: list[str], by: list[str] | None = None) -> DataFrame:
     """df with __total_x, the sum of x up to and with each row of its group in the order of one column, and __all_x."""
-    by, dealt = by or [], in_ranges(df, order)
+    by, dealt = by or [], in_ranges(df, [order])
     inside = W.partitionBy(*by, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     sums = dealt.select("*", *(F.sum(v).over(inside).alias(f"__i_{v}") for v in values))
     out = with_shifts(sums, shifts(dealt, by, {v: F.sum(v) for v in values}), by)
-    return out.select(*df.columns, *((F.col(f"__i_{v}") + F.col(f"__before_{v}")).alias(f"__total_{v}") for v in values), *(f"__all_{v}" for v in values))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(f"__i_{v}") + F.col(f"__before_{v}")).alias(f"__total_{v}") for v in values), *(f"__all_{v}" for v in values))
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, at: list[float], name: str = "quantiles") -> DataFrame:
