@@ -35,7 +35,12 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
 def _hash(*parts: Column) -> Column:
-    return F.sha2(F.concat(*parts), 256)
+    """The digest of texts, as 32 bytes: hexadecimal text would be twice as much to shuffle."""
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def _text(digest: Column) -> Column:
+    return F.lower(F.hex(digest))
 
 
 def field(value: Column) -> Column:
@@ -87,7 +92,7 @@ def _size(level: int | Column, n: Column) -> Column:
 def _paired(level: Column) -> Column:
     """The nodes above: each of two, the last of one or two."""
     pairs = F.sequence(F.lit(0), _div(F.size(level) + 1, 2).cast("int") - 1)
-    return F.transform(pairs, lambda i: _hash(F.get(level, 2 * i), F.coalesce(F.get(level, 2 * i + 1), F.lit(""))))
+    return F.transform(pairs, lambda i: _hash(_text(F.get(level, 2 * i)), F.coalesce(_text(F.get(level, 2 * i + 1)), F.lit(""))))
 
 
 def tier_nodes(units: DataFrame) -> DataFrame:
@@ -140,7 +145,7 @@ def grow(units: DataFrame, largest: int, above=None) -> Forest:
         rest = nodes.where((F.col("level") == TIER) & (F.col("n") > 1 << TIER))
         units = rest.select("g", _size(TIER, F.col("n")).alias("n"), F.col("idx").alias("pos"), "node")
     roots = checkpointed(roots)
-    none = F.array().cast("array<struct<left:boolean,node:string>>")
+    none = F.array().cast("array<struct<left:boolean,node:binary>>")
     ends = (above(roots) if above else roots.withColumn("path", none)).select("g", F.col("path").alias("rest"), "root")
     upper = None
     for units, nodes in reversed(tiers):
@@ -162,8 +167,8 @@ def fold(leaf: Column, path: Column) -> Column:
     side = lambda here, node: F.when(here, node).otherwise(F.lit(""))
 
     def up(node: Column, step: Column) -> Column:
-        other = F.coalesce(step["node"], F.lit(""))
-        return _hash(side(step["left"], other), node, side(~step["left"], other))
+        other = F.coalesce(_text(step["node"]), F.lit(""))
+        return _hash(side(step["left"], other), _text(node), side(~step["left"], other))
 
     return F.aggregate(path, leaf, up)
 
@@ -201,10 +206,10 @@ def manifest(df: DataFrame, fields: Sequence[str] = FIELDS, doc_id: str = "doc_i
     forest = grow(placed.select("g", "n", "pos", "node"), largest, over_groups)
     # What rows of a group have in common reaches them by place, not by group: no task gets a whole group.
     rows = placed.join(forest.paths, ["g", "pos"])
-    siblings = F.array_join(F.transform("path", lambda s: s["node"]), "")
+    siblings = F.array_join(F.transform("path", lambda s: _text(s["node"])), "")
     folded = fold(F.coalesce("changed", "node"), F.col("path"))
-    top = F.lit(root["root"] if root else None).cast("string")
-    out = rows.select("doc_id", F.col("node").alias("leaf"), F.col("root").alias("subroot"), top.alias("root"), F.sha2(siblings, 256).alias("proof_sha256"), folded.alias("folded_root"))
+    top = F.lit(root["root"].hex() if root else None).cast("string")
+    out = rows.select("doc_id", _text(F.col("node")).alias("leaf"), _text(F.col("root")).alias("subroot"), top.alias("root"), F.sha2(siblings, 256).alias("proof_sha256"), _text(folded).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
