@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..tables import discard, shared_folder, written  # noqa: F401
+
 #: Text bytes that one call of a batch function sees; a longer text comes alone.
 SLICE_BYTES = 1 << 19
 #: A small table is spread in parts of this many bytes; one of more bytes a core is not small.
@@ -27,34 +27,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     A written table cuts the lineage as checkpoint() does, but is compressed and known by its true
     size; what a checkpoint keeps of a plan's estimates multiplies with every join of a loop.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
+    return written(df)
 
 
-def discard(*tables: DataFrame | None) -> None:
-    """Deletes written tables that nothing reads any more; what is not a table of checkpointed() is left alone."""
-    for df in tables:
-        if path := df is not None and getattr(df, "_written_to", None):
-            delete_folder(df.sparkSession, path)
+#: Keys that have over a share of one in so many of all rows are joined apart; fewer than so many can.
+HOT_KEYS = 1 << 12
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
+def joined_by_hot_key(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """rows (a written table) joined with keyed (a row for each key, n: rows that have it), n left out.
 
-    Only where neither that setting nor a folder of the context exists and the master is local (tests)
-    a temporary one is made.
+    Rows of hot keys stay where they are and meet a broadcast table; the shuffle has the others. There
+    can be fewer than HOT_KEYS hot keys, whatever the tables' sizes.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
-    return sc.getCheckpointDir()
+    keyed = checkpointed(keyed)
+    most = (keyed.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
+    hot = F.broadcast(keyed.where((F.col("n") > most) & (F.col("n") > HOT_KEYS)).drop("n"))
+    rest = keyed.where((F.col("n") <= most) | (F.col("n") <= HOT_KEYS)).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(rest, key))
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

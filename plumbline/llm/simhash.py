@@ -17,8 +17,8 @@ Only distinct fingerprints are compared. A pair counts where the smaller fingerp
 the first slice (or two slices) that qualifies, hence once. What a task emits is a spanning forest of the links it
 found, not the pairs: a group of n near copies costs about n rows. An anchor with many homes is
 split by salt, homes once and visitors to each part, and visitors stream past the homes, so memory
-is bounded by HOMES x VISITORS. Components come from min-label contraction in DataFrames, one
-checkpoint a round.
+is bounded by HOMES x VISITORS. Components come from contraction in DataFrames, in rounds whose number grows with
+the logarithm of the nodes.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_text, release_memory, text_or_empty, unused
+from ..operators.split import components as graph_components
+from .common import checkpointed, joined_by_hot_key, map_text, release_memory, text_or_empty, unused
 
 MAX_BITS, SHINGLE_WORDS = 4, 4
 #: (shift, bits) of the slices.
@@ -266,36 +267,17 @@ def spanning_links(fps: DataFrame, max_bits: int = MAX_BITS, fine_from: int = FI
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of the edges (u, v); label is the same over a component.
-
-    Each round merges every node that has a smaller neighbour into the smallest of them and contracts
-    the edges. A chain of ascending labels is halved or better; a star of n leaves takes two rounds,
-    one to make its smallest leaf the centre. Rounds seen in practice: 2 to 6.
-    """
-    e = checkpointed(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = None
-    while not e.isEmpty():
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to"))
-        step = checkpointed(step)
-        if labels is None:
-            labels = step.select(F.col("u").alias("node"), F.col("to").alias("label"))
-        else:
-            labels = labels.join(step, F.col("label") == F.col("u"), "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = checkpointed(labels)
-        a, b = step.select(F.col("u"), F.col("to").alias("a")), step.select(F.col("u").alias("v"), F.col("to").alias("b"))
-        e = e.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        e = checkpointed(e)
-    return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("label")).limit(0)
+    """(node, label) of every node of the edges (u, v); label is the smallest node of its component."""
+    return graph_components(edges, "u", "v")
 
 
 def _named_components(docs: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of docs (doc_id, fp)."""
-    first = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    """(fp, component_id, n) of every distinct fingerprint of docs (doc_id, fp), with its rows."""
+    first = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     labels = components(spanning_links(first.select("fp"), max_bits))
-    labelled = first.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    named = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return labelled.join(named, "label").select("fp", "component_id")
+    labelled = checkpointed(first.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.col("n").alias("copies"), F.coalesce("label", "fp").alias("label")))
+    named = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    return joined_by_hot_key(labelled, named, "label").select("fp", "component_id", F.col("copies").alias("n"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -307,8 +289,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     docs = checkpointed(fingerprints(src, shingle_words, "text", ["doc_id"]))
-    by_fp = _named_components(docs, max_bits)
-    return docs.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = checkpointed(_named_components(docs, max_bits))
+    return joined_by_hot_key(docs, by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def row_key(doc_id: str, text: str):
