@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from .ranking import average_rank, cut_lineage, in_ranges, quantiles, shifts, with_shifts
@@ -27,20 +28,21 @@ def win_loss(pairs: DataFrame, metric: str, tolerance: float = 1e-12) -> DataFra
     return pairs.agg(F.count_if(d > tolerance).alias("wins"), F.count_if(d < -tolerance).alias("losses"), F.count_if(F.abs(d) <= tolerance).alias("ties"), F.avg(best).alias("oracle_mean"))
 
 
-def bootstrap_means(df: DataFrame, key: str, values: list[str], resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap of means: mean, 2.5 and 97.5 % quantiles and the share above 0 of each value.
+def resampled_sums(df: DataFrame, key: str, columns: list[str], resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """(resample, s0, s1, ..., n): sums of the columns and of the weights over all rows, in each Poisson resample.
 
-    Every row draws its weight in each resample from its key, so blocks of rows are summed where they
-    are and only (resample, sums) rows are shuffled: the form for tables that no task can hold.
+    Every row draws its weight in each resample from its key: a block of rows is a matrix of weights
+    times a matrix of columns, summed where the rows are. A task gives one row for each resample, so no
+    table of resamples times rows is ever made.
     """
     block = 500
-    sums = [f"s{i}" for i in range(len(values))]
+    sums = [f"s{i}" for i in range(len(columns))]
 
     def partial(batches):
-        total = np.zeros((resamples, len(values) + 1))
+        total = np.zeros((resamples, len(columns) + 1))
         for pdf in batches:
-            x = np.column_stack([pdf[values].to_numpy(float), np.ones(len(pdf))])
-            keys = pd.util.hash_array(pdf[key].astype(str).to_numpy(object)).astype(np.uint64)
+            x = np.column_stack([pdf[sums].to_numpy(float), np.ones(len(pdf))])
+            keys = pd.util.hash_array(pdf["key"].astype(str).to_numpy(object)).astype(np.uint64)
             for a in range(0, resamples, block):
                 r = np.arange(a, min(a + block, resamples), dtype=np.uint64)
                 h = keys[:, None] ^ (r[None, :] + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
@@ -50,9 +52,34 @@ def bootstrap_means(df: DataFrame, key: str, values: list[str], resamples: int =
                 total[a : a + len(r)] += np.searchsorted(_POISSON, u, side="right").T @ x
         yield pd.DataFrame({"resample": np.arange(resamples), **{s: total[:, i] for i, s in enumerate(sums)}, "n": total[:, -1]})
 
-    parts = df.select(key, *(F.col(v).cast("double").alias(v) for v in values)).mapInPandas(partial, ", ".join(["resample long", *(f"{s} double" for s in sums), "n double"]))
-    means = parts.groupBy("resample").agg(*((F.sum(s) / F.sum("n")).alias(v) for s, v in zip(sums, values, strict=True)))
-    return _intervals(means, values)
+    rows = df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(s) for c, s in zip(columns, sums, strict=True)))
+    parts = rows.mapInPandas(partial, ", ".join(["resample long", *(f"{s} double" for s in sums), "n double"]))
+    return parts.groupBy("resample").agg(*(F.sum(s).alias(s) for s in sums), F.sum("n").alias("n"))
+
+
+def bootstrap_means(df: DataFrame, key: str, values: list[str], resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """Poisson bootstrap of means: mean, 2.5 and 97.5 % quantiles and the share above 0 of each value."""
+    sums = resampled_sums(df, key, values, resamples, seed)
+    return _intervals(sums.select((F.col(f"s{i}") / F.col("n")).alias(v) for i, v in enumerate(values)), values)
+
+
+def bootstrap_scores(df: DataFrame, key: str, methods: tuple[str, str], counters: list[str], metrics: list[str], scored, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """Intervals of the differences of two methods' scores, macro_ and global_ from the same draws.
+
+    df has a row an image: key, method_counter and method_metric of both methods. macro_x is the mean of
+    the images' differences; for global_x the counters of a resample are summed and scored once (scored:
+    a table with the counters to one with the metrics). The second method's less the first's.
+    """
+    first, second = methods
+    named = [f"{m}_{c}" for m in methods for c in counters]
+    rows = df.select(key, *named, *((F.col(f"{second}_{x}") - F.col(f"{first}_{x}")).alias(x) for x in metrics))
+    sums = resampled_sums(rows, key, [*named, *metrics], resamples, seed)
+    at = {c: f"s{i}" for i, c in enumerate([*named, *metrics])}
+    macro = sums.select("resample", *((F.col(at[x]) / F.col("n")).alias(f"macro_{x}") for x in metrics))
+    a, b = (scored(sums.select("resample", *(F.col(at[f"{m}_{c}"]).alias(c) for c in counters))) for m in methods)
+    both = a.select("resample", *(F.col(x).alias(f"a_{x}") for x in metrics)).join(b.select("resample", *metrics), "resample")
+    out = both.select("resample", *((F.col(x) - F.col(f"a_{x}")).alias(f"global_{x}") for x in metrics)).join(macro, "resample")
+    return _intervals(out, [f"{k}_{x}" for k in ("macro", "global") for x in metrics])
 
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
@@ -112,7 +139,7 @@ def _intervals(means: DataFrame, values: list[str]) -> DataFrame:
 
 
 def drift(df: DataFrame, group: str, value: str, reference: str) -> DataFrame:
-    """KS statistic, its asymptotic p-value, Wasserstein-1 distance and medians of each group against the reference.
+    """KS statistic, its p-value, Wasserstein-1 distance and medians of each group against the reference.
 
     Values are counted first, so the sort holds distinct values; running counts come from ranges.
     """
@@ -142,26 +169,62 @@ def drift(df: DataFrame, group: str, value: str, reference: str) -> DataFrame:
     out = stats.join(m.select("g", F.col("q")[1].alias("target_median")), "g").join(F.broadcast(ref))
     return out.select(
         F.col("g").alias(group), "n_reference", "n_target", "reference_median", "target_median", (F.col("target_median") - F.col("reference_median")).alias("median_delta"),
-        "ks_statistic", "wasserstein", (F.col("wasserstein") / F.greatest("iqr", F.lit(1e-12))).alias("wasserstein_over_iqr"),
+        "ks_statistic", ks_pvalue_of("ks_statistic", "n_reference", "n_target").alias("ks_pvalue"), "wasserstein", (F.col("wasserstein") / F.greatest("iqr", F.lit(1e-12))).alias("wasserstein_over_iqr"),
     )
 
 
+#: Samples up to which the KS p-value counts paths.
+EXACT_SAMPLES = 10_000
+
+
+def ks_exact(statistic: float, n: int, m: int) -> float:
+    """The share of orders of n and m values, all equally likely, whose statistic is as large: lattice paths that leave the band.
+
+    Paths from (0, 0) to (n, m) meet on the diagonals i + j = k; the share that has left by (i, j) is a
+    mean of those at (i - 1, j) and (i, j - 1), so no difference of large numbers is taken.
+    """
+    far = round(statistic * n * m)
+    if far <= 0:
+        return 1.0
+    u, i = np.zeros(n + 1), np.arange(n + 1)
+    for k in range(1, n + m + 1):
+        low, high = max(0, k - m), min(k, n)
+        at = i[low : high + 1]
+        before = np.concatenate(([0.0], u[:high]))[low : high + 1]
+        now = (at * before + (k - at) * u[low : high + 1]) / k
+        now[np.abs(at * m - (k - at) * n) >= far] = 1.0
+        u[low : high + 1] = now
+    return float(min(u[n], 1.0))
+
+
 def ks_pvalue(statistic: float, n: int, m: int) -> float:
-    """Asymptotic two-sided p-value (a driver-side number for a report)."""
+    """Two-sided p-value of the two-sample statistic: exact for samples up to EXACT_SAMPLES, by the asymptotic series beyond."""
+    if max(n, m) <= EXACT_SAMPLES:
+        return ks_exact(statistic, n, m)
     en = math.sqrt(n * m / (n + m))
     x = (en + 0.12 + 0.11 / en) * statistic
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)))) if x > 0 else 1.0
 
 
+@F.pandas_udf(T.DoubleType())
+def ks_pvalue_of(statistic: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([ks_pvalue(s, int(a), int(b)) for s, a, b in zip(statistic, n, m, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def spearman_pvalue_of(rho: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None or math.isnan(r) else spearman_pvalue(r, int(k)) for r, k in zip(rho, n, strict=True)], dtype=float)
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation over rows that have both values, and the number of them; null under 3 rows."""
+    """Rank correlation over rows that have both values, their number, and the two-sided p-value; null under 3 rows."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     ranked = average_rank(average_rank(both, "a", name="ra"), "b", name="rb")
-    return ranked.agg(F.corr("ra", "rb").alias("r"), F.count("*").alias("samples")).select(F.when(F.col("samples") >= 3, F.col("r")).alias("rho"), "samples")
+    return ranked.agg(F.corr("ra", "rb").alias("r"), F.count("*").alias("samples")).select(F.when(F.col("samples") >= 3, F.col("r")).alias("rho"), "samples").select("rho", "samples", spearman_pvalue_of("rho", "samples").alias("pvalue"))
 
 
 def spearman_pvalue(rho: float, n: int) -> float:
-    """Two-sided p-value by Student's t (driver-side), with the incomplete beta as a continued fraction."""
+    """Two-sided p-value by Student's t, with the incomplete beta as a continued fraction."""
     if n < 3 or abs(rho) >= 1:
         return 0.0 if n >= 3 else 1.0
     df = n - 2

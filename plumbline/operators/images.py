@@ -114,6 +114,39 @@ def describe(images: DataFrame, key: str = "filename") -> DataFrame:
     return src.mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, read_error boolean, {', '.join(f'{f} double' for f in FEATURES)}, phash long")
 
 
+def upright(pixels: np.ndarray, orientation: int) -> np.ndarray:
+    """Pixels as they are shown, by their EXIF orientation."""
+    if orientation in (5, 6, 7, 8):
+        pixels = pixels.swapaxes(0, 1)
+    if orientation in (3, 4, 7, 8):
+        pixels = pixels[::-1]
+    return pixels[:, ::-1] if orientation in (2, 3, 6, 7) else pixels
+
+
+def fingerprints(files: DataFrame, side: int = 128) -> DataFrame:
+    """Of each row of read_images(), in one pass: size as shown, quality features, phash and the gray vector of side x side.
+
+    A file without pixels has read_error and nulls; it never fails the others.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                try:
+                    x = np.frombuffer(r.pixels, np.uint8).reshape(int(r.height), int(r.width), -1)
+                    x = upright(x[..., 2::-1] if x.shape[-1] > 1 else x, int(r.orientation))
+                    gray = gray_of(x)
+                    rows.append((*r[:4], False, x.shape[1], x.shape[0], *features_of(x).values(), perceptual_hash(gray), gray_vector(gray, side)))
+                except (ValueError, TypeError):
+                    rows.append((*r[:4], True, *[None] * (len(FEATURES) + 4)))
+            out = pd.DataFrame(rows, columns=["path", "filename", "bytes", "sha256", "read_error", "width", "height", *FEATURES, "phash", "gray"])
+            yield out.astype({"phash": "Int64", "width": "Int32", "height": "Int32"})
+
+    src = files.select("path", "filename", "bytes", "sha256", "height", "width", "pixels", "orientation")
+    return src.mapInPandas(run, f"path string, filename string, bytes long, sha256 string, read_error boolean, width int, height int, {', '.join(f'{f} double' for f in FEATURES)}, phash long, gray array<float>")
+
+
 def split_errors(described: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readable rows and failed ones."""
     return described.where("not read_error"), described.where("read_error")

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.polygons import min_area_rect, rect_corners, unclip
+from ..functions.outlines import closed_length, covered_pixels, grown, outlines, simplified
+from ..functions.polygons import POLYGON, min_area_rect, rect_corners, unclip
 
 
 @dataclass(frozen=True)
@@ -99,6 +100,63 @@ def detect(maps: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return maps.select("image", "height", "width", F.col("values").alias("cells")).mapInPandas(run, f"image {kind}, k int, score double, flat array<double>")
 
 
+def trace(maps: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(image, k, hole, polygon): the borders of what is above the threshold in each map, as pixels where they bend."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                v = np.asarray(r.cells, float).reshape(r.height, r.width)
+                rows += [(r.image, k, hole, [{"x": float(x), "y": float(y)} for x, y in p]) for k, (p, hole) in enumerate(outlines(v > threshold), 1)]
+            yield pd.DataFrame(rows, columns=["image", "k", "hole", "polygon"])
+
+    kind = maps.schema["image"].dataType.simpleString()
+    return maps.select("image", "height", "width", F.col("values").alias("cells")).mapInPandas(run, f"image {kind}, k int, hole boolean, polygon {POLYGON}")
+
+
+def polygons_of(values: np.ndarray, settings: Settings = Settings(unclip_ratio=2.0), matrix: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:
+    """(score, polygon) of the borders of a map: simplified at 0.002 of their length, scored, grown with round corners, in original pixels if a matrix is given."""
+    found = []
+    for p, _ in outlines(values > settings.threshold)[: settings.most_candidates]:
+        p = simplified(p, 0.002 * closed_length(p))
+        if len(p) < 4:
+            continue
+        rows, columns = covered_pixels(p, *values.shape)
+        score = float(values[rows, columns].mean()) if len(rows) else 0.0
+        if score < settings.box_threshold:
+            continue
+        out = grown(p, settings.unclip_ratio)
+        if out is None or min(min_area_rect(out)[1]) < settings.least_side + 2:
+            continue
+        if matrix is not None:
+            q = np.column_stack([out, np.ones(len(out))]) @ matrix.reshape(3, 3).T
+            out = q[:, :2] / q[:, 2:]
+        found.append((score, np.rint(out)))
+    return found
+
+
+def detect_polygons(maps: DataFrame, settings: Settings = Settings(unclip_ratio=2.0)) -> DataFrame:
+    """(image, k, score, polygon): polygons of any shape from each map, in the order of their borders.
+
+    maps may have a column matrix (nine numbers by rows) from map to original pixels.
+    """
+    placed = "matrix" in maps.columns
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                v = np.asarray(r.cells, float).reshape(r.height, r.width)
+                got = polygons_of(v, settings, np.asarray(r.matrix, float) if placed else None)
+                rows += [(r.image, k, s, [{"x": float(x), "y": float(y)} for x, y in p]) for k, (s, p) in enumerate(got, 1)]
+            yield pd.DataFrame(rows, columns=["image", "k", "score", "polygon"])
+
+    kind = maps.schema["image"].dataType.simpleString()
+    src = maps.select("image", "height", "width", F.col("values").alias("cells"), *(["matrix"] if placed else []))
+    return src.mapInPandas(run, f"image {kind}, k int, score double, polygon {POLYGON}")
+
+
 def ensemble(a: Column, b: Column, weight: float = 0.5) -> Column:
     """Weighted mean of two maps of one shape; different shapes are an error."""
     mixed = F.zip_with(a, b, lambda x, y: (weight * x + (1 - weight) * y).cast("float"))
@@ -147,6 +205,67 @@ def fuse(maps: DataFrame) -> DataFrame:
     return rows.groupBy("image").applyInPandas(run, f"image {kind}, height int, width int, values array<double>")
 
 
+def warp(values: np.ndarray, matrix: np.ndarray, h: int, w: int, nearest: bool = False) -> np.ndarray:
+    """Values moved by a 3 x 3 matrix from their pixels to those of an h x w map; 0 where they don't reach."""
+    y, x = np.mgrid[0:h, 0:w]
+    sx, sy, sw = np.linalg.inv(matrix) @ np.stack([x.ravel(), y.ravel(), np.ones(h * w)])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sx, sy = sx / sw, sy / sw
+    ok = np.isfinite(sx) & np.isfinite(sy) & (sx > -1) & (sy > -1) & (sx < values.shape[1]) & (sy < values.shape[0])
+    out = np.zeros(h * w)
+    padded = np.pad(values.astype(float), 1)
+    sx, sy = sx[ok] + 1, sy[ok] + 1
+    if nearest:
+        out[ok] = padded[np.rint(sy).astype(int), np.rint(sx).astype(int)]
+    else:
+        x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+        fx, fy = sx - x0, sy - y0
+        top = padded[y0, x0] * (1 - fx) + padded[y0, x0 + 1] * fx
+        low = padded[y0 + 1, x0] * (1 - fx) + padded[y0 + 1, x0 + 1] * fx
+        out[ok] = top * (1 - fy) + low * fy
+    return out.reshape(h, w)
+
+
+def content_mask(h: int, w: int, matrix: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Where a map holds content: the original image's corners, brought into the map by the inverse of its matrix."""
+    corners = np.array([[0, 0, 1], [width - 1, 0, 1], [width - 1, height - 1, 1], [0, height - 1, 1]], float) @ np.linalg.inv(matrix).T
+    p = np.rint(np.clip(corners[:, :2] / corners[:, 2:], 0, (w - 1, h - 1)))
+    mask = np.zeros((h, w))
+    mask[covered_pixels(p, h, w)] = 1.0
+    return mask
+
+
+def align_scales(maps: list[np.ndarray], matrices: list[np.ndarray], width: int, height: int) -> np.ndarray:
+    """Maps of an image in several scales, each with a matrix to original pixels, averaged in the first one's pixels where they hold content."""
+    h, w = maps[0].shape
+    total, weight = np.zeros((h, w)), np.zeros((h, w))
+    for v, m in zip(maps, matrices, strict=True):
+        to_base = np.linalg.inv(matrices[0]) @ m
+        held = warp(content_mask(*v.shape, m, width, height), to_base, h, w, nearest=True)
+        total += warp(v, to_base, h, w) * held
+        weight += held
+    return np.where(weight > 0, total / np.maximum(weight, 1e-12), 0.0)
+
+
+def fuse_aligned(maps: DataFrame) -> DataFrame:
+    """(image, height, width, values): align_scales() of each image's maps, in the pixels of the least k.
+
+    maps: image, k, height, width, values, matrix (nine numbers by rows, map to original pixels),
+    original_width and original_height. An image's maps meet in one task, which holds no more than them.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        grids = [np.asarray(v, float).reshape(int(h), int(w)) for v, h, w in zip(pdf["cells"], pdf["height"], pdf["width"], strict=True)]
+        matrices = [np.asarray(m, float).reshape(3, 3) for m in pdf["matrix"]]
+        out = align_scales(grids, matrices, int(pdf["original_width"].iloc[0]), int(pdf["original_height"].iloc[0]))
+        return pd.DataFrame({"image": [pdf["image"].iloc[0]], "height": [out.shape[0]], "width": [out.shape[1]], "values": [out.ravel().tolist()]})
+
+    kind = maps.schema["image"].dataType.simpleString()
+    rows = maps.select("image", "k", "height", "width", F.col("values").alias("cells"), "matrix", "original_width", "original_height")
+    return rows.groupBy("image").applyInPandas(run, f"image {kind}, height int, width int, values array<double>")
+
+
 def prediction_statistics(boxes: DataFrame) -> DataFrame:
     """Count and spread of scores and areas; boxes has score and area."""
     s, a = F.percentile("score", [0.5, 0.1]), F.percentile("area", [0.5, 0.1])

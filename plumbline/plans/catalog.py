@@ -31,13 +31,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import coverage  # noqa: F401 (registers more)
+    from . import coverage, measures  # noqa: F401 (register more)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import coverage  # noqa: F401
+    from . import coverage, measures  # noqa: F401
 
     return dict(_SQL)
 
@@ -374,7 +374,7 @@ def drift_wasserstein(spark, sf_dir):
 
 @query("WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS b FROM part) SELECT round(corr(a, b), 6) AS rho, count(*) AS samples FROM r")
 def spearman(spark, sf_dir):
-    return _round(compare.spearman(table(spark, sf_dir, "part"), "p_size", "p_retailprice"), "rho")
+    return _round(compare.spearman(table(spark, sf_dir, "part"), "p_size", "p_retailprice").select("rho", "samples"), "rho")
 
 
 @query("SELECT count(*) AS rows, round(corr(p_retailprice, p_size), 6) AS pearson, round(avg(abs(p_retailprice - p_size)), 4) AS mae, round(sqrt(avg((p_retailprice - p_size) * (p_retailprice - p_size))), 4) AS rmse FROM part")
