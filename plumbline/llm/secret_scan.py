@@ -4,7 +4,7 @@ Two layers look at every whole text. The base layer finds three fixed kinds of s
 layer reads the text as source or configuration: at every assignment sign it takes the target's
 name on the left and the value on the right, token by token with a stack of open brackets: joined
 literals and names, arguments of calls, lists, pairs in braces or by indentation, triple quotes, bare
-words of a configuration line. It remembers what each dotted name holds (so ``part = "..."; key =
+words and blocks of lines of a configuration; elements of markup and bearer headers are pairs too. It remembers what each dotted name holds (so ``part = "..."; key =
 part + "..."`` leads back to both literals) and scores a value by how sensitive its target's name is,
 that of the pair around it included, and how much it looks like a credential. What is joined is
 scored as one, elements and arguments each on their own.
@@ -19,11 +19,11 @@ Spans are in code points, end exclusive. A lexed span that overlaps a base span
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_text, unused
@@ -31,6 +31,8 @@ from .common import map_text, unused
 KINDS = ("assign", "access", "hex", "literal")
 #: Score from which a value counts as a secret; a value of more characters is no placeholder.
 THRESHOLD, PLACEHOLDER_CHARS = 0.5, 256
+#: Classes of the characters that are not ASCII.
+OTHERS = 32
 
 # The base patterns: fixed values of the contract. Only ASCII letters fold their case.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -61,6 +63,11 @@ _TOKEN = re.compile(
 _BARE = re.compile(r"""[ \t]*([^\s"'`,;#(){}\[\]<>]+)[ \t]*(?:[,;]|\#[^\n]*)?[ \t\r]*(?=\n|\Z)""")
 _ITEM = re.compile(r"""[ \t\r]*\n[ \t]*-[ \t]+(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"'`,;#(){}\[\]<>:]+))[ \t]*(?:\#[^\n]*)?(?=\r?\n|\Z)""")
 _NOTHING = re.compile(r"[ \t\r]*(?:#[^\n]*)?(?:\n|\Z)")
+_SPACE = re.compile(r"\s")
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[+-]?[ \t]*(?:\#[^\n]*)?\r?(?:\n|\Z)")
+_LINE = re.compile(r"([ \t]*)([^\n]*)(?:\n|\Z)")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:[ \t\r\n][^<>]*)?>([^<>]*)</([A-Za-z_][A-Za-z0-9_.:-]*)")
+_BEARER = re.compile(r"""authorization["']?[ \t]*[:=,][ \t]*[frbFRB]?["']?(?:bearer|basic|token)[ \t]+([A-Za-z0-9._~+/=-]+)""", re.I | re.A)
 _CONTINUES = re.compile(r"\s*(?:\+|\.\.|~)")
 _LINE_HEAD = re.compile(r"[ \t\-]*(?:(?:export|set|ENV|const|let|var|val|final|static|public|private)[ \t]+)*\Z")
 _WORD_OPERATORS = {"or", "and", "if", "else", "not", "await", "new", "return", "str", "String", "bytes"}
@@ -89,32 +96,53 @@ def name_score(name: str) -> float:
     return score * (0.4 if MILD & set(words) else 1.0)
 
 
+def _class_counts(value: str) -> np.ndarray:
+    """Numbers of characters by class: the ASCII ones each, the others in OTHERS classes by code point."""
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(np.where(codes < 128, codes, 128 + codes % OTHERS), minlength=128 + OTHERS).astype(np.int32)
+
+
 class Value:
-    """A literal or two joined values: its spans as a tree, and what its score needs."""
+    """A literal or two joined values: its spans as a tree, and what its score needs.
+
+    Counts are of a fixed number of classes, so joining two values takes the same time and memory
+    whatever they hold; those of a short literal are counted when they are asked for.
+    """
 
-    __slots__ = ("left", "right", "span", "n", "counts", "text", "spaced", "key_block")
+    __slots__ = ("left", "right", "span", "n", "counted", "literal", "text", "spaced", "key_block")
 
     def __init__(self, text: str, span: tuple[int, int] | None, left: Value | None = None, right: Value | None = None):
-        self.left, self.right, self.span = left, right, span
+        self.left, self.right, self.span, self.counted, self.literal = left, right, span, None, None
         if left is None or right is None:
             value = text[span[0] : span[1]] if span else ""
-            self.n, self.counts = len(value), Counter(value)
-            self.text = value if self.n <= PLACEHOLDER_CHARS else None
-            self.spaced, self.key_block = any(c.isspace() for c in self.counts), "PRIVATE KEY-----" in value
+            self.n = len(value)
+            if self.n <= PLACEHOLDER_CHARS:
+                self.literal = value
+            else:
+                self.counted = _class_counts(value)
+            self.text = self.literal
+            self.spaced, self.key_block = _SPACE.search(value) is not None, "PRIVATE KEY-----" in value
         else:
-            self.n, self.counts = left.n + right.n, left.counts + right.counts
+            self.n = left.n + right.n
+            self.counted = left.counts + right.counts
             self.text = left.text + right.text if left.text is not None and right.text is not None and self.n <= PLACEHOLDER_CHARS else None
             self.spaced, self.key_block = left.spaced or right.spaced, left.key_block or right.key_block
 
+    @property
+    def counts(self) -> np.ndarray:
+        return _class_counts(self.literal or "") if self.counted is None else self.counted
+
     def score(self) -> float:
         """How much it looks like a credential, from 0 to 1."""
         if self.key_block:
             return 1.0
         if self.n < 6 or self.spaced or self.text is not None and PLACEHOLDER.match(self.text):
             return 0.0
-        bits = -sum(c / self.n * math.log2(c / self.n) for c in self.counts.values())
-        chars = "".join(self.counts)
-        kinds = sum(bool(re.search(p, chars)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
+        counts = self.counts
+        share = counts[counts > 0] / self.n
+        bits = -float((share * np.log2(share)).sum())
+        lower, upper, digits = int(counts[97:123].sum()), int(counts[65:91].sum()), int(counts[48:58].sum())
+        kinds = bool(lower) + bool(upper) + bool(digits) + (lower + upper + digits < self.n)
         return min(1.0, 0.35 + 0.12 * bits + 0.08 * kinds)
 
 
@@ -183,12 +211,16 @@ class _Lexer:
         top = _Open("", name, [name])
         stack = [top]
         before, word = "sign", ""  # the kind of the token before, and its name if it is one
+        goes_on = 0  # up to here only white space comes before a sign that joins
         while at < size:
             f = stack[-1]
             m = _TOKEN.match(text, at)
             kind = m.lastgroup if m.lastgroup not in "abcde" else "string"
-            if kind == "line" and len(stack) == 1 and not f.joining and not _CONTINUES.match(text, at):
-                break
+            if kind == "line" and len(stack) == 1 and not f.joining and at >= goes_on:
+                ahead = _CONTINUES.match(text, at)
+                if not ahead:
+                    break
+                goes_on = ahead.end() - 1
             start, at = at, m.end()
             if kind in ("space", "line", "comment"):
                 continue
@@ -265,7 +297,13 @@ class _Lexer:
             return
         values = f.values
         if f.call:  # a plain word among arguments names what is looked up
-            values = [v for v in values if v.text is None or not _IDENTIFIER.fullmatch(v.text)]
+            word = lambda v: v.span is not None and _IDENTIFIER.fullmatch(self.text, *v.span)
+            plain = [m[0] for v in values if (m := word(v))]
+            values = [v for v in values if not word(v)]
+            if len(plain) == 1 and name_score(plain[0]):
+                for v in values:
+                    if name_score(plain[0]) * v.score() >= THRESHOLD:
+                        self.report(v)
         if len(values) == 1:
             around.add(values[0], False)
         else:
@@ -298,6 +336,9 @@ class _Lexer:
                     self.parents.append((indent, name))
                     floor = self.items(m.end(), path)
                     continue
+                if m[0] == ":" and (block := _BLOCK.match(text, m.end())):
+                    floor = self.block(block.end(), path, indent)
+                    continue
                 bare = _BARE.match(text, m.end())
                 if bare:
                     held = self.holds.get(_OWNER.sub("", bare[1]))
@@ -305,8 +346,31 @@ class _Lexer:
                     floor = bare.end()
                     continue
             floor = max(m.end(), self.statement(m.end(), path, m[0] == "+="))
+        for e in _ELEMENT.finditer(text):
+            if e[1] == e[3]:
+                inner = e[2].strip()
+                start = e.start(2) + len(e[2]) - len(e[2].lstrip())
+                self.settle([e[1].rpartition(":")[2]], [Value(text, (start, start + len(inner)))] if inner else [])
+        for b in _BEARER.finditer(text):
+            self.settle(["authorization"], [Value(text, b.span(1))])
         return sorted(self.found)
 
+    def block(self, at: int, path: str, indent: int) -> int:
+        """Reads a block of lines below a key of a configuration, which are joined; where it ends."""
+        values = []
+        while at < len(self.text) and (m := _LINE.match(self.text, at)):
+            inner = m[2].rstrip()
+            if inner and len(m[1]) <= indent:
+                break
+            if inner:
+                values.append(Value(self.text, (m.start(2), m.start(2) + len(inner))))
+            at = m.end()
+        whole = None
+        for v in values:
+            whole = v if whole is None else Value("", None, whole, v)
+        self.settle([path], [whole] if whole else [])
+        return at
+
     def name_before(self, low: int, at: int) -> tuple[str, int]:
         """The name that ends before a sign, not before low, and where it begins."""
         back = self.text[low:at][::-1]
@@ -344,7 +408,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
 def all_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans and the lexed ones that overlap none of them, by start and then by kind."""
     base = base_spans(text)
-    more = lexed_spans(text) if _ASSIGN_HINT.search(text) else []
+    more = lexed_spans(text) if _ASSIGN_HINT.search(text) or "</" in text else []
     free, i = [], 0
     ends = []  # the furthest end of the base spans so far
     for s in base:
