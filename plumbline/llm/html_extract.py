@@ -3,12 +3,15 @@
 A page is parsed in one pass into a tree that forgives missing and misplaced end tags. Parts that hold
 no text (scripts, styles and the like) go first; menus, headers, footers, forms, adverts, comments and
 the like, told by tag, role or the names in class and id, go too, unless most of the page's text or
-an article is in them: names are hints, the score decides. Every paragraph-like block then passes
+an article is in them: names are hints, the score decides. Readers' comments go whatever their size, if
+any other text is left: parts with such names, and siblings of one form that each have an author and a
+date, or a link to reply, and no heading. A page's only article (or main, if it has no article) is the
+container. Elsewhere every paragraph-like block then passes
 points to its ancestors: one for itself, one for each comma, one for each 100 characters up to 3; the
 parent gets all of them, its parent half, those above a third and less by distance. A container's
 points are discounted by its share of text in links, and cut to a fifth if its names speak against it.
 The best container is kept with those of its siblings that score a fifth of it or read like text; in
-what is kept only menus, lists of short links, are dropped.
+what is kept only menus, lists of short links, are dropped, but not in an article nor between paragraphs.
 """
 
 from __future__ import annotations
@@ -48,6 +51,11 @@ CUT_WORDS = {
     "notice", "notices", "notification", "outbrain", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "responses", "share",
     "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar", "topbar", "widget", "login", "paywall", "tags", "disclaimer", "alert", "hidden",
 }
+#: Names of readers' comments, and what marks one: its author, its date, a link to answer it.
+REMARK_WORDS = {"comment", "comments", "commentlist", "disqus", "discussion", "discussions", "feedback", "guestbook", "reactions", "remarks", "replies", "reply", "respond", "responses", "reviews", "thread", "threads"}
+AUTHOR_WORDS = {"author", "avatar", "commenter", "member", "nick", "nickname", "poster", "user", "username"}
+DATE_WORDS = {"ago", "date", "datetime", "posted", "time", "timestamp", "when"}
+REPLY_TEXTS = {"reply", "answer", "quote", "report", "like", "antworten", "melden", "zitieren", "répondre", "signaler", "responder", "denunciar", "me gusta", "j'aime", "gefällt mir"}
 CUT_STARTS = ("advert", "sidebar", "comment", "cookie", "navbar", "newsletter", "sponsor", "breadcrumb")
 #: Words that make a name speak of a layout, not of the part itself, and words that follow the name of a part.
 LAYOUT_WORDS = {"has", "with", "no", "without", "not", "layout", "page", "is", "js"}
@@ -67,13 +75,14 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "links", "holds_article", "against", "open_p", "open_parts")
+    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "links", "holds_article", "against", "remark", "marks", "articles", "open_p", "open_parts")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
         self.kids: list[Node | str] = []
         self.score, self.size, self.linked, self.links = 0.0, 0, 0, 0
         self.holds_article, self.against = tag in ("article", "main"), False
+        self.remark, self.marks, self.articles = False, 0, 0
         # The open elements that a start tag within this one would close.
         above = up.open_p if up else None
         self.open_p: Node | None = self if tag == "p" else None if tag in P_BORDERS else above
@@ -189,6 +198,56 @@ def parse(page: str) -> Node:
     return root
 
 
+_AUTHOR, _DATE, _REPLY, _HEADING, _HEADLINE = 1, 2, 4, 8, 16
+
+
+def _own_marks(node: Node) -> int:
+    """What an element itself says about a comment that it may be part of."""
+    tag, marks = node.tag, 0
+    if tag == "time":
+        marks |= _DATE
+    elif tag == "cite":
+        marks |= _AUTHOR
+    elif tag in HEADINGS:
+        marks |= _HEADING | (_HEADLINE if tag == "h1" else 0)
+    elif tag == "main":
+        marks |= _HEADLINE
+    elif tag == "a" and node.size <= 12 and len(node.kids) == 1 and isinstance(node.kids[0], str) and node.kids[0].strip().lower() in REPLY_TEXTS:
+        marks |= _REPLY
+    if name := node.attrs.get("class"):
+        words = set(_NAME_WORD.findall(name.lower()))
+        marks |= (_AUTHOR if words & AUTHOR_WORDS else 0) | (_DATE if words & DATE_WORDS else 0)
+    return marks
+
+
+def _named_remarks(node: Node) -> bool:
+    """Whether a name in class or id speaks of readers' comments."""
+    if node.tag in TEXT_TAGS and node.tag not in ("li", "dd", "blockquote"):
+        return False
+    for token in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split():
+        words = _NAME_WORD.findall(token)
+        if words and not LAYOUT_WORDS & set(words) and (words[-1] in REMARK_WORDS or words[0] in REMARK_WORDS and words[-1] in PART_WORDS):
+            return True
+    return False
+
+
+def _remarks(order: list[Node]) -> set[int]:
+    """Parts that are readers' comments; none of them holds the page's headline, its main part or its only article."""
+    articles = order[-1].articles
+    found = set()
+    for node in order:
+        if node.remark and not node.marks & _HEADLINE and not (articles == 1 and node.articles):
+            found.add(id(node))
+        forms: dict[tuple[str, str], list[Node]] = {}
+        for k in node.kids:
+            if not isinstance(k, str) and not k.marks & _HEADING and (k.marks & _REPLY or k.marks & (_AUTHOR | _DATE) == _AUTHOR | _DATE) and k.tag in BLOCKS:
+                forms.setdefault((k.tag, k.attrs.get("class", "")), []).append(k)
+        for same in forms.values():
+            if len(same) > 1:
+                found |= {id(k) for k in same if not (articles == 1 and k.articles)}
+    return found
+
+
 def _named_against(node: Node) -> bool:
     """Whether a name in class or id says that this part is no article text."""
     for token in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split():
@@ -224,9 +283,10 @@ def _hidden(node: Node) -> bool:
 
 
 def _measure(order: list[Node]) -> None:
-    """Sets size, linked, links and holds_article; children come first."""
+    """Sets size, linked, links, holds_article, marks and articles; children come first."""
     for node in order:
-        node.size = node.linked = node.links = 0
+        node.size = node.linked = node.links = node.marks = 0
+        node.articles = int(node.tag == "article")
         for k in node.kids:
             if isinstance(k, str):
                 node.size += len(" ".join(k.split()))
@@ -235,6 +295,9 @@ def _measure(order: list[Node]) -> None:
                 node.linked += k.linked
                 node.links += k.links
                 node.holds_article |= k.holds_article
+                node.marks |= k.marks
+                node.articles += k.articles
+        node.marks |= _own_marks(node)
         if node.tag == "a":
             node.linked, node.links = node.size, 1
 
@@ -250,11 +313,19 @@ def _prune_and_measure(root: Node) -> list[Node]:
         for k in node.kids:
             if not isinstance(k, str):
                 k.against = _against(k, in_article)
+                k.remark = bool(k.attrs) and _named_remarks(k)
                 stack.append((k, in_article))
     order.reverse()
     _measure(order)
+    if (remarks := _remarks(order)) and _reads_without(root, remarks):
+        order = _without(root, remarks)
     text = root.size - root.linked
     dropped = {id(n) for n in order if n.against and not n.holds_article and 2 * (n.size - n.linked) <= text}
+    return _without(root, dropped)
+
+
+def _without(root: Node, dropped: set[int]) -> list[Node]:
+    """Drops parts and measures the rest; all elements that stay, children first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -266,6 +337,21 @@ def _prune_and_measure(root: Node) -> list[Node]:
     return order
 
 
+def _reads_without(root: Node, dropped: set[int]) -> bool:
+    """Whether text that is no link and not against the article is left without some parts."""
+    stack: list[Node] = [root]
+    while stack:
+        node = stack.pop()
+        if id(node) in dropped or node.tag == "a" or node.against and not node.holds_article:
+            continue
+        for k in node.kids:
+            if not isinstance(k, str):
+                stack.append(k)
+            elif node.tag not in HEADINGS and k.strip():
+                return True
+    return False
+
+
 def _own_text(node: Node) -> str:
     """The text of a block without that of the blocks in it."""
     out, stack = [], [iter(node.kids)]
@@ -313,6 +399,10 @@ def best_containers(root: Node) -> list[Node]:
             best, top = node, node.score
     if best is None:
         return [root]
+    alone = _only_article(order)
+    if alone is not None and (alone.tag == "article" or not _within(best, alone)):
+        around = [k for k in alone.up.kids if not isinstance(k, str)] if alone.up else [alone]
+        return [k for k in around if k is alone or k.tag in HEADINGS]
     if best.tag in ("body", "html", "#root") or best.up is None:
         return [best]
     kept = []
@@ -327,6 +417,58 @@ def best_containers(root: Node) -> list[Node]:
     return kept
 
 
+def _only_article(order: list[Node]) -> Node | None:
+    """The page's only article with text, or its only main part if it has no article."""
+    for tag in ("article", "main"):
+        outer, inside = [], set()
+        for node in reversed(order):  # parents first
+            if id(node.up) in inside:
+                inside.add(id(node))
+            elif node.tag == tag and node.size > node.linked and not _named_against(node):
+                outer.append(node)
+                inside.add(id(node))
+        if outer:
+            return outer[0] if len(outer) == 1 else None
+    return None
+
+
+def _within(node: Node, outer: Node) -> bool:
+    at: Node | None = node
+    while at is not None and at is not outer:
+        at = at.up
+    return at is outer
+
+
+class _Places:
+    """Which lists of links are part of the text: those in an article, and those between paragraphs of their parent."""
+
+    def __init__(self):
+        self.of: dict[int, tuple[dict[int, int], int, int]] = {}
+        self.inside: dict[int, bool] = {}
+
+    def in_text(self, node: Node) -> bool:
+        return self._in_article(node.up) or self._between(node)
+
+    def _in_article(self, node: Node | None) -> bool:
+        seen = []
+        at = node
+        while at is not None and id(at) not in self.inside and at.tag not in ("article", "main"):
+            seen.append(at)
+            at = at.up
+        known = at is not None and (at.tag in ("article", "main") or self.inside[id(at)])
+        self.inside |= {id(n): known for n in seen}
+        return known
+
+    def _between(self, node: Node) -> bool:
+        if node.up is None:
+            return False
+        if id(node.up) not in self.of:
+            texts = [i for i, k in enumerate(node.up.kids) if not isinstance(k, str) and k.tag in ("p", "blockquote", "pre") and k.size >= 25 and _density(k) < 0.5]
+            self.of[id(node.up)] = ({id(k): i for i, k in enumerate(node.up.kids)}, min(texts, default=0), max(texts, default=-1))
+        at, low, high = self.of[id(node.up)]
+        return low < at[id(node)] < high
+
+
 def _is_menu(node: Node) -> bool:
     """Whether a part is a list of short links; references in an article have titles, or text beside their links."""
     if node.tag not in ("ul", "ol", "div", "section", "table", "dl", "p") or node.links < 3:
@@ -338,6 +480,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
     """The texts of the blocks under the nodes, in page order."""
     out: list[str] = []
     run: list[str] = []
+    places = _Places()
 
     def close() -> None:
         if text := " ".join("".join(run).split()):
@@ -354,7 +497,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
         elif k.tag in ("br", "td", "th", "img") and not k.kids:
             run.append(" ")
         elif k.tag in BLOCKS:
-            if _is_menu(k):
+            if _is_menu(k) and not places.in_text(k):
                 continue
             close()
             stack.append(None)

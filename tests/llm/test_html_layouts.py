@@ -50,3 +50,58 @@ def test_a_megabyte_takes_seconds(page):
     began = time.process_time()
     html_extract.main_text(page)
     assert time.process_time() - began < 10
+
+
+REMARKS = [f"Remark {i}: I read all of it, twice, and I do not agree with a word, sorry, not even with the commas." for i in range(12)]
+HAND = '<li class="entry"><span class="user">anna{i}</span> <time>May {i}</time><p>{r}</p></li>'
+ARTICLE = [
+    '<div class="post"><h1>{h}</h1>{t}</div>', "<article><h1>{h}</h1>{t}</article>", "<main><h1>{h}</h1>{t}</main>", '<div class="entry-content"><h1>{h}</h1>{t}</div>', "<div><h1>{h}</h1>{t}</div>",
+    '<table><tr><td class="body"><h1>{h}</h1>{t}</td></tr></table>',
+]
+COMMENTS = [
+    '<div class="comments">{c}</div>', '<section id="discussion"><h2>What you say</h2>{c}</section>', '<div class="user-reviews">{c}</div>', '<div class="thread-list">{c}</div>', '<div id="disqus_thread">{c}</div>', '<ol class="commentlist">{i}</ol>',
+    "<ul>{i}</ul>", "<div>{d}</div>", '<div class="x1">{a}</div>',
+]
+
+
+def remarks(form):
+    c = "".join(f"<p>{r}</p>" for r in REMARKS)
+    i = "".join(HAND.format(i=k, r=r) for k, r in enumerate(REMARKS))
+    d = "".join(f'<div class="row"><p>{r}</p><a href="#">Reply</a></div>' for r in REMARKS)
+    a = "".join(f'<article><b class="author-name">ben</b><span class="date">yesterday</span><p>{r}</p></article>' for r in REMARKS)
+    return form.format(c=c, i=i, d=d, a=a)
+
+
+@pytest.mark.parametrize("comments", COMMENTS)
+@pytest.mark.parametrize("article", ARTICLE)
+def test_comments_longer_than_the_text(article, comments):
+    """Beside the article and in it, with names and without."""
+    for text in (TEXT, f"<p>{PARAS[0]}</p>"):
+        whole = "\n\n".join([HEAD, *(PARAS if text is TEXT else PARAS[:1])])
+        beside = article.format(h=HEAD, t=text) + remarks(comments)
+        inside = article.format(h=HEAD, t=text + remarks(comments))
+        for body in (beside, inside):
+            assert html_extract.main_text(f"<html><body>{SIDE}{body}{END}</body></html>") == whole
+
+
+def test_a_page_of_comments_alone_keeps_them():
+    page = f'<body>{SIDE}<div class="comments">{"".join(f"<p>{r}</p>" for r in REMARKS)}</div>{END}</body>'
+    assert html_extract.main_text(page) == "\n\n".join(REMARKS)
+
+
+def test_short_articles_win():
+    side = "<div><p>Another story, which is longer, with commas, and tells of something else, far away, and long ago, and so on.</p></div>"
+    for tag in ("article", "main"):
+        assert html_extract.main_text(f"<body><{tag}><h1>Hi</h1><p>Short note.</p></{tag}>{side}</body>") == "Hi\n\nShort note."
+    two = f"<body><article><p>One.</p></article><article><h1>{HEAD}</h1>{TEXT}</article></body>"
+    assert html_extract.main_text(two) == WHOLE
+
+
+def test_lists_of_links_in_the_text_stay():
+    towns = "".join(f'<li><a href="/{t}">{t}</a></li>' for t in ("Wien", "Linz", "Graz"))
+    want = "\n\n".join([HEAD, PARAS[0], "Wien", "Linz", "Graz", PARAS[1]])
+    for form in ("<article>{x}</article>", "<main>{x}</main>", '<div class="post">{x}</div>', "<div>{x}</div>"):
+        body = f"<h1>{HEAD}</h1><p>{PARAS[0]}</p><ul>{towns}</ul><p>{PARAS[1]}</p>"
+        assert html_extract.main_text(f"<body>{SIDE}{form.format(x=body)}{END}</body>") == want, form
+    end = f"<article><h1>{HEAD}</h1>{TEXT}<ul>{towns}</ul></article>"
+    assert html_extract.main_text(f"<body>{SIDE}<ul>{towns}</ul>{end}{END}</body>") == "\n\n".join([WHOLE, "Wien", "Linz", "Graz"])
