@@ -20,25 +20,47 @@ def exact_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
     return hashed.join(groups, "sha256").select(key, "sha256", "group_id", "group_size")
 
 
+def near_candidates(groups: DataFrame, head: str, bits: str, most: int, width: int) -> DataFrame:
+    """Pairs of hashes (left, right, lb, rb) that may be near, each once, from a multi-index over slices.
+
+    The width is cut into most // 2 + 1 slices: two hashes within most bits differ by one bit at most in
+    one slice at least. The right hash asks for its own value of each slice and those one bit away, the
+    left one is found under its own value; a pair counts in the first slice that qualifies. With slices
+    of w bits that compares about (w + 1) / 2^w of all pairs a slice.
+    """
+    slices = most // 2 + 1
+    borders = [i * width // slices for i in range(slices + 1)]
+    spans = list(zip(borders[:-1], borders[1:], strict=True))
+    cut = lambda x, a, b: F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << b - a) - 1 if b - a < 64 else -1).cast("long"))
+    own = F.explode(F.array(*(F.struct(F.lit(i).alias("slice"), cut(bits, a, b).alias("value")) for i, (a, b) in enumerate(spans))))
+
+    def asked(i: int, a: int, b: int) -> Column:
+        value = cut(bits, a, b)
+        flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(b - a)))
+        return F.transform(flips, lambda f: F.struct(F.lit(i).alias("slice"), value.bitwiseXOR(f).alias("value")))
+
+    every = F.explode(F.flatten(F.array(*(asked(i, a, b) for i, (a, b) in enumerate(spans)))))
+    left = groups.select(F.col(head).alias("left"), F.col(bits).alias("lb"), own.alias("s")).select("left", "lb", "s.slice", "s.value")
+    right = groups.select(F.col(head).alias("right"), F.col(bits).alias("rb"), every.alias("s")).select("right", "rb", "s.slice", "s.value")
+    met = left.join(right, ["slice", "value"]).where(F.col("left") < F.col("right"))
+    x = F.col("lb").bitwiseXOR(F.col("rb"))
+    earlier = F.lit(False)
+    for i, (a, b) in enumerate(spans):
+        earlier = earlier | ((F.col("slice") > i) & (F.bit_count(cut(x, a, b)) <= 1))
+    return met.where(~earlier).drop("slice", "value")
+
+
 def near_pairs(df: DataFrame, key: str, bits: str = "phash", most: int = 8, width: int = 64) -> DataFrame:
-    """Pairs of keys (left < right) whose hashes differ in at most most bits, by banding.
+    """Pairs of keys (left < right) whose hashes differ in at most most bits; no pair is lost (see near_candidates()).
 
-    most + 1 bands of sizes that differ by one at most and fill the width: two hashes within most bits
-    share one whole band at least, so no pair is lost.
     Equal hashes are grouped first and compared once; their members are paired with the group's
     smallest key, so a large group of copies gives a star and not all its pairs.
     """
-    groups = df.where(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(key).alias("head"))
     if most >= width:
         raise ValueError("every pair is within most bits")
-    borders = [i * width // (most + 1) for i in range(most + 2)]
-    cut = lambda a, b: F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << b - a) - 1 if b - a < 64 else -1).cast("long"))
-    band = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), cut(a, b).alias("value")) for i, (a, b) in enumerate(zip(borders[:-1], borders[1:], strict=True)))))
-    banded = groups.select("head", bits, band.alias("b")).select("head", bits, "b.band", "b.value")
-    a = banded.select(F.col("head").alias("left"), F.col(bits).alias("lb"), "band", "value")
-    b = banded.select(F.col("head").alias("right"), F.col(bits).alias("rb"), "band", "value")
-    found = a.join(b, ["band", "value"]).where((F.col("left") < F.col("right")) & (hamming(F.col("lb"), F.col("rb")) <= most))
-    between = found.select("left", "right", hamming(F.col("lb"), F.col("rb")).alias("distance")).distinct()
+    groups = df.where(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(key).alias("head"))
+    distance = hamming(F.col("lb"), F.col("rb"))
+    between = near_candidates(groups, "head", bits, most, width).where(distance <= most).select("left", "right", distance.alias("distance"))
     inside = df.where(F.col(bits).isNotNull()).join(groups, bits).where(F.col(key) != F.col("head")).select(F.col("head").alias("left"), F.col(key).alias("right"), F.lit(0).alias("distance"))
     return between.unionByName(inside)
 
@@ -151,14 +173,22 @@ def fold_views(df: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
 
 
-def fold_checks(df: DataFrame, key: str, fold: str = "fold") -> DataFrame:
-    """Per fold: rows to train on and to validate on, and whether both are disjoint and all rows together."""
-    sizes = df.groupBy(fold).agg(F.count("*").alias("validation"))
-    total = df.agg(F.count("*").alias("rows"))
-    shared = df.groupBy(key).agg(F.array_distinct(F.collect_list(fold)).alias("folds")).where(F.size("folds") > 1).select(F.explode("folds").alias(fold)).groupBy(fold).agg(F.count("*").alias("shared"))
-    out = sizes.join(F.broadcast(total)).join(shared, fold, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    training = F.col("rows") - F.col("validation")
-    return out.select(fold, training.alias("training"), "validation", "shared", (F.col("shared") == 0).alias("disjoint"), (training + F.col("validation") == F.col("rows")).alias("exhaustive"))
+def fold_checks(df: DataFrame, key: str, fold: str = "fold", manifest: DataFrame | None = None) -> DataFrame:
+    """Per fold: rows to train on and to validate on, keys that other folds have too, and whether both sides are disjoint and cover the manifest.
+
+    uncovered counts the keys of the manifest (or of df itself) that no row with a fold has; exhaustive
+    says that there are none. Rows without a fold belong to no side.
+    """
+    placed = df.where(F.col(fold).isNotNull())
+    keys = (df if manifest is None else manifest).select(key).distinct()
+    uncovered = keys.join(placed.select(key), key, "left_anti").agg(F.count("*").alias("uncovered"))
+    sizes = placed.groupBy(fold).agg(F.count("*").alias("validation"))
+    total = placed.agg(F.count("*").alias("rows"))
+    # Of a key only the least and the greatest fold are held.
+    spread = placed.groupBy(key).agg(F.min(fold).alias("a"), F.max(fold).alias("b")).where("a <> b").select(key)
+    shared = placed.select(key, fold).distinct().join(spread, key, "left_semi").groupBy(fold).agg(F.count("*").alias("shared"))
+    out = sizes.join(F.broadcast(total)).join(F.broadcast(uncovered)).join(shared, fold, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return out.select(fold, (F.col("rows") - F.col("validation")).alias("training"), "validation", "shared", "uncovered", (F.col("shared") == 0).alias("disjoint"), (F.col("uncovered") == 0).alias("exhaustive"))
 
 
 def weighted_sample(df: DataFrame, family: str, n: int, seed: int = 42, key: str | None = None) -> DataFrame:

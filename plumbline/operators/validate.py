@@ -75,7 +75,7 @@ def polygon_checks(boxes: DataFrame, width: Column, height: Column, tolerance: f
     flat = G.flatten_polygon(F.col("polygon"))
     marked = boxes.select(
         "image", "polygon", (F.size("polygon") < 4).alias("short"), (~all_finite(flat)).alias("bad"), (G.area(F.col("polygon")) == 0).alias("flat"),
-        self_crossing(F.col("polygon")).alias("crossing"), G.overshoot(F.col("polygon"), width, height).alias("over"),
+        (self_crossing(F.col("polygon")) & (G.area(F.col("polygon")) != 0)).alias("crossing"), G.overshoot(F.col("polygon"), width, height).alias("over"),
     )
     distinct = marked.groupBy("image", "polygon").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("short", "bad", "flat", "crossing", "over")))
     weigh = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
@@ -116,18 +116,34 @@ def passed(checks: DataFrame, fatal=FATAL) -> DataFrame:
 
 
 def self_crossing(polygon: Column) -> Column:
-    """Whether two edges that are no neighbours cross."""
-    n = F.size(polygon)
-    at = lambda i: F.element_at(polygon, (i % n).cast("int") + 1)
-    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
-
-    def crosses(i: Column, j: Column) -> Column:
-        a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
-        apart = (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
-        return (j > i + 1) & ~((i == 0) & (j == n - 1)) & apart  # cheap tests first: the rest is skipped
-
-    edges = F.sequence(F.lit(0), n - 1)
-    return F.when(n < 4, F.lit(False)).otherwise(F.exists(edges, lambda i: F.exists(edges, lambda j: crosses(i, j))))
+    """Whether a ring is no simple one: edges that are no neighbours cross, touch or overlap, or neighbours fold back on each other.
+
+    Repeated points in a row count once. A ring of under three different points in a row is not looked at.
+    """
+    last = F.element_at(polygon, -1)
+    ring = F.filter(polygon, lambda p, i: p != F.when(i == 0, last).otherwise(F.get(polygon, i - 1)))
+
+    def check(p: Column) -> Column:
+        n = F.size(p)
+        at = lambda i: F.element_at(p, (i % n).cast("int") + 1)
+        turn = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+        overlap = lambda a, b, c, d, k: (F.greatest(F.least(a[k], b[k]), F.least(c[k], d[k])) <= F.least(F.greatest(a[k], b[k]), F.greatest(c[k], d[k])))
+
+        def meets(i: Column, j: Column) -> Column:
+            a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
+            near = overlap(a, b, c, d, "x") & overlap(a, b, c, d, "y")
+            apart = (turn(a, b, c) * turn(a, b, d) <= 0) & (turn(c, d, a) * turn(c, d, b) <= 0)
+            return (j > i + 1) & ~((i == 0) & (j == n - 1)) & near & apart  # cheap tests first: the rest is skipped
+
+        def folds(i: Column) -> Column:
+            a, b, c = at(i), at(i + 1), at(i + 2)
+            return (turn(a, b, c) == 0) & ((b["x"] - a["x"]) * (c["x"] - b["x"]) + (b["y"] - a["y"]) * (c["y"] - b["y"]) < 0)
+
+        edges = F.sequence(F.lit(0), n - 1)
+        return F.when(n < 3, F.lit(False)).otherwise(F.exists(edges, lambda i: folds(i) | F.exists(edges, lambda j: meets(i, j))))
+
+    # Bound once: a ring that stands in an expression many times is made as often.
+    return F.coalesce(F.get(F.transform(F.array(ring), check), 0), F.lit(False))
 
 
 def csv_checks(csv: DataFrame, expected: DataFrame) -> DataFrame:

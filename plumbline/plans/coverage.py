@@ -254,9 +254,17 @@ def near_dup_rules(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("id"), split.accept_rule(k % 50 == 0, c % 11, (k % 100) / 100, 100 + c % 30, 100 + k % 30).alias("rule"))
 
 
-@query("WITH d AS (SELECT doc_id, (doc_id % 5)::INT AS fold FROM documents) SELECT fold, (SELECT count(*) FROM d) - count(*) AS training, count(*) AS validation, 0::BIGINT AS shared, true AS disjoint, true AS exhaustive FROM d GROUP BY fold")
+@query(
+    "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN (doc_id % 5)::INT END AS fold FROM documents WHERE doc_id % 13 <> 0 UNION ALL SELECT doc_id, 4 FROM documents WHERE doc_id % 35 = 1), p AS (SELECT * FROM d WHERE fold IS NOT NULL), "
+    "k AS (SELECT doc_id FROM p GROUP BY doc_id HAVING count(DISTINCT fold) > 1), s AS (SELECT fold, count(DISTINCT doc_id) AS shared FROM p WHERE doc_id IN (SELECT doc_id FROM k) GROUP BY fold), u AS (SELECT count(*) AS uncovered FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p)) "
+    "SELECT fold, (SELECT count(*) FROM p) - count(*) AS training, count(*) AS validation, coalesce(any_value(shared), 0) AS shared, any_value(uncovered) AS uncovered, coalesce(any_value(shared), 0) = 0 AS disjoint, any_value(uncovered) = 0 AS exhaustive FROM p LEFT JOIN s USING (fold), u GROUP BY fold"
+)
 def fold_preparation(spark, sf_dir):
-    return split.fold_checks(table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("fold")), "doc_id")
+    """A broken assignment: documents without a row, without a fold, and in two folds."""
+    docs, i = table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id")
+    rows = docs.where(i % 13 != 0).select("doc_id", F.when(i % 11 != 0, (i % 5).cast("int")).alias("fold"))
+    twice = docs.where(i % 35 == 1).select("doc_id", F.lit(4).alias("fold"))
+    return split.fold_checks(rows.unionByName(twice), "doc_id", manifest=docs)
 
 
 @query("WITH d AS (SELECT doc_id, source || '/' || (doc_id % 16) AS g FROM documents), g AS (SELECT g, count(*) AS n FROM d GROUP BY g) SELECT (SELECT count(*) FROM d) AS rows, (SELECT count(*) FROM g) AS groups, 5::BIGINT AS folds, 0::BIGINT AS leaking, true AS even")

@@ -16,3 +16,19 @@ def test_bands_lose_no_pair(spark):
     for most in (0, 3, 8, 11):
         want = {(a, b, (x ^ y).bit_count()) for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= most}
         assert {tuple(r) for r in split.near_pairs(df, "key", "phash", most).collect()} == want
+
+
+def test_few_pairs_are_compared(spark):
+    """Uniform hashes: under 2 % of all pairs meet, and none that is near is lost."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(1 << 63), 1 << 63, 2000, np.int64)
+    near = base[:200] ^ np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 9), replace=False)) for _ in range(200)], np.int64)
+    rows = [(i, int(h)) for i, h in enumerate(np.concatenate((base, near)))]
+    df = spark.createDataFrame(rows, "key long, phash long")
+    n = len(rows)
+    met = split.near_candidates(df, "key", "phash", 8, 64)
+    assert met.count() <= 0.02 * n * (n - 1) / 2
+    assert met.select("left", "right").distinct().count() == met.count()
+    h = np.array([r[1] for r in rows])
+    want = {(i, int(j)) for i in range(n) for j in np.nonzero(np.bitwise_count((h[i] ^ h[i + 1 :]).view(np.uint64)) <= 8)[0] + i + 1}
+    assert {(r[0], r[1]) for r in split.near_pairs(df, "key", "phash", 8).collect()} == want
