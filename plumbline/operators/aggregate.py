@@ -10,14 +10,21 @@ from .ranking import quantiles as exact_quantiles
 
 
 def profile(df: DataFrame, by: str, metrics: list[str], quantiles=((0.5, "median"), (0.1, "q10"), (0.9, "q90"))) -> DataFrame:
-    """Rows and exact quantiles of each metric of each group; NaN counts as missing."""
-    each = [q for q, _ in quantiles]
+    """Rows and exact quantiles of each metric of each group, all metrics in one pass; NaN counts as missing."""
     out = df.groupBy(by).agg(F.count("*").alias("rows"))
-    for m in metrics:
-        out = _joined(out, exact_quantiles(df.select(by, nan_to_null(F.col(m).cast("double")).alias(m)), [by], m, each, f"__q_{m}"), [by])
+    clean = df.select(by, *(nan_to_null(F.col(m).cast("double")).alias(m) for m in metrics))
+    each = _quantiles_of(clean, [by], metrics, [q for q, _ in quantiles])
+    out = _joined(out, each, [by])
     return out.select(by, "rows", *(F.col(f"__q_{m}")[i].alias(f"{m}_{name}") for m in metrics for i, (_, name) in enumerate(quantiles)))
 
 
+def _quantiles_of(df: DataFrame, by: list[str], columns: list[str], at: list[float]) -> DataFrame:
+    """by and __q_x, the exact quantiles of each column; columns are sorted side by side, as groups of one table."""
+    long = df.select(*by, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([F.col(k) for k in by], columns, "__column", "__value")
+    found = exact_quantiles(long, [*by, "__column"], "__value", at, "__q")
+    return found.groupBy(*by).agg(*(F.first(F.when(F.col("__column") == c, F.col("__q")), ignorenulls=True).alias(f"__q_{c}") for c in columns))
+
+
 def _joined(groups: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     """groups with the values of their keys, null keys too; groups without values stay."""
     right = values.withColumnsRenamed({k: f"__of_{k}" for k in by})
@@ -79,16 +86,25 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.agg((F.count("*") - F.count_distinct(*map(F.col, keys))).alias("duplicates"))
 
 
-def strata(df: DataFrame, named: dict[str, Column], aggregates: list[Column]) -> DataFrame:
-    """One row for each named condition, from one pass over df; rows may be in several strata."""
-    marked = df.withColumn("stratum", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in named.items())), lambda x: x.isNotNull())))
-    return marked.groupBy("stratum").agg(*aggregates)
+def strata(df: DataFrame, named: dict[str, Column], aggregates: list[Column], by: dict[str, str] | None = None) -> DataFrame:
+    """One row for each named condition that some row meets, and for each value of the columns of by, named by its prefix and the value.
+
+    Rows may be in several strata. One pass by grouping sets, summed where the rows are.
+    """
+    flags = {f"__f{i}": c for i, c in enumerate(named.values())}
+    groups = {f"__g{i}": F.coalesce(F.col(c).cast("string"), F.lit("null")) for i, c in enumerate((by or {}).values())}
+    marked = df.withColumns(flags | groups)
+    keys = [*flags, *groups]
+    of_flag = [F.when((F.grouping(f) == 0) & F.col(f), F.lit(n)) for f, n in zip(flags, named, strict=True)]
+    of_group = [F.when(F.grouping(g) == 0, F.concat(F.lit(prefix), F.col(g))) for g, prefix in zip(groups, by or {}, strict=True)]
+    out = marked.groupingSets([[F.col(k)] for k in keys], *map(F.col, keys)).agg(F.coalesce(*of_flag, *of_group, F.lit(None).cast("string")).alias("stratum"), *aggregates)
+    return out.drop(*keys).where("stratum is not null")
 
 
 def quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """Exact lower and upper quartiles; a handful of numbers comes to the driver."""
-    found = {c: exact_quantiles(df, [], c, [0.25, 0.75]).first()[0] for c in columns}
-    return {c: tuple(q) if q else (None, None) for c, q in found.items()}
+    """Exact lower and upper quartiles, all columns in one pass; a handful of numbers comes to the driver."""
+    row = _quantiles_of(df, [], columns, [0.25, 0.75]).first()
+    return {c: tuple(row[f"__q_{c}"]) if row and row[f"__q_{c}"] else (None, None) for c in columns}
 
 
 def sanity(boxes: DataFrame, width: Column, height: Column, most: int = 500) -> DataFrame:

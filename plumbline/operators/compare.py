@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
+from .aggregate import strata as strata_of
 from .ranking import average_rank, cut_lineage, in_ranges, quantiles, shifts, with_shifts
 
 
@@ -122,13 +123,11 @@ def three_way(comparison: DataFrame, first: DataFrame, second: DataFrame, key: s
     return comparison.join(a, key).join(b, key).withColumn(f"{metric}_delta", F.col(f"second_{metric}") - F.col(f"first_{metric}"))
 
 
-def paired_strata(pairs: DataFrame, strata: dict, metrics: list[str], tolerance: float = 1e-12) -> DataFrame:
-    """Of each stratum (a name and a condition, which may overlap): images, means of both sides and of the difference, and how many improved or got worse by the first metric."""
-    member = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in strata.items())))).alias("stratum")
+def paired_strata(pairs: DataFrame, strata: dict, metrics: list[str], tolerance: float = 1e-12, by: dict[str, str] | None = None) -> DataFrame:
+    """Of each stratum (conditions, which may overlap, and values of columns as for aggregate.strata()): images, means of both sides and of the difference, and how many improved or got worse by the first metric."""
     d = F.col(f"delta_{metrics[0]}")
-    return pairs.select("*", member).groupBy("stratum").agg(
-        F.count("*").alias("images"), *(F.avg(f"{p}_{m}").alias(f"{p}_{m}") for m in metrics for p in ("control", "candidate", "delta")), F.count_if(d > tolerance).alias("improved"), F.count_if(d < -tolerance).alias("worse")
-    )
+    means = [F.avg(f"{p}_{m}").alias(f"{p}_{m}") for m in metrics for p in ("control", "candidate", "delta")]
+    return strata_of(pairs, strata, [F.count("*").alias("images"), *means, F.count_if(d > tolerance).alias("improved"), F.count_if(d < -tolerance).alias("worse")], by)
 
 
 def _intervals(means: DataFrame, values: list[str]) -> DataFrame:

@@ -292,8 +292,7 @@ def strata_report(spark, sf_dir):
     v, b = F.col("o_totalprice"), F.col("c_acctbal")
     named = {"all": F.lit(True), "price_low": v <= q["o_totalprice"][0], "price_high": v >= q["o_totalprice"][1], "balance_low": b <= q["c_acctbal"][0], "balance_high": b >= q["c_acctbal"][1]}
     measures = [F.count("*").alias("rows"), F.round(F.avg(v), 4).alias("mean_price"), F.round(F.avg(b), 4).alias("mean_balance")]
-    segments = rows.groupBy(F.concat(F.lit("segment_"), "c_mktsegment").alias("stratum")).agg(*measures)
-    return aggregate.strata(rows, named, measures).unionByName(segments)
+    return aggregate.strata(rows, named, measures, {"segment_": "c_mktsegment"})
 
 
 _FOLD = "o AS (SELECT *, (o_custkey % 5)::INT AS fold FROM orders)"
