@@ -13,12 +13,12 @@ def profile(df: DataFrame, by: str, metrics: list[str], quantiles=((0.5, "median
     """Rows and exact quantiles of each metric of each group, all metrics in one pass; NaN counts as missing."""
     out = df.groupBy(by).agg(F.count("*").alias("rows"))
     clean = df.select(by, *(nan_to_null(F.col(m).cast("double")).alias(m) for m in metrics))
-    each = _quantiles_of(clean, [by], metrics, [q for q, _ in quantiles])
+    each = quantiles_of(clean, [by], metrics, [q for q, _ in quantiles])
     out = _joined(out, each, [by])
     return out.select(by, "rows", *(F.col(f"__q_{m}")[i].alias(f"{m}_{name}") for m in metrics for i, (_, name) in enumerate(quantiles)))
 
 
-def _quantiles_of(df: DataFrame, by: list[str], columns: list[str], at: list[float]) -> DataFrame:
+def quantiles_of(df: DataFrame, by: list[str], columns: list[str], at: list[float]) -> DataFrame:
     """by and __q_x, the exact quantiles of each column; columns are sorted side by side, as groups of one table."""
     long = df.select(*by, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([F.col(k) for k in by], columns, "__column", "__value")
     found = exact_quantiles(long, [*by, "__column"], "__value", at, "__q")
@@ -103,7 +103,7 @@ def strata(df: DataFrame, named: dict[str, Column], aggregates: list[Column], by
 
 def quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Exact lower and upper quartiles, all columns in one pass; a handful of numbers comes to the driver."""
-    row = _quantiles_of(df, [], columns, [0.25, 0.75]).first()
+    row = quantiles_of(df, [], columns, [0.25, 0.75]).first()
     return {c: tuple(row[f"__q_{c}"]) if row and row[f"__q_{c}"] else (None, None) for c in columns}
 
 

@@ -267,7 +267,9 @@ def fuse_aligned(maps: DataFrame) -> DataFrame:
 
 
 def prediction_statistics(boxes: DataFrame) -> DataFrame:
-    """Count and spread of scores and areas; boxes has score and area."""
-    s, a = F.percentile("score", [0.5, 0.1]), F.percentile("area", [0.5, 0.1])
-    out = boxes.agg(F.count("*").alias("boxes"), F.avg("score").alias("score_mean"), s.alias("s"), F.min("score").alias("score_min"), a.alias("a"))
-    return out.select("boxes", "score_mean", F.col("s")[0].alias("score_median"), "score_min", F.col("s")[1].alias("score_q10"), F.col("a")[0].alias("area_median"), F.col("a")[1].alias("area_q10"))
+    """Count and spread of scores and areas; boxes has score and area. Quantiles are exact, by ranges."""
+    from .aggregate import quantiles_of
+
+    q = quantiles_of(boxes, [], ["score", "area"], [0.5, 0.1])
+    out = boxes.agg(F.count("*").alias("boxes"), F.avg("score").alias("score_mean"), F.min("score").alias("score_min")).join(q, F.lit(True), "left")
+    return out.select("boxes", "score_mean", F.col("__q_score")[0].alias("score_median"), "score_min", F.col("__q_score")[1].alias("score_q10"), F.col("__q_area")[0].alias("area_median"), F.col("__q_area")[1].alias("area_q10"))

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 
 #: Rows of a range, about, and ranges at least and at most.
 ROWS_OF_RANGE, RANGES = 1 << 20, (64, 4096)
 #: Sampled rows for each range, and characters or bytes of a key that cuts are made of.
 SAMPLE, KEY_LENGTH = 16, 64
+#: Rows that are one range without a sample; results are the same.
+SMALL = 1 << 14
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where none is set and the master is local."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
-    return df.checkpoint()
+    """df as a written table of the shared folder: computed once, where a checkpoint computes it twice."""
+    return written(df)
 
 
 def rank_first(df: DataFrame, value: str, ties: list[str], by: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -68,6 +64,8 @@ def in_ranges(df: DataFrame, order: list[str] | str) -> DataFrame:
     keys = [x.alias(k) for x, k in zip((*(F.col(f"`{c}`") for c in columns), F.col("__tie")), names, strict=True)]
     short = [x.alias(k) for x, k in zip((*(_short(df, c) for c in columns), F.col("__tie")), names, strict=True)]
     n = df.count()
+    if n <= SMALL:
+        return dealt.withColumn("__range", F.lit(0))
     ranges = max(RANGES[0], min(RANGES[1], n // ROWS_OF_RANGE))
     wanted = SAMPLE * ranges
     sample = dealt.select(*short).sample(min(1.0, wanted / max(n, 1)), seed=7)
