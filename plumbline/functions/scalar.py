@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Machine epsilon of a 32-bit float, as aspect ratios are guarded with.
 EPS = 1.1920928955078125e-07
@@ -75,8 +77,25 @@ def centred_cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.when(mean(a) == mean(b), 1.0).otherwise(0.0)).otherwise(_dot(ca, cb) / norm)
 
 
+def general_format(value: Column, digits: int = 10) -> Column:
+    """A number with so many significant digits and no zeros at its end, as C's %g has it; null and NaN give the empty text."""
+
+    @F.pandas_udf(T.StringType())
+    def shown(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: "" if x is None or x != x else f"{x:.{digits}g}")
+
+    return F.coalesce(shown(value.cast("double")), F.lit(""))
+
+
+@F.pandas_udf(T.StructType([T.StructField("length", T.IntegerType()), T.StructField("text", T.StringType())]))
+def common_subsequence(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """longest_common_subsequence() of two text columns; null if either is."""
+    rows = [(None, None) if x is None or y is None else longest_common_subsequence(x, y) for x, y in zip(a, b, strict=True)]
+    return pd.DataFrame(rows, columns=["length", "text"]).astype({"length": "Int32"})
+
+
 def longest_common_subsequence(a: str, b: str) -> tuple[int, str]:
-    """Length and text of a longest common subsequence (driver or pandas UDF use)."""
+    """Length and text of a longest common subsequence."""
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):

@@ -31,13 +31,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import coverage, measures  # noqa: F401 (register more)
+    from . import coverage, files, measures  # noqa: F401 (register more)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import coverage, measures  # noqa: F401
+    from . import coverage, files, measures  # noqa: F401
 
     return dict(_SQL)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +52,28 @@ def list_images(spark: SparkSession, *roots: str, extensions=("jpg", "jpeg", "pn
     return out.withColumn("source", F.lit(source)) if source else out
 
 
+def scan_sources(spark: SparkSession, roots: dict[str, str], families: dict[str, str], extensions=("jpg", "jpeg", "png")) -> DataFrame:
+    """list_images() of several roots, each a source with its family; a root that is missing, holds no image or has no family is an error."""
+    from ..operators.selection import tag_family
+    from ..operators.validate import ContractError
+
+    if unknown := sorted(set(roots) - set(families)):
+        raise ContractError(f"sources without a family: {', '.join(unknown)}")
+    out = None
+    for source, root in roots.items():
+        try:
+            part = list_images(spark, root, extensions=extensions, source=source)
+            empty = part.isEmpty()
+        except AnalysisException as e:
+            raise ContractError(f"{source}: no folder {root}") from e
+        if empty:
+            raise ContractError(f"{source}: no images below {root}")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ContractError("no sources")
+    return tag_family(out, families)
+
+
 def present(annotations: DataFrame, files: DataFrame) -> DataFrame:
     """Annotations whose file exists."""
     return annotations.join(files.select("filename"), "filename", "left_semi")

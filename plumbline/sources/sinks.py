@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import padded_index
+from ..functions.scalar import general_format, padded_index
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """One header a file; the number of files is that of df's partitions."""
+def write_csv(df: DataFrame, path: str, mode: str = "error", digits: int | None = None) -> None:
+    """One header a file; the number of files is that of df's partitions.
+
+    digits gives floating numbers as %.{digits}g, NaN as empty.
+    """
+    if digits:
+        shown = lambda f: general_format(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() in ("float", "double") else F.col(f.name)
+        df = df.select(*map(shown, df.schema.fields))
     df.write.mode(mode).option("header", "true").csv(path)
 
 
