@@ -15,12 +15,12 @@ from .catalog import _round, query
 
 # Readers and writers
 
-_WORDS = "SELECT image::VARCHAR || '.jpg' AS filename, printf('%04d', k) AS word, 4::INT AS points, round_even(25 * k + l_quantity / 2, 0) AS x, round_even(l_quantity / 2, 0) AS y, 640::INT AS width, (100 + image % 7)::INT AS height FROM li WHERE k <= 3"
+_WORDS = "SELECT image::VARCHAR || '.jpg' AS filename, printf('%04d', k) AS word, 4::INT AS points, round_even(25 * k + l_quantity / 2, 0) AS x, round_even(l_quantity / 2, 0) AS y, 640::INT AS width, (100 + image % 7)::INT AS height FROM li"
 
 
 def _documents(spark, sf_dir):
     """Annotation documents as JSON text, one an image, with an empty word and an image without words among them."""
-    rows = B.lines(spark, sf_dir).where("k <= 3")
+    rows = B.lines(spark, sf_dir)
     x, y = 25 * F.col("k") + F.col("l_quantity") / 2, F.col("l_quantity") / 2
     p = G.box_polygon(x, y, x + 10, y + 5)
     words = sinks.prediction_json(rows.select("image", "k", p.alias("polygon")))
@@ -36,7 +36,7 @@ def annotation_words(spark, sf_dir):
     return w.select("filename", "word", F.size("polygon").alias("points"), F.col("polygon")[0]["x"].alias("x"), F.col("polygon")[0]["y"].alias("y"), "width", "height")
 
 
-@query(f"WITH {B.LINES}, w AS (SELECT image, least(count(*), 3)::INT + 1 AS n FROM li GROUP BY image) SELECT 'none.jpg' AS filename, 0::INT AS words, count(*) AS documents FROM w UNION ALL SELECT image::VARCHAR || '.jpg', n, 1 FROM w")
+@query(f"WITH {B.LINES}, w AS (SELECT image, count(*)::INT + 1 AS n FROM li GROUP BY image) SELECT 'none.jpg' AS filename, 0::INT AS words, count(*) AS documents FROM w UNION ALL SELECT image::VARCHAR || '.jpg', n, 1 FROM w")
 def annotation_counts(spark, sf_dir):
     return annotations.word_counts(_documents(spark, sf_dir)).groupBy("filename", "words").agg(F.count("*").alias("documents"))
 
@@ -344,7 +344,7 @@ def broken_csv(spark, sf_dir):
 )
 def split_report(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"), (F.col("doc_id") % 5).cast("int").alias("fold"))
-    pairs = d.where("doc_id % 10 = 0").select(F.col("doc_id").alias("left"), (F.col("doc_id") + 1).alias("right"))
+    pairs = d.select(F.col("doc_id").alias("left"), (F.col("doc_id") + 1).alias("right"))
     return selection.split_report(d, "doc_id", "fold", "source", "lang", F.col("doc_id") % 4 == 0, ["n_chars"], pairs, d.count(), 5)
 
 
