@@ -53,6 +53,19 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of an Arrow batch, where the session sets no limit of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cuts Arrow batches by bytes: Spark's 10,000 rows of long texts are tens of MB, several times over in each worker and in the JVM."""
+    if spark.conf.get(_BATCH_SETTING, "1") == "1":  # unset
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
