@@ -61,7 +61,7 @@ def resampled_sums(df: DataFrame, key: str, columns: list[str], resamples: int =
 def bootstrap_means(df: DataFrame, key: str, values: list[str], resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """Poisson bootstrap of means: mean, 2.5 and 97.5 % quantiles and the share above 0 of each value."""
     sums = resampled_sums(df, key, values, resamples, seed)
-    return _intervals(sums.select((F.col(f"s{i}") / F.col("n")).alias(v) for i, v in enumerate(values)), values)
+    return _intervals(sums.select(*((F.col(f"s{i}") / F.col("n")).alias(v) for i, v in enumerate(values))), values)
 
 
 def bootstrap_scores(df: DataFrame, key: str, methods: tuple[str, str], counters: list[str], metrics: list[str], scored, resamples: int = 10_000, seed: int = 42) -> DataFrame:
