@@ -151,7 +151,7 @@ def drift(df: DataFrame, group: str, value: str, reference: str) -> DataFrame:
     merged = both.groupBy("g", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     from pyspark.sql import Window as W
 
-    dealt = in_ranges(cut_lineage(merged), "v")
+    dealt = in_ranges(cut_lineage(merged), "v", ties=False)
     inside = W.partitionBy("g", "__range").orderBy("v")
     up = inside.rowsBetween(W.unboundedPreceding, 0)
     each = dealt.select("g", "__range", "v", F.sum("a").over(up).alias("ia"), F.sum("b").over(up).alias("ib"), F.lead("v").over(inside).alias("after"))

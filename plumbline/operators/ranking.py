@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,10 +54,11 @@ def _short(df: DataFrame, column: str) -> Column:
     return F.substring(c, 1, KEY_LENGTH) if df.schema[column].dataType.typeName() in ("string", "binary", "char", "varchar") else c
 
 
-def in_ranges(df: DataFrame, order: list[str] | str) -> DataFrame:
+def in_ranges(df: DataFrame, order: list[str] | str, ties: bool = True) -> DataFrame:
     """df with __range, the range of its order columns between the cuts of a sample, and __tie, a hash of the row that goes on after them.
 
     The number of ranges follows the table's size; what reaches the driver is one row for each cut.
+    Without ties, equal keys stay in one range: for tables that have each value once, or once a group.
     """
     columns = [order] if isinstance(order, str) else order
     hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
@@ -74,17 +77,24 @@ def in_ranges(df: DataFrame, order: list[str] | str) -> DataFrame:
     picked = sample.withColumn("i", F.row_number().over(W.orderBy(*names))).where(F.col("i") % step == 0).orderBy("i").drop("i")
     cuts = picked.collect()
     kinds = [f.dataType for f in picked.schema]
-    literal = lambda row: F.struct(*(F.lit(v).cast(t).alias(k) for k, v, t in zip(names, row, kinds, strict=True)))
-    key = F.struct(*keys)
+    if not ties and len(columns) == 1:
+        kind = kinds[0]
+        literal = lambda row: F.lit(row[0]).cast(kind)
+        key = keys[0]
+        cuts = list(dict.fromkeys((r[0],) for r in cuts if r[0] is not None))
+    else:
+        key = F.struct(*keys)
+        literal = lambda row: F.struct(*(F.lit(v).cast(t).alias(k) for k, v, t in zip(names, row, kinds, strict=True)))
     beyond = lambda among: F.size(F.filter(among, lambda c: key > c))
     if not cuts:
         at = F.lit(0)
-    elif len(cuts) <= 2 * RANGES[0]:
+    elif len(cuts) < 8:
         at = beyond(F.array(*map(literal, cuts)))
-    else:  # in two steps: every 64th cut, then those between
-        blocks = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    else:  # in two steps: every so many cuts, then those between
+        each = math.isqrt(len(cuts) - 1) + 1
+        blocks = [cuts[i : i + each] for i in range(0, len(cuts), each)]
         block = beyond(F.array(*(literal(b[-1]) for b in blocks[:-1])))
-        at = block * 64 + beyond(F.element_at(F.array(*(F.array(*map(literal, b)) for b in blocks)), block + 1))
+        at = block * each + beyond(F.element_at(F.array(*(F.array(*map(literal, b)) for b in blocks)), block + 1))
     return dealt.withColumn("__range", at)
 
 
@@ -141,7 +151,7 @@ def average_rank(df: DataFrame, value: str, by: list[str] | None = None, name: s
 
 def running_total(df: DataFrame, order: str, values: list[str], by: list[str] | None = None) -> DataFrame:
     """df with __total_x, the sum of x up to and with each row of its group in the order of one column, and __all_x."""
-    by, dealt = by or [], in_ranges(df, [order])
+    by, dealt = by or [], in_ranges(df, [order], ties=False)
     inside = W.partitionBy(*by, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     sums = dealt.select("*", *(F.sum(v).over(inside).alias(f"__i_{v}") for v in values))
     out = with_shifts(sums, shifts(dealt, by, {v: F.sum(v) for v in values}), by)
