@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,17 +51,114 @@ def near_candidates(groups: DataFrame, head: str, bits: str, most: int, width: i
     return met.where(~earlier).drop("slice", "value")
 
 
-def near_pairs(df: DataFrame, key: str, bits: str = "phash", most: int = 8, width: int = 64) -> DataFrame:
-    """Pairs of keys (left < right) whose hashes differ in at most most bits; no pair is lost (see near_candidates()).
+#: Hashes of a block, and rows of a block that are compared at once.
+BLOCK, ROWS = 1 << 14, 64
+#: The multi-index is used where it compares one pair in so many or fewer: a joined row costs as much as many in a block.
+INDEX_SHARE = 128
 
-    Equal hashes are grouped first and compared once; their members are paired with the group's
-    smallest key, so a large group of copies gives a star and not all its pairs.
+
+def compared_share(groups: DataFrame, bits: str, most: int, width: int) -> float:
+    """The share of all pairs of hashes that near_candidates() would compare: large where bits are uneven."""
+    slices = most // 2 + 1
+    borders = [i * width // slices for i in range(slices + 1)]
+    total, n = 0, groups.count()
+    for a, b in zip(borders[:-1], borders[1:], strict=True):
+        value = F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << b - a) - 1 if b - a < 64 else -1).cast("long"))
+        held = groups.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
+        flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(b - a)))
+        asked = held.select(F.col("n").alias("m"), F.explode(F.transform(flips, lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
+        total += held.join(asked, "value").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+    return total / (n * n) if n else 0.0
+
+
+def block_pairs(groups: DataFrame, head: str, bits: str, most: int) -> DataFrame:
+    """Pairs of hashes (left, right, lb, rb, distance) within most bits, from all pairs of blocks of hashes.
+
+    Every two blocks meet in one task, which holds no more than them; the work is that of all pairs, at
+    about a nanosecond each.
+    """
+    n = groups.count()
+    parts = max(-(-n // BLOCK), min(16, -(-n // 512)), 1)
+    blocks = groups.select(F.pmod(F.xxhash64(bits, F.lit(3)), F.lit(parts)).cast("int").alias("b"), F.col(head).cast("long").alias("h"), F.col(bits).alias("x"))
+    blocks = blocks.groupBy("b").agg(F.collect_list(F.struct("h", "x")).alias("rows")).select("b", F.col("rows.h").alias("h"), F.col("rows.x").alias("x"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o")
+    met = blocks.select("b", "h", "x", other).select(F.least("b", "o").alias("u"), F.greatest("b", "o").alias("v"), "h", "x")
+    dealt = met.repartition(min(parts * (parts + 1) // 2, 2048), "u", "v").sortWithinPartitions("u", "v")
+
+    def near(p, q):
+        own = p is q
+        for a in range(0, len(p[0]), ROWS):
+            distance = np.bitwise_count(p[1][a : a + ROWS, None] ^ q[1][None, :])
+            i, j = np.nonzero(distance <= most)
+            d, i = distance[i, j], i + a
+            if own:
+                keep = i < j
+                i, j, d = i[keep], j[keep], d[keep]
+            if not len(i):
+                continue
+            left, right, lb, rb = p[0][i], q[0][j], p[1][i], q[1][j]
+            turned = left > right
+            left, right = np.where(turned, right, left), np.where(turned, left, right)
+            lb, rb = np.where(turned, rb, lb).view(np.int64), np.where(turned, lb, rb).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (left, right, lb, rb)] + [pa.array(d, pa.int32())], ["left", "right", "lb", "rb", "distance"])
+
+    def run(batches):
+        key, held = None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                now = (batch.column(0)[r].as_py(), batch.column(1)[r].as_py())
+                block = tuple(batch.column(c)[r].values.to_numpy().view(t) for c, t in ((2, np.int64), (3, np.uint64)))
+                if now[0] == now[1]:
+                    yield from near(block, block)
+                elif now != key:
+                    key, held = now, tuple(x.copy() for x in block)
+                else:
+                    yield from near(held, block)
+
+    kind = groups.schema[head].dataType.simpleString()
+    found = dealt.mapInArrow(run, "left long, right long, lb long, rb long, distance int")
+    return found.select(F.col("left").cast(kind).alias("left"), F.col("right").cast(kind).alias("right"), "lb", "rb", "distance")
+
+
+def _grouped_pairs(df: DataFrame, key: str, bits: str, most: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct hashes with their smallest key, and the pairs of them within most bits.
+
+    Uneven bits crowd the slices of the multi-index; then blocks of hashes meet in place of it. Keys that
+    are no whole numbers have the multi-index only.
     """
     if most >= width:
         raise ValueError("every pair is within most bits")
     groups = df.where(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(key).alias("head"))
+    if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        groups = written(groups)
+        if compared_share(groups, bits, most, width) * INDEX_SHARE > 1:
+            return groups, block_pairs(groups, "head", bits, most)
     distance = hamming(F.col("lb"), F.col("rb"))
-    between = near_candidates(groups, "head", bits, most, width).where(distance <= most).select("left", "right", distance.alias("distance"))
+    return groups, near_candidates(groups, "head", bits, most, width).where(distance <= most).withColumn("distance", distance)
+
+
+def every_near_pair(df: DataFrame, key: str, bits: str = "phash", most: int = 8, width: int = 64) -> DataFrame:
+    """All pairs of keys (left < right) whose hashes differ in at most most bits, those of equal hashes too.
+
+    Distinct hashes are compared once, as for near_pairs(), then their members are paired.
+    """
+    _, found = _grouped_pairs(df, key, bits, most, width)
+    members = df.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("x"))
+    a, b = members.select(F.col("k").alias("a"), F.col("x").alias("lb")), members.select(F.col("k").alias("b"), F.col("x").alias("rb"))
+    between = found.select("lb", "rb", "distance").join(a, "lb").join(b, "rb").select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), "distance")
+    inside = a.join(b, F.col("lb") == F.col("rb")).where("a < b").select(F.col("a").alias("left"), F.col("b").alias("right"), F.lit(0).alias("distance"))
+    return between.unionByName(inside)
+
+
+def near_pairs(df: DataFrame, key: str, bits: str = "phash", most: int = 8, width: int = 64) -> DataFrame:
+    """Pairs of keys (left < right) whose hashes differ in at most most bits; no pair of different hashes is lost (see near_candidates()).
+
+    Equal hashes are grouped first and compared once; their members are paired with the group's
+    smallest key, so a large group of copies gives a star and not all its pairs (every_near_pair() gives
+    them).
+    """
+    groups, found = _grouped_pairs(df, key, bits, most, width)
+    between = found.select("left", "right", "distance")
     inside = df.where(F.col(bits).isNotNull()).join(groups, bits).where(F.col(key) != F.col("head")).select(F.col("head").alias("left"), F.col(key).alias("right"), F.lit(0).alias("distance"))
     return between.unionByName(inside)
 

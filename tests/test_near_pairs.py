@@ -32,3 +32,25 @@ def test_few_pairs_are_compared(spark):
     h = np.array([r[1] for r in rows])
     want = {(i, int(j)) for i in range(n) for j in np.nonzero(np.bitwise_count((h[i] ^ h[i + 1 :]).view(np.uint64)) <= 8)[0] + i + 1}
     assert {(r[0], r[1]) for r in split.near_pairs(df, "key", "phash", 8).collect()} == want
+
+
+def test_copies_give_all_their_pairs(spark):
+    rows = [(1, 5), (2, 5), (3, 5), (4, 4), (5, 4), (6, -1), (7, None)]
+    df = spark.createDataFrame(rows, "key long, phash long")
+    want = {(a, b, 0 if x == y else 1) for a, x in rows[:5] for b, y in rows[:5] if a < b}
+    got = [tuple(r) for r in split.every_near_pair(df, "key", "phash", 8).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_blocks_give_the_pairs_of_the_index(spark, monkeypatch):
+    """Uneven bits: the index would compare most pairs, blocks meet in its place."""
+    monkeypatch.setattr(split, "BLOCK", 400)
+    rng = np.random.default_rng(2)
+    hashes = [sum(1 << i for i in range(63) if x[i]) for x in rng.random((900, 64)) < 0.1]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "key int, phash long")
+    groups = df.withColumnRenamed("key", "head")
+    assert split.compared_share(groups, "phash", 8, 64) > 0.3
+    got = {tuple(r) for r in split.near_pairs(df, "key", "phash", 8).collect()}
+    want = {(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in range(900) for b in range(a + 1, 900)}
+    first = {h: hashes.index(h) for h in hashes}
+    assert got == {(a, b, d) for a, b, d in want if d <= 8 and (a == first[hashes[a]] and (b == first[hashes[b]] or d == 0))}
