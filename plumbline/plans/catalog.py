@@ -441,7 +441,7 @@ def _hashed(spark, sf_dir):
 
 @query(f"WITH {_BITS} SELECT a.vec_id AS left, b.vec_id AS right, bit_count(xor(a.u, b.u))::INT AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.u, b.u)) <= 8")
 def near_dup_pairs(spark, sf_dir):
-    return split.near_pairs(_hashed(spark, sf_dir), "vec_id", "phash", 8)
+    return split.every_near_pair(_hashed(spark, sf_dir), "vec_id", "phash", 8)
 
 
 @query(
