@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,6 @@ def resampled_sums(df: DataFrame, key: str, columns: list[str], resamples: int =
     times a matrix of columns, summed where the rows are. A task gives one row for each resample, so no
     table of resamples times rows is ever made.
     """
-    block = 500
     sums = [f"s{i}" for i in range(len(columns))]
 
     def partial(batches):
@@ -44,17 +43,16 @@ def resampled_sums(df: DataFrame, key: str, columns: list[str], resamples: int =
         for pdf in batches:
             x = np.column_stack([pdf[sums].to_numpy(float), np.ones(len(pdf))])
             keys = pd.util.hash_array(pdf["key"].astype(str).to_numpy(object)).astype(np.uint64)
-            for a in range(0, resamples, block):
-                r = np.arange(a, min(a + block, resamples), dtype=np.uint64)
-                h = keys[:, None] ^ (r[None, :] + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-                h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-                u = ((h ^ h >> np.uint64(32)) >> np.uint64(11)) / float(1 << 53)
-                total[a : a + len(r)] += np.searchsorted(_POISSON, u, side="right").T @ x
+            for a in range(0, resamples, _DRAWS[1]):
+                r = np.arange(a, min(a + _DRAWS[1], resamples), dtype=np.uint64)
+                for b in range(0, len(x), _DRAWS[0]):
+                    total[a : a + len(r)] += poisson_weights(keys[b : b + _DRAWS[0]], r + np.uint64(seed)).T @ x[b : b + _DRAWS[0]]
         yield pd.DataFrame({"resample": np.arange(resamples), **{s: total[:, i] for i, s in enumerate(sums)}, "n": total[:, -1]})
 
     rows = df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(s) for c, s in zip(columns, sums, strict=True)))
-    parts = rows.mapInPandas(partial, ", ".join(["resample long", *(f"{s} double" for s in sums), "n double"]))
+    # A row costs as many draws as there are resamples: the scan's few large parts would leave cores idle.
+    dealt = rows.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "key")
+    parts = dealt.mapInPandas(partial, ", ".join(["resample long", *(f"{s} double" for s in sums), "n double"]))
     return parts.groupBy("resample").agg(*(F.sum(s).alias(s) for s in sums), F.sum("n").alias("n"))
 
 
@@ -84,6 +82,36 @@ def bootstrap_scores(df: DataFrame, key: str, methods: tuple[str, str], counters
 
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+#: The least numbers of 53 bits that reach these shares, and what the first 16 of the bits say: the weight, or 255 where they don't settle it.
+_REACHED = np.ceil(_POISSON[_POISSON < 1] * (1 << 53)).astype(np.uint64)
+_LOW, _HIGH = (np.searchsorted(_REACHED, (np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)) + np.uint64(end), side="right") for end in (0, (1 << 37) - 1))
+_WEIGHT = np.where(_LOW == _HIGH, _LOW, 255).astype(np.uint8)
+#: Rows and resamples that are drawn at once: their hashes stay in a core's cache.
+_DRAWS = (128, 512)
+
+
+def poisson_weights(keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """The Poisson weight (mean 1) of each key in each draw, as a matrix of floats."""
+    h = keys[:, None] ^ (draws * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    t = np.empty_like(h)
+    for shift, by in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        np.right_shift(h, np.uint64(shift), out=t)
+        np.bitwise_xor(h, t, out=h)
+        np.multiply(h, np.uint64(by), out=h)
+    w = np.take(_WEIGHT, np.right_shift(h, np.uint64(48), out=t).view(np.int64).ravel(), mode="wrap")
+    open_ = np.flatnonzero(w == 255)
+    v = h.ravel()[open_]
+    w[open_] = np.searchsorted(_REACHED, (v ^ v >> np.uint64(32)) >> np.uint64(11), side="right")
+    return w.astype(float).reshape(h.shape)
+
+
+def drawn_indices(spark: SparkSession, resamples: int, n: int) -> DataFrame:
+    """(resample, row): n rows of 0 to n - 1 for each resample, by a formula that SQL can repeat."""
+    cells = spark.range(resamples * n)
+    r, k = F.call_function("div", F.col("id"), F.lit(max(n, 1))), F.col("id") % max(n, 1)
+    drawn = cells.select(r.alias("resample"), k.alias("k"))
+    r, k = F.col("resample"), F.col("k")
+    return drawn.select("resample", F.pmod(r * 7919 + k * 104729 + r * k * 31, F.lit(max(n, 1))).alias("row"))
 
 
 def bootstrap_indexed(df: DataFrame, indices: DataFrame, value: str) -> DataFrame:
@@ -111,6 +139,7 @@ def bootstrap_global(df: DataFrame, indices: DataFrame, methods: tuple[str, str]
     with recall, precision and hmean), as global scores are; the second method's less the first's.
     """
     sums = indices.join(df, "row").groupBy("resample").agg(*(F.sum(f"{m}_{c}").alias(f"{m}_{c}") for m in methods for c in counters))
+    sums = cut_lineage(sums)  # a row for each resample, read twice
     first, second = (scored(sums.select("resample", *(F.col(f"{m}_{c}").alias(c) for c in counters))) for m in methods)
     names = ["recall", "precision", "hmean"]
     both = first.select("resample", *(F.col(n).alias(f"a_{n}") for n in names)).join(second.select("resample", *names), "resample")

@@ -64,3 +64,26 @@ def test_bootstrap_of_scores(spark):
         m = (x[:, 14 + k] - x[:, 6 + k])[at].mean(axis=1)
         r = got[f"macro_{name}"]
         assert (r["delta_mean"], r["ci95_low"], r["ci95_high"]) == pytest.approx((m.mean(), *np.quantile(m, [0.025, 0.975])), abs=0.2 * m.std() + 1e-6)
+
+
+def test_drawn_indices(spark):
+    """Every resample draws n rows by the formula, and the plan doesn't grow with n."""
+    got = [tuple(r) for r in compare.drawn_indices(spark, 3, 7).collect()]
+    assert sorted(got) == sorted((r, (r * 7919 + k * 104729 + r * k * 31) % 7) for r in range(3) for k in range(7))
+    catalog_plan = compare.drawn_indices(spark, 100, 100_000)._jdf.queryExecution().toString()
+    assert len(catalog_plan) < 20_000
+    assert compare.drawn_indices(spark, 3, 0).count() == 0
+
+
+def test_poisson_weights_are_those_of_the_distribution():
+    """Looked-up weights equal those that a search of the cumulated shares gives, and come in blocks."""
+    import inspect
+
+    rng = np.random.default_rng(0)
+    keys, draws = rng.integers(0, 1 << 63, 3000).astype(np.uint64), np.arange(400, dtype=np.uint64)
+    h = keys[:, None] ^ draws[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    u = ((h ^ h >> np.uint64(32)) >> np.uint64(11)) / float(1 << 53)
+    assert (compare.poisson_weights(keys, draws) == np.searchsorted(compare._POISSON, u, side="right")).all()
+    assert "poisson_weights" in inspect.getsource(compare.resampled_sums)
