@@ -414,9 +414,7 @@ def paired_bootstrap_fixed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
     n = docs.count()
     rows = ranking.global_rank(docs, ["doc_id"], "row").withColumn("row", F.col("row") - 1)
-    draws = spark.range(200).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    r, k = F.col("resample"), F.col("k").cast("long")
-    indices = draws.select("resample", F.pmod(r * 7919 + k * 104729 + r * k * 31, F.lit(n)).alias("row"))
+    indices = compare.drawn_indices(spark, 200, n)
     out = compare.bootstrap_indexed(rows, indices, "n_chars")
     return _round(out, "delta_mean", "ci95_low", "ci95_high", digits=4)
 
