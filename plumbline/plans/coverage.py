@@ -382,8 +382,6 @@ def bootstrap_global_fixed(spark, sf_dir):
     two = one | {"tp": 16 + k % 5, "gran_recall": (k % 2).cast("double")}
     rows = base.select("c_custkey", *(c.alias(f"a_{m}") for m, c in one.items()), *(c.alias(f"b_{m}") for m, c in two.items()))
     numbered = ranking.global_rank(rows, ["c_custkey"], "row").withColumn("row", F.col("row") - 1)
-    draws = spark.range(100).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
-    r, d = F.col("resample"), F.col("k")
-    indices = draws.select("resample", F.pmod(r * 7919 + d * 104729 + r * d * 31, F.lit(n)).alias("row"))
+    indices = compare.drawn_indices(spark, 100, n)
     out = compare.bootstrap_global(numbered, indices, ("a", "b"), list(one), cleval.with_scores)
     return _round(out, "delta_mean", "ci95_low", "ci95_high", "probability_gt_0")
