@@ -86,3 +86,22 @@ def test_remainder_area():
     for _ in range(30):
         p, q = (np.round(rng.uniform(0, 20, (3, 2))) for _ in range(2))
         assert polygons.remainder_area(p, q, []) == pytest.approx(polygons.intersection_area(p, q), abs=1e-6)
+
+
+def test_hits_of_boxes_are_those_of_their_polygons(spark):
+    """Hits from closed forms against the characters' centres, also where truncation moves the heights."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    box = lambda: (float(x := rng.uniform(0, 30)), float(y := rng.uniform(0, 12)), float(x + rng.uniform(1, 60)), float(y + rng.uniform(1, 60)))
+    gt = spark.createDataFrame([(i % 20, i, *box(), False) for i in range(120)] + [(0, 500, 1.0, 0.5, 2.0, 0.9, False)], "image int, g int, x0 double, y0 double, x1 double, y1 double, dc boolean")
+    det = spark.createDataFrame([(i % 20, i, *box()) for i in range(120)] + [(0, 500, 0.0, 0.0, 9.0, 1.0)], "image int, d int, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.g, r.d): list(r.hits) for r in cleval.box_pairs(gt, det).collect()}
+    c = gt.select("image", "g", G.character_centres(G.box_polygon(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), cleval.gt_length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("c"))
+    for r in c.join(det, "image").collect():
+        if (r.g, r.d) in got:
+            x0, y0, x1, y1 = map(int, (r.x0, r.y0, r.x1, r.y1))
+            assert got[r.g, r.d] == [i for i, p in enumerate(r.c) if x0 <= p.x < x1 and y0 <= p.y < y1], (r.g, r.d)
+    assert sum(map(len, got.values())) > 200
+    plan = cleval.sweep_boxes(gt, det.withColumn("score", F.lit(0.5)), "score", [0.0, 0.3])._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct(threshold" not in plan
