@@ -1,7 +1,8 @@
 """Probability maps to boxes: binarise, label, score, grow; fusion of scales and models.
 
 A map is a row of image, height, width and values (array<float>, row-major). Maps are independent, so
-all of it is one Arrow pass without a shuffle, in memory of one map.
+all of it is one Arrow pass without a shuffle. Maps of one shape that follow each other are worked on
+together, up to CELLS cells, or one map if it is larger.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.outlines import closed_length, covered_pixels, grown, outlines, simplified
-from ..functions.polygons import POLYGON, min_area_rect, rect_corners, unclip
+from ..functions.polygons import POLYGON, min_area_rect, min_area_rects, rects_corners, unclipped
+
+#: How many cells of maps are worked on at once.
+CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -26,78 +31,126 @@ class Settings:
     least_side: float = 3.0
 
 
-def label_regions(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of the 8-connected regions of a mask, by label minima until nothing changes."""
-    h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    big = h * w + 1
+def runs_of(masks: np.ndarray) -> np.ndarray:
+    """(map, region, row, first column, column after the last) of the runs of a stack of masks, in order.
+
+    Regions are 8-connected and numbered from 0 in each map, in the order in which a scan by rows meets them.
+    """
+    n, h, w = masks.shape
+    grid = np.zeros((n, h + 1, w + 2), np.int8)  # nothing beside a row and below a map
+    grid[:, :h, 1:-1] = masks
+    step, wide = np.diff(grid.ravel()), w + 2
+    start, end = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+    low = np.searchsorted(end + wide, start)  # runs of the row above that a run touches
+    many = np.searchsorted(start + wide, end, side="right") - low
+    a = np.repeat(np.arange(len(start)), many)
+    b = np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+    first = np.arange(len(start))
     while True:
-        padded = np.pad(np.where(mask, label, big), 1, constant_values=big)
-        least = np.min([padded[1 + i : h + 1 + i, 1 + j : w + 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
-        new = np.where(mask, np.minimum(least, label), 0)
-        flat = np.append(new.ravel(), 0)
-        new = np.where(mask, flat[np.maximum(new, 1) - 1], 0)  # jump to the label of the label
-        if (new == label).all():
+        least, new = np.minimum(first[a], first[b]), first.copy()
+        np.minimum.at(new, first[a], least)
+        np.minimum.at(new, first[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == first).all():
             break
-        label = new
-    return np.unique(label, return_inverse=True)[1].reshape(h, w) if (label == 0).any() else np.unique(label, return_inverse=True)[1].reshape(h, w) + 1
+        first = new
+    heads, which = np.unique(first, return_inverse=True)
+    line = start // wide
+    of = line // (h + 1)
+    before = np.searchsorted(of[heads], np.arange(n))
+    return np.stack([of, which - before[of], line % (h + 1), start % wide - 1, end % wide - 1], axis=1)
 
 
-def inside(polygon: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Pixels whose centre a polygon holds."""
-    y, x = np.mgrid[0:h, 0:w]
-    out = np.zeros((h, w), bool)
-    for (x0, y0), (x1, y1) in zip(polygon, np.roll(polygon, -1, axis=0), strict=True):
-        if y0 != y1:
-            out ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+def label_regions(mask: np.ndarray) -> np.ndarray:
+    """Labels from 1 of the 8-connected regions of a mask."""
+    runs = runs_of(mask[None])
+    out = np.zeros(mask.shape, int)
+    out[mask.astype(bool)] = np.repeat(runs[:, 1] + 1, runs[:, 4] - runs[:, 3])
     return out
 
 
-def order_corners(c: np.ndarray) -> np.ndarray:
-    """Top left, top right, bottom right, bottom left: pairs by x, then by y."""
-    c = c[np.lexsort((c[:, 1], c[:, 0]))]
-    left, right = c[:2][np.argsort(c[:2, 1], kind="stable")], c[2:][np.argsort(c[2:, 1], kind="stable")]
-    return np.array([left[0], right[0], right[1], left[1]])
+def inside(polygon: np.ndarray, h: int, w: int) -> tuple[tuple[slice, slice], np.ndarray]:
+    """(bounds, mask): pixels of a map whose centre a polygon holds, looked at within the polygon's bounds."""
+    low = np.clip(np.floor(polygon.min(axis=0)).astype(int), 0, (w, h)).tolist()
+    high = np.clip(np.ceil(polygon.max(axis=0)).astype(int) + 1, 0, (w, h)).tolist()
+    y, x = np.arange(low[1], high[1])[:, None], np.arange(low[0], high[0])[None, :]
+    out = np.zeros((y.size, x.size), bool)
+    p = polygon.tolist()
+    for (x0, y0), (x1, y1) in zip(p, p[1:] + p[:1], strict=True):
+        if y0 != y1:
+            out ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+    return (slice(low[1], high[1]), slice(low[0], high[0])), out
 
 
-def boxes_of(values: np.ndarray, settings: Settings = Settings(), matrix: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:
-    """(score, corners) of the regions of a map, in original pixels if a matrix is given."""
-    labels = label_regions(values > settings.threshold)
-    found = []
-    for k in range(1, min(int(labels.max()), settings.most_candidates) + 1):
-        ys, xs = np.nonzero(labels == k)
-        rect = min_area_rect(np.stack([xs, ys], axis=1).astype(float))
-        if min(rect[1]) < settings.least_side:
-            continue
-        corners = order_corners(rect_corners(rect))
-        covered = inside(corners, *values.shape)
-        score = float(values[covered].mean()) if covered.any() else 0.0
-        if score < settings.box_threshold:
-            continue
-        grown = min_area_rect(unclip(corners, settings.unclip_ratio))
-        if min(grown[1]) < settings.least_side + 2:
-            continue
-        box = order_corners(rect_corners(grown))
-        if matrix is not None:
-            p = np.column_stack([box, np.ones(4)]) @ matrix.reshape(3, 3).T
-            box = p[:, :2] / p[:, 2:]
-        found.append((score, np.rint(box)))
-    return found
+def order_corners(c: np.ndarray) -> np.ndarray:
+    """Top left, top right, bottom right, bottom left of rows of four corners: pairs by x, then by y."""
+    c = np.take_along_axis(c, np.lexsort((c[..., 1], c[..., 0]), axis=-1)[..., None], axis=1)
+    by_y = lambda pair: np.take_along_axis(pair, np.argsort(pair[..., 1], axis=1, kind="stable")[..., None], axis=1)
+    left, right = by_y(c[:, :2]), by_y(c[:, 2:])
+    return np.stack([left[:, 0], right[:, 0], right[:, 1], left[:, 1]], axis=1)
+
+
+def boxes_of(maps: np.ndarray, settings: Settings = Settings(), matrix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(map, score, corners) of the regions of a stack of maps, in order; in original pixels if a matrix for each map is given."""
+    n, h, w = maps.shape
+    runs = runs_of(maps > settings.threshold)
+    runs = runs[runs[:, 1] < settings.most_candidates]
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    cuts = np.flatnonzero((np.diff(runs[:, :2], axis=0) != 0).any(axis=1)) + 1
+    of = runs[np.concatenate(([0], cuts)), 0] if len(runs) else np.zeros(0, int)
+    ends = np.concatenate([runs[:, [3, 2]], runs[:, [4, 2]] - (1, 0)], axis=1).astype(float)  # the hull stands on the ends of runs
+    rects = min_area_rects([e.reshape(-1, 2) for e in np.split(ends, cuts)] if len(runs) else [])
+    wide = rects[1].min(axis=1) >= settings.least_side
+    of, corners = of[wide], order_corners(rects_corners(*(r[wide] for r in rects)))
+    score = np.zeros(len(of))
+    for i, (m, c) in enumerate(zip(of.tolist(), corners, strict=True)):
+        bounds, covered = inside(c, h, w)
+        score[i] = maps[m][bounds][covered].mean() if covered.any() else 0.0
+    sure = ~(score < settings.box_threshold)
+    of, score, corners = of[sure], score[sure], corners[sure]
+    rects = min_area_rects(list(unclipped(corners, settings.unclip_ratio)))
+    wide = rects[1].min(axis=1) >= settings.least_side + 2
+    of, box = of[wide], order_corners(rects_corners(*(r[wide] for r in rects)))
+    if matrix is not None:
+        p = np.concatenate([box, np.ones((len(box), 4, 1))], axis=2) @ matrix.reshape(-1, 3, 3)[of].transpose(0, 2, 1)
+        box = p[..., :2] / p[..., 2:]
+    return of, score[wide], np.rint(box)
+
+
+def _stacks(batch: pa.RecordBatch):
+    """(place of the first, stack) of maps of one shape that follow each other in a batch of image, height, width and cells."""
+    height, width = (batch.column(c).to_pylist() for c in ("height", "width"))
+    offsets, cells = batch.column("cells").offsets.to_numpy(), batch.column("cells").values.to_numpy(zero_copy_only=False)
+    i = 0
+    while i < len(height):
+        h, w, j = height[i], width[i], i + 1
+        most = i + max(1, CELLS // max(1, h * w))
+        while j < min(most, len(height)) and (height[j], width[j]) == (h, w):
+            j += 1
+        if (np.diff(offsets[i : j + 1]) != h * w).any():
+            raise ValueError(f"a map of {h} x {w} has another number of values")
+        yield i, cells[offsets[i] : offsets[j]].astype(float).reshape(j - i, h, w)
+        i = j
+
+
+def _numbered(of: np.ndarray) -> np.ndarray:
+    """Numbers from 1 of rows of the same map, which lie together."""
+    return (np.arange(len(of)) - np.searchsorted(of, of) + 1).astype(np.int32)
 
 
 def detect(maps: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(image, k, score, flat): boxes of each map in the order of their regions."""
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                v = np.asarray(r.cells, float).reshape(r.height, r.width)
-                rows += [(r.image, k, s, b.ravel().tolist()) for k, (s, b) in enumerate(boxes_of(v, settings), 1)]
-            yield pd.DataFrame(rows, columns=["image", "k", "score", "flat"])
+        for batch in batches:
+            for at, stack in _stacks(batch):
+                of, score, corners = boxes_of(stack, settings)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * 8, pa.int32()), pa.array(corners.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("image").take(pa.array(of + at)), pa.array(_numbered(of)), pa.array(score), flat], ["image", "k", "score", "flat"])
 
     kind = maps.schema["image"].dataType.simpleString()
-    return maps.select("image", "height", "width", F.col("values").alias("cells")).mapInPandas(run, f"image {kind}, k int, score double, flat array<double>")
+    return maps.select("image", "height", "width", F.col("values").alias("cells")).mapInArrow(run, f"image {kind}, k int, score double, flat array<double>")
 
 
 def trace(maps: DataFrame, threshold: float = 0.3) -> DataFrame:

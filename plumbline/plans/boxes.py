@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all cores before they grow: a narrow table is often one row group, which one task reads."""
+    return rows.select(*keys).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def stretch(*parts) -> Column:
+    """An array of values, each repeated: (value, times)."""
+    return F.concat(*(F.array_repeat(value, F.lit(times).cast("int") if isinstance(times, int) else times.cast("int")) for value, times in parts))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, k, ...): k numbers the lines of an order; line numbers repeat, so more columns order it."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")

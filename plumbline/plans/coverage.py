@@ -223,9 +223,11 @@ def map_rectangles(spark, sf_dir):
     """A bright rectangle in each map, and a speck that is too small."""
     i = F.col("c_custkey")
     x0, y0, h = 8 + i % 5, 10 + i % 3, 4 + i % 4
-    cell = lambda x, y: F.when((x >= x0) & (x <= x0 + 3 * h) & (y >= y0) & (y <= y0 + h), 0.9).when((x == 1) & (y == 1), 0.9).otherwise(0.1).cast("float")
-    values = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(47)), lambda x: cell(x, y))))
-    maps = table(spark, sf_dir, "customer").select(i.alias("image"), F.lit(40).alias("height"), F.lit(48).alias("width"), values.alias("values"))
+    dark, bright = F.lit(0.1).cast("float"), F.lit(0.9).cast("float")
+    empty, speck = B.stretch((dark, 48)), B.stretch((dark, 1), (bright, 1), (dark, 46))
+    held = B.stretch((dark, x0), (bright, 3 * h + 1), (dark, 47 - x0 - 3 * h))
+    values = F.flatten(B.stretch((empty, 1), (speck, 1), (empty, y0 - 2), (held, h + 1), (empty, 39 - y0 - h)))
+    maps = B.dealt(table(spark, sf_dir, "customer"), "c_custkey").select(i.alias("image"), F.lit(40).alias("height"), F.lit(48).alias("width"), values.alias("values"))
     got = probability_maps.detect(maps, probability_maps.Settings(threshold=0.5, box_threshold=0.6))
     f = F.col("flat")
     return got.select("image", F.lit(1).alias("k"), F.round("score", 5).alias("score"), f[0].alias("x0"), f[1].alias("y0"), f[4].alias("x1"), f[5].alias("y1"))
