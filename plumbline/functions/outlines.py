@@ -18,61 +18,83 @@ _WAY = {d: k for k, d in enumerate(_AROUND)}
 ARC_TOLERANCE = 0.25
 
 
+def _turns() -> tuple[bytes, bytes, bytes]:
+    """By a pixel's neighbours (a bit for each of _AROUND) and a way, at neighbours * 8 + way: the first neighbour clockwise
+    from the way, the first one counterclockwise, and whether nothing to the right is passed until then."""
+    before, after, clear = [], [], []
+    for on in range(256):
+        for way in range(8):
+            before.append(next(((way + k) % 8 for k in range(1, 9) if on >> (way + k) % 8 & 1), way))
+            k = next((k for k in range(1, 9) if on >> (way - k) % 8 & 1), 8)
+            after.append((way - k) % 8)
+            clear.append(any((way - j) % 8 == 0 for j in range(1, k)))
+    return bytes(before), bytes(after), bytes(clear)
+
+
+_CLOCKWISE, _COUNTERCLOCKWISE, _CLEAR = _turns()
+
+
 def outlines(mask: np.ndarray) -> list[tuple[np.ndarray, bool]]:
     """(points, is a hole) of every border of the 8-connected regions: outer ones, and those around holes.
 
     Points are border pixels (x, y) in order, straight runs by their ends. Borders are in the order in
     which a scan by rows meets them. Each is followed once, so time grows with the borders' length.
     """
-    h, w = mask.shape
-    seen = np.zeros((h + 2, w + 2), np.int8)  # 1: on a border; -1: on one with nothing to its right
-    on = np.zeros((h + 2, w + 2), bool)
-    on[1:-1, 1:-1] = mask
-    starts = on[:, :-1] != on[:, 1:]
-    out = []
-    for y, x in np.argwhere(starts).tolist():
-        if on[y, x + 1] and not on[y, x] and not seen[y, x + 1]:
-            out.append((_follow(on, seen, y, x + 1, (0, -1)), False))
-        if on[y, x] and not on[y, x + 1] and seen[y, x] != -1:
-            out.append((_follow(on, seen, y, x, (0, 1)), True))
-    return [(_bends(np.array(p)) - 1, hole) for p, hole in out]
-
-
-def _follow(on: np.ndarray, seen: np.ndarray, y: int, x: int, origin: tuple[int, int]) -> list[tuple[int, int]]:
-    first = None
-    for k in range(1, 9):  # clockwise from where the scan came from
-        dy, dx = _AROUND[(_WAY[origin] + k) % 8]
-        if on[y + dy, x + dx]:
-            first = (y + dy, x + dx)
-            break
-    if first is None:
-        seen[y, x] = -1
-        return [(x, y)]
-    points, here, back = [], (y, x), first
+    _, holes, sizes, points = outlines_of(mask[None])
+    return list(zip(np.split(points, np.cumsum(sizes)[:-1]), holes.tolist(), strict=True)) if len(sizes) else []
+
+
+def outlines_of(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mask, is a hole, number of points) of the outlines() of a stack of masks, in order, and the points of all of them."""
+    n, h, w = masks.shape
+    grid = np.zeros((n, h + 2, w + 2), bool)
+    grid[:, 1:-1, 1:-1] = masks
+    flat, wide = grid.ravel(), w + 2
+    moves = [dy * wide + dx for dy, dx in _AROUND]
+    near, pixels = np.zeros(flat.size, np.uint8), np.flatnonzero(flat)
+    for k, by in enumerate(moves):
+        near[pixels] |= flat[pixels + by].astype(np.uint8) << k
+    around, seen = near.tobytes(), bytearray(flat.size)  # 1: on a border; 2: on one with nothing to its right
+    begins = np.flatnonzero(flat[1:] != flat[:-1])
+    outer = flat[begins + 1]
+    of, holes, sizes, found = [], [], [], []
+    for at, out in zip((begins + outer).tolist(), outer.tolist(), strict=True):
+        if not seen[at] if out else seen[at] != 2:
+            before = len(found)
+            _follow(around, seen, moves, at, _WAY[0, -1 if out else 1], found)
+            of.append(at)
+            holes.append(not out)
+            sizes.append(len(found) - before)
+    points = np.array(found, int)
+    place = np.stack([points % wide, points // wide % (h + 2)], axis=1) - 1
+    return np.array(of, int) // (wide * (h + 2)), np.array(holes, bool), np.array(sizes, int), place
+
+
+def _follow(around: bytes, seen: bytearray, moves: list[int], start: int, origin: int, found: list[int]) -> None:
+    """Adds the pixels at which a border changes its direction; the scan came to its start from the origin."""
+    if not around[start]:
+        seen[start] = 2
+        found.append(start)
+        return
+    way = _CLOCKWISE[around[start] * 8 + origin]
+    first, here, before, begins = start + moves[way], start, -1, len(found)
     while True:
-        way, clear = _WAY[back[0] - here[0], back[1] - here[1]], False
-        for k in range(1, 9):  # counterclockwise from the pixel before
-            dy, dx = _AROUND[(way - k) % 8]
-            after = (here[0] + dy, here[1] + dx)
-            if on[after]:
-                break
-            clear |= (dy, dx) == (0, 1)
-        if clear:
-            seen[here] = -1
+        turn = around[here] * 8 + way  # way: to the pixel before
+        go = _COUNTERCLOCKWISE[turn]
+        if _CLEAR[turn]:
+            seen[here] = 2
         elif not seen[here]:
             seen[here] = 1
-        points.append((here[1], here[0]))
-        if after == (y, x) and here == first:
-            return points
-        here, back = after, here
-
-
-def _bends(p: np.ndarray) -> np.ndarray:
-    """The points at which a closed chain of pixels changes its direction."""
-    if len(p) < 3:
-        return p
-    into, out = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
-    return p[(into != out).any(axis=1)]
+        if go != before:
+            found.append(here)
+        if before < 0:
+            begin = go
+        after = here + moves[go]
+        if after == start and here == first:
+            break
+        here, before, way = after, go, (go + 4) % 8
+    if go == begin:
+        del found[begins]
 
 
 def closed_length(p: np.ndarray) -> float:

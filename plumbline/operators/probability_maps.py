@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.outlines import closed_length, covered_pixels, grown, outlines, simplified
+from ..functions.outlines import closed_length, covered_pixels, grown, outlines, outlines_of, simplified
 from ..functions.polygons import POLYGON, min_area_rect, min_area_rects, rects_corners, unclipped
 
 #: How many cells of maps are worked on at once.
@@ -157,15 +157,15 @@ def trace(maps: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(image, k, hole, polygon): the borders of what is above the threshold in each map, as pixels where they bend."""
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                v = np.asarray(r.cells, float).reshape(r.height, r.width)
-                rows += [(r.image, k, hole, [{"x": float(x), "y": float(y)} for x, y in p]) for k, (p, hole) in enumerate(outlines(v > threshold), 1)]
-            yield pd.DataFrame(rows, columns=["image", "k", "hole", "polygon"])
+        for batch in batches:
+            for at, stack in _stacks(batch):
+                of, hole, sizes, points = outlines_of(stack > threshold)
+                place = pa.StructArray.from_arrays([pa.array(points[:, c].astype(float)) for c in (0, 1)], ["x", "y"])
+                polygon = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), place)
+                yield pa.RecordBatch.from_arrays([batch.column("image").take(pa.array(of + at)), pa.array(_numbered(of)), pa.array(hole), polygon], ["image", "k", "hole", "polygon"])
 
     kind = maps.schema["image"].dataType.simpleString()
-    return maps.select("image", "height", "width", F.col("values").alias("cells")).mapInPandas(run, f"image {kind}, k int, hole boolean, polygon {POLYGON}")
+    return maps.select("image", "height", "width", F.col("values").alias("cells")).mapInArrow(run, f"image {kind}, k int, hole boolean, polygon {POLYGON}")
 
 
 def polygons_of(values: np.ndarray, settings: Settings = Settings(unclip_ratio=2.0), matrix: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:

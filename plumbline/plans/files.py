@@ -60,9 +60,11 @@ def markdown_report(spark, sf_dir):
 def candidate_cap(spark, sf_dir):
     """Two to six bright squares in each map, of which the first four borders are candidates."""
     i = F.col("c_custkey")
-    cell = lambda x, y: F.when((F.floor(x / 10) < 2 + i % 5) & (x % 10 >= 2) & (x % 10 <= 7) & (y >= 3) & (y <= 8), 0.9).otherwise(0.1).cast("float")
-    values = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(59)), lambda x: cell(x, y))))
-    maps = table(spark, sf_dir, "customer").select(i.alias("image"), F.lit(12).alias("height"), F.lit(60).alias("width"), values.alias("values"))
+    dark, bright = F.lit(0.1).cast("float"), F.lit(0.9).cast("float")
+    empty, square, n = B.stretch((dark, 60)), B.stretch((dark, 2), (bright, 6), (dark, 2)), 2 + i % 5
+    held = F.concat(F.flatten(B.stretch((square, n))), B.stretch((dark, 60 - 10 * n)))
+    values = F.flatten(B.stretch((empty, 3), (held, 6), (empty, 3)))
+    maps = B.dealt(table(spark, sf_dir, "customer"), "c_custkey").select(i.alias("image"), F.lit(12).alias("height"), F.lit(60).alias("width"), values.alias("values"))
     settings = probability_maps.Settings(threshold=0.5, box_threshold=0.5, most_candidates=4, unclip_ratio=1.0)
     return probability_maps.detect_polygons(maps, settings).groupBy("image").agg(F.count("*").alias("polygons"))
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import outlines as O
 from plumbline.functions.polygons import min_area_rect, min_area_rects
 from plumbline.operators import probability_maps as M
 
@@ -66,10 +67,26 @@ def test_maps_of_many_shapes(spark):
         M.detect(maps.withColumn("values", F.slice("values", 1, 7))).collect()
 
 
-@pytest.mark.parametrize("name", ["map_rectangles"])
+def test_borders_of_a_stack_are_those_of_its_masks():
+    rng = np.random.default_rng(8)
+    masks = rng.random((60, 9, 11)) < np.linspace(0, 1, 60)[:, None, None]
+    of, hole, sizes, points = O.outlines_of(masks)
+    one = [(i, h, p.tolist()) for i, m in enumerate(masks) for p, h in O.outlines(m)]
+    assert list(zip(of.tolist(), hole.tolist())) == [(i, h) for i, h, _ in one] and hole.sum() > 20
+    assert [p.tolist() for p in np.split(points, np.cumsum(sizes)[:-1])] == [p for _, _, p in one]
+
+
+def test_traced_maps_keep_their_images(spark):
+    rows = [(f"m{i}", 6, 7 + i % 2, [0.9 if i % 3 and 8 <= k < 11 else 0.1 for k in range(6 * (7 + i % 2))]) for i in range(9)]
+    got = M.trace(spark.createDataFrame(rows, "image string, height int, width int, values array<float>").coalesce(1), 0.5).collect()
+    assert sorted((r.image, r.k, r.hole) for r in got) == [(f"m{i}", 1, False) for i in range(9) if i % 3]
+    assert {(r.image, *((p.x, p.y) for p in r.polygon)) for r in got} == {(f"m{i}", *(((1, 1), (3, 1)) if i % 2 == 0 else ((0, 1), (2, 1)))) for i in range(9) if i % 3}
+
+
+@pytest.mark.parametrize("name", ["map_rectangles", "map_outlines", "map_polygons", "candidate_cap"])
 def test_keys_are_dealt_before_they_grow(spark, sf_dir, name):
     from plumbline.plans import catalog
 
     out = catalog.queries()[name](spark, sf_dir)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "REPARTITION_BY_NUM" in plan and "lambdafunction" not in plan[plan.index("MapInArrow") : plan.index("REPARTITION_BY_NUM")]
+    assert "REPARTITION_BY_NUM" in plan and "lambdafunction" not in plan[plan.index("MapIn") : plan.index("REPARTITION_BY_NUM")]
