@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -70,22 +71,20 @@ def polygon_checks(boxes: DataFrame, width: Column, height: Column, tolerance: f
 
     boxes: image and polygon. A polygon is short under 4 points, bad with a null, NaN or infinite
     coordinate, and a duplicate if an equal one of its image comes before it; such duplicates are the
-    rows beyond the first of each distinct polygon.
+    rows beyond the first of each distinct polygon. Polygons are sorted within their images, so equal
+    ones are neighbours and no table of them is held; the sort spills where a task has little memory.
     """
-    flat = G.flatten_polygon(F.col("polygon"))
-    marked = boxes.select(
-        "image", "polygon", (F.size("polygon") < 4).alias("short"), (~all_finite(flat)).alias("bad"), (G.area(F.col("polygon")) == 0).alias("flat"),
-        (self_crossing(F.col("polygon")) & (G.area(F.col("polygon")) != 0)).alias("crossing"), G.overshoot(F.col("polygon"), width, height).alias("over"),
+    in_order = W.partitionBy("image").orderBy("polygon")
+    placed = boxes.select("image", "polygon", width.alias("width"), height.alias("height")).select("*", F.row_number().over(in_order).alias("k"), F.lag("polygon").over(in_order).alias("before"))
+    p = F.col("polygon")
+    checked = placed.select(
+        "k", ((F.col("k") > 1) & p.eqNullSafe(F.col("before"))).alias("again"), (F.size(p) < 4).alias("short"), (~all_finite(G.flatten_polygon(p))).alias("bad"), (G.area(p) == 0).alias("flat"),
+        (self_crossing(p) & (G.area(p) != 0)).alias("crossing"), G.overshoot(p, F.col("width"), F.col("height")).alias("over"),
     )
-    distinct = marked.groupBy("image", "polygon").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("short", "bad", "flat", "crossing", "over")))
-    weigh = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    per = distinct.groupBy("image").agg(
-        F.sum("n").alias("polygons"), weigh(F.col("short")).alias("short"), weigh(F.col("bad")).alias("bad"), weigh(F.col("flat") & ~F.col("bad")).alias("flat"), weigh(F.col("crossing")).alias("crossing"),
-        F.sum(F.col("n") - 1).alias("duplicate"), weigh(~F.col("bad") & (F.col("over") > 0)).alias("outside"), weigh(~F.col("bad") & (F.col("over") > tolerance)).alias("far"),
-    )
-    return per.agg(
-        F.count("*").alias("images"), F.sum("polygons").alias("polygons"), F.sum("short").alias("short_polygons"), F.sum("bad").alias("bad_numbers"), F.sum("flat").alias("zero_area"), F.sum("crossing").alias("invalid_geometry"),
-        F.sum("duplicate").alias("duplicate_polygons"), F.sum("outside").alias("outside"), F.sum("far").alias("far_outside"), F.count_if(F.col("polygons") > most).alias("full_images"),
+    number = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    return checked.agg(
+        F.count_if(F.col("k") == 1).alias("images"), F.sum(F.lit(1)).alias("polygons"), number(F.col("short")).alias("short_polygons"), number(F.col("bad")).alias("bad_numbers"), number(F.col("flat") & ~F.col("bad")).alias("zero_area"), number(F.col("crossing")).alias("invalid_geometry"),
+        number(F.col("again")).alias("duplicate_polygons"), number(~F.col("bad") & (F.col("over") > 0)).alias("outside"), number(~F.col("bad") & (F.col("over") > tolerance)).alias("far_outside"), F.count_if(F.col("k") == most + 1).alias("full_images"),
     )
 
 
