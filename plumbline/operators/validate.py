@@ -91,13 +91,15 @@ def polygon_checks(boxes: DataFrame, width: Column, height: Column, tolerance: f
 def submission_report(boxes: DataFrame, expected: DataFrame, width: Column, height: Column, tolerance: float = 8.0, most: int = 500) -> DataFrame:
     """polygon_checks() and the counters that need the expected images: missing, extra and empty ones, and polygons per image.
 
-    boxes: image and polygon, a row with a null polygon for an image without any; expected: image. An
+    boxes: image and polygon, a row with a null polygon for an image without any; expected: image, once or more. An
     expected image without a row is missing, one with only a null polygon empty.
     """
-    per = boxes.groupBy("image").agg(F.count("polygon").alias("n"))
-    met = per.join(expected.select("image").distinct().withColumn("__e", F.lit(True)), "image", "full")
+    sent = boxes.select("image", F.col("polygon").isNotNull().cast("long").alias("n"), F.lit(False).alias("asked"))
+    asked = expected.select("image", F.lit(None).cast("long").alias("n"), F.lit(True).alias("asked"))
+    unnamed = (F.col("image").isNull() & F.col("asked")).alias("unnamed")  # an image without a name meets no other one
+    met = sent.unionByName(asked).groupBy("image", unnamed).agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked"))
     counts = met.agg(
-        F.count("n").alias("rows"), F.count_if(F.col("n").isNull()).alias("missing_images"), F.count_if(F.col("__e").isNull()).alias("extra_images"), F.count_if(F.col("n") == 0).alias("empty_images"),
+        F.count("n").alias("rows"), F.count_if(F.col("n").isNull()).alias("missing_images"), F.count_if(~F.col("asked")).alias("extra_images"), F.count_if(F.col("n") == 0).alias("empty_images"),
         F.coalesce(F.min("n"), F.lit(0)).alias("least_polygons"), F.coalesce(F.max("n"), F.lit(0)).alias("most_polygons"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean_polygons"),
     )
     checks = polygon_checks(boxes.where(F.col("polygon").isNotNull()), width, height, tolerance, most).drop("images")

@@ -48,3 +48,19 @@ def test_no_polygons(spark):
     none = spark.createDataFrame([], f"image string, polygon {P.POLYGON}")
     got = validate.passed(validate.polygon_checks(none, F.lit(9), F.lit(9))).first()
     assert (got.images, got.full_images, got.passed) == (0, 0, True)
+
+
+def test_report_of_images_that_meet(spark):
+    box = [(1.0, 1.0), (4.0, 1.0), (4.0, 4.0), (1.0, 4.0)]
+    other = [(x + 2, y) for x, y in box]
+    rows = [(1, box), (1, other), (1, box), (2, None), (3, box), (5, None), (5, other), (None, box)]
+    sent = spark.createDataFrame(rows, f"image int, polygon {P.POLYGON}")
+    expected = spark.createDataFrame([(1,), (1,), (2,), (4,), (5,), (None,)], "image long")
+    report = validate.submission_report(sent, expected, F.lit(9), F.lit(9))
+    r = report.first()
+    assert (r.rows, r.missing_images, r.extra_images, r.empty_images) == (5, 2, 2, 1)
+    assert (r.least_polygons, r.most_polygons, r.mean_polygons, r.polygons, r.duplicate_polygons, r.passed) == (0, 3, 1.2, 6, 1, False)
+    r = validate.submission_report(sent.where("false"), expected, F.lit(9), F.lit(9)).first()
+    assert (r.rows, r.missing_images, r.extra_images, r.most_polygons, r.mean_polygons) == (0, 5, 0, 0, 0.0)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join FullOuter" not in plan
