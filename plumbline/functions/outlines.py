@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .polygons import POLYGON, as_array, signed_area
+from .polygons import POLYGON, _alike, _points, signed_area
 
 #: Neighbours clockwise from the right, rows growing downwards: (dy, dx).
 _AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 _WAY = {d: k for k, d in enumerate(_AROUND)}
 #: How far an arc's chords may be from it.
 ARC_TOLERANCE = 0.25
+#: Pairs of edges, and pixels of polygons, that are worked on at once.
+PAIRS, PIXELS = 1 << 18, 1 << 18
 
 
 def _turns() -> tuple[bytes, bytes, bytes]:
@@ -101,34 +101,81 @@ def closed_length(p: np.ndarray) -> float:
     return float(np.hypot(*(np.roll(p, -1, axis=0) - p).T).sum())
 
 
+def ring_lengths(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """closed_length() of rings that lie one after another."""
+    ring, after = _after(sizes)
+    return np.bincount(ring, np.hypot(*(points[after] - points).T), len(sizes))
+
+
+def ring_areas(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """signed_area() of rings that lie one after another."""
+    ring, after = _after(sizes)
+    q = points[after]
+    return np.bincount(ring, points[:, 0] * q[:, 1] - q[:, 0] * points[:, 1], len(sizes)) / 2
+
+
+def _after(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ring, place of the next point around) of the points of rings that lie one after another."""
+    ring, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    after = np.arange(1, len(ring) + 1)
+    after[(starts + sizes - 1)[sizes > 0]] = starts[sizes > 0]
+    return ring, after
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs of so many places from their starts."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _greatest(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the first of the greatest values of each run is; no run is empty."""
+    starts = np.cumsum(sizes) - sizes
+    top = values == np.repeat(np.maximum.reduceat(values, starts), sizes)
+    return np.minimum.reduceat(np.where(top, np.arange(len(values)), len(values)), starts)
+
+
 def _off_line(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = b - a
-    size = float(np.hypot(*d))
-    return np.hypot(*(p - a).T) if not size else np.abs(d[0] * (p[:, 1] - a[1]) - d[1] * (p[:, 0] - a[0])) / size
+    """How far points are from the lines through a and b, or from a where these are one."""
+    d, gap = np.broadcast_to(b - a, p.shape), p - a
+    length = np.hypot(*d.T)
+    return np.where(length > 0, np.abs(d[:, 0] * gap[:, 1] - d[:, 1] * gap[:, 0]) / np.where(length > 0, length, 1.0), np.hypot(*gap.T))
 
 
 def simplified(p: np.ndarray, tolerance: float) -> np.ndarray:
     """A closed outline of fewer points, from which none of the others is further than the tolerance (Douglas-Peucker)."""
     if len(p) < 3:
         return p
-    p = p.astype(float)
-    a = int(np.hypot(*(p - p[0]).T).argmax())
-    b = int(np.hypot(*(p - p[a]).T).argmax())
-    p = np.roll(p, -a, axis=0)
-    b, n = (b - a) % len(p), len(p)
-    if not b:
-        return p[:1]
-    ring, keep = np.vstack((p, p[:1])), {0, b}
-    stack = [(0, b), (b, n)]
-    while stack:
-        i, j = stack.pop()
-        if j - i > 1:
-            d = _off_line(ring[i + 1 : j], ring[i], ring[j])
-            k = int(d.argmax())
-            if d[k] > tolerance:
-                keep.add(i + 1 + k)
-                stack += [(i, i + 1 + k), (i + 1 + k, j)]
-    return p[sorted(keep)]
+    return simplified_rings(p.astype(float), np.array([len(p)]), np.array([tolerance]))[0]
+
+
+def simplified_rings(points: np.ndarray, sizes: np.ndarray, tolerance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(points, number of points) of the simplified() of rings of a point or more that lie one after another."""
+    if not len(sizes):
+        return points, sizes
+    starts = np.cumsum(sizes) - sizes
+    from_ = lambda place: np.hypot(*(points - np.repeat(points[place], sizes, axis=0)).T)
+    a = _greatest(from_(starts), sizes)
+    b = _greatest(from_(a), sizes)
+    local = np.arange(len(points)) - np.repeat(starts, sizes)
+    p = points[np.repeat(starts, sizes) + (local + np.repeat(a - starts, sizes)) % np.repeat(sizes, sizes)]  # from a on
+    middle = starts + (b - a) % sizes
+    keep = np.zeros(len(p), bool)
+    keep[starts] = keep[middle] = True
+    split = np.flatnonzero(middle != starts)
+    # Stretches (first point, points within, point after: the ring's start follows its last point).
+    i = np.concatenate([starts[split], middle[split]])
+    within = np.concatenate([middle[split] - starts[split], (starts + sizes)[split] - middle[split]]) - 1
+    j, most = np.concatenate([middle[split], starts[split]]), np.tile(tolerance[split], 2)
+    while (some := within > 0).any():
+        i, within, j, most = i[some], within[some], j[some], most[some]
+        at, of = _places(i + 1, within), np.repeat(np.arange(len(i)), within)
+        off = _off_line(p[at], p[i][of], p[j][of])
+        k = _greatest(off, within)
+        far = off[k] > most
+        k = at[k[far]]
+        keep[k] = True
+        i, within, j, most = np.concatenate([i[far], k]), np.concatenate([k - i[far], (i + within)[far] + 1 - k]) - 1, np.concatenate([k, j[far]]), np.tile(most[far], 2)
+    return p[keep], np.add.reduceat(keep.astype(int), starts)
 
 
 def covered_pixels(polygon: np.ndarray, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +186,11 @@ def covered_pixels(polygon: np.ndarray, h: int, w: int) -> tuple[np.ndarray, np.
         return np.zeros(0, int), np.zeros(0, int)
     y, x = np.mgrid[low[1] : high[1], low[0] : high[0]]
     inside = np.zeros(x.shape, bool)
-    for (x0, y0), (x1, y1) in zip(polygon, np.roll(polygon, -1, axis=0), strict=True):
+    edges = list(zip(polygon.tolist(), np.roll(polygon, -1, axis=0).tolist(), strict=True))
+    for (x0, y0), (x1, y1) in edges:
         if y0 != y1:
             inside ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+    for (x0, y0), (x1, y1) in edges:  # after all crossings, or these would take pixels on the border out again
         steps = max(1, int(np.ceil(max(abs(x1 - x0), abs(y1 - y0)))))
         t = np.arange(steps + 1) / steps
         ex, ey = np.rint(x0 + t * (x1 - x0)).astype(int) - low[0], np.rint(y0 + t * (y1 - y0)).astype(int) - low[1]
@@ -151,41 +200,101 @@ def covered_pixels(polygon: np.ndarray, h: int, w: int) -> tuple[np.ndarray, np.
     return rows + low[1], columns + low[0]
 
 
+def covered_means(points: np.ndarray, sizes: np.ndarray, of: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """The mean of the covered_pixels() of each ring (three points or more) in its map of a stack; 0 if it covers none."""
+    _, h, w = maps.shape
+    out, starts = np.zeros(len(sizes)), np.cumsum(sizes) - sizes
+    low, high = (f.reduceat(points, starts, axis=0) for f in (np.minimum, np.maximum))
+    low, high = np.clip(np.floor(low).astype(int), 0, (w, h)), np.clip(np.ceil(high).astype(int) + 1, 0, (w, h))
+    span = np.maximum(high - low, 0)
+    for (n,), same in _alike(sizes):
+        cells = span[same].prod(axis=1)
+        same, cells = same[cells > 0], cells[cells > 0]
+        part = np.cumsum(cells) // PIXELS
+        for rows in np.split(same, np.flatnonzero(np.diff(part)) + 1) if len(same) else ():
+            wide, many = span[rows, 0], span[rows].prod(axis=1)
+            ring, begin = np.repeat(np.arange(len(rows)), many), np.cumsum(many) - many
+            place = np.arange(many.sum()) - begin[ring]
+            x, y = place % wide[ring] + low[rows, 0][ring], place // wide[ring] + low[rows, 1][ring]
+            p = points[starts[rows, None] + np.arange(n)]
+            inside = np.zeros(len(ring), bool)
+            for e in range(n):
+                a, b = p[:, e], p[:, (e + 1) % n]
+                d = b - a
+                flat = d[:, 1] == 0
+                x0, y0, y1, dx, dy = (v[ring] for v in (a[:, 0], a[:, 1], b[:, 1], d[:, 0], np.where(flat, 1.0, d[:, 1])))
+                inside ^= ((y0 > y) != (y1 > y)) & (x < dx * (y - y0) / dy + x0)
+            for e in range(n):
+                a, b = p[:, e], p[:, (e + 1) % n]
+                steps = np.maximum(1, np.ceil(np.abs(b - a).max(axis=1)).astype(int))
+                of_, t = np.repeat(np.arange(len(rows)), steps + 1), _places(np.zeros(len(rows), int), steps + 1)
+                at = np.rint(a[of_] + (t / steps[of_])[:, None] * (b - a)[of_]).astype(int) - low[rows][of_]
+                ok = ((at >= 0) & (at < span[rows][of_])).all(axis=1)
+                inside[(begin[of_] + at[:, 1] * wide[of_] + at[:, 0])[ok]] = True
+            count = np.bincount(ring[inside], minlength=len(rows))
+            total = np.bincount(ring[inside], maps[of[rows][ring[inside]], y[inside], x[inside]], len(rows))
+            out[rows] = np.where(count > 0, total / np.maximum(count, 1), 0.0)
+    return out
+
+
 def _winding(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How often the closed path of edges a to b goes around each point."""
+    """How often closed paths of edges a to b (a row of edges for each point) go around the points."""
     y = points[:, 1, None]
-    turn = (b[None, :, 0] - a[None, :, 0]) * (y - a[None, :, 1]) - (b[None, :, 1] - a[None, :, 1]) * (points[:, 0, None] - a[None, :, 0])
-    up, down = (a[None, :, 1] <= y) & (b[None, :, 1] > y) & (turn > 0), (a[None, :, 1] > y) & (b[None, :, 1] <= y) & (turn < 0)
+    turn = (b[..., 0] - a[..., 0]) * (y - a[..., 1]) - (b[..., 1] - a[..., 1]) * (points[:, 0, None] - a[..., 0])
+    up, down = (a[..., 1] <= y) & (b[..., 1] > y) & (turn > 0), (a[..., 1] > y) & (b[..., 1] <= y) & (turn < 0)
     return up.sum(axis=1) - down.sum(axis=1)
 
 
-def _without_folds(path: np.ndarray) -> np.ndarray | None:
-    """The largest outer border of what a closed path goes around a positive number of times; None if nothing."""
-    path = path[np.hypot(*(path - np.roll(path, 1, axis=0)).T) > 1e-9]
-    if len(path) < 3:
-        return None
-    a, b = path, np.roll(path, -1, axis=0)
-    d, n = b - a, len(a)
-    cross = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
-    gap = a[None, :, :] - a[:, None, :]
+def _without_folds(a: np.ndarray) -> list[np.ndarray | None]:
+    """The largest outer border of what each of k closed paths of n points (k, n, 2) goes around a positive number of times; None if nothing."""
+    k, n = a.shape[:2]
+    b = np.roll(a, -1, axis=1)
+    d = b - a
+    cross = d[:, :, None, 0] * d[:, None, :, 1] - d[:, :, None, 1] * d[:, None, :, 0]
+    gap = a[:, None, :, :] - a[:, :, None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
-        t = (gap[..., 0] * d[None, :, 1] - gap[..., 1] * d[None, :, 0]) / cross
-        u = (gap[..., 0] * d[:, None, 1] - gap[..., 1] * d[:, None, 0]) / cross
-    meet = (np.abs(cross) > 1e-12) & (t > 1e-9) & (t < 1 - 1e-9) & (u > -1e-9) & (u < 1 + 1e-9)
-    starts, ends = [], []
-    for i in range(n):
-        at = np.unique(np.concatenate(([0.0], t[i, meet[i]], [1.0])))
-        p = np.round(a[i] + at[:, None] * d[i], 7)
-        starts.append(p[:-1])
-        ends.append(p[1:])
-    s, e = np.concatenate(starts), np.concatenate(ends)
+        t = (gap[..., 0] * d[:, None, :, 1] - gap[..., 1] * d[:, None, :, 0]) / cross
+        u = (gap[..., 0] * d[:, :, None, 1] - gap[..., 1] * d[:, :, None, 0]) / cross
+    meet = np.nonzero((np.abs(cross) > 1e-12) & (t > 1e-9) & (t < 1 - 1e-9) & (u > -1e-9) & (u < 1 + 1e-9))
+    every = np.arange(k * n)
+    edge, at = np.concatenate([every, every, meet[0] * n + meet[1]]), np.concatenate([np.zeros(k * n), np.ones(k * n), t[meet]])
+    order = np.lexsort((at, edge))
+    edge, at = edge[order], at[order]
+    p = np.round(a.reshape(-1, 2)[edge] + at[:, None] * d.reshape(-1, 2)[edge], 7)
+    one = np.flatnonzero(edge[1:] == edge[:-1])
+    s, e, of = p[one], p[one + 1], edge[one] // n
     long = np.hypot(*(e - s).T) > 1e-7
-    s, e = s[long], e[long]
-    side = np.stack([-(e - s)[:, 1], (e - s)[:, 0]], axis=1) / np.hypot(*(e - s).T)[:, None] * 1e-5
-    middle = (s + e) / 2
-    border = (_winding(middle + side, a, b) > 0) & (_winding(middle - side, a, b) <= 0)
+    s, e, of = s[long], e[long], of[long]
+    border = np.zeros(len(s), bool)
+    for c in range(0, len(s), max(1, PAIRS // n)):
+        part = slice(c, c + max(1, PAIRS // n))
+        step = e[part] - s[part]
+        side, middle = np.stack([-step[:, 1], step[:, 0]], axis=1) / np.hypot(*step.T)[:, None] * 1e-5, (s[part] + e[part]) / 2
+        border[part] = (_winding(middle + side, a[of[part]], b[of[part]]) > 0) & (_winding(middle - side, a[of[part]], b[of[part]]) <= 0)
+    s, e, of = s[border], e[border], of[border]
+    sizes = np.bincount(of, minlength=k)
+    cuts = np.concatenate(([0], np.cumsum(sizes)))
+    # Most borders are one loop already, in order and without a point met twice.
+    after = _after(sizes)[1]
+    loose = np.bincount(of, (e != s[after]).any(axis=1), k) > 0
+    order = np.lexsort((s[:, 1], s[:, 0], of))
+    twice = (of[order][1:] == of[order][:-1]) & (s[order][1:] == s[order][:-1]).all(axis=1)
+    loose[of[order][1:][twice]] = True
+    areas = ring_areas(s, sizes)
+    out: list[np.ndarray | None] = []
+    for i in range(k):
+        own = slice(cuts[i], cuts[i + 1])
+        if loose[i]:
+            out.append(_largest_loop(s[own], e[own]))
+        else:
+            out.append(s[own] if sizes[i] > 2 and areas[i] > 0 else None)
+    return out
+
+
+def _largest_loop(s: np.ndarray, e: np.ndarray) -> np.ndarray | None:
+    """The loop of the greatest area that steps from s to e make; None if there is none with an area."""
     leave: dict[tuple, list] = {}
-    for p, q in zip(map(tuple, s[border].tolist()), map(tuple, e[border].tolist()), strict=True):
+    for p, q in zip(map(tuple, s.tolist()), map(tuple, e.tolist()), strict=True):
         leave.setdefault(p, []).append(q)
     best, most = None, 0.0
     while leave:
@@ -210,42 +319,80 @@ def round_offset(p: np.ndarray, distance: float, tolerance: float = ARC_TOLERANC
 
     An arc of angle v is cut in ceil(v / (2 acos(1 - tolerance / distance))) chords.
     """
-    size = signed_area(p)
-    if not size or not distance:
-        return p if size else None
-    x = p if size > 0 else p[::-1]
-    x = x[(x != np.roll(x, 1, axis=0)).any(axis=1)].astype(float)
-    d = np.roll(x, -1, axis=0) - x
+    return round_offsets(p, np.array([len(p)]), np.array([distance], float), tolerance)[0]
+
+
+def round_offsets(points: np.ndarray, sizes: np.ndarray, distances: np.ndarray, tolerance: float = ARC_TOLERANCE) -> list[np.ndarray | None]:
+    """round_offset() of rings that lie one after another, those with paths of as many points at once."""
+    areas, starts = ring_areas(points, sizes), np.cumsum(sizes) - sizes
+    out: list[np.ndarray | None] = [points[i : i + n] if size else None for i, n, size in zip(starts.tolist(), sizes.tolist(), areas.tolist(), strict=True)]
+    moved = np.flatnonzero((areas != 0) & (distances != 0))
+    if not len(moved):
+        return out
+    sizes, starts, by = sizes[moved], starts[moved], distances[moved]
+    ring, at = np.repeat(np.arange(len(moved)), sizes), _places(starts, sizes)
+    x = points[np.where((areas[moved] > 0)[ring], at, (2 * starts + sizes - 1)[ring] - at)].astype(float)
+    after = _after(sizes)[1]
+    new = np.ones(len(x), bool)
+    new[after] = (x[after] != x).any(axis=1)
+    x, ring = x[new], ring[new]
+    sizes = np.bincount(ring, minlength=len(moved))
+    after = _after(sizes)[1]
+    d = x[after] - x
     normal = np.stack([d[:, 1], -d[:, 0]], axis=1) / np.hypot(*d.T)[:, None]
-    step = 2 * math.acos(max(0.0, 1 - min(tolerance, abs(distance)) / abs(distance)))
-    path = []
-    for v, before, after in zip(x, np.roll(normal, 1, axis=0), normal, strict=True):
-        angle = math.atan2(before[0] * after[1] - before[1] * after[0], float(before @ after))
-        if angle * distance > 0:
-            chords = max(1, math.ceil(abs(angle) / step - 1e-9))
-            base = math.atan2(before[1], before[0])
-            turns = base + angle * np.arange(chords + 1) / chords
-            path += [v + distance * np.array([math.cos(t), math.sin(t)]) for t in turns]
-        else:
-            path += [v + distance * before, v, v + distance * after] if angle else [v + distance * after]
-    return _without_folds(np.array(path))
-
-
-def grown(p: np.ndarray, ratio: float) -> np.ndarray | None:
-    """A polygon moved out by area * ratio / perimeter with round corners."""
-    length = closed_length(p)
-    return round_offset(p, abs(signed_area(p)) * ratio / length) if length else None
+    before = np.empty_like(normal)
+    before[after] = normal
+    far = np.abs(by)
+    step = 2 * np.arccos(np.maximum(0.0, 1 - np.minimum(tolerance, far) / far))[ring]
+    angle = np.arctan2(before[:, 0] * normal[:, 1] - before[:, 1] * normal[:, 0], before[:, 0] * normal[:, 0] + before[:, 1] * normal[:, 1])
+    arc = angle * by[ring] > 0
+    chords = np.where(arc, np.maximum(1, np.ceil(np.abs(angle) / step - 1e-9)), 0).astype(int)
+    many = np.where(arc, chords + 1, np.where(angle != 0, 3, 1))
+    v, j = np.repeat(np.arange(len(x)), many), _places(np.zeros(len(x), int), many)
+    turn = np.arctan2(before[:, 1], before[:, 0])[v] + angle[v] * j / np.maximum(chords, 1)[v]
+    flat = np.where((j == 0)[:, None] & (angle != 0)[v, None], before[v], np.where(((j == 1) & (many == 3)[v])[:, None], 0.0, normal[v]))
+    path = x[v] + by[ring[v]][:, None] * np.where(arc[v, None], np.stack([np.cos(turn), np.sin(turn)], axis=1), flat)
+    ring = ring[v]
+    after = _after(np.bincount(ring, minlength=len(moved)))[1]
+    new = np.ones(len(path), bool)
+    new[after] = np.hypot(*(path[after] - path).T) > 1e-9
+    path, sizes = path[new], np.bincount(ring[new], minlength=len(moved))
+    starts = np.cumsum(sizes) - sizes
+    for (n,), rows in _alike(sizes):
+        for c in range(0, len(rows), max(1, PAIRS // max(1, n * n))):
+            part = rows[c : c + max(1, PAIRS // max(1, n * n))]
+            got = _without_folds(path[starts[part, None] + np.arange(n)]) if n > 2 else [None] * len(part)
+            for i, q in zip(moved[part].tolist(), got, strict=True):
+                out[i] = q
+    return out
+
+
+def grown(points: np.ndarray, sizes: np.ndarray, ratio: float) -> list[np.ndarray | None]:
+    """Rings that lie one after another, moved out by area * ratio / perimeter with round corners."""
+    length = ring_lengths(points, sizes)
+    return [q if n else None for q, n in zip(round_offsets(points, sizes, np.abs(ring_areas(points, sizes)) * ratio / np.where(length > 0, length, 1.0)), length.tolist(), strict=True)]
 
 
 def polygon_round_offset(polygon: Column, distance: Column) -> Column:
     """round_offset() of a polygon column; null where nothing is left or the polygon has under three points."""
 
-    @F.pandas_udf(POLYGON)
-    def moved(polygons: pd.Series, distances: pd.Series) -> pd.Series:
-        def one(p, by):
-            got = round_offset(as_array(p), by) if p is not None and len(p) > 2 else None
-            return None if got is None else [{"x": float(x), "y": float(y)} for x, y in got]
-
-        return pd.Series([one(p, by) for p, by in zip(polygons, distances, strict=True)], dtype=object)
+    @F.arrow_udf(POLYGON)
+    def moved(polygons: pa.Array, distances: pa.Array) -> pa.Array:
+        at, sizes, points = _points(polygons)
+        whole = np.flatnonzero((sizes > 2) & ~distances.is_null().to_numpy(zero_copy_only=False))
+        by = distances.to_numpy(zero_copy_only=False).astype(float)[whole]
+        got = round_offsets(points[_places(at[whole], sizes[whole])], sizes[whole], by)
+        out: list[np.ndarray | None] = [None] * len(polygons)
+        for i, q in zip(whole.tolist(), got, strict=True):
+            out[i] = q
+        return polygon_list(out)
 
     return moved(polygon, distance)
+
+
+def polygon_list(polygons: list[np.ndarray | None]) -> pa.Array:
+    """A column of polygons from rows of x, y; null for None."""
+    sizes = np.array([0 if p is None else len(p) for p in polygons], int)
+    points = np.concatenate([np.zeros((0, 2)), *(p for p in polygons if p is not None)])
+    place = pa.StructArray.from_arrays([pa.array(points[:, c]) for c in (0, 1)], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), place, mask=pa.array([p is None for p in polygons], pa.bool_()))

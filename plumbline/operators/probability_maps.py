@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.outlines import closed_length, covered_pixels, grown, outlines, outlines_of, simplified
-from ..functions.polygons import POLYGON, min_area_rect, min_area_rects, rects_corners, unclipped
+from ..functions.outlines import covered_means, covered_pixels, grown, outlines_of, polygon_list, ring_lengths, simplified_rings
+from ..functions.polygons import POLYGON, min_area_rects, rects_corners, unclipped
 
 #: How many cells of maps are worked on at once.
 CELLS = 1 << 21
@@ -168,25 +168,29 @@ def trace(maps: DataFrame, threshold: float = 0.3) -> DataFrame:
     return maps.select("image", "height", "width", F.col("values").alias("cells")).mapInArrow(run, f"image {kind}, k int, hole boolean, polygon {POLYGON}")
 
 
-def polygons_of(values: np.ndarray, settings: Settings = Settings(unclip_ratio=2.0), matrix: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:
-    """(score, polygon) of the borders of a map: simplified at 0.002 of their length, scored, grown with round corners, in original pixels if a matrix is given."""
-    found = []
-    for p, _ in outlines(values > settings.threshold)[: settings.most_candidates]:
-        p = simplified(p, 0.002 * closed_length(p))
-        if len(p) < 4:
-            continue
-        rows, columns = covered_pixels(p, *values.shape)
-        score = float(values[rows, columns].mean()) if len(rows) else 0.0
-        if score < settings.box_threshold:
-            continue
-        out = grown(p, settings.unclip_ratio)
-        if out is None or min(min_area_rect(out)[1]) < settings.least_side + 2:
-            continue
-        if matrix is not None:
-            q = np.column_stack([out, np.ones(len(out))]) @ matrix.reshape(3, 3).T
-            out = q[:, :2] / q[:, 2:]
-        found.append((score, np.rint(out)))
-    return found
+def polygons_of(maps: np.ndarray, settings: Settings = Settings(unclip_ratio=2.0), matrix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(map, score, polygon) of the borders of a stack of maps, in order: simplified at 0.002 of their length, scored, grown with round corners, in original pixels if a matrix for each map is given."""
+    of, _, sizes, points = outlines_of(maps > settings.threshold)
+    first = _numbered(of) <= settings.most_candidates
+    points, of, sizes = points[np.repeat(first, sizes)].astype(float), of[first], sizes[first]
+    points, sizes = simplified_rings(points, sizes, 0.002 * ring_lengths(points, sizes))
+    keep = sizes > 3
+    points, of, sizes = points[np.repeat(keep, sizes)], of[keep], sizes[keep]
+    if not len(of):
+        return of, np.zeros(0), []
+    score = covered_means(points, sizes, of, maps)
+    keep = ~(score < settings.box_threshold)
+    points, of, sizes, score = points[np.repeat(keep, sizes)], of[keep], sizes[keep], score[keep]
+    got = grown(points, sizes, settings.unclip_ratio)
+    side = min_area_rects([np.zeros((0, 2)) if p is None else p for p in got])[1].min(axis=1, initial=np.inf)
+    keep = np.array([p is not None for p in got], bool) & ~(side < settings.least_side + 2)
+    of, score, got = of[keep], score[keep], [p for p, k in zip(got, keep.tolist(), strict=True) if k]
+    if matrix is not None:
+        many = np.array([len(p) for p in got], int)
+        flat = np.concatenate([np.zeros((0, 2)), *got])
+        q = (np.column_stack([flat, np.ones(len(flat))])[:, None, :] @ matrix.reshape(-1, 3, 3)[np.repeat(of, many)].transpose(0, 2, 1))[:, 0]
+        got = np.split(q[:, :2] / q[:, 2:], np.cumsum(many)[:-1])
+    return of, score, [np.rint(p) for p in got]
 
 
 def detect_polygons(maps: DataFrame, settings: Settings = Settings(unclip_ratio=2.0)) -> DataFrame:
@@ -197,17 +201,15 @@ def detect_polygons(maps: DataFrame, settings: Settings = Settings(unclip_ratio=
     placed = "matrix" in maps.columns
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                v = np.asarray(r.cells, float).reshape(r.height, r.width)
-                got = polygons_of(v, settings, np.asarray(r.matrix, float) if placed else None)
-                rows += [(r.image, k, s, [{"x": float(x), "y": float(y)} for x, y in p]) for k, (s, p) in enumerate(got, 1)]
-            yield pd.DataFrame(rows, columns=["image", "k", "score", "polygon"])
+        for batch in batches:
+            for at, stack in _stacks(batch):
+                matrix = np.array(batch.column("matrix").slice(at, len(stack)).to_pylist(), float) if placed else None
+                of, score, polygons = polygons_of(stack, settings, matrix)
+                yield pa.RecordBatch.from_arrays([batch.column("image").take(pa.array(of + at)), pa.array(_numbered(of)), pa.array(score), polygon_list(polygons)], ["image", "k", "score", "polygon"])
 
     kind = maps.schema["image"].dataType.simpleString()
     src = maps.select("image", "height", "width", F.col("values").alias("cells"), *(["matrix"] if placed else []))
-    return src.mapInPandas(run, f"image {kind}, k int, score double, polygon {POLYGON}")
+    return src.mapInArrow(run, f"image {kind}, k int, score double, polygon {POLYGON}")
 
 
 def ensemble(a: Column, b: Column, weight: float = 0.5) -> Column:

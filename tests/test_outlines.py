@@ -150,3 +150,36 @@ def test_offset_column(spark):
     df = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], 1.0), (2, None, 1.0), (3, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], -3.0)], "i long, p array<struct<x: double, y: double>>, d double")
     got = {r["i"]: r["q"] for r in df.select("i", O.polygon_round_offset(F.col("p"), F.col("d")).alias("q")).collect()}
     assert got[2] is None and got[3] is None and signed_area(np.array([tuple(q) for q in got[1]])) > 16 + 16
+
+
+def test_a_cover_holds_its_border():
+    """Pixels in or on a ring, whichever way it runs: crossings of later edges don't take border pixels out."""
+    for p, n in (([[0, 0], [4, 0], [4, 3], [0, 3]], 20), ([[1, 1], [6, 1], [6, 3], [3, 3], [3, 6], [1, 6]], 27)):
+        for q in (np.array(p, float), np.array(p[::-1], float)):
+            assert len(O.covered_pixels(q, 9, 9)[0]) == n
+            v = np.zeros((1, 9, 9))
+            v[0][O.covered_pixels(q, 9, 9)] = 1.0
+            assert O.covered_means(q, np.array([len(q)]), np.zeros(1, int), v).tolist() == [1.0]
+
+
+def test_rings_together_are_as_alone():
+    rng = np.random.default_rng(3)
+    rings = [rng.integers(0, 30, (n, 2)).astype(float) for n in rng.integers(3, 9, 80)]
+    sizes, by = np.array([len(r) for r in rings]), rng.integers(-5, 7, 80).astype(float)
+    for p, d, q in zip(rings, by, O.round_offsets(np.concatenate(rings), sizes, by), strict=True):
+        alone = O.round_offset(p, d)
+        assert (q is None) == (alone is None) and (q is None or (q == alone).all())
+    points, many = O.simplified_rings(np.concatenate(rings), sizes, by)
+    for p, d, q in zip(rings, by, np.split(points, np.cumsum(many)[:-1]), strict=True):
+        assert (O.simplified(p, d) == q).all()
+
+
+def test_polygons_of_a_stack_are_those_of_its_maps():
+    rng = np.random.default_rng(6)
+    maps = np.repeat(np.repeat(rng.random((20, 6, 8)), 5, axis=1), 5, axis=2)
+    settings = M.Settings(threshold=0.5, box_threshold=0.3, most_candidates=4, least_side=1.0)
+    of, score, polygons = M.polygons_of(maps, settings, np.tile([2.0, 0, 10, 0, 2, -10, 0, 0, 1], (20, 1)))
+    alone = [(i, M.polygons_of(v[None], settings, np.array([[2.0, 0, 10, 0, 2, -10, 0, 0, 1]]))) for i, v in enumerate(maps)]
+    assert of.tolist() == [i for i, (k, _, _) in alone for _ in k] and len(of) > 20
+    assert score.tolist() == pytest.approx([x for _, (_, s, _) in alone for x in s])
+    assert [p.tolist() for p in polygons] == [p.tolist() for _, (_, _, q) in alone for p in q]
