@@ -58,17 +58,21 @@ def box_pairs(gt: DataFrame, det: DataFrame, *more: str) -> DataFrame:
     clip = lambda b: F.struct(*(f(b[k], db[k]).alias(k) for k, f in (("x0", F.greatest), ("y0", F.greatest), ("x1", F.least), ("y1", F.least))))
     lost = F.filter(F.transform(F.coalesce("truth", F.array()), clip), lambda b: (b["x0"] < b["x1"]) & (b["y0"] < b["y1"]))
     both = F.when(F.col("dc"), G.box_intersection(gb, db) - G.covered_area(lost)).otherwise(G.box_intersection(gb, db))
+    return pairs.select("image", "g", "d", "dc", "gt_length", "fp_length", safe_divide(both, G.box_area(db)).alias("ap"), box_hits().alias("hits"), *more)
+
+
+def box_hits(centres: str = "centres"):
+    """Which characters of a box (gx0 to gy1, gt_length, the x of its centres) a truncated box (dx0 to dy1) covers."""
     # Inner corners are truncated, the ends are not: heights differ between the first, the last and all other characters.
     n, ends = F.col("gt_length"), (F.col("gy0") + F.col("gy0") + F.col("gy1") + F.col("gy1")) / 4
-    y0, y1 = t("gy0"), t("gy1")
+    y0, y1 = truncate(F.col("gy0")), truncate(F.col("gy1"))
     holds = lambda y: (y >= F.col("dy0")) & (y < F.col("dy1"))
     first, last = (F.col("gy0") + y0 + F.col("gy1") + y1) / 4, (y0 + F.col("gy0") + y1 + F.col("gy1")) / 4
     inner, alone = holds((y0 + y0 + y1 + y1) / 4), (n == 1) & holds(ends)
     starts, stops = F.when(n == 1, alone).otherwise(holds(first)), F.when(n == 1, alone).otherwise(holds(last))
-    within = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get("centres", i) >= F.col("dx0")) & (F.get("centres", i) < F.col("dx1")))
+    within = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(centres, i) >= F.col("dx0")) & (F.get(centres, i) < F.col("dx1")))
     fits = lambda i: F.when(i == 0, starts).when(i == n - 1, stops).otherwise(inner)
-    hits = F.when(starts & stops & (inner | (n <= 2)), within).when(starts | stops | inner, F.filter(within, fits)).otherwise(F.array().cast("array<int>"))
-    return pairs.select("image", "g", "d", "dc", "gt_length", "fp_length", safe_divide(both, G.box_area(db)).alias("ap"), hits.alias("hits"), *more)
+    return F.when(starts & stops & (inner | (n <= 2)), within).when(starts | stops | inner, F.filter(within, fits)).otherwise(F.array().cast("array<int>"))
 
 
 def _without_truth(g: DataFrame) -> DataFrame:

@@ -65,3 +65,27 @@ def test_rectangles_of_many_rings(monkeypatch):
     got = P.min_area_rects(rings)[1]
     assert got.prod(axis=1) == pytest.approx(want)
     assert not any(p is c or (len(p) == len(c) and (p == c).all()) for p in called for c in rings[-12:]) and any((p == star).all() for p in called if len(p) == 5)
+
+
+def test_boxes_meet_polygons(spark, monkeypatch):
+    """Rings that are no boxes by their first corner give the pairs of boxes, also where both kinds meet; UDFs see no null lists."""
+    box = lambda x0, x1, at: [((x0, 0.0), (x1, 0.0), (x1, 10.0), (x0, 10.0))[(i + at) % 4] for i in range(4)]
+    gt, det = "image int, g int, polygon array<struct<x: double, y: double>>, dc boolean", "image int, d int, polygon array<struct<x: double, y: double>>"
+
+    def pairs(turned):
+        g = [(i, k, box(25.5 * k - 30, 25.5 * k + 8 * k, 2 if turned(k) else 0), i > 3 and k == 2) for i in range(6) for k in (1, 2, 3)]
+        d = [(i, k, box(25.0 * k - 20 + i, 25.0 * k + 6.7 * k, 2 if turned(k + i) else 0)) for i in range(6) for k in (1, 2, 3)]
+        got = P.polygon_pairs(spark.createDataFrame(g, gt), spark.createDataFrame(d, det)).collect()
+        return {(r.image, r.g, r.d): (r.dc, r.gt_length, r.fp_length, pytest.approx(r.ap)) for r in got}, sum(len(r.hits) for r in got)
+
+    boxes, hits = pairs(lambda k: False)
+    assert boxes == pairs(lambda k: True)[0] == pairs(lambda k: k % 2 == 0)[0] and hits > 20
+
+    def no_nulls(a, b):
+        assert not a.null_count and not b.null_count
+        import pyarrow as pa
+
+        return pa.array([0.0] * len(a))
+
+    monkeypatch.setattr(P, "polygon_intersection", F.arrow_udf(no_nulls, "double"))
+    assert len(pairs(lambda k: False)[0]) == len(boxes)
